@@ -18,10 +18,6 @@ TYPED_METRICS = {
     "dataset_purpose": "string",
     "dataset_purpose_cap": "string",
 }
-FINDING_COLUMNS = (
-    "run_id", "engine", "code", "severity", "severity_rank", "category", "column", "column2",
-    "title", "detail", "impact", "fix_snippet", "metrics_json", *TYPED_METRICS, "block", "place", "place2",
-)
 FINDING_SCHEMA = (
     "run_id string, engine string, code string, severity string, severity_rank int, category string, "
     "column string, column2 string, title string, detail string, impact string, fix_snippet string, "
@@ -31,10 +27,10 @@ FINDING_SCHEMA = (
 
 
 def severity_rank(severity: Column) -> Column:
-    out = F.lit(None).cast("int")
-    for name, rank in SEVERITY_RANK.items():
-        out = F.when(severity == name, rank).otherwise(out)
-    return out
+    return F.get(
+        F.array(*[F.lit(r) for r in SEVERITY_RANK.values()]),
+        (F.array_position(F.array(*[F.lit(s) for s in SEVERITY_RANK]), severity) - 1).cast("int"),
+    )
 
 
 def finding(
@@ -51,57 +47,69 @@ def finding(
     block: int = 0,
     place: Column | None = None,
     place2: Column | None = None,
-) -> Column:
-    """One finding as a struct. ``block``, ``place``, ``place2`` order findings in their engine."""
+) -> list[Column]:
+    """The columns of one finding. ``block``, ``place``, ``place2`` order findings in their engine."""
 
     def literal(v):
         return v if isinstance(v, Column) else F.lit(v)
 
-    metrics = metrics or {}
-    none = F.lit(None)
-    level = literal(severity)
     values = {
         "code": literal(code),
-        "severity": level,
-        "severity_rank": severity_rank(level),
+        "severity": literal(severity),
         "category": literal(category),
-        "column": (column if column is not None else none).cast("string"),
-        "column2": (column2 if column2 is not None else none).cast("string"),
         "title": title,
         "detail": detail,
         "impact": literal(impact),
-        "fix_snippet": literal(fix).cast("string"),
-        "metrics_json": F.to_json(F.struct(*[v.alias(k) for k, v in metrics.items()])) if metrics else F.lit("{}"),
+        "block": F.lit(block),
     }
-    for name, kind in TYPED_METRICS.items():
-        values[name] = metrics.get(name, none).cast(kind)
-    values["block"] = F.lit(block)
-    values["place"] = (place if place is not None else F.lit(0)).cast("int")
-    values["place2"] = (place2 if place2 is not None else F.lit(0)).cast("int")
-    return F.struct(*[v.alias(k) for k, v in values.items()])
-
-
-def emit(rows: DataFrame, engine: str, rules: list[tuple[Column, Column]]) -> DataFrame:
-    """One finding per row and rule that holds. ``rows`` must carry ``run_id``."""
-    candidates = F.array(*[F.when(condition, body) for condition, body in rules])
-    return rows.select(F.col("run_id").alias("run_id"), F.explode(F.array_compact(candidates)).alias("f")).select(
-        "run_id", F.lit(engine).alias("engine"), "f.*"
-    ).select(*FINDING_COLUMNS)
+    optional = {"column": column, "column2": column2, "place": place, "place2": place2}
+    values.update({k: v for k, v in optional.items() if v is not None})
+    if fix is not None:
+        values["fix_snippet"] = literal(fix)
+    if metrics:
+        values["metrics_json"] = F.to_json(F.struct(*[v.alias(k) for k, v in metrics.items()]))
+        for name, kind in TYPED_METRICS.items():
+            if name in metrics:
+                values[name] = metrics[name].cast(kind)
+    return [v.alias(k) for k, v in values.items()]
+
+
+def emit(rows: DataFrame, engine: str, rules: list[tuple[Column, list[Column]]]) -> DataFrame:
+    """One finding per row and rule that holds. ``rows`` must carry ``run_id``.
+
+    ``rows`` are small (columns, pairs of columns, runs) and settled, so every
+    rule is a filter and a projection the optimizer folds at planning time.
+    """
+    parts = [
+        rows.filter(condition).select("run_id", F.lit(engine).alias("engine"), *columns)
+        for condition, columns in rules
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def no_findings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], FINDING_SCHEMA)
 
 
-def number_findings(parts: list[DataFrame]) -> DataFrame:
-    """All findings of all runs with ``seq``, their order inside a run."""
-    rank = F.lit(len(ENGINES))
-    for i, name in enumerate(ENGINES):
-        rank = F.when(F.col("engine") == name, i).otherwise(rank)
-    everything = reduce(DataFrame.unionByName, parts)
+def number_findings(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
+    """All findings of all runs with ``severity_rank`` and ``seq``, their order inside a run."""
+    everything = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True), parts, no_findings(spark)
+    )
+    rank = F.array_position(F.array(*[F.lit(e) for e in ENGINES]), F.col("engine"))
     # a run has a bounded number of findings: columns and pairs of columns
-    w = Window.partitionBy("run_id").orderBy(rank, "block", "place", "place2", "code", "column", "column2")
-    return everything.withColumn("seq", F.row_number().over(w)).drop("block", "place", "place2")
+    w = Window.partitionBy("run_id").orderBy(
+        F.when(rank > 0, rank).otherwise(len(ENGINES) + 1),
+        F.coalesce("block", F.lit(0)), F.coalesce("place", F.lit(0)), F.coalesce("place2", F.lit(0)),
+        "code", "column", "column2",
+    )
+    return everything.withColumns(
+        {
+            "severity_rank": severity_rank(F.col("severity")),
+            "metrics_json": F.coalesce("metrics_json", F.lit("{}")),
+            "seq": F.row_number().over(w),
+        }
+    ).drop("block", "place", "place2")
 
 
 def percent(share: Column, digits: int = 1) -> Column:

@@ -52,7 +52,7 @@ class Report:
 
 def settle(df: DataFrame) -> DataFrame:
     """Run a plan whose result is bounded by the number of columns, and keep the rows."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
 def analyze(
@@ -88,11 +88,10 @@ def analyze(
     meta = context.dataset_types(described, targets)
     meta = meta.join(context.possible_targets(described, meta, settings), "run_id")
     meta = settle(readiness.with_features(meta))
-    facts = meta.select("run_id", "target", "target_provided", "dataset_type")
+    run_facts = meta.first()
     described = settle(context.column_roles(described, F.lit(target).cast("string")))
     rows = described.orderBy("ordinal").collect()
-    about = described.join(F.broadcast(facts), "run_id")
-    places = described.select("run_id", "column", "ordinal")
+    place = F.create_map(*[v for r in rows for v in (F.lit(r["column"]), F.lit(r["ordinal"]))])
     n_rows = rows[0]["n_rows"] if rows else 0
 
     skipped: dict[str, str] = {}
@@ -106,11 +105,21 @@ def analyze(
                 raise
             skipped[label] = f"{type(problem).__name__}: {problem}"
 
+    def of_run(small: DataFrame) -> DataFrame:
+        """Adds the facts about the run."""
+        return small.withColumns(
+            {
+                "run_id": F.lit(run),
+                "target": F.lit(target).cast("string"),
+                "target_provided": F.lit(target is not None),
+                "dataset_type": F.lit(run_facts["dataset_type"]),
+            }
+        )
+
     def by_column(metrics: DataFrame) -> DataFrame:
-        return metrics.join(F.broadcast(places), "column")
+        return of_run(metrics).withColumn("ordinal", place[F.col("column")])
 
-    def of_run(small: DataFrame) -> DataFrame:
-        return small.withColumn("run_id", F.lit(run))
+    about = of_run(described)
 
     def missing_checks() -> list[DataFrame]:
         out = []
@@ -121,7 +130,7 @@ def analyze(
             if len(gappy) >= 3:
                 cluster = settle(missingness.missing_cluster(pairs, settings))
                 clustered = [c for r in cluster.collect() for c in r["columns"]]
-                out.append(missingness.cluster_findings(of_run(cluster).join(facts, "run_id")))
+                out.append(missingness.cluster_findings(of_run(cluster)))
             free = pairs.filter(~F.col("column").isin(clustered) & ~F.col("column2").isin(clustered))
             out.append(missingness.co_missing_findings(of_run(free), settings))
         out.append(missingness.missing_value_findings(about.filter(~F.col("column").isin(clustered)), settings))
@@ -143,12 +152,12 @@ def analyze(
 
     def duplicate_checks() -> list[DataFrame]:
         counts = settle(duplicates.duplicate_counts(df))
-        copies.append(of_run(counts).withColumn("target", F.lit(target).cast("string")))
+        copies.append(of_run(counts))
         out = [duplicates.duplicate_findings(copies[0], settings)]
         ids = [r["column"] for r in rows if r["is_id_like"] and r["column"] != target]
         if target and ids:
             clashes = settle(duplicates.id_conflicts(df, ids, target))
-            out.append(duplicates.id_conflict_findings(by_column(clashes).withColumn("target", F.lit(target))))
+            out.append(duplicates.id_conflict_findings(by_column(clashes)))
         return out
 
     support: list[DataFrame] = []
@@ -166,11 +175,13 @@ def analyze(
         shares = F.map_from_entries(
             F.array(*[F.struct(F.lit(p["class"]), F.lit(p["proportion"])) for p in pairs])
         ) if pairs else F.lit(None).cast("map<string,double>")
-        classes = settle(
-            of_run(summary)
-            .withColumn("proportions", shares)
-            .crossJoin(described.filter(F.col("column") == target).select("dtype_inferred", "n_unique", "n_rows"))
-            .withColumn("target", F.lit(target))
+        classes = of_run(summary).withColumns(
+            {
+                "proportions": shares,
+                "dtype_inferred": F.lit(goal["dtype_inferred"]),
+                "n_unique": F.lit(goal["n_unique"]),
+                "n_rows": F.lit(goal["n_rows"]),
+            }
         )
         support.append(classes)
         return [imbalance.imbalance_findings(classes, settings)]
@@ -185,7 +196,7 @@ def analyze(
         }
         if not asked:
             return []
-        metrics = settle(by_column(outliers.outlier_metrics(df, asked, settings)))
+        metrics = by_column(settle(outliers.outlier_metrics(df, asked, settings)))
         spreads.append(metrics)
         return [outliers.outlier_findings(metrics, settings)]
 
@@ -201,7 +212,7 @@ def analyze(
         tested, aim = association.describe_columns(rows, target, settings)
         if tested and (goal["n_unique"] or 0) > 0:
             metrics = settle(association.target_association(df, tested, aim, settings))
-            out.append(leakage.association_findings(by_column(metrics).withColumn("target", F.lit(target)), settings))
+            out.append(leakage.association_findings(by_column(metrics), settings))
         return out
 
     numbers = [r for r in rows if r["dtype_inferred"] == "numeric" and not r["is_id_like"]]
@@ -218,29 +229,31 @@ def analyze(
             )
         )
         pairs_of.append(pairs)
-        known = of_run(pairs).join(F.broadcast(facts), "run_id")
+        known = of_run(pairs)
         out.append(features.near_duplicate_findings(known, settings))
         shown = [r["column"] for r in numbers[: settings.heatmap_columns]]
         near = known.filter(F.col("column").isin(shown) & F.col("column2").isin(shown))
-        out.append(correlation.matrix_findings(_matrix(of_run(pairs), shown)))
+        out.append(correlation.matrix_findings(settle(_matrix(known, shown))))
         out.append(correlation.strong_pair_findings(near, settings))
         return out
 
     def readiness_checks() -> list[DataFrame]:
         out = [readiness.sample_size_rules(meta), readiness.generalization_findings(about)]
+        if target is None and run_facts["dataset_type"] == "historical_archive":
+            out.append(readiness.near_unique_cluster_findings(settle(readiness.near_unique_clusters(about))))
         late = settle(readiness.post_outcome_columns(about))
         out.append(readiness.post_outcome_findings(late))
-        weak = F.lit(False)
+        weak = False
         if support:
             out.append(readiness.target_support_findings(support[0], settings))
-            weak = F.lit(bool(support[0].filter(readiness.weak_target(settings)).count()))
-        crowd = readiness.near_unique(about).count()
-        suspects = late.select("run_id", F.size("columns").alias("late_columns"))
-        known = meta.join(suspects, "run_id", "left").withColumns(
+            weak = bool(support[0].filter(readiness.weak_target(settings)).take(1))
+        crowd = len(readiness.near_unique(about).select("column").collect())
+        suspects = late.collect()
+        known = meta.withColumns(
             {
                 "n_near_unique": F.lit(crowd),
-                "weak_target": weak,
-                "late_columns": F.coalesce("late_columns", F.lit(0)),
+                "weak_target": F.lit(weak),
+                "late_columns": F.lit(len(suspects[0]["columns"]) if suspects else 0),
             }
         )
         out.append(readiness.purpose_findings(known))
@@ -257,9 +270,7 @@ def analyze(
         for label, own in (checks or {}).items():
             check(label, lambda own=own: [own(df, about, target)])
 
-    from ..operators.findings import no_findings
-
-    numbered = settle(number_findings([no_findings(spark), *parts]))
+    numbered = settle(number_findings(spark, parts))
     described_run = meta.select(
         "run_id",
         F.lit(name).alias("dataset_name"),
@@ -277,16 +288,18 @@ def analyze(
         "n_datetime",
         "n_id_like",
     )
-    scored = scoring.scores(numbered, described_run)
-    if sampled:
-        scored = scored.withColumn("n_rows", F.col("n_rows_total"))
-    hashed = fingerprint(described, numbered)
-    costs = scoring.penalties(numbered).drop("iw", "rw", "i_cost", "r_cost")
+    costs = settle(scoring.penalties(numbered))
+    weighed = settle(described_run.join(scoring.tally(costs), "run_id", "left"))
+    scored = scoring.judge(weighed, described_run.columns)
+    hashed = fingerprint(described, numbered).first()
+    scored = scored.withColumns(
+        {"n_rows": F.col("n_rows_total"), "fingerprint": F.lit(hashed["fingerprint"] if hashed else None).cast("string")}
+    )
     empty = spark.createDataFrame([], correlation.PAIR_SCHEMA)
     return Report(
         profile=described,
-        findings=settle(costs),
-        scores=settle(scored.join(hashed, "run_id", "left").drop("n_rows_total")),
+        findings=costs.drop("iw", "rw", "i_cost", "r_cost"),
+        scores=settle(scored.drop("n_rows_total")),
         correlations=pairs_of[0] if pairs_of else empty,
         outliers=spreads[0] if spreads else spark.createDataFrame([], "run_id string, ordinal int, column string, n bigint, q1 double, median double, q3 double, mad double, n_outliers bigint, outlier_rate double"),
         skipped=skipped,

@@ -208,7 +208,11 @@ def _confidence(prefix: str, kind: str) -> tuple[Column, Column]:
 
 def scores(findings: DataFrame, meta: DataFrame) -> DataFrame:
     """One row per run of ``meta``: scores, grades, purpose, verdict, confidence, severity counts."""
-    f = penalties(findings)
+    return judge(meta.join(tally(penalties(findings)), "run_id", "left"), meta.columns)
+
+
+def tally(f: DataFrame) -> DataFrame:
+    """One row per run from findings with ``penalties``: totals, caps, flags and counts."""
     s, code = F.col("severity"), F.col("code")
     grave = s.isin("critical", "high")
     integrity = F.col("category") != "modeling_warning"
@@ -218,7 +222,7 @@ def scores(findings: DataFrame, meta: DataFrame) -> DataFrame:
     for i, label in enumerate(PURPOSES):
         rank = F.when(F.col("dataset_purpose") == label, i).otherwise(rank)
         cap_rank = F.when(F.col("dataset_purpose_cap") == label, i).otherwise(cap_rank)
-    per_run = f.groupBy("run_id").agg(
+    return f.groupBy("run_id").agg(
         F.sum("i_cost").alias("i_total"),
         F.sum("r_cost").alias("r_total"),
         F.min("readiness_cap").alias("readiness_cap"),
@@ -237,9 +241,13 @@ def scores(findings: DataFrame, meta: DataFrame) -> DataFrame:
         F.count_if(readiness & (s != "info")).alias("r_evidence"),
         *[F.count_if(s == level).alias(f"n_{level}") for level in SEVERITY_WEIGHT],
     )
-    counters = [c for c in per_run.columns if c.startswith(("n_", "i_", "r_"))]
+
+
+def judge(runs: DataFrame, keep: list[str]) -> DataFrame:
+    """Scores and words for every run: ``runs`` are run facts joined with their ``tally``."""
+    counters = [c for c in runs.columns if c.startswith(("n_", "i_", "r_")) and c not in keep]
     flags = ["critical_leak", "corrupt", "weak_support", "late_leak"]
-    joined = meta.join(per_run, "run_id", "left").withColumns(
+    joined = runs.withColumns(
         {**{c: F.coalesce(F.col(c), F.lit(0)) for c in counters}, **{c: F.coalesce(F.col(c), F.lit(False)) for c in flags}}
     )
     given, kind = F.col("target_provided"), F.col("dataset_type")
@@ -272,7 +280,7 @@ def scores(findings: DataFrame, meta: DataFrame) -> DataFrame:
     i_conf, r_conf = F.col("integrity_confidence"), F.col("readiness_confidence")
     both = _capped(F.when(i_conf == r_conf, i_conf).otherwise("medium"), r_conf)
     return scored.select(
-        *meta.columns,
+        *keep,
         "integrity_score",
         grade(F.col("integrity_score")).alias("integrity_grade"),
         "readiness_score",

@@ -20,6 +20,7 @@ def local_session(cores: int | str = "*", app: str = "assay") -> SparkSession:
         .config("spark.sql.shuffle.partitions", parts)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
