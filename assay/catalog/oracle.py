@@ -171,7 +171,7 @@ FEATURE_ROWS = (
     "dtype IN ('categorical', 'text') AND high_card AND NOT id_like AS wide, "
     "meta.dataset_type = 'historical_archive' AND NOT given AS archive_run, "
     "kind = 'string' AND dtype <> 'numeric' AND n_rows - n_null >= 20 AS long_text "
-    "FROM p JOIN meta USING (run_id) WHERE kind <> 'nested' AND (target IS NULL OR column_name <> target) AND null_rate < 0.2"
+    "FROM p JOIN (SELECT run_id, target, given, dataset_type FROM meta) AS meta USING (run_id) WHERE kind <> 'nested' AND (target IS NULL OR column_name <> target) AND null_rate < 0.2"
 )
 
 

@@ -52,6 +52,11 @@ def prof(spark: SparkSession, folder: str, name: str, run: str | None = None) ->
 _NO_SAMPLES = S.Settings(sample_values=0)
 
 
+def profiles_of(spark: SparkSession, folder: str, names) -> DataFrame:
+    """Profiles of several tables in one job, settled: one row per column."""
+    return settle(reduce(DataFrame.unionByName, [prof(spark, folder, n) for n in names]))
+
+
 def _r6(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
@@ -251,7 +256,7 @@ _TYPED = {t: None for t in TABLES} | {"archive": None, "tailed": None, "part_tex
     + "\nSELECT run_id, n_rows, n_cols, n_numeric, n_categorical, n_datetime, n_id_like, dataset_type FROM meta",
 )
 def _(spark, folder):
-    profiles = reduce(DataFrame.unionByName, [settle(prof(spark, folder, t)) for t in _TYPED])
+    profiles = profiles_of(spark, folder, _TYPED)
     targets = spark.createDataFrame(list(_TYPED.items()), "run_id string, target string")
     return context.dataset_types(profiles, targets).select(
         "run_id", "n_rows", F.col("n_cols").cast("bigint").alias("n_cols"), "n_numeric", "n_categorical", "n_datetime", "n_id_like", "dataset_type"
@@ -272,7 +277,7 @@ SELECT run_id, k::INT AS position, column_name AS "column" FROM rk
 WHERE CASE WHEN dataset_type = 'historical_archive' THEN named AND k <= 4 ELSE k <= 6 END""",
 )
 def _(spark, folder):
-    profiles = reduce(DataFrame.unionByName, [settle(prof(spark, folder, t)) for t in _GUESS])
+    profiles = profiles_of(spark, folder, _GUESS)
     targets = spark.createDataFrame(list(_GUESS.items()), "run_id string, target string")
     meta = context.dataset_types(profiles, targets)
     found = context.possible_targets(profiles, meta)
@@ -298,7 +303,7 @@ SELECT run_id, column_name AS "column", CASE WHEN r >= 0.6 THEN 'critical' WHEN
  round(r, 4) AS null_rate, n_null AS n_missing FROM (SELECT *, n_null::DOUBLE / n_rows AS r FROM p) WHERE r >= 0.05""",
 )
 def _(spark, folder):
-    both = settle(prof(spark, folder, "labelled")).unionByName(settle(prof(spark, folder, "regime")))
+    both = profiles_of(spark, folder, ["labelled", "regime"])
     rows = both.withColumn("dataset_type", F.lit("unknown"))
     return missingness.missing_value_findings(rows).select(
         "run_id", "column", "severity", "null_rate",
@@ -554,7 +559,7 @@ def _(spark, folder):
     O.profile_ctes(["leaky", "embeddings"]) + f'\nSELECT run_id, column_name AS "column" FROM p WHERE {O.like("column_name", S.LEAKAGE_NAME)}',
 )
 def _(spark, folder):
-    both = settle(prof(spark, folder, "leaky")).unionByName(settle(prof(spark, folder, "embeddings")))
+    both = profiles_of(spark, folder, ["leaky", "embeddings"])
     rows = both.withColumn("target", F.lit(None).cast("string"))
     return leakage.suspicious_name_findings(rows).select("run_id", "column")
 
@@ -579,7 +584,7 @@ def _feature_query(key: str, item: str, code: str, runs: dict[str, str | None] =
 
 def _about(spark, folder, runs: dict[str, str | None]) -> tuple[DataFrame, DataFrame]:
     """Settled profiles of several runs with the facts of their run, and the run facts."""
-    profiles = reduce(DataFrame.unionByName, [settle(prof(spark, folder, t)) for t in runs])
+    profiles = profiles_of(spark, folder, runs)
     targets = spark.createDataFrame(list(runs.items()), "run_id string, target string")
     meta = settle(readiness.with_features(context.dataset_types(profiles, targets)))
     facts = meta.select("run_id", "target", "target_provided", "dataset_type")
@@ -783,7 +788,7 @@ def _(spark, folder):
 @register("fingerprints", "P15", O.ledger_ctes(_LEDGER_RUNS) + _FINGERPRINT)
 def _(spark, folder):
     numbered, _ = ledger(spark, folder)
-    profiles = reduce(DataFrame.unionByName, [settle(prof(spark, folder, t)) for t in _LEDGER_RUNS])
+    profiles = profiles_of(spark, folder, _LEDGER_RUNS)
     return P.fingerprint(profiles, numbered)
 
 
@@ -991,8 +996,8 @@ def _(spark, folder):
 
 @register(
     "over_limit_attempts", "U6",
-    """SELECT client, second, attempts, CAST(trailing AS BIGINT) AS trailing, trailing > 2 AS over_limit FROM (
- SELECT client, second, attempts, sum(attempts) OVER (PARTITION BY client ORDER BY second RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS trailing FROM (
+    """SELECT client, second, attempts, CAST("trailing" AS BIGINT) AS "trailing", "trailing" > 2 AS over_limit FROM (
+ SELECT client, second, attempts, sum(attempts) OVER (PARTITION BY client ORDER BY second RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS "trailing" FROM (
  SELECT user_id AS client, CAST(floor(epoch(ts)) AS BIGINT) AS second, count(*) AS attempts FROM events GROUP BY 1, 2))""",
 )
 def _(spark, folder):

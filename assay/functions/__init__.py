@@ -1,5 +1,5 @@
 from .names import has_evidence, matches, name_kind, normalized_name
-from .stats import ratio, safe_corr
+from .stats import ratio, rounded, safe_corr
 from .text import as_datetime, as_number, clean_number, shorten
 
 __all__ = [
@@ -11,6 +11,7 @@ __all__ = [
     "name_kind",
     "normalized_name",
     "ratio",
+    "rounded",
     "safe_corr",
     "shorten",
 ]

@@ -10,6 +10,12 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
+def rounded(value: Column, digits: int = 4) -> Column:
+    """Rounds the number itself, not its shortest decimal text: 0.00015 is below the tie."""
+    scale = float(10**digits)
+    return F.round(value * scale) / scale
+
+
 def safe_corr(a: Column, b: Column, nullable: bool = True) -> Column:
     """Pearson correlation over the rows where both sides are present.
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import name_kind, ratio
+from ..functions import name_kind, ratio, rounded
 from ..functions.text import as_datetime, clean_number, is_number
 from ..settings import DEFAULTS, Settings
 from .columns import chunks, col, kinds, missing_as_null
@@ -176,9 +176,9 @@ def describe(joined: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         "name_kind",
         "n_rows",
         n_null.alias("n_null"),
-        F.round(F.coalesce(ratio(n_null, n), F.lit(0.0)), 4).alias("null_rate"),
+        rounded(F.coalesce(ratio(n_null, n), F.lit(0.0))).alias("null_rate"),
         F.col("u").alias("n_unique"),
-        F.round(F.coalesce(F.col("raw_ratio"), F.lit(0.0)), 4).alias("cardinality_ratio"),
+        rounded(F.coalesce(F.col("raw_ratio"), F.lit(0.0))).alias("cardinality_ratio"),
         F.when(known_top, top).alias("top_count"),
         F.when(known_top, ratio(top, n)).alias("top_share"),
         "numeric_parse_rate",
