@@ -400,7 +400,7 @@ def mask_pair_sql(source: str, columns: list[str]) -> str:
     return f"WITH src AS ({sql_of(source)}), pr AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE both_null > 0)"
 
 
-def association_sql(source: str, target: str, classes: bool, features: dict[str, bool], bins: int = 20) -> str:
+def association_sql(source: str, target: str, classes: bool, features: dict[str, bool]) -> str:
     """CTEs ending in ``a``: column_name, n_pairs, exact, mi, corr, spearman.
 
     ``features`` maps a name to "is a quantity". Codes follow value order; missing
@@ -408,6 +408,8 @@ def association_sql(source: str, target: str, classes: bool, features: dict[str,
     """
     t = q(target)
     ctes = [f"src AS (SELECT * FROM ({sql_of(source)}) WHERE {t} IS NOT NULL)"]
+    fitting = f"count(*) // (5 * count(DISTINCT {t}))" if classes else "CAST(floor(sqrt(count(*) // 5)) AS BIGINT)"
+    ctes.append(f"nb AS (SELECT greatest(2, least(20, {fitting})) AS b FROM src)")
     y = f"(dense_rank() OVER (ORDER BY {t}) - 1)::DOUBLE" if classes else f"CAST({t} AS DOUBLE)"
     parts = []
     for name, quantity in features.items():
@@ -431,9 +433,9 @@ spr AS (SELECT column_name, {corr_sql('rx', 'ry')} AS rho FROM rk GROUP BY colum
 md AS (SELECT column_name, median(x) AS med FROM v WHERE quantity GROUP BY column_name),
 pos AS (SELECT column_name, x, row_number() OVER (PARTITION BY column_name ORDER BY x) AS rn,
  count(*) OVER (PARTITION BY column_name) AS n FROM v WHERE quantity AND x IS NOT NULL),
-edge AS (SELECT DISTINCT column_name, x AS e FROM pos JOIN (SELECT unnest(range(1, {bins})) AS i) g ON rn = (n * i + {bins} - 1) // {bins}),
+edge AS (SELECT DISTINCT column_name, x AS e FROM pos JOIN (SELECT b, unnest(range(1, b)) AS i FROM nb) g ON rn = (n * i + b - 1) // b),
 ypos AS (SELECT y, row_number() OVER (ORDER BY y) AS rn, count(*) OVER () AS n FROM (SELECT {y} AS y FROM src)),
-yedge AS (SELECT DISTINCT y AS e FROM ypos JOIN (SELECT unnest(range(1, {bins})) AS i) g ON rn = (n * i + {bins} - 1) // {bins}),
+yedge AS (SELECT DISTINCT y AS e FROM ypos JOIN (SELECT b, unnest(range(1, b)) AS i FROM nb) g ON rn = (n * i + b - 1) // b),
 vb AS (SELECT v.column_name, quantity,
  CASE WHEN quantity THEN CAST((SELECT count(*) FROM edge WHERE edge.column_name = v.column_name AND edge.e < coalesce(v.x, md.med)) AS VARCHAR)
   ELSE label END AS xb,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Row
@@ -222,12 +223,19 @@ def spearman(encoded: Encoded, features: list[Feature], settings: Settings = DEF
     return sums.select("column", F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")).alias("rho"))
 
 
+def bin_count(n: int, target: Target, settings: Settings = DEFAULTS) -> int:
+    """Bins per quantity: about five rows per cell, between 2 and ``mi_bins``."""
+    fitting = n // (5 * max(target.n_unique, 1)) if target.classes else math.isqrt(n // 5)
+    return max(2, min(settings.mi_bins, fitting))
+
+
 def mutual_information(
     df: DataFrame, features: list[Feature], target: Target, settings: Settings = DEFAULTS
 ) -> DataFrame:
     """``column, n, mi, h_target, mi_norm, one_to_one`` in nats.
 
-    Quantities enter in bins of equal counts, labels as they are; a missing
+    Quantities enter in bins of equal counts (fewer of them when there are few
+    rows per class, as empty cells look like information), labels as they are; a missing
     label is its own class and a missing quantity takes the median. All features
     share one scan and one grouping by (feature, value, class). ``one_to_one``
     says that a label feature and the classes are the same partition of the rows.
@@ -241,7 +249,7 @@ def mutual_information(
     if quantities:
         long = long_form(rows, quantities)
         counts = counts_by_key(long)
-        edges = equal_count_edges(long, settings.mi_bins, counts, settings)
+        edges = equal_count_edges(long, bin_count(rows.count(), target, settings), counts, settings)
         gappy = {f.name: quantities[f.name] for f in features if f.numeric and f.nullable}
         if gappy:
             medians = quantiles(long_form(rows, gappy), [0.5], {k: counts.get(k, 0) for k in gappy}, settings)
