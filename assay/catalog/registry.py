@@ -632,7 +632,7 @@ def _(spark, folder):
 
 @register("correlation_matrix_by_products", "E25", _MATRIX_SQL)
 def _(spark, folder):
-    wide = S.Settings(pairs_per_aggregate=0)
+    wide = S.Settings(pairs_by_aggregate=0)
     return correlation.correlation_matrix(settle(_pairs(spark, folder, wide)), _REDUNDANT)
 
 

@@ -8,9 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_folder
 from ..settings import DEFAULTS, Settings
 from .columns import chunks, col, long_form, missing_as_null, numeric
-from .order_stats import bin_of, counts_by_key, equal_count_edges, quantiles
+from .order_stats import bin_of, count_present, equal_count_edges, quantiles
 from .ranks import average_rank, cumulative
 from ..functions import safe_corr
 
@@ -166,6 +167,17 @@ def pearson(encoded: Encoded, features: list[Feature], settings: Settings = DEFA
     return out
 
 
+def _kept(counts: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
+    """The counts, computed once: a local table while small, else written to the checkpoint folder."""
+    spark = counts.sparkSession
+    head = counts.limit(settings.broadcast_rows + 1).toArrow()
+    if head.num_rows <= settings.broadcast_rows:
+        return spark.createDataFrame(head, counts.schema), head.num_rows
+    checkpoint_folder(spark)
+    written = counts.checkpoint()
+    return written, written.count()
+
+
 def spearman(encoded: Encoded, features: list[Feature], settings: Settings = DEFAULTS) -> DataFrame:
     """``column, rho``: Pearson correlation of average ranks, per feature over its present rows.
 
@@ -188,7 +200,7 @@ def spearman(encoded: Encoded, features: list[Feature], settings: Settings = DEF
             .agg(F.count(F.lit(1)).alias("n"))
         )
         y_counts = y_counts.unionByName(by_feature)
-    size = y_counts.count()  # distinct target values, times features with gaps
+    y_counts, size = _kept(y_counts, settings)  # distinct target values, times features with gaps
     y_ranked = cumulative(y_counts, size, settings)
     totals = y_counts.groupBy(F.col("column").alias("grp")).agg(F.sum("n").cast("double").alias("total"))
     y_ranks = (
@@ -248,7 +260,7 @@ def mutual_information(
     medians: dict[str, list[float]] = {}
     if quantities:
         long = long_form(rows, quantities)
-        counts = counts_by_key(long)
+        counts = count_present(rows, quantities, settings)
         edges = equal_count_edges(long, bin_count(rows.count(), target, settings), counts, settings)
         gappy = {f.name: quantities[f.name] for f in features if f.numeric and f.nullable}
         if gappy:

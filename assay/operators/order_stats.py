@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, Settings
+from .columns import chunks, long_form
 
 ACCURACY = 10_000
 ROUNDS = 4
@@ -37,6 +38,15 @@ def counts_by_key(long: DataFrame) -> dict[str, int]:
     return {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
+def count_present(df: DataFrame, columns: dict[str, Column], settings: Settings = DEFAULTS) -> dict[str, int]:
+    """Present values per column: plain aggregates, one row per task is shuffled."""
+    out: dict[str, int] = {}
+    for part in chunks(list(columns.items()), settings.pairs_per_aggregate):
+        row = df.agg(*[F.count(v).alias(f"n{i}") for i, (_, v) in enumerate(part)]).first()
+        out.update({c: row[f"n{i}"] for i, (c, _) in enumerate(part)})
+    return out
+
+
 def order_statistics(
     long: DataFrame,
     wanted: dict[str, list[tuple[int, int]]],
@@ -118,6 +128,8 @@ def _pick(long: DataFrame, wants: list[_Want]) -> dict[tuple[str, int], float]:
         return out
     spark = long.sparkSession
     heads = list(groups)
+    if all(lo == -math.inf and hi == math.inf for _, lo, hi in heads):
+        return out | _pick_whole(long, heads, groups)
     table = spark.createDataFrame(
         [(k, i, lo, hi, groups[(k, lo, hi)][0].below,
           sorted({r for w in groups[(k, lo, hi)] for r in (w.first, w.last)}))
@@ -144,6 +156,19 @@ def _pick(long: DataFrame, wants: list[_Want]) -> dict[tuple[str, int], float]:
     return out
 
 
+def _pick_whole(long: DataFrame, heads: list, groups: dict) -> dict[tuple[str, int], float]:
+    """The same without brackets: every key's distinct values are ranked."""
+    wanted = {k: sorted({r for w in groups[(k, lo, hi)] for r in (w.first, w.last)}) for k, lo, hi in heads}
+    table = long.sparkSession.createDataFrame(list(wanted.items()), "column string, ranks array<bigint>")
+    w = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    values = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(w))
+    first = F.col("upto") - F.col("n")
+    hits = values.join(F.broadcast(table), "column").select(  # one row per key
+        "column", "value", F.explode(F.filter("ranks", lambda r: (r >= first) & (r < F.col("upto")))).alias("rank")
+    )
+    return {(r["column"], r["rank"]): r["value"] for r in hits.collect()}
+
+
 def _places(p: float, n: int) -> tuple[int, int, float]:
     h = (n - 1) * p
     k = math.floor(h)
@@ -201,19 +226,14 @@ def bin_of(value: Column, edges: list[float]) -> Column:
 
 
 def spread(
-    long: DataFrame, counts: dict[str, int] | None = None, settings: Settings = DEFAULTS
-) -> DataFrame:
-    """``column, n, q1, median, q3, mad`` per key of a long frame ``column, value``."""
-    counts = counts if counts is not None else counts_by_key(long)
-    q = quantiles(long, [0.25, 0.5, 0.75], counts, settings)
-    spark = long.sparkSession
-    schema = "column string, n bigint, q1 double, median double, q3 double"
-    table = spark.createDataFrame([(k, counts[k], *v) for k, v in q.items()], schema)
-    if not q:
-        return table.withColumn("mad", F.lit(None).cast("double"))
-    # one row per key
-    gaps = long.join(F.broadcast(table), "column").select("column", F.abs(F.col("value") - F.col("median")).alias("value"))
+    df: DataFrame, columns: dict[str, Column], settings: Settings = DEFAULTS
+) -> dict[str, tuple[int, float, float, float, float]]:
+    """``n, q1, median, q3, mad`` per column; ``columns`` maps a name to its value as double."""
+    counts = count_present(df, columns, settings)
+    asked = {c: v for c, v in columns.items() if counts[c]}
+    if not asked:
+        return {}
+    q = quantiles(long_form(df, asked), [0.25, 0.5, 0.75], counts, settings)
+    gaps = long_form(df, {c: F.abs(v - F.lit(q[c][1])) for c, v in asked.items()})
     mad = quantiles(gaps, [0.5], counts, settings)
-    return spark.createDataFrame(
-        [(k, counts[k], *v, mad[k][0]) for k, v in q.items()], schema + ", mad double"
-    )
+    return {c: (counts[c], *q[c], mad[c][0]) for c in asked}

@@ -91,17 +91,18 @@ def profile(
         joined = spark.createDataFrame(rows, rough.schema).join(F.broadcast(summary), "ordinal", "left")
         joined = joined.withColumn("n_unique", F.coalesce("n_unique", "n_rough"))
     if settings.sample_values and counts:
+        key = "ordinal" if order_by is None else "column"
         chosen = (
-            smallest_values(df, counts, settings.sample_values)
+            smallest_values(counts, settings.sample_values)
             if order_by is None
             else sample_values(df, settings.sample_values, order_by)
         )
         samples = (
-            chosen.groupBy("column")
+            chosen.groupBy(key)
             .agg(F.sort_array(F.collect_list(F.struct("position", "value"))).alias("s"))
-            .select("column", F.col("s.value").alias("sample_values"))
+            .select(key, F.col("s.value").alias("sample_values"))
         )
-        joined = joined.join(F.broadcast(samples), "column", "left")
+        joined = joined.join(F.broadcast(samples), key, "left")  # one row per column
     else:
         joined = joined.withColumn("sample_values", F.lit(None).cast("array<string>"))
     return describe(joined, settings).select(F.lit(run_id).alias("run_id"), "*")

@@ -12,7 +12,7 @@ from ..sources.sampling import unit_hash
 from .columns import col, long_form, missing_as_null, quoted
 from .duplicates import conflicting_ids  # noqa: F401  (part of the repair surface)
 from .imbalance import class_counts
-from .order_stats import counts_by_key, quantiles
+from .order_stats import count_present, quantiles
 
 
 def drop_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -31,8 +31,8 @@ def fill_constant(df: DataFrame, columns: list[str], value: str = "Unknown") ->
 def fill_median(df: DataFrame, columns: list[str], settings: Settings = DEFAULTS) -> DataFrame:
     """Gaps of numeric columns take the column's exact median."""
     df = missing_as_null(df)
-    long = long_form(df, {c: col(c).cast("double") for c in columns})
-    medians = quantiles(long, [0.5], counts_by_key(long), settings)
+    values = {c: col(c).cast("double") for c in columns}
+    medians = quantiles(long_form(df, values), [0.5], count_present(df, values), settings)
     return df.withColumns(
         {c: F.coalesce(col(c).cast("double"), F.lit(medians[c][0])) for c in columns if c in medians}
     )
@@ -189,8 +189,8 @@ def winsorize(
 ) -> DataFrame:
     """Values beyond the exact ``low``/``high`` quantiles are pulled in to them."""
     df = missing_as_null(df)
-    long = long_form(df, {c: col(c).cast("double") for c in columns})
-    q = quantiles(long, [low, high], counts_by_key(long), settings)
+    values = {c: col(c).cast("double") for c in columns}
+    q = quantiles(long_form(df, values), [low, high], count_present(df, values), settings)
     return df.withColumns(
         {
             c: F.when(
@@ -206,8 +206,8 @@ def winsorize(
 def robust_scale(df: DataFrame, columns: list[str], settings: Settings = DEFAULTS) -> DataFrame:
     """``(x - median) / IQR``; null where the IQR is zero."""
     df = missing_as_null(df)
-    long = long_form(df, {c: col(c).cast("double") for c in columns})
-    q = quantiles(long, [0.25, 0.5, 0.75], counts_by_key(long), settings)
+    values = {c: col(c).cast("double") for c in columns}
+    q = quantiles(long_form(df, values), [0.25, 0.5, 0.75], count_present(df, values), settings)
     return df.withColumns(
         {c: F.try_divide(col(c).cast("double") - F.lit(v[1]), F.lit(v[2] - v[0])) for c, v in q.items()}
     )

@@ -81,7 +81,9 @@ def counted(df: DataFrame, columns: list[str] | None = None) -> dict[str, DataFr
         )
         out[found] = (
             wide.unpivot([], [str(i) for i, _ in members], "slot", "value")
-            .filter(F.col("value").isNotNull())
+            # the test on slot is what later joins infer; stating it keeps the plans of all
+            # users of these counts equal, so the shuffle is made once and reused
+            .filter(F.col("value").isNotNull() & F.col("slot").cast("int").isNotNull())
             .groupBy("slot", "value")
             .agg(F.count(F.lit(1)).alias("n"))
         )
@@ -160,12 +162,11 @@ def _shown(found: str) -> Column:
     return F.when(length > 40, F.concat(F.substring(head, 1, 37), F.lit("..."))).otherwise(head)
 
 
-def smallest_values(df: DataFrame, counts: dict[str, DataFrame], k: int = 3) -> DataFrame:
-    """``column, position, value``: the ``k`` smallest distinct values of every column.
+def smallest_values(counts: dict[str, DataFrame], k: int = 3) -> DataFrame:
+    """``ordinal, position, value``: the ``k`` smallest distinct values of every column.
 
     Each task keeps only its own ``k`` best per column before the shuffle.
     """
-    names = F.array(*[F.lit(c) for c in df.columns])
     w = Window.partitionBy("slot").orderBy("value")
     parts = [
         values.filter(F.col("n") > 0)
@@ -175,7 +176,7 @@ def smallest_values(df: DataFrame, counts: dict[str, DataFrame], k: int = 3) ->
         for found, values in counts.items()
     ]
     return reduce(DataFrame.unionByName, parts).select(
-        F.get(names, F.col("slot").cast("int")).alias("column"), "position", "value"
+        F.col("slot").cast("int").alias("ordinal"), "position", "value"
     )
 
 
@@ -184,9 +185,11 @@ def sample_values(df: DataFrame, k: int = 3, order_by: Column | None = None) ->
 
     First means earliest by ``order_by``; without an order, smallest.
     """
-    if order_by is None:
-        return smallest_values(df, counted(df), k)
     names = F.array(*[F.lit(c) for c in df.columns])
+    if order_by is None:
+        return smallest_values(counted(df), k).select(
+            F.get(names, F.col("ordinal")).alias("column"), "position", "value"
+        )
     fields = [(i, f.name) for i, f in enumerate(df.schema.fields) if _value_class(f.dataType)]
     wide = df.select(
         order_by.alias("rank"), *[text_key(col(c).cast("string")).alias(str(i)) for i, c in fields]

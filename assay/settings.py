@@ -125,6 +125,7 @@ class Settings:
     # execution bounds: sizes below which the short plan is used
     exact_in_one_pass: int = 2_000_000
     pairs_per_aggregate: int = 200
+    pairs_by_aggregate: int = 45
     columns_per_aggregate: int = 40
     broadcast_rows: int = 100_000
 
