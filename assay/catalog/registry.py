@@ -480,7 +480,8 @@ _association_query(
 )
 def _(spark, folder):
     df, tested, aim = _association(spark, folder, "unbalanced", "returned")
-    return association.mutual_information(df, tested, aim).select("column", *_r6("mi_norm"))
+    encoded = association.encode(df, tested, aim)
+    return association.mutual_information(encoded, tested, aim).select("column", *_r6("mi_norm"))
 
 
 @register(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_folder
 from ..settings import DEFAULTS, Settings
 from .columns import chunks, col, long_form, missing_as_null, numeric
-from .order_stats import bin_of, count_present, equal_count_edges, quantiles
+from .order_stats import count_present, equal_count_edges, in_bins, quantiles
 from .ranks import average_rank, cumulative
 from ..functions import safe_corr
 
@@ -24,6 +24,7 @@ class Feature:
     kind: str  # physical kind
     numeric: bool
     nullable: bool = True
+    n_unique: int | None = None
 
 
 @dataclass(frozen=True)
@@ -61,7 +62,7 @@ def describe_columns(rows: list[Row], target: str, settings: Settings = DEFAULTS
     """Features and target from collected profile rows."""
     t = next(r for r in rows if r["column"] == target)
     features = [
-        Feature(r["column"], r["kind"], r["dtype_inferred"] == "numeric", r["n_null"] > 0)
+        Feature(r["column"], r["kind"], r["dtype_inferred"] == "numeric", r["n_null"] > 0, r["n_unique"])
         for r in rows
         if eligible(r, target)
     ]
@@ -217,8 +218,11 @@ def spearman(encoded: Encoded, features: list[Feature], settings: Settings = DEF
         .groupBy("column", F.col("x").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum("ry").alias("s"), F.sum(F.col("ry") * F.col("ry")).alias("q"))
     )
-    rows = df.count()
-    hint = None if rows * len(features) > settings.exact_in_one_pass else rows
+    # at most the distinct values of the features, and their codes for a missing label
+    known = [f.n_unique for f in features]
+    hint = None if None in known else sum(known) + len(features)
+    if hint is not None and hint > settings.exact_in_one_pass:
+        hint = None
     both = cumulative(grouped, hint, settings)
     per_feature = both.groupBy("column").agg(F.sum("n").cast("double").alias("total"))
     centred = (average_rank() - (F.col("total") + 1) / 2) / F.col("total")
@@ -242,42 +246,42 @@ def bin_count(n: int, target: Target, settings: Settings = DEFAULTS) -> int:
 
 
 def mutual_information(
-    df: DataFrame, features: list[Feature], target: Target, settings: Settings = DEFAULTS
+    encoded: Encoded, features: list[Feature], target: Target, settings: Settings = DEFAULTS
 ) -> DataFrame:
     """``column, n, mi, h_target, mi_norm, one_to_one`` in nats.
 
     Quantities enter in bins of equal counts (fewer of them when there are few
-    rows per class, as empty cells look like information), labels as they are; a missing
-    label is its own class and a missing quantity takes the median. All features
-    share one scan and one grouping by (feature, value, class). ``one_to_one``
-    says that a label feature and the classes are the same partition of the rows.
+    rows per class, as empty cells look like information), labels by their codes;
+    a missing label is its own class and a missing quantity takes the median. All
+    features share one scan and one grouping by (feature, value, class).
+    ``one_to_one`` says that a label feature and the classes are the same
+    partition of the rows.
     """
-    rows = with_target(df, target)
-    quantities = {f.name: numeric(f.name, f.kind) for f in features if f.numeric}
+    rows = encoded.df
+    quantities = {f.name: F.col(encoded.columns[f.name]) for f in features if f.numeric}
     if not target.classes:
-        quantities["\0y"] = numeric(target.name, target.kind)
+        quantities["\0y"] = F.col("y")
     edges: dict[str, list[float]] = {}
     medians: dict[str, list[float]] = {}
     if quantities:
-        long = long_form(rows, quantities)
-        counts = count_present(rows, quantities, settings)
-        edges = equal_count_edges(long, bin_count(rows.count(), target, settings), counts, settings)
+        counts = count_present(rows, {**quantities, "\0rows": F.lit(1)}, settings)
+        bins = bin_count(counts.pop("\0rows"), target, settings)
+        edges = equal_count_edges(long_form(rows, quantities), bins, counts, settings)
         gappy = {f.name: quantities[f.name] for f in features if f.numeric and f.nullable}
         if gappy:
             medians = quantiles(long_form(rows, gappy), [0.5], {k: counts.get(k, 0) for k in gappy}, settings)
-    if target.classes:
-        y = col(target.name).cast("string")
-    else:
-        y = bin_of(quantities["\0y"], edges.get("\0y", [])).cast("string")
-    values = {}
-    for f in features:
-        if f.numeric:
-            filled = F.coalesce(quantities[f.name], F.lit(medians.get(f.name, [-1.0])[0]))
-            values[f.name] = bin_of(filled, edges.get(f.name, [])).cast("string")
-        else:
-            values[f.name] = F.coalesce(F.concat(F.lit("="), col(f.name).cast("string")), F.lit("-"))
+    filled = {
+        encoded.columns[f.name]: F.coalesce(quantities[f.name], F.lit(medians.get(f.name, [-1.0])[0]))
+        for f in features
+        if f.numeric and f.nullable
+    }
+    cuts = {encoded.columns[f.name]: edges.get(f.name, []) for f in features if f.numeric}
+    if not target.classes:
+        cuts["y"] = edges.get("\0y", [])
+    binned = in_bins(rows.withColumns(filled) if filled else rows, cuts)
+    values = {f.name: F.col(encoded.columns[f.name]) for f in features}
     joint = (
-        long_form(rows, values, value="x", keep={"y": y})
+        long_form(binned, values, value="x", keep={"y": F.col("y")})
         .groupBy("column", "x", "y")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -296,8 +300,7 @@ def mutual_information(
         F.sum("k").alias("kxy"),
     )
     y_sums = (
-        rows.select(y.alias("y"))
-        .groupBy("y")
+        binned.groupBy("y")
         .agg(F.count(F.lit(1)).cast("double").alias("ny"))
         .agg(F.sum(xlogx(F.col("ny"))).alias("sy"), F.sum("ny").alias("total"), F.count(F.lit(1)).alias("ky"))
     )
@@ -330,7 +333,7 @@ def target_association(
     encoded = encode(df, features, target, settings)
     linear = pearson(encoded, features, settings)
     monotonic = spearman(encoded, features, settings)
-    information = mutual_information(df, features, target, settings)
+    information = mutual_information(encoded, features, target, settings)
     enough = F.col("n_pairs") >= 10
     labels = [f.name for f in features if not f.numeric]
     exact = F.when(

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -215,14 +216,17 @@ def equal_count_edges(
     return {k: sorted({at[(k, r)] for r in rs}) for k, rs in ranks.items()}
 
 
-def bin_of(value: Column, edges: list[float]) -> Column:
-    """Which bin a value falls in: the number of edges below it."""
-    if not edges:
-        return F.lit(0)
-    out = F.lit(0)
-    for edge in edges:
-        out = out + F.when(value > F.lit(edge), 1).otherwise(0)
-    return out
+def in_bins(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """Replaces columns by their bin: the number of edges below the value, found by binary search."""
+    flat = {c: F.when(F.col(c).isNotNull(), F.lit(0.0)) for c, e in edges.items() if not e}
+    cut = [c for c, e in edges.items() if e]
+    if cut:
+        # a bin starts at its split, so the split is the next number after the edge
+        splits = [[-math.inf, *[math.nextafter(e, math.inf) for e in edges[c]], math.inf] for c in cut]
+        marked = [f"{c}__bin" for c in cut]
+        finder = Bucketizer(splitsArray=splits, inputCols=cut, outputCols=marked, handleInvalid="keep")
+        df = finder.transform(df).withColumns(dict(zip(cut, map(F.col, marked)))).drop(*marked)
+    return df.withColumns(flat) if flat else df
 
 
 def spread(
