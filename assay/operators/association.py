@@ -266,10 +266,13 @@ def mutual_information(
     if quantities:
         counts = count_present(rows, {**quantities, "\0rows": F.lit(1)}, settings)
         bins = bin_count(counts.pop("\0rows"), target, settings)
-        edges = equal_count_edges(long_form(rows, quantities), bins, counts, settings)
+        known = {f.name: f.n_unique for f in features if f.n_unique is not None}
+        if not target.classes:
+            known["\0y"] = target.n_unique
+        edges = equal_count_edges(long_form(rows, quantities), bins, counts, settings, known)
         gappy = {f.name: quantities[f.name] for f in features if f.numeric and f.nullable}
         if gappy:
-            medians = quantiles(long_form(rows, gappy), [0.5], {k: counts.get(k, 0) for k in gappy}, settings)
+            medians = quantiles(long_form(rows, gappy), [0.5], {k: counts.get(k, 0) for k in gappy}, settings, known)
     filled = {
         encoded.columns[f.name]: F.coalesce(quantities[f.name], F.lit(medians.get(f.name, [-1.0])[0]))
         for f in features

@@ -53,17 +53,16 @@ def long_form(df: DataFrame, values: dict[str, Column], key: str = "column", val
               keep: dict[str, Column] | None = None) -> DataFrame:
     """One row per (input row, named value); nulls are dropped. Runs as an Expand."""
     keep = keep or {}
+    held = [f"__keep_{i}" for i in range(len(keep))]
     wide = df.select(
-        *[c.alias(f"keep_{i}") for i, c in enumerate(keep.values())],
-        *[c.alias(f"v{i}") for i, c in enumerate(values.values())],
+        *[c.alias(h) for h, c in zip(held, keep.values())], *[c.alias(n) for n, c in values.items()]
     )
-    names = F.array(*[F.lit(n) for n in values])
-    ids = [F.col(f"keep_{i}") for i in range(len(keep))]
-    out = wide.unpivot(ids, [f"v{i}" for i in range(len(values))], "slot", value)
-    return out.filter(F.col(value).isNotNull()).select(
-        *[F.col(f"keep_{i}").alias(n) for i, n in enumerate(keep)],
-        F.get(names, F.substring("slot", 2, 9).cast("int")).alias(key),
-        value,
+    # the names are constants of the Expand's projections: no work per row
+    out = wide.unpivot([F.col(h) for h in held], [col(n) for n in values], "__name", "__value")
+    return out.filter(F.col("__value").isNotNull()).select(
+        *[F.col(h).alias(n) for h, n in zip(held, keep)],
+        F.col("__name").alias(key),
+        F.col("__value").alias(value),
     )
 
 

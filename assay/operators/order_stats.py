@@ -53,10 +53,13 @@ def order_statistics(
     wanted: dict[str, list[tuple[int, int]]],
     counts: dict[str, int],
     settings: Settings = DEFAULTS,
+    distinct: dict[str, int] | None = None,
 ) -> dict[tuple[str, int], float]:
     """Values at zero-based ranks, per key of a long frame ``column STRING, value DOUBLE``.
 
-    Ranks are asked for as (rank, same or next rank).
+    Ranks are asked for as (rank, same or next rank). ``distinct`` gives known
+    bounds on the distinct values of a key: few distinct values are ranked
+    directly, however many rows there are.
     """
     wants = [
         _Want(key, first, last, -math.inf, math.inf, 0, counts[key])
@@ -65,13 +68,12 @@ def order_statistics(
     ]
     if not wants:
         return {}
-    limit = settings.exact_in_one_pass
-    if sum(counts[k] for k in wanted) > limit:
-        for _ in range(ROUNDS):
-            wide = [w for w in wants if w.inside > limit / max(len(wants), 1) and w.low < w.high]
-            if not wide:
-                break
-            _narrow(long, wide)
+    limit, known = settings.exact_in_one_pass, distinct or {}
+    for _ in range(ROUNDS):
+        wide = [w for w in wants if min(w.inside, known.get(w.key, w.inside)) > limit and w.low < w.high]
+        if not wide:
+            break
+        _narrow(long, wide)
     return _pick(long, wants)
 
 
@@ -79,24 +81,25 @@ def _narrow(long: DataFrame, wants: list[_Want]) -> None:
     """Shrink every bracket around its rank with percentiles of the values inside it."""
     step = 2.0 / ACCURACY
     spark = long.sparkSession
+    brackets = sorted({(w.key, w.low, w.high) for w in wants})
+    place_of = {b: i for i, b in enumerate(brackets)}
     now = spark.createDataFrame(
-        [(w.key, i, w.low, w.high) for i, w in enumerate(wants)],
-        "column string, want int, low double, high double",
+        [(k, i, lo, hi) for i, (k, lo, hi) in enumerate(brackets)],
+        "column string, bracket int, low double, high double",
     )
-    # the bracket tables hold one row per wanted rank
+    # the bracket tables hold at most one row per wanted rank
     inside = long.join(F.broadcast(now), "column").filter("value >= low and value <= high")
-    share = {i: (w.first - w.below) / max(w.inside - 1, 1) for i, w in enumerate(wants)}
+    share = [(w.first - w.below) / max(w.inside - 1, 1) for w in wants]
+    asked = sorted({min(1.0, max(0.0, s + d)) for s in share for d in (-step, step)})
+    rows = inside.groupBy("bracket").agg(F.percentile_approx("value", asked, ACCURACY).alias("at")).collect()
+    found = {r["bracket"]: dict(zip(asked, r["at"])) for r in rows}
     proposals = {}
-    asked = sorted({min(1.0, max(0.0, s + d)) for s in share.values() for d in (-step, step)})
-    rows = inside.groupBy("want").agg(F.percentile_approx("value", asked, ACCURACY).alias("at")).collect()
-    place = {p: j for j, p in enumerate(asked)}
-    for r in rows:
-        s = share[r["want"]]
-        low_at, high_at = max(0.0, s - step), min(1.0, s + step)
-        w = wants[r["want"]]
-        low = w.low if low_at == 0.0 else r["at"][place[low_at]]
-        high = w.high if high_at == 1.0 else r["at"][place[high_at]]
-        proposals[r["want"]] = (max(low, w.low), min(high, w.high))
+    for i, w in enumerate(wants):
+        at = found[place_of[(w.key, w.low, w.high)]]
+        low_at, high_at = max(0.0, share[i] - step), min(1.0, share[i] + step)
+        low = w.low if low_at == 0.0 else at[low_at]
+        high = w.high if high_at == 1.0 else at[high_at]
+        proposals[i] = (max(low, w.low), min(high, w.high))
     tried = spark.createDataFrame(
         [(wants[i].key, i, lo, hi) for i, (lo, hi) in proposals.items()],
         "column string, want int, low double, high double",
@@ -181,12 +184,13 @@ def quantiles(
     probabilities: list[float],
     counts: dict[str, int] | None = None,
     settings: Settings = DEFAULTS,
+    distinct: dict[str, int] | None = None,
 ) -> dict[str, list[float]]:
     """Linearly interpolated quantiles per key of a long frame ``column, value``."""
     counts = counts if counts is not None else counts_by_key(long)
     counts = {k: n for k, n in counts.items() if n > 0}
     wanted = {k: [_places(p, n)[:2] for p in probabilities] for k, n in counts.items()}
-    at = order_statistics(long, wanted, counts, settings)
+    at = order_statistics(long, wanted, counts, settings, distinct)
     out = {}
     for key, n in counts.items():
         values = []
@@ -199,20 +203,30 @@ def quantiles(
 
 
 def equal_count_edges(
-    long: DataFrame, bins: int, counts: dict[str, int], settings: Settings = DEFAULTS
+    long: DataFrame,
+    bins: int,
+    counts: dict[str, int],
+    settings: Settings = DEFAULTS,
+    distinct: dict[str, int] | None = None,
 ) -> dict[str, list[float]]:
     """Inner edges that cut each key's values into bins of about equal counts.
 
     Edges are values of the data: the ones at positions ``ceil(n*i/bins)``, or
-    close to them once there are too many rows to rank them in one pass.
+    close to them for keys with too many distinct values to rank in one pass.
     """
-    counts = {k: n for k, n in counts.items() if n > 0}
-    if sum(counts.values()) > settings.exact_in_one_pass:
+    counts, known = {k: n for k, n in counts.items() if n > 0}, distinct or {}
+    large = [k for k, n in counts.items() if min(n, known.get(k, n)) > settings.exact_in_one_pass]
+    if large:
         at = F.percentile_approx("value", [i / bins for i in range(1, bins)], ACCURACY)
-        rows = long.groupBy("column").agg(at.alias("at")).collect()
-        return {r["column"]: sorted(set(r["at"])) for r in rows}
+        rows = long.filter(F.col("column").isin(large)).groupBy("column").agg(at.alias("at")).collect()
+        rest = {k: n for k, n in counts.items() if k not in large}
+        near = {r["column"]: sorted(set(r["at"])) for r in rows}
+        if not rest:
+            return near
+        others = long.filter(F.col("column").isin(list(rest)))
+        return near | equal_count_edges(others, bins, rest, settings, distinct)
     ranks = {k: [(n * i + bins - 1) // bins - 1 for i in range(1, bins)] for k, n in counts.items()}
-    at = order_statistics(long, {k: [(r, r) for r in rs] for k, rs in ranks.items()}, counts, settings)
+    at = order_statistics(long, {k: [(r, r) for r in rs] for k, rs in ranks.items()}, counts, settings, distinct)
     return {k: sorted({at[(k, r)] for r in rs}) for k, rs in ranks.items()}
 
 
@@ -230,14 +244,14 @@ def in_bins(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
 
 
 def spread(
-    df: DataFrame, columns: dict[str, Column], settings: Settings = DEFAULTS
+    df: DataFrame, columns: dict[str, Column], settings: Settings = DEFAULTS, distinct: dict[str, int] | None = None
 ) -> dict[str, tuple[int, float, float, float, float]]:
     """``n, q1, median, q3, mad`` per column; ``columns`` maps a name to its value as double."""
     counts = count_present(df, columns, settings)
     asked = {c: v for c, v in columns.items() if counts[c]}
     if not asked:
         return {}
-    q = quantiles(long_form(df, asked), [0.25, 0.5, 0.75], counts, settings)
+    q = quantiles(long_form(df, asked), [0.25, 0.5, 0.75], counts, settings, distinct)
     gaps = long_form(df, {c: F.abs(v - F.lit(q[c][1])) for c, v in asked.items()})
-    mad = quantiles(gaps, [0.5], counts, settings)
+    mad = quantiles(gaps, [0.5], counts, settings, distinct)
     return {c: (counts[c], *q[c], mad[c][0]) for c in asked}

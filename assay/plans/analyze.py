@@ -196,7 +196,8 @@ def analyze(
         }
         if not asked:
             return []
-        metrics = by_column(settle(outliers.outlier_metrics(df, asked, settings)))
+        known = {r["column"]: r["n_unique"] for r in rows if r["column"] in asked} if settings.exact_distinct else None
+        metrics = by_column(settle(outliers.outlier_metrics(df, asked, settings, known)))
         spreads.append(metrics)
         return [outliers.outlier_findings(metrics, settings)]
 
