@@ -302,23 +302,24 @@ def mutual_information(
         F.count(F.lit(1)).alias("kx"),
         F.sum("k").alias("kxy"),
     )
-    y_sums = (
+    sums = (  # one row
         binned.groupBy("y")
         .agg(F.count(F.lit(1)).cast("double").alias("ny"))
         .agg(F.sum(xlogx(F.col("ny"))).alias("sy"), F.sum("ny").alias("total"), F.count(F.lit(1)).alias("ky"))
+        .first()
     )
-    n = F.col("n")
-    h_y = F.ln("total") - F.col("sy") / F.col("total")
+    n, s_y, classes = F.col("n"), sums["sy"] or 0.0, sums["ky"]
+    h_y = math.log(sums["total"]) - s_y / sums["total"] if sums["total"] else 0.0
     # ln(n) + (sum of joint - sum of x - sum of y) / n
-    mi = F.greatest(F.lit(0.0), F.ln(n) + (F.col("sxy") - F.col("sx") - F.col("sy")) / n)
-    out = by_feature.crossJoin(F.broadcast(y_sums)).select(  # y_sums is one row
-        "column", "n", mi.alias("mi"), h_y.alias("h_target"), "kx", "kxy", "ky"
+    mi = F.greatest(F.lit(0.0), F.ln(n) + (F.col("sxy") - F.col("sx") - F.lit(s_y)) / n)
+    out = by_feature.select(
+        "column", "n", mi.alias("mi"), F.lit(h_y).alias("h_target"), "kx", "kxy", F.lit(classes).alias("ky")
     )
     if not target.classes and settings.mi_norm == "max":
-        top = out.agg(F.max("mi").alias("top"))
-        out = out.crossJoin(F.broadcast(top)).withColumn("norm", F.greatest(F.col("top"), F.lit(1e-9)))
+        norm = max(out.agg(F.max("mi")).first()[0] or 0.0, 1e-9)
     else:
-        out = out.withColumn("norm", F.when(F.col("h_target") > 1e-9, F.col("h_target")).otherwise(F.lit(1.0)))
+        norm = h_y if h_y > 1e-9 else 1.0
+    out = out.withColumn("norm", F.lit(norm))
     labels = [f.name for f in features if not f.numeric]
     one_to_one = (F.col("kx") == F.col("kxy")) & (F.col("ky") == F.col("kxy")) & F.col("column").isin(labels)
     enough = (F.col("n") >= 20) & ((F.col("ky") >= 2) | F.lit(not target.classes))

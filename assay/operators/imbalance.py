@@ -42,9 +42,9 @@ def class_summary(df: DataFrame, target: str) -> DataFrame:
 def class_proportions(df: DataFrame, target: str, digits: int = 4) -> DataFrame:
     """``class, n, proportion``."""
     counts = class_counts(df, target)
-    total = counts.agg(F.sum("n").alias("total"))  # one row
-    return counts.crossJoin(F.broadcast(total)).select(
-        F.col("class").cast("string").alias("class"), "n", F.round(ratio(F.col("n"), F.col("total")), digits).alias("proportion")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.select(
+        F.col("class").cast("string").alias("class"), "n", F.round(ratio(F.col("n"), F.lit(total)), digits).alias("proportion")
     )
 
 

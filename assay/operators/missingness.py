@@ -32,10 +32,8 @@ def mask_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     positive correlation and are left out.
     """
     names = F.array(*[F.lit(c) for c in columns])
-    totals = df.agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        *[F.count_if(col(c).isNull()).cast("double").alias(f"m{i}") for i, c in enumerate(columns)],
-    ).select("n", F.array(*[f"m{i}" for i in range(len(columns))]).alias("m"))
+    # one row of counts
+    totals = df.agg(F.count(F.lit(1)), *[F.count_if(col(c).isNull()) for c in columns]).first()
     pairs = F.flatten(
         F.transform(
             "missing",
@@ -51,9 +49,10 @@ def mask_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
         .groupBy("p.a", "p.b")
         .agg(F.sum("n").cast("double").alias("nab"))
     )
-    na, nb, n = F.get("m", F.col("a")), F.get("m", F.col("b")), F.col("n")
+    gaps = F.array(*[F.lit(float(m)) for m in totals[1:]])
+    na, nb, n = F.get(gaps, F.col("a")), F.get(gaps, F.col("b")), F.lit(float(totals[0]))
     r = F.try_divide(n * F.col("nab") - na * nb, F.sqrt(na * (n - na)) * F.sqrt(nb * (n - nb)))
-    return both.crossJoin(F.broadcast(totals)).select(  # totals is a single row
+    return both.select(
         F.get(names, F.col("a")).alias("column"),
         F.get(names, F.col("b")).alias("column2"),
         F.col("a").alias("place"),

@@ -163,9 +163,9 @@ def stratified_sample(df: DataFrame, target: str, share: float, seed: int = 42)
 def class_weights(df: DataFrame, target: str) -> DataFrame:
     """Adds ``weight``: rows / (classes * rows of the class); null for rows without a class."""
     counts = class_counts(df, target)
-    totals = counts.agg(F.sum("n").alias("__all"), F.count(F.lit(1)).alias("__k"))  # one row
-    table = counts.crossJoin(F.broadcast(totals)).select(
-        F.col("class").alias("__class"), ratio(F.col("__all"), F.col("__k") * F.col("n")).alias("weight")
+    rows, classes = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    table = counts.select(
+        F.col("class").alias("__class"), ratio(F.lit(rows or 0), F.lit(classes) * F.col("n")).alias("weight")
     )
     return missing_as_null(df).join(table, col(target) == F.col("__class"), "left").drop("__class")
 
