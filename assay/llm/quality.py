@@ -68,9 +68,10 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measures(text: Column) -> Column:
-    """A struct of counts of the whole text."""
-    text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
+    """A struct of counts of the whole text. Bound once, so that reading its fields does not repeat the work."""
+
+    def lines_of(text: Column) -> Column:
+        return F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
 
     def of_words(words: Column) -> Column:
         return F.struct(
@@ -83,8 +84,9 @@ def measures(text: Column) -> Column:
         return F.struct(F.size(lines).cast("long").alias("n_lines"),
                         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
 
-    by_word, by_line = bind(words_of(text), of_words), bind(lines, of_lines)
-    return F.struct(by_word.alias("w"), by_line.alias("l"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"))
+    return bind(F.coalesce(text, F.lit("")), lambda t: F.struct(
+        bind(words_of(t), of_words).alias("w"), bind(lines_of(t), of_lines).alias("l"),
+        F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols")))
 
 
 def measured(rows: DataFrame, text: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, simhash
+from . import bpe, crf, merkle, packing, quality, simhash
 from ._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,14 @@ def op1_simhash_groups(spark, folder):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op2_language_words(spark, folder):
+    docs = table(spark, folder, "documents")
+    found = crf.predict(docs, crf.train(docs), ["doc_id"])
+    held = F.coalesce(crf.split_of(F.col("doc_id")) == 1, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op4_packed_pieces(spark, folder):
     return packing.pack(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
@@ -41,6 +49,11 @@ def op5_bpe_round_trip(spark, folder):
     return bpe.round_trip(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+@query
+def op6_merkle_fingerprints(spark, folder):
+    return merkle.against_next(table(spark, folder, "documents"))
+
+
 @query
 def op7_adaptive_quality(spark, folder):
     return quality.quality_verdicts(table(spark, folder, "documents"))
