@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf, merkle, packing, quality, simhash
+from . import bpe, crf, merkle, packing, quality, simhash, toxicity, warc
 from ._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,4 +59,15 @@ def op7_adaptive_quality(spark, folder):
     return quality.quality_verdicts(table(spark, folder, "documents"))
 
 
+@query
+def op8_toxicity_chain(spark, folder):
+    docs = table(spark, folder, "documents")
+    return toxicity.predict(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+@query
+def op10_warc_round_trip(spark, folder):
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 SQL: dict[str, str] = {}
