@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf, merkle, packing, quality, simhash, toxicity, warc
+from . import bpe, crf, merkle, packing, quality, secrets, simhash, toxicity, warc
 from ._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,12 @@ def op8_toxicity_chain(spark, folder):
     return toxicity.predict(docs, toxicity.train(docs, table(spark, folder, "labels")))
 
 
+@query
+def op9_secret_findings(spark, folder):
+    found = secrets.scan(table(spark, folder, "documents"), ["doc_id"])
+    return found.select("doc_id", "start", F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
+
+
 @query
 def op10_warc_round_trip(spark, folder):
     return warc.round_trip(table(spark, folder, "pages"))
