@@ -257,6 +257,24 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double").toDF(*keep, "lang_pred", "score")
 
 
+def keep_clear(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.4) -> DataFrame:
+    """The documents with a language that holds at least ``min_score`` of their words; all columns. ``und`` goes."""
+    at_text, names = docs.columns.index(text_col), docs.columns
+    rows = docs.toDF(*[f"k{k}" for k in range(len(names))])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(shared.value)
+        for batch in batches:
+            at = 0
+            for texts in grouped(t.as_py() for t in batch.column(at_text)):
+                found, score = labeller.documents(texts) if labeller.model.languages else ([UNDETERMINED] * len(texts), np.zeros(len(texts)))
+                yield batch.slice(at, len(texts)).filter(pa.array([f != UNDETERMINED and s >= min_score for f, s in zip(found, score)], pa.bool_()))
+                at += len(texts)
+
+    return rows.mapInArrow(run, rows.schema).toDF(*names)
+
+
 def label_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per run of words of one language: ``id_col``, ``first`` and ``words`` (count), ``lang``, ``score``. Shows where a text switches."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

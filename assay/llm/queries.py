@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf, merkle, packing, quality, secrets, simhash, toxicity, warc
+from . import bpe, crf, lm, merkle, packing, quality, secrets, simhash, toxicity, warc
 from ._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,12 @@ def op2_language_words(spark, folder):
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op3_backoff_scores(spark, folder):
+    found = lm.scores(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("mean_score", 6).alias("mean_score"))
+
+
 @query
 def op4_packed_pieces(spark, folder):
     return packing.pack(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
@@ -77,3 +83,84 @@ def op10_warc_round_trip(spark, folder):
 
 
 SQL: dict[str, str] = {}
+
+SQL["op3_backoff_scores"] = """
+WITH w AS (
+  SELECT d.rowid_ AS r, d.doc_id, u.word, u.i FROM (SELECT row_number() OVER () AS rowid_, doc_id, text FROM documents) d,
+  LATERAL (SELECT unnest(l) AS word, generate_subscripts(l, 1) AS i
+           FROM (SELECT regexp_extract_all(translate(coalesce(d.text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS l)) u
+), g AS (
+  SELECT r, doc_id, i, word AS w3, lag(word) OVER t AS w2, lag(word, 2) OVER t AS w1 FROM w WINDOW t AS (PARTITION BY r ORDER BY i)
+), c AS (
+  SELECT *, count(*) OVER (PARTITION BY w3) AS c1, count(*) OVER (PARTITION BY w2, w3) AS c2, count(*) OVER (PARTITION BY w1, w2, w3) AS c3 FROM g
+), e AS (
+  SELECT *, lag(c1) OVER t AS p1, lag(c2) OVER t AS p2, (SELECT count(*) FROM w) AS n FROM c WINDOW t AS (PARTITION BY r ORDER BY i)
+), s AS (
+  SELECT r, CASE WHEN i >= 3 AND c3 >= 2 THEN ln(c3) - ln(p2)
+                 WHEN i >= 2 AND c2 >= 2 THEN ln(c2) - ln(p1) + ln(0.4) * (least(i - 1, 2) - 1)
+                 ELSE ln(c1) - ln(n) + ln(0.4) * least(i - 1, 2) END AS v FROM e
+), t AS (SELECT r, count(*) AS n, sum(v) AS v FROM s GROUP BY r)
+SELECT d.doc_id, coalesce(t.n, 0)::BIGINT AS n_words, round(coalesce(t.v, 0.0), 4) AS score, round(t.v / t.n, 6) AS mean_score
+FROM (SELECT row_number() OVER () AS rowid_, doc_id FROM documents) d LEFT JOIN t ON t.r = d.rowid_
+"""
+
+SQL["op7_adaptive_quality"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM (
+    SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS k FROM d, LATERAL (SELECT unnest(range(1, len(ws) - 3)) AS i))
+), covered AS (SELECT r, count(DISTINCT i + o) AS n FROM windows, (SELECT unnest(range(0, 5)) AS o) WHERE c > 1 GROUP BY r
+), lines AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r
+), m AS (
+  SELECT d.r, doc_id, lang, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(l.dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_lines
+  FROM d LEFT JOIN covered c USING (r) LEFT JOIN lines l USING (r)
+), f AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbol_share,
+         CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS duplicate_lines FROM m
+), v AS (
+  SELECT lang, source, unnest(['mean_word', 'symbol_share', 'duplicate_lines']) AS measure, unnest([mean_word, symbol_share, duplicate_lines]) AS x FROM f WHERE NOT base_failed
+), b AS (SELECT lang, source, measure, CASE WHEN x > 0 THEN ceil(ln(x) / ln(1.01 / 0.99)) ELSE -1e9 END AS b, count(*) AS n FROM v GROUP BY ALL
+), levels AS (
+  SELECT 1 AS level, lang, source, measure, b, n FROM b
+  UNION ALL SELECT 2, lang, NULL, measure, b, sum(n) FROM b GROUP BY lang, measure, b
+  UNION ALL SELECT 3, NULL, NULL, measure, b, sum(n) FROM b GROUP BY measure, b
+), cum AS (
+  SELECT *, sum(n) OVER g AS total, sum(n) OVER (g ORDER BY b) AS upto, CASE WHEN b > -1e9 THEN 2 * pow(1.01 / 0.99, b) / (1.01 / 0.99 + 1) ELSE 0 END AS x
+  FROM levels WINDOW g AS (PARTITION BY level, lang, source, measure)
+), q AS (
+  SELECT level, lang, source, measure, max(total) AS total, min(x) FILTER (upto > floor(0.25 * (total - 1))) AS q1,
+         min(x) FILTER (upto > floor(0.5 * (total - 1))) AS q2, min(x) FILTER (upto > floor(0.75 * (total - 1))) AS q3
+  FROM cum GROUP BY level, lang, source, measure
+), chosen AS (
+  SELECT a.lang, a.source, a.measure,
+         CASE WHEN a.total >= 200 THEN a.q1 WHEN l.total >= 200 THEN l.q1 ELSE e.q1 END AS q1,
+         CASE WHEN a.total >= 200 THEN a.q2 WHEN l.total >= 200 THEN l.q2 ELSE e.q2 END AS q2,
+         CASE WHEN a.total >= 200 THEN a.q3 WHEN l.total >= 200 THEN l.q3 ELSE e.q3 END AS q3
+  FROM q a JOIN q l ON l.level = 2 AND a.lang IS NOT DISTINCT FROM l.lang AND a.measure = l.measure JOIN q e ON e.level = 3 AND a.measure = e.measure WHERE a.level = 1
+), cut AS (
+  SELECT lang, source,
+    max(greatest(6.0, least(12.0, greatest(q2 + 2.0, q3 + 6 * (q3 - q1))))) FILTER (measure = 'mean_word') AS top_word,
+    max(least(3.0, least(q2 - 2.0, q1 - 6 * (q3 - q1)))) FILTER (measure = 'mean_word') AS low_word,
+    max(greatest(0.1, least(0.3, greatest(q2 + 0.1, q3 + 3 * (q3 - q1))))) FILTER (measure = 'symbol_share') AS top_symbol,
+    max(greatest(0.4, least(0.6, greatest(q2 + 0.4, q3 + 3 * (q3 - q1))))) FILTER (measure = 'duplicate_lines') AS top_lines
+  FROM chosen GROUP BY lang, source
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  coalesce(NOT base_failed AND mean_word <= top_word AND mean_word >= low_word AND symbol_share <= top_symbol AND duplicate_lines <= top_lines, false) AS kept
+FROM f LEFT JOIN cut ON f.lang IS NOT DISTINCT FROM cut.lang AND f.source IS NOT DISTINCT FROM cut.source
+"""
+
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (({value} >> {shift}) & 31)::INT, 1)"
+_BASE32 = " || ".join(_DIGIT.format(value=f"('0x' || substr(x, {1 + 5 * k}, 5))::BIGINT", shift=s) for k in range(8) for s in (15, 10, 5, 0))
+SQL["op10_warc_round_trip"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS head FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> head THEN head END AS refers_to, true AS intact FROM d
+"""
