@@ -74,6 +74,15 @@ def _(spark, folder):
     return csv.read_csv(spark, path)
 
 
+@register("csv_line_breaks", "S1", "SELECT * FROM documents")
+def _(spark, folder):
+    """Quoted texts with line breaks and quotes come back as they were."""
+    path = f"{checkpoint_folder(spark)}/csv-{uuid.uuid4().hex}"
+    writer = table(spark, folder, "documents").write.option("header", True).option("escape", '"').option("quoteAll", True)
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return csv.read_csv(spark, path)
+
+
 @register(
     "input_limits", "S3",
     "SELECT 2::BIGINT AS n_cols, count(*) AS n_rows, false AS no_columns, false AS too_many_columns, count(*) = 0 AS no_rows FROM region",
@@ -207,26 +216,40 @@ def _(spark, folder):
 @register(
     "value_frequencies", "P3",
     " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY ALL"""
-        for c in ("l_linenumber", "l_returnflag", "l_linestatus", "l_suppkey")
+        f"""SELECT '{c}' AS "column", {"CAST(epoch(CAST(%s AS TIMESTAMP)) AS DECIMAL(20, 4))::VARCHAR" % c if k == "datetime" else "CAST(%s AS DECIMAL(20, 4))::VARCHAR" % c if k == "number" else c} AS value,
+ count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY ALL"""
+        for t in ("lineitem", "documents") for c, k in TABLES[t].items()
     ),
 )
 def _(spark, folder):
-    return value_counts.value_counts(
-        table(spark, folder, "lineitem"), ["l_linenumber", "l_returnflag", "l_linestatus", "l_suppkey"]
-    )
+    """Numbers and times are shown as decimals, as engines print them differently."""
+    parts = []
+    for name in ("lineitem", "documents"):
+        of = {k: [c for c, kind in TABLES[name].items() if kind == k] for k in ("number", "datetime", "string")}
+        found = value_counts.value_counts(table(spark, folder, name))
+        number = F.col("value").try_cast("double").cast("decimal(20, 4)").cast("string")
+        time = F.col("value").try_cast("timestamp").cast("double").cast("decimal(20, 4)").cast("string")
+        shown = F.when(F.col("column").isin(of["number"]), number).when(F.col("column").isin(of["datetime"]), time).otherwise(F.col("value"))
+        parts.append(found.select("column", shown.alias("value"), "n"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @register(
     "approximate_profile", "P3",
-    " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", count(*) AS n_rows, count(*) - count({c}) AS n_null FROM lineitem"""
-        for c in TABLES["lineitem"]
-    ),
+    O.profile_ctes(["orders", "customer", "events", "part_text"])
+    + """ SELECT run_id, column_name AS "column", n_rows, n_null, dtype AS dtype_inferred, id_like AS is_id_like, high_card AS is_high_cardinality,
+ constant AS is_constant, top_count::DOUBLE / n_rows >= 0.99 AS is_quasi_constant, true AS near FROM p""",
 )
 def _(spark, folder):
-    rough = S.Settings(exact_distinct=False, sample_values=0)
-    return P.profile(table(spark, folder, "lineitem"), "lineitem", rough).select("column", "n_rows", "n_null")
+    """Sketches decide every flag as exact counts do; ``near``: the distinct ratio is within five percent of the exact one."""
+    rough = S.Settings(exact_distinct=False, sample_values=0, broadcast_rows=100)
+    names = ("orders", "customer", "events", "part_text")
+    found = reduce(DataFrame.unionByName, [settle(P.profile(frame(spark, folder, n), n, rough)) for n in names])
+    exact = profiles_of(spark, folder, names).select("run_id", "column", F.col("n_unique").alias("u"))
+    near = F.abs(F.col("n_unique") - F.col("u")) <= 0.05 * F.col("u")
+    return found.join(exact, ["run_id", "column"]).select(
+        "run_id", "column", "n_rows", "n_null", "dtype_inferred", "is_id_like", "is_high_cardinality", "is_constant",
+        (F.coalesce("top_share", F.lit(0.0)) >= 0.99).alias("is_quasi_constant"), near.alias("near"))
 
 
 _LEDGER_RUNS = {"labelled": "quality", "part_text": None, "copies": "l_returnflag", "nation": None, "region": "r_name", "archive": None}
@@ -360,6 +383,22 @@ def _(spark, folder):
     return duplicates.duplicate_counts(frame(spark, folder, "copies"))
 
 
+_NESTED = """SELECT CASE d.doc_id % 4 WHEN 0 THEN {a}1, NULL{z} WHEN 1 THEN {a}1{z} WHEN 2 THEN {a}NULL, 1{z} END AS steps,
+ CASE WHEN d.doc_id % 3 = 0 THEN {s}(l.quality, l.toxic) END AS pair FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id"""
+
+
+@register(
+    "duplicate_nested_rows", "E5",
+    f"""WITH t AS ({_NESTED.format(a='[', z=']', s='row', documents='documents', labels='labels')})
+SELECT count(*) AS n_rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS dup_count FROM t""",
+)
+def _(spark, folder):
+    """Nulls inside arrays and structs, lengths and places count."""
+    sql = _NESTED.format(a="array(", z=")", s="struct", documents="{documents}", labels="{labels}")
+    df = spark.sql(sql, documents=table(spark, folder, "documents"), labels=table(spark, folder, "labels"))
+    return duplicates.duplicate_counts(df)
+
+
 @register(
     "conflicting_ids", "E6",
     "SELECT l_orderkey, count(*) AS n_rows FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) > 1",
@@ -484,6 +523,18 @@ def _(spark, folder):
     return association.mutual_information(encoded, tested, aim).select("column", *_r6("mi_norm"))
 
 
+@register(
+    "mutual_information_in_brackets", "E11a",
+    O.association_sql("unbalanced", "returned", True, {"l_partkey": True, "l_suppkey": True, "l_quantity": True, "l_discount": True})
+    + '\nSELECT column_name AS "column", round(mi, 6) AS mi_norm FROM a',
+)
+def _(spark, folder):
+    """The same with bin edges found in narrowed brackets, as on tables with many distinct values."""
+    df, tested, aim = _association(spark, folder, "unbalanced", "returned")
+    narrow = S.Settings(exact_in_one_pass=1000)
+    return association.mutual_information(association.encode(df, tested, aim, narrow), tested, aim, narrow).select("column", *_r6("mi_norm"))
+
+
 @register(
     "pearson_with_target", "E11b",
     O.association_sql("leaky", "quality", True, _LEAKY) + '\nSELECT column_name AS "column", n_pairs, round(r, 6) AS r FROM lin',
@@ -1020,7 +1071,20 @@ def _(spark, folder):
 SELECT doc_id, coalesce(labelled_chars, a)::DOUBLE AS labelled_chars, coalesce(quality, b)::DOUBLE AS quality FROM src, m""",
 )
 def _(spark, folder):
-    return repair.fill_median(frame(spark, folder, "clustered"), ["labelled_chars", "quality"]).select("doc_id", "labelled_chars", "quality")
+    out = repair.fill_median(frame(spark, folder, "clustered"), ["labelled_chars", "quality"])
+    return out.select("doc_id", F.col("labelled_chars").cast("double").alias("labelled_chars"), F.col("quality").cast("double").alias("quality"))
+
+
+_BIG = "SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 9007199254740993 + d.doc_id END AS big FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
+
+
+@register("fill_median_of_big_integers", "F2", f"SELECT doc_id, CAST(big AS VARCHAR) AS kept, big IS NULL AS filled FROM ({_BIG})")
+def _(spark, folder):
+    df = spark.sql(_BIG.replace("documents d", "{documents} d").replace("labels l", "{labels} l"),
+                   documents=table(spark, folder, "documents"), labels=table(spark, folder, "labels"))
+    out = repair.fill_median(df.withColumn("was", F.col("big")), ["big"])
+    same = F.when(F.col("was").isNotNull(), F.col("big").cast("decimal(38, 0)").cast("string"))
+    return out.select("doc_id", same.alias("kept"), (F.col("was").isNull() & F.col("big").isNotNull()).alias("filled"))
 
 
 @register(

@@ -14,15 +14,26 @@ from .columns import col, missing_as_null, physical_kind, quoted
 from .findings import emit, finding, percent
 
 
-def _hashable(field: T.StructField) -> Column:
-    c = F.col(quoted(field.name))
-    return F.sort_array(F.map_entries(c)) if isinstance(field.dataType, T.MapType) else c
+def _flagged(c: Column, dtype: T.DataType) -> Column:
+    return F.struct(c.isNull().alias("none"), _hashable(c, dtype).alias("value"))
+
+
+def _hashable(c: Column, dtype: T.DataType) -> Column:
+    """A value whose hash keeps nulls and lengths at every depth; hash functions skip nulls inside nested values."""
+    if isinstance(dtype, T.StructType):
+        return F.struct(*[_flagged(c.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(dtype.fields)]) if dtype.fields else F.lit(0)
+    if isinstance(dtype, T.ArrayType):
+        return F.struct(F.size(c).alias("n"), F.transform(c, lambda x: _flagged(x, dtype.elementType)).alias("all"))
+    if isinstance(dtype, T.MapType):  # entries have no order, keys are never null
+        pair = lambda k: F.struct(_hashable(k, dtype.keyType).alias("k"), _flagged(F.try_element_at(c, k), dtype.valueType).alias("v"))
+        return F.struct(F.size(c).alias("n"), F.transform(F.sort_array(F.map_keys(c)), pair).alias("all"))
+    return c
 
 
 def row_digest(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
     """128 bits that stand for a whole row, in two hash columns; nulls have their place."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    parts = [p for f in fields for p in (_hashable(f), F.col(quoted(f.name)).isNull())]
+    parts = [p for f in fields for p in (_hashable(F.col(quoted(f.name)), f.dataType), F.col(quoted(f.name)).isNull())]
     return [F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *reversed(parts))]
 
 

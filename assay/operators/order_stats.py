@@ -20,7 +20,6 @@ from ..settings import DEFAULTS, Settings
 from .columns import chunks, long_form
 
 ACCURACY = 10_000
-ROUNDS = 4
 
 
 @dataclass
@@ -69,17 +68,19 @@ def order_statistics(
     if not wants:
         return {}
     limit, known = settings.exact_in_one_pass, distinct or {}
-    for _ in range(ROUNDS):
-        wide = [w for w in wants if min(w.inside, known.get(w.key, w.inside)) > limit and w.low < w.high]
-        if not wide:
-            break
-        _narrow(long, wide)
+    step = 2.0 / ACCURACY
+    while wide := [w for w in wants if min(w.inside, known.get(w.key, w.inside)) > limit and w.low < w.high]:
+        before = [w.inside for w in wide]
+        _narrow(long, wide, step)
+        if any(w.inside == n for w, n in zip(wide, before)):
+            if step >= 0.5:  # nothing left to cut: the bracket is its few distinct values
+                break
+            step *= 4  # a sketch missed a rank: ask for a wider bracket
     return _pick(long, wants)
 
 
-def _narrow(long: DataFrame, wants: list[_Want]) -> None:
-    """Shrink every bracket around its rank with percentiles of the values inside it."""
-    step = 2.0 / ACCURACY
+def _narrow(long: DataFrame, wants: list[_Want], step: float) -> None:
+    """Shrink every bracket around its rank with percentiles of the values inside it, ``step`` to either side."""
     spark = long.sparkSession
     brackets = sorted({(w.key, w.low, w.high) for w in wants})
     place_of = {b: i for i, b in enumerate(brackets)}
@@ -211,20 +212,9 @@ def equal_count_edges(
 ) -> dict[str, list[float]]:
     """Inner edges that cut each key's values into bins of about equal counts.
 
-    Edges are values of the data: the ones at positions ``ceil(n*i/bins)``, or
-    close to them for keys with too many distinct values to rank in one pass.
+    Edges are values of the data, the ones at positions ``ceil(n*i/bins)``, exactly and at any size.
     """
-    counts, known = {k: n for k, n in counts.items() if n > 0}, distinct or {}
-    large = [k for k, n in counts.items() if min(n, known.get(k, n)) > settings.exact_in_one_pass]
-    if large:
-        at = F.percentile_approx("value", [i / bins for i in range(1, bins)], ACCURACY)
-        rows = long.filter(F.col("column").isin(large)).groupBy("column").agg(at.alias("at")).collect()
-        rest = {k: n for k, n in counts.items() if k not in large}
-        near = {r["column"]: sorted(set(r["at"])) for r in rows}
-        if not rest:
-            return near
-        others = long.filter(F.col("column").isin(list(rest)))
-        return near | equal_count_edges(others, bins, rest, settings, distinct)
+    counts = {k: n for k, n in counts.items() if n > 0}
     ranks = {k: [(n * i + bins - 1) // bins - 1 for i in range(1, bins)] for k, n in counts.items()}
     at = order_statistics(long, {k: [(r, r) for r in rs] for k, rs in ranks.items()}, counts, settings, distinct)
     return {k: sorted({at[(k, r)] for r in rs}) for k, rs in ranks.items()}

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import name_kind, ratio, rounded
 from ..functions.text import as_datetime, clean_number, is_number
 from ..settings import DEFAULTS, Settings
-from .columns import chunks, col, kinds, missing_as_null
+from .columns import chunks, col, kinds, missing_as_null, quoted
 from .value_counts import counted, distinct_summary, sample_values, smallest_values
 
+SKETCH_ERROR = 0.01  # relative standard deviation of a distinct count by sketch
+
+
 def scan_statistics(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """One row per column from plain aggregates and sketches: one row per task is shuffled."""
     df = missing_as_null(df)
@@ -30,7 +33,7 @@ def scan_statistics(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
                 sums.append(F.count(as_datetime(c)).alias(f"date_{i}"))
                 sums.append(F.sum(F.length(c).cast("bigint")).alias(f"length_{i}"))
             if kind[f.name] != "nested":
-                sums.append(F.approx_count_distinct(c).alias(f"distinct_{i}"))
+                sums.append(F.least(F.approx_count_distinct(c, SKETCH_ERROR), F.count(c)).alias(f"distinct_{i}"))
         rows = []
         for i, f in chunk:
             text = kind[f.name] == "string"
@@ -64,10 +67,10 @@ def profile(
     """One row per column with everything the checks decide on.
 
     The counts of (column, value) give presence, distinct values, the commonest
-    value and the boolean test; text is parsed once per distinct value, not once
-    per row. With ``exact_distinct=False`` one pass of plain aggregates and
-    sketches replaces them, and only columns whose sketch stays below
-    ``broadcast_rows`` are grouped; the commonest value of the others is unknown.
+    value and the boolean test; text of up to 64 bytes is parsed once per distinct value, longer text once per row.
+    With ``exact_distinct=False`` one pass of plain aggregates and sketches comes first. Columns with few values, and
+    those whose sketch is too near a threshold to decide by, are then grouped exactly; the others keep the sketch, and
+    their commonest value comes from a frequent-items sketch and an exact count of its candidate.
     """
     df = missing_as_null(df)
     spark = df.sparkSession
@@ -85,11 +88,17 @@ def profile(
     else:
         rough = scan_statistics(df, settings)
         rows = rough.collect()  # one row per column
-        small = [r["column"] for r in rows if (r["n_rough"] or 0) <= settings.broadcast_rows]
+        small = [r["column"] for r in rows if (r["n_rough"] or 0) <= settings.broadcast_rows or undecided(r, settings)]
+        large = [r for r in rows if r["kind"] != "nested" and r["column"] not in small]
         counts = counted(df, small)
         summary = distinct_summary(counts, spark).select("ordinal", "n_unique", "top_count", "is_boolean")
-        joined = spark.createDataFrame(rows, rough.schema).join(F.broadcast(summary), "ordinal", "left")
-        joined = joined.withColumn("n_unique", F.coalesce("n_unique", "n_rough"))
+        tops = commonest(df, {r["ordinal"]: r["column"] for r in large})
+        joined = spark.createDataFrame(rows, rough.schema).join(F.broadcast(summary), "ordinal", "left") \
+            .join(F.broadcast(tops), "ordinal", "left")  # one row per column
+        joined = joined.withColumns({
+            "n_unique": F.coalesce("n_unique", "n_rough"), "top_count": F.coalesce("top_count", "top"),
+            "is_boolean": F.coalesce("is_boolean", F.lit(False)),
+        }).drop("top")
     if settings.sample_values and counts:
         key = "ordinal" if order_by is None else "column"
         chosen = (
@@ -108,6 +117,28 @@ def profile(
     return describe(joined, settings).select(F.lit(run_id).alias("run_id"), "*")
 
 
+def undecided(row, settings: Settings) -> bool:
+    """Is the distinct count's sketch within four deviations of a threshold that a rule compares its ratio with?"""
+    n, rough = row["n_rows"], row["n_rough"] or 0
+    near = 4 * SKETCH_ERROR * rough
+    return any(abs(rough - share * n) <= near for share in (0.5, settings.high_cardinality_ratio, settings.id_ratio, 1.0))
+
+
+def commonest(df: DataFrame, columns: dict[int, str]) -> DataFrame:
+    """``ordinal, top``: rows of the commonest value, exact whenever it fills half of a column.
+
+    A frequent-items sketch over 64-bit hashes names a candidate per column, one more pass counts it.
+    """
+    spark, top = df.sparkSession, {}
+    for part in chunks(list(columns.items()), 40):
+        found = df.agg(*[F.expr(f"approx_top_k(xxhash64({quoted(c)}), 1)").alias(f"k{i}") for i, c in part]).first()
+        named = [(i, c, found[f"k{i}"][0]["item"]) for i, c in part if found[f"k{i}"]]
+        if named:
+            counts = df.agg(*[F.count_if(col(c).isNotNull() & (F.xxhash64(col(c)) == F.lit(v))).alias(f"n{i}") for i, c, v in named]).first()
+            top.update({i: counts[f"n{i}"] for i, _, _ in named})
+    return spark.createDataFrame(list(top.items()), "ordinal int, top bigint")
+
+
 def column_list(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """One row per column: position, name, type, row count; presence of nested columns."""
     kind = kinds(df)

@@ -8,11 +8,12 @@ from pyspark.sql import types as T
 
 from ..functions import as_number, clean_number, ratio
 from ..settings import DEFAULTS, Settings
-from ..sources.sampling import unit_hash
+from ..sources.sampling import sample_share, unit_hash
 from .columns import col, long_form, missing_as_null, quoted
 from .duplicates import conflicting_ids  # noqa: F401  (part of the repair surface)
 from .imbalance import class_counts
 from .order_stats import count_present, quantiles
+from .ranks import cumulative
 
 
 def drop_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -28,45 +29,48 @@ def fill_constant(df: DataFrame, columns: list[str], value: str = "Unknown") ->
     return missing_as_null(df).withColumns(filled)
 
 
+def _with_median(c: Column, dtype: T.DataType, median: float) -> Column:
+    """``c`` with its gaps filled; whole-number columns keep every value and widen only where the median needs a half."""
+    if isinstance(dtype, T.IntegralType):
+        if median == round(median):
+            return F.coalesce(c, F.lit(int(median)).cast(dtype))
+        return F.coalesce(c.cast("decimal(38, 6)"), F.lit(median).cast("decimal(38, 6)"))
+    if isinstance(dtype, T.DecimalType):
+        wide = T.DecimalType(38, max(dtype.scale, 6)) if dtype.precision - dtype.scale + max(dtype.scale, 6) <= 38 else dtype
+        return F.coalesce(c.cast(wide), F.lit(median).cast(wide))
+    return F.coalesce(c.cast("double"), F.lit(median))
+
+
 def fill_median(df: DataFrame, columns: list[str], settings: Settings = DEFAULTS) -> DataFrame:
-    """Gaps of numeric columns take the column's exact median."""
+    """Gaps of numeric columns take the column's exact median; values that are present stay as they are."""
     df = missing_as_null(df)
     values = {c: col(c).cast("double") for c in columns}
     medians = quantiles(long_form(df, values), [0.5], count_present(df, values), settings)
-    return df.withColumns(
-        {c: F.coalesce(col(c).cast("double"), F.lit(medians[c][0])) for c in columns if c in medians}
-    )
+    gappy = count_present(df, {c: F.when(v.isNull(), F.lit(1)) for c, v in values.items()}, settings)
+    return df.withColumns({c: _with_median(col(c), df.schema[c].dataType, medians[c][0]) for c in columns if c in medians and gappy[c]})
 
 
 def fill_median_by(df: DataFrame, column: str, group: Column, settings: Settings = DEFAULTS) -> DataFrame:
     """Gaps take the exact median of their group (say, a year); groups without values keep them.
 
-    Groups of up to ``exact_in_one_pass`` rows are aggregated directly. Larger
-    ones would fill a task's buffers, so their medians come from bracketed ranks
-    (see ``order_stats``).
+    Distinct values are placed in their group's order by ``cumulative``, which cuts large groups into sorted ranges, so
+    neither a hot group nor many groups meet in one task, and medians never leave the executors.
     """
-    spark = df.sparkSession
-    df = missing_as_null(df).withColumn("__group", group)
+    df = missing_as_null(df).withColumn("__group", group.cast("string"))
     value = col(column).cast("double")
     present = df.filter(value.isNotNull() & F.col("__group").isNotNull())
-    sizes = present.groupBy("__group").agg(F.count(F.lit(1)).alias("n")).filter(
-        F.col("n") > settings.exact_in_one_pass
-    )
-    large = [r["__group"] for r in sizes.collect()]  # at most rows / exact_in_one_pass groups
-    small = present.filter(~F.col("__group").isin(large)) if large else present
-    medians = small.groupBy("__group").agg(F.percentile(value, 0.5).alias("__median"))
-    if large:
-        long = present.filter(F.col("__group").isin(large)).select(
-            F.col("__group").cast("string").alias("column"), value.alias("value")
-        )
-        found = quantiles(long, [0.5], None, settings)
-        table = spark.createDataFrame([(k, v[0]) for k, v in found.items()], "g string, __median double")
-        kind = df.schema["__group"].dataType
-        medians = medians.unionByName(table.select(F.col("g").cast(kind).alias("__group"), "__median"))
-    return (
-        df.join(medians, "__group", "left")
-        .withColumn(column, F.coalesce(value, F.col("__median")))
-        .select(*[quoted(c) for c in df.columns if c != "__group"])
+    counts = present.groupBy(F.col("__group").alias("column"), value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    placed = cumulative(counts, None, settings)
+    totals = placed.groupBy("column").agg(F.sum("n").alias("total"))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    holds = lambda rank: (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
+    at = lambda rank: F.max(F.when(holds(rank), F.col("value")))
+    middle = placed.join(totals, "column").filter(holds(low) | holds(high)).groupBy("column").agg(at(low).alias("a"), at(high).alias("b"))
+    medians = middle.select(F.col("column").alias("__of"), (F.col("a") + (F.col("b") - F.col("a")) / 2).alias("__median"))
+    kind = "decimal(38, 6)" if isinstance(df.schema[column].dataType, T.IntegralType) else "double"
+    filled = F.coalesce(col(column).cast(kind), F.col("__median").cast(kind))
+    return df.join(medians, F.col("__group") == F.col("__of"), "left").select(
+        *[filled.alias(c) if c == column else F.col(quoted(c)) for c in df.columns if c != "__group"]
     )
 
 
@@ -153,11 +157,8 @@ def stratified_split(
 
 
 def stratified_sample(df: DataFrame, target: str, share: float, seed: int = 42) -> DataFrame:
-    """About ``share`` of every class: one pass, no shuffle of rows."""
-    fractions = {r["class"]: share for r in class_counts(df, target).select("class").limit(10_001).collect()}
-    if len(fractions) > 10_000:
-        raise ValueError("too many classes for a per-class sample; use stratified_split")
-    return df.sampleBy(quoted(target), fractions, seed)
+    """About ``share`` of every class, for any number of classes: every row is drawn by its own hash, no shuffle."""
+    return sample_share(df.filter(col(target).isNotNull()), share, seed)
 
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
@@ -191,16 +192,17 @@ def winsorize(
     df = missing_as_null(df)
     values = {c: col(c).cast("double") for c in columns}
     q = quantiles(long_form(df, values), [low, high], count_present(df, values), settings)
-    return df.withColumns(
-        {
-            c: F.when(
-                col(c).isNotNull(),
-                F.least(F.greatest(col(c).cast("double"), F.lit(q[c][0])), F.lit(q[c][1])),
-            )
-            for c in columns
-            if c in q
-        }
-    )
+
+    def pulled(c: str) -> Column:
+        value, (least, most) = col(c), q[c]
+        kind = "double"
+        if isinstance(df.schema[c].dataType, T.IntegralType):  # whole numbers stay exact
+            kind = df.schema[c].dataType if least == round(least) and most == round(most) else "decimal(38, 6)"
+        ends = [F.lit(x).cast(kind) for x in (least, most)]
+        kept = value.cast(kind)
+        return F.when(kept < ends[0], ends[0]).when(kept > ends[1], ends[1]).otherwise(kept)
+
+    return df.withColumns({c: pulled(c) for c in columns if c in q})
 
 
 def robust_scale(df: DataFrame, columns: list[str], settings: Settings = DEFAULTS) -> DataFrame:
@@ -231,8 +233,8 @@ def group_rare_levels(df: DataFrame, column: str, keep: int = 20, other: str = "
 def merge_rare_classes(df: DataFrame, target: str, minimum: int = 5, other: str = "other") -> DataFrame:
     """Classes with fewer than ``minimum`` rows become ``other``; nulls stay null.
 
-    The rare classes are looked up with a join whose build side the optimizer
-    picks by size; frequent classes never enter it.
+    The rare classes are looked up with a join on plain columns: the optimizer broadcasts them while they are small, and
+    splits a frequent class where they are not.
     """
     rare = class_counts(df, target).filter(F.col("n") < minimum).select(F.col("class").alias("__rare"))
     out = df.join(rare, col(target) == F.col("__rare"), "left")

@@ -136,21 +136,20 @@ def distinct_summary(counts: dict[str, DataFrame], spark) -> DataFrame:
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``column, value, n`` with values as text; long texts show head and digest."""
+    """``column, value, n`` with whole values as text. Long texts are grouped by their digest and shown by one of the group."""
     names = F.array(*[F.lit(c) for c in df.columns])
-    parts = []
-    for found, values in counted(df, columns).items():
-        shown = F.col("value")
-        if found == "string":
-            shown = F.concat_ws("#", "value.head", "value.tail")
-        parts.append(
-            values.select(
-                F.get(names, F.col("slot").cast("int")).alias("column"),
-                shown.cast("string").alias("value"),
-                "n",
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    asked = [(i, f) for i, f in enumerate(df.schema.fields) if _value_class(f.dataType) and (columns is None or f.name in columns)]
+    texts = [(i, f.name) for i, f in asked if _value_class(f.dataType) == "string"]
+    parts = [
+        values.select("slot", F.col("value").cast("string").alias("value"), "n")
+        for values in counted(df, [f.name for _, f in asked if _value_class(f.dataType) != "string"]).values()
+    ]
+    if texts:
+        wide = df.select(*[F.struct(text_key(col(c)).alias("key"), col(c).alias("text")).alias(str(i)) for i, c in texts])
+        long = wide.unpivot([], [str(i) for i, _ in texts], "slot", "value").filter(F.col("value.text").isNotNull())
+        found = long.groupBy("slot", F.col("value.key").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.any_value("value.text").alias("value"))
+        parts.append(found.select("slot", "value", "n"))
+    return reduce(DataFrame.unionByName, parts).select(F.get(names, F.col("slot").cast("int")).alias("column"), "value", "n")
 
 
 def _shown(found: str) -> Column:

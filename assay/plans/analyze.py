@@ -233,9 +233,8 @@ def analyze(
         known = of_run(pairs)
         out.append(features.near_duplicate_findings(known, settings))
         shown = [r["column"] for r in numbers[: settings.heatmap_columns]]
-        near = known.filter(F.col("column").isin(shown) & F.col("column2").isin(shown))
         out.append(correlation.matrix_findings(settle(_matrix(known, shown))))
-        out.append(correlation.strong_pair_findings(near, settings))
+        out.append(correlation.strong_pair_findings(known, settings))
         return out
 
     def readiness_checks() -> list[DataFrame]:

@@ -72,7 +72,7 @@ ENGINES = (
 @dataclass(frozen=True)
 class Settings:
     # input limits; None switches a limit off
-    max_columns: int | None = 200
+    max_columns: int | None = None
     max_rows: int | None = None
     max_file_bytes: int | None = None
     row_cap: int = 100_000

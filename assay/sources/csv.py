@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..operators.columns import chunks, col
 from ..settings import DEFAULTS, Settings
 from .limits import LimitError, check_limits
 
+UPLOAD_COLUMNS = 200  # fixed value: columns an uploaded file may have
+
 # Texts that mean "missing" in a CSV file.
 NA_WORDS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -34,12 +38,13 @@ def read_csv(
     path: str | list[str],
     encoding: str | None = None,
     schema: str | None = None,
-    multiline: bool = False,
+    multiline: bool = True,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """A CSV table with header; NA words become null and types are inferred afterwards.
 
-    Files stay splittable unless ``multiline`` is asked for (quoted line breaks).
+    A quoted value may hold line breaks, so a file is read by one task. ``multiline=False`` splits files, and is
+    only right for files without such values.
     Give a ``schema`` for big data: inference is one more pass.
     """
     reader = (
@@ -96,6 +101,7 @@ def analyze_csv(spark: SparkSession, path: str, name: str | None = None, target:
     """Guards, reading and analysis in one call."""
     from ..plans.analyze import analyze
 
-    df = read_csv(spark, path, settings=settings)
-    check_limits(df, settings, need_rows=True)
+    guarded = settings if settings.max_columns is not None else replace(settings, max_columns=UPLOAD_COLUMNS)
+    df = read_csv(spark, path, settings=guarded)
+    check_limits(df, guarded, need_rows=True)
     return analyze(df, name or path.rstrip("/").rsplit("/", 1)[-1], target, settings=settings)
