@@ -37,14 +37,14 @@ def test_bands_and_codes(spark, name):
     assert [f["seq"] for f in found] == list(range(1, len(found) + 1))
 
 
-def test_order_clean_messy_leaky(spark):
-    clean, messy, leaky = (report_of(spark, n)[1]["overall_score"] for n in ("clean", "messy", "leaky"))
-    assert clean > messy > leaky
-    assert report_of(spark, "leaky")[1]["grade"] == "F"
+def test_order_of_plain_dirty_and_leaking(spark):
+    plain, dirty, leaking = (report_of(spark, n)[1]["overall_score"] for n in ("library_loans", "harvest", "clinic"))
+    assert plain > dirty > leaking
+    assert report_of(spark, "clinic")[1]["grade"] == "F"
 
 
 def test_outliers_are_warnings(spark):
-    _, _, found = report_of(spark, "heavy_tail")
+    _, _, found = report_of(spark, "gateway")
     tails = [f for f in found if f["engine"] == "outliers"]
     assert tails and all(f["category"] == "modeling_warning" for f in tails)
     assert {f["severity"] for f in tails} <= {"medium", "low"}
@@ -54,59 +54,59 @@ def test_outliers_are_warnings(spark):
 
 
 def test_roles_of_traffic_columns(spark):
-    r, _, _ = report_of(spark, "heavy_tail")
+    r, _, _ = report_of(spark, "gateway")
     roles = {p["column"]: p["column_role"] for p in r.profile.collect()}
-    for c in ("src_bytes", "dst_bytes", "packet_count", "failed_logins", "duration"):
+    for c in ("payload_kb", "traffic_in", "packets", "login_attempts", "flow_duration"):
         assert roles[c] == "measurement"
 
 
 def test_measurements_are_not_identifiers(spark):
-    r, _, _ = report_of(spark, "panel")
+    r, _, _ = report_of(spark, "county_clinics")
     rows = {p["column"]: p for p in r.profile.collect()}
-    for c in ("Crime Count_aggravated_assault", "Crime Count_burglary", "Population", "Violent Crime", "Property Crime"):
+    for c in ("Visit Count_emergency", "Visit Count_planned", "Population", "Visit Rate", "Bed Density"):
         assert (rows[c]["dtype_inferred"], rows[c]["name_kind"], rows[c]["is_id_like"]) == ("numeric", "measurement", False)
 
 
-def test_tiny_is_for_exploration(spark):
-    r, scores, _ = report_of(spark, "tiny")
+def test_regatta_is_for_exploration(spark):
+    r, scores, _ = report_of(spark, "regatta")
     assert scores["dataset_purpose"] in {"EDA-only / visualization dataset", "Not suitable for supervised ML"}
     assert scores["readiness_confidence"] == "low"
     assert "exploratory analysis" in r.summary().first()["exec_summary"]
 
 
-def test_telco_targets_and_roles(spark):
-    r, scores, found = report_of(spark, "telco")
-    assert "Churn" in scores["possible_targets"] and scores["target"] is None
+def test_tenancy_targets_and_roles(spark):
+    r, scores, found = report_of(spark, "tenancies")
+    assert "response" in scores["possible_targets"] and scores["target"] is None
     roles = {p["column"]: p["column_role"] for p in r.profile.collect()}
-    assert roles["customerID"] == "identifier" and roles["Churn"] in {"categorical", "target"}
-    assert any(f["column"] == "TotalCharges" for f in found)
+    assert roles["account_no"] == "identifier" and roles["response"] in {"categorical", "target"}
+    assert any(f["column"] == "deposit" for f in found)
 
 
-def test_used_cars_confidence(spark):
-    _, scores, found = report_of(spark, "used_cars")
-    assert {f["column"] for f in found if f["code"] == "MESSY_NUMERIC_TEXT"} == {"Price", "kms_driven"}
+def test_market_confidence(spark):
+    _, scores, found = report_of(spark, "market_stalls")
+    assert {f["column"] for f in found if f["code"] == "MESSY_NUMERIC_TEXT"} == {"asking_price", "kms_driven"}
     assert scores["integrity_confidence"] == "high" and "finding" in scores["integrity_confidence_reason"]
 
 
 def test_schedule_has_no_median_advice(spark):
-    _, scores, found = report_of(spark, "fixtures")
+    _, scores, found = report_of(spark, "timetable")
     assert scores["supervised_ml_readiness"] == "N/A"
     assert not any("median" in (f["fix_snippet"] or "") for f in found if f["column"] == "group")
     assert "scheduling" in scores["dataset_purpose"]
 
 
 def test_archive_words(spark):
-    _, scores, found = report_of(spark, "archive")
+    _, scores, found = report_of(spark, "olympiads")
     assert "historical" in scores["dataset_purpose"].lower()
     assert "not suitable for reliable supervised ml" in scores["verdict"].lower()
     assert not any(f["engine"] == "imbalance" for f in found)
 
 
 def test_markdown_and_recommendations(spark):
-    r, scores, found = report_of(spark, "leaky")
+    r, scores, found = report_of(spark, "clinic")
     text = r.markdown().first()["markdown"]
-    assert text.startswith("# Data quality report: leaky") and f"## Findings ({len(found)})" in text
-    assert "[CRITICAL]" in text and "**Target:** `defaulted`" in text
+    assert text.startswith("# Data quality report: clinic") and f"## Findings ({len(found)})" in text
+    assert "[CRITICAL]" in text and "**Target:** `missed`" in text
     advice = r.recommendations().collect()
     assert 1 <= len(advice) <= 5
     for a in advice:
@@ -127,10 +127,10 @@ def test_all_null_column_and_unknown_target(spark):
 
 
 def test_partitioning_does_not_matter(spark):
-    df = spark.createDataFrame(SCENARIOS["integrity_fail"].make())
+    df = spark.createDataFrame(SCENARIOS["parcels"].make())
     kept = ("seq", "code", "severity", "column", "column2", "metrics_json", "integrity_penalty")
     one, many = (
-        [tuple(r) for r in assay.analyze(df.repartition(n), "x", "target").findings.select(*kept).orderBy("seq").collect()]
+        [tuple(r) for r in assay.analyze(df.repartition(n), "x", "returned").findings.select(*kept).orderBy("seq").collect()]
         for n in (1, 8)
     )
     assert one == many
@@ -147,7 +147,7 @@ def test_own_check_and_skipped_check(spark):
     def broken(df, profile, target):
         raise RuntimeError("no")
 
-    df = spark.createDataFrame(SCENARIOS["conflicting_ids"].make())
+    df = spark.createDataFrame(SCENARIOS["members"].make())
     r = assay.analyze(df, "x", checks={"own": own, "broken": broken}, on_error="skip")
     assert r.findings.filter("code = 'OWN'").count() == 1
     assert list(r.skipped) == ["broken"]
