@@ -76,9 +76,9 @@ def test_regatta_is_for_exploration(spark):
 
 def test_tenancy_targets_and_roles(spark):
     r, scores, found = report_of(spark, "tenancies")
-    assert "response" in scores["possible_targets"] and scores["target"] is None
+    assert "outcome" in scores["possible_targets"] and scores["target"] is None
     roles = {p["column"]: p["column_role"] for p in r.profile.collect()}
-    assert roles["account_no"] == "identifier" and roles["response"] in {"categorical", "target"}
+    assert roles["tenant_id"] == "identifier" and roles["outcome"] in {"categorical", "target"}
     assert any(f["column"] == "deposit" for f in found)
 
 
