@@ -20,6 +20,7 @@ from ..plans import classifier, context, narrative, scoring, usage, views
 from ..plans.analyze import analyze, settle
 from ..session import checkpoint_folder
 from ..sources import csv, limits, sampling, sinks, usage_log
+from ..streaming import usage as stream_usage
 from . import oracle as O
 from .tables import TABLES, frame, sql_of, table
 
@@ -994,12 +995,54 @@ def _(spark, folder):
     return usage_log.read_usage(spark, path).groupBy("event", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    """What a stream has put out once all its input is read: every batch's result is written, the last one is read."""
+    path = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/state")
+    writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def _usage_stream(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{checkpoint_folder(spark)}/usage-{uuid.uuid4().hex}"
+    usage_log.write_usage(usage_events(spark, folder).repartition(3, "eventId"), path)
+    return usage_log.read_usage_stream(spark, path, files_per_trigger=1)
+
+
+@register("usage_stream_roundtrip", "S5-S6", f"SELECT event, source, count(*) AS n FROM ({_USAGE_SQL}) GROUP BY ALL")
+def _(spark, folder):
+    """The log read as a stream and appended to a second log."""
+    path = f"{checkpoint_folder(spark)}/usage-{uuid.uuid4().hex}"
+    usage_log.write_usage_stream(_usage_stream(spark, folder), f"{path}/log", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return usage_log.read_usage(spark, f"{path}/log").groupBy("event", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
 _KNOWN = "anonymousUserId <> 'anonymous'"
 _TOTALS = f"""SELECT count(DISTINCT anonymousUserId) FILTER (WHERE {_KNOWN}) AS uniqueVisitors,
  count(DISTINCT anonymousUserId) FILTER (WHERE {_KNOWN} AND event = 'analysis_completed') AS uniqueUsers,
  count(*) FILTER (WHERE event = 'page_view') AS pageViews, count(*) FILTER (WHERE event = 'analysis_completed') AS submissions FROM ({_USAGE_SQL})"""
 
 
+@register("usage_totals_stream", "U1", f'SELECT "pageViews", submissions, true AS near FROM ({_TOTALS})')
+def _(spark, folder):
+    """Running totals over three micro-batches; ``near``: the sketched uniques are within five percent of the log's."""
+    out = _drained(spark, stream_usage.streaming_totals(_usage_stream(spark, folder)), "complete")
+    exact = usage.usage_totals(usage_events(spark, folder)).first()
+    near = (F.abs(F.col("uniqueVisitors") - exact["uniqueVisitors"]) <= 0.05 * exact["uniqueVisitors"]) & (F.abs(F.col("uniqueUsers") - exact["uniqueUsers"]) <= 0.05 * exact["uniqueUsers"])
+    return out.select("pageViews", "submissions", near.alias("near"))
+
+
+@register(
+    "over_limit_stream", "U6",
+    f"""SELECT client, start, count(*) AS attempts FROM (SELECT "anonymousUserId" AS client, (floor(epoch(CAST("occurredAt" AS TIMESTAMP)) / 600)::BIGINT - k) * 600 AS start
+ FROM ({_USAGE_SQL}), (SELECT unnest(range(0, 6)) AS k)) GROUP BY ALL HAVING count(*) > 2""",
+)
+def _(spark, folder):
+    events = stream_usage.with_event_time(_usage_stream(spark, folder), F.to_timestamp("occurredAt"), "60 days")
+    out = _drained(spark, stream_usage.streaming_over_limit(events, F.col("anonymousUserId"), limit=2), "complete")
+    return out.select("client", F.col("start").cast("timestamp").cast("bigint").alias("start"), "attempts")
+
+
 @register("usage_totals", "U1", _TOTALS)
 def _(spark, folder):
     return usage.usage_totals(usage_events(spark, folder))

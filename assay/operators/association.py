@@ -138,9 +138,10 @@ def encode(df: DataFrame, features: list[Feature], target: Target, settings: Set
 def _lookup(value: Column, table: dict[str, int]) -> Column:
     if not table:
         return F.lit(None).cast("double")
-    out = F.lit(None).cast("double")
-    for level, code in table.items():
-        out = F.when(value == F.lit(level), F.lit(float(code))).otherwise(out)
+    (level, code), *rest = table.items()
+    out = F.when(value == F.lit(level), F.lit(float(code)))
+    for level, code in rest:  # one flat CASE
+        out = out.when(value == F.lit(level), F.lit(float(code)))
     return out
 
 

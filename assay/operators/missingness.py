@@ -192,7 +192,7 @@ def cluster_findings(clusters: DataFrame) -> DataFrame:
                     F.when(F.col("dataset_type") == "fixture_schedule", "low").otherwise("medium"),
                     F.lit("Columns that go missing as a block"),
                     F.format_string("These columns are missing in the same rows: %s.", names),
-                    "The gaps most likely mark a state that is not known yet; they are part of the design, not random damage.",
+                    "Gaps that come together have one cause: look for what these rows have not reached or were never asked.",
                     F.lit("df = df.fillna('TBD', subset=unresolved_columns)  # or keep the nulls and add a flag"),
                     metrics={"columns": F.col("columns"), "structural": F.lit(True)},
                     block=0,

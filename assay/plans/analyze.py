@@ -7,6 +7,7 @@ because later passes choose their columns from them; no data row is.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -270,6 +271,7 @@ def analyze(
         for label, own in (checks or {}).items():
             check(label, lambda own=own: [own(df, about, target)])
 
+    made = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     numbered = settle(number_findings(spark, parts))
     described_run = meta.select(
         "run_id",
@@ -293,7 +295,7 @@ def analyze(
     scored = scoring.judge(weighed, described_run.columns)
     hashed = fingerprint(described, numbered).first()
     scored = scored.withColumns(
-        {"n_rows": F.col("n_rows_total"), "fingerprint": F.lit(hashed["fingerprint"] if hashed else None).cast("string")}
+        {"n_rows": F.col("n_rows_total"), "generated_at": F.lit(made), "fingerprint": F.lit(hashed["fingerprint"] if hashed else None).cast("string")}
     )
     empty = spark.createDataFrame([], correlation.PAIR_SCHEMA)
     return Report(

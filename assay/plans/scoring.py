@@ -193,15 +193,10 @@ def _confidence(prefix: str, kind: str) -> tuple[Column, Column]:
         level = F.when(n < 50, "low").when(n < 200, _capped(level, F.lit("medium"))).otherwise(level)
         level = F.when(F.col("weak_support"), "low").otherwise(level)
         level = F.when(F.col("late_leak"), _capped(level, F.lit("medium"))).otherwise(level)
-    plural = lambda c: F.when(c == 1, "").otherwise("s")
-    reason = (
-        F.when(crit > 0, F.format_string("%d critical finding%s with direct evidence.", crit, plural(crit)))
-        .when(high > 0, F.format_string("%d high-severity finding%s with measurable evidence.", high, plural(high)))
-        .when(evidence >= 3, F.format_string(f"%d {kind} findings point the same way.", evidence))
-        .when(n < 100, "The sample is small, which limits confidence.")
-        .when(sampled, "The score rests on a repeatable sample of a larger table.")
-        .when(evidence > 0, "A few measurable findings support the score.")
-        .otherwise("Nothing major was found; confidence rests on schema and sample size.")
+    # the numbers that the level was decided by
+    reason = F.concat(
+        F.format_string(f"%d {kind} findings (critical %d, high %d) over %d rows", evidence, crit, high, n),
+        F.when(sampled, ", drawn from a larger table").otherwise(""), F.lit("."),
     )
     return level, reason
 

@@ -71,6 +71,7 @@ ENGINES = (
 
 @dataclass(frozen=True)
 class Settings:
+    # Every threshold below, up to the execution bounds, decides what is found.
     # input limits; None switches a limit off
     max_columns: int | None = None
     max_rows: int | None = None

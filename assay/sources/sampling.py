@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.columns import col, quoted
+from ..operators.columns import col
 from ..operators.duplicates import row_digest
 from ..settings import DEFAULTS
 
@@ -30,10 +30,13 @@ def cap_rows(
     """``(frame, sampled, rows before)``: at most ``n`` rows, the same ones for any partitioning.
 
     Rows are drawn by a hash of their key (by default all columns). A hash
-    threshold lets about ``n`` rows through before anything is sorted; equal
-    rows are counted, not carried, so a huge group of copies is one row until
-    the end. The final ranking sees about ``n`` rows.
+    threshold lets about ``n`` rows through, the exact ``n``-th draw is found
+    among their numbers alone, and a filter keeps what lies before it: rows are
+    neither sorted nor shuffled. Rows that share the last draw are alike, and as
+    many of them as are wanted are taken.
     """
+    from ..operators.order_stats import order_statistics
+
     n = n if n is not None else DEFAULTS.row_cap
     total = df.count()
     if total <= n:
@@ -42,21 +45,15 @@ def cap_rows(
     share = (n + 8 * math.sqrt(n) + 100) / total
     while True:
         near = drawn.filter(F.col("__draw") < share)
-        if share >= 1.0 or near.count() >= n:
+        found = near.count()
+        if share >= 1.0 or found >= n:
             break
         share = min(1.0, share * 2)
-    groups = near.groupBy("__draw", *[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
-    order = Window.orderBy("__draw", *[_sortable(df, c) for c in df.columns])
-    # about n rows by now, which is what the caller asked to hold
-    upto = F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    kept = groups.withColumn("__take", F.least(F.col("__n"), F.lit(n) - (upto - F.col("__n")))).filter("__take > 0")
-    rows = kept.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__take")))
-    return rows.select(*[quoted(c) for c in df.columns]), True, total
-
-
-def _sortable(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType.typeName()
-    return F.to_json(F.struct(col(name))) if kind in ("map", "variant") else col(name)
+    long = near.select(F.lit("draw").alias("column"), F.col("__draw").alias("value"))
+    last = order_statistics(long, {"draw": [(n - 1, n - 1)]}, {"draw": found})[("draw", n - 1)]
+    before = near.filter(F.col("__draw") < last)
+    rest = near.filter(F.col("__draw") == last).limit(n - before.count())
+    return before.unionByName(rest).drop("__draw"), True, total
 
 
 def sample_share(df: DataFrame, share: float, seed: int = 42, key: list[str] | None = None) -> DataFrame:

@@ -27,10 +27,10 @@ def streaming_totals(events: DataFrame) -> DataFrame:
 
 
 def first_seen_visitors(events: DataFrame) -> DataFrame:
-    """Each known visitor once per watermark window, exactly: count downstream for exact uniques.
+    """Each known visitor once per watermark window. A visitor who returns after the watermark has passed appears again.
 
     ``events`` must come from ``with_event_time``. State is one key per visitor,
-    dropped as the watermark passes.
+    dropped as the watermark passes; uniques over all time need ``usage_totals`` on the log.
     """
     return (
         events.withColumn("visitor", known_visitor())

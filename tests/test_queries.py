@@ -1,23 +1,14 @@
-"""Registered queries against their SQL. ``ASSAY_ALL_QUERIES=1`` runs all of them."""
+"""Every registered query against its SQL."""
 
 from __future__ import annotations
 
-import os
-
 import pytest
 from compare import connect, difference, spark_side, sql_side
 
 from __spark_entry__ import entry, oracle_sql, queries
+from assay.catalog.registry import REGISTRY
 
-QUICK = [
-    "csv_scan", "input_limits", "head_probe", "sample_values", "first_seen_values", "profile_part_text", "profile_embeddings",
-    "value_frequencies", "missing_cluster", "missing_time_regime", "co_missing", "duplicate_rows", "conflicting_ids",
-    "class_imbalance", "outlier_statistics", "level_codes", "association_leaky", "near_duplicate_columns",
-    "correlation_matrix_by_products", "post_outcome_columns", "capped_penalties", "verdicts", "usage_totals",
-    "over_limit_attempts", "anonymized_events", "fill_median", "fill_median_by_year", "majority_labels",
-    "stratified_split_counts", "class_weights", "winsorized", "rare_levels_grouped", "units_stripped",
-]
-KEYS = list(queries()) if os.environ.get("ASSAY_ALL_QUERIES") else QUICK
+KEYS = [key for key in queries() if key in REGISTRY]  # the text-collection queries have tests of their own
 
 
 @pytest.fixture(scope="module")
