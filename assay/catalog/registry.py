@@ -92,14 +92,34 @@ def _(spark, folder):
     return limits.input_limits(table(spark, folder, "region"))
 
 
-@register("report_as_json", "S4")
+@register(
+    "report_as_json", "S4",
+    O.profile_ctes(["nation"]) + """ SELECT run_id, ordinal, column_name AS "column", dtype AS dtype_inferred, n_unique, n_rows, true AS scored FROM p""",
+)
 def _(spark, folder):
-    return sinks.report_json(analyze(frame(spark, folder, "nation"), "nation"))
+    """The JSON text read back: one row per column it describes, and whether its scores are there."""
+    text = sinks.report_json(analyze(frame(spark, folder, "nation"), "nation"))
+    shape = "integrity_score double, overall_score double, verdict string, generated_at string, findings array<struct<code string>>, " \
+            "columns array<struct<ordinal int, column string, dtype_inferred string, n_unique bigint, n_rows bigint>>"
+    read = text.select("run_id", F.from_json("report", shape).alias("r"))
+    scored = (F.col("r.overall_score").between(0, 100) & F.col("r.verdict").isNotNull() & F.col("r.generated_at").rlike("^[0-9]{4}-.*Z$")).alias("scored")
+    return read.select("run_id", scored, F.inline("r.columns"))
 
 
-@register("report_as_markdown", "S7")
+@register(
+    "report_as_markdown", "S7",
+    f"""SELECT 'part_text' AS run_id, '# Data quality report: part_text' AS first, '**Rows:** ' || format('{{:,}}', count(*)) || ' | **Columns:** 10' AS shape, true AS complete
+FROM ({sql_of('part_text')})""",
+)
 def _(spark, folder):
-    return analyze(frame(spark, folder, "part_text"), "part_text").markdown()
+    """First line, line of the shape, and whether every finding is listed under the announced number and the text is closed."""
+    report = analyze(frame(spark, folder, "part_text"), "part_text")
+    lines = F.split("markdown", "\n")
+    starts = lambda mark: F.filter(lines, lambda line: line.startswith(mark))
+    listed = F.size(starts("### ["))
+    told = F.regexp_extract(F.get(starts("## Findings ("), F.lit(0)), r"\((\d+)\)", 1).cast("int")
+    complete = (listed == told) & (told == report.findings.count()) & F.element_at(lines, -1).rlike("^_Made .*Z[.]_$")
+    return report.markdown().select("run_id", lines[0].alias("first"), F.get(starts("**Rows:**"), F.lit(0)).alias("shape"), complete.alias("complete"))
 
 
 @register("analysis_report", "S2")
@@ -108,15 +128,34 @@ def _(spark, folder):
     return report.findings.select("run_id", "seq", "engine", "code", "severity", "category", "column", "integrity_penalty", "readiness_penalty_applied")
 
 
-@register("capped_rows", "T1")
+@register(
+    "capped_rows", "T1",
+    f"SELECT least(5000, count(*)) AS n_rows, true AS sampled, count(*) AS total, 0::BIGINT AS strangers, 0::BIGINT AS moved FROM ({sql_of('copies')})",
+)
 def _(spark, folder):
-    rows, _, _ = sampling.cap_rows(frame(spark, folder, "copies"), 5_000)
-    return rows
+    """Size, rows that are not of the table, and rows that change with the partitioning."""
+    df = frame(spark, folder, "copies")
+    rows, sampled, total = sampling.cap_rows(df, 5_000)
+    again, _, _ = sampling.cap_rows(df.repartition(7), 5_000)
+    out = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(sampled).alias("sampled"), F.lit(total).cast("bigint").alias("total"))
+    return out.crossJoin(rows.exceptAll(df).agg(F.count(F.lit(1)).alias("strangers"))).crossJoin(  # three single rows
+        rows.exceptAll(again).agg(F.count(F.lit(1)).alias("moved")))
 
 
-@register("hash_sample", "T2")
+@register(
+    "hash_sample", "T2",
+    "SELECT count(*) AS n_rows, 0::BIGINT AS strangers, true AS near, count(DISTINCT l_orderkey) AS n_keys, 0::BIGINT AS split_keys FROM lineitem",
+)
 def _(spark, folder):
-    return sampling.sample_share(table(spark, folder, "lineitem"), 0.25)
+    """Size within a tenth, rows that are not of the table, and keys that a sample by key has torn apart."""
+    df = table(spark, folder, "lineitem")
+    rows, by_key = sampling.sample_share(df, 0.25), sampling.sample_share(df, 0.25, key=["l_orderkey"])
+    total = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("l_orderkey").alias("n_keys"))
+    size = rows.agg(F.count(F.lit(1)).alias("drawn"))
+    torn = df.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).join(by_key.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("k")), "l_orderkey")
+    single = total.crossJoin(size).crossJoin(rows.exceptAll(df).agg(F.count(F.lit(1)).alias("strangers")))  # single rows
+    single = single.crossJoin(torn.filter("n <> k").agg(F.count(F.lit(1)).alias("split_keys")))
+    return single.select("n_rows", "strangers", (F.abs(F.col("drawn") / F.col("n_rows") - 0.25) < 0.025).alias("near"), "n_keys", "split_keys")
 
 
 _PROBE_SQL = " UNION ALL ".join(
@@ -310,11 +349,22 @@ def _(spark, folder):
     )
 
 
-@register("table_classifier", "M4")
-def _(spark, folder):
-    examples = frame(spark, folder, "labelled").filter("quality is not null").select("doc_id", "lang", "source", "n_chars", "toxic", "quality")
-    model = classifier.train_classifier(examples, "quality", trees=20)
-    return classifier.predict(model, examples, "quality").groupBy("quality", "predicted").agg(F.count(F.lit(1)).alias("n"))
+@register(
+    "table_classifier", "M4",
+    "SELECT count(*) AS n_rows, count(DISTINCT l_returnflag) AS n_classes, true AS learned FROM lineitem WHERE l_orderkey % 5 = 0",
+)
+def _(spark, folder):
+    """Every fifth order is held out; ``learned``: the forest beats the commonest class on them by ten points."""
+    rows = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_quantity", "l_linestatus", "l_returnflag", F.datediff("l_shipdate", F.lit("1992-01-01")).alias("day"),
+        F.concat("l_returnflag", (F.col("l_orderkey") % 3).cast("string")).alias("mark"))
+    held = rows.filter("l_orderkey % 5 = 0")
+    model = classifier.train_classifier(rows.filter("l_orderkey % 5 <> 0").drop("l_orderkey"), "l_returnflag")
+    out = classifier.predict(model, held.drop("l_orderkey"), "l_returnflag")
+    right = F.avg((F.col("predicted") == F.col("l_returnflag")).cast("double"))
+    most = held.groupBy("l_returnflag").count().agg(F.max("count")).first()[0]
+    return out.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("l_returnflag").alias("n_classes"), right.alias("right")).select(
+        "n_rows", "n_classes", (F.col("right") > F.lit(most) / F.col("n_rows") + 0.1).alias("learned"))
 
 
 # --- missing values -------------------------------------------------------------
