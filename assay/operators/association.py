@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -184,9 +185,11 @@ def spearman(encoded: Encoded, features: list[Feature], settings: Settings = DEF
     """``column, rho``: Pearson correlation of average ranks, per feature over its present rows.
 
     The target is ranked once for all complete features and once per feature
-    with gaps. Rows are then grouped by (feature, value) with the sum of the
-    target's ranks, so a value shared by a third of the rows is one row when the
-    feature itself is ranked.
+    with gaps. The common rank is joined to the wide rows, before they are
+    multiplied by features; both sides are plain columns, so a target value
+    shared by a third of the rows is split. Rows are then grouped by (feature,
+    value) with the sum of the target's ranks, so a frequent value is one row
+    when the feature itself is ranked.
     """
     df = encoded.df
     group = {f.name: (f.name if f.nullable and f.numeric else "") for f in features}
@@ -210,15 +213,23 @@ def spearman(encoded: Encoded, features: list[Feature], settings: Settings = DEF
         .join(F.broadcast(totals), "grp")  # one row per group of features
         .select("grp", "y", ((F.col("ry") - (F.col("total") + 1) / 2) / F.col("total")).alias("ry"))
     )
-    if size <= settings.broadcast_rows:
-        y_ranks = F.broadcast(y_ranks)
-    names = F.create_map(*[F.lit(v) for pair in group.items() for v in pair])
-    long = long_form(df, xs, value="x", keep={"y": F.col("y")}).withColumn("grp", names[F.col("column")])
-    grouped = (
-        long.join(y_ranks, ["grp", "y"])
-        .groupBy("column", F.col("x").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("ry").alias("s"), F.sum(F.col("ry") * F.col("ry")).alias("q"))
-    )
+    small = F.broadcast if size <= settings.broadcast_rows else lambda ranks: ranks
+
+    def summed(long: DataFrame) -> DataFrame:
+        return long.groupBy("column", F.col("x").alias("value")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("ry").alias("s"), F.sum(F.col("ry") * F.col("ry")).alias("q")
+        )
+
+    parts = []
+    if complete := {f.name: xs[f.name] for f in features if not group[f.name]}:
+        common = y_ranks.filter("grp = ''").select("y", "ry")
+        wide = df.join(small(common), "y")
+        parts.append(summed(long_form(wide, complete, value="x", keep={"ry": F.col("ry")})))
+    if gappy:
+        own = long_form(df, {f.name: xs[f.name] for f in gappy}, value="x", keep={"y": F.col("y")})
+        own_ranks = small(y_ranks.filter("grp <> ''").withColumnRenamed("grp", "column"))
+        parts.append(summed(own.join(own_ranks, ["column", "y"])))
+    grouped = reduce(DataFrame.unionByName, parts)
     # at most the distinct values of the features, and their codes for a missing label
     known = [f.n_unique for f in features]
     hint = None if None in known else sum(known) + len(features)
