@@ -27,7 +27,10 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Measure:
-    """One adaptive rule: quartile plus ``reach`` times the quartile distance, at least ``slack`` from the median, in bounds."""
+    """One adaptive rule: quartile plus ``reach`` times the quartile distance, at least ``slack`` from the median, in bounds.
+
+    ``short`` loosens a cutoff by itself over the number of words, as means of few words scatter.
+    """
 
     name: str
     reach: float
@@ -35,12 +38,15 @@ class Measure:
     low: float  # the upper cutoff is never below
     high: float  # nor above
     floor: float | None = None  # the lower cutoff, where there is one, is never above this
+    short: float = 0.0
 
 
 MEASURES = (
-    Measure("mean_word", 6.0, 2.0, 6.0, 12.0, floor=3.0),
+    Measure("mean_word", 6.0, 2.0, 6.0, 12.0, floor=3.0, short=40.0),
     Measure("symbol_share", 3.0, 0.1, 0.1, 0.3),
     Measure("duplicate_lines", 3.0, 0.4, 0.4, 0.6),
+    Measure("upper_share", 6.0, 0.2, 0.3, 0.6),
+    Measure("stutter_share", 6.0, 0.15, 0.2, 0.4),
 )
 ACCURACY = 0.01
 SMALL_GROUP = 200
@@ -51,13 +57,11 @@ def _repeat_words(words: Column) -> Column:
     windows = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(*[words[i + k] for k in range(WINDOW)]))
 
     def covered(starts: Column) -> Column:
-        gaps = F.zip_with(F.slice(starts, F.lit(2), F.size(starts) - 1), F.slice(starts, F.lit(1), F.size(starts) - 1),
-                          lambda b, a: F.least(F.lit(WINDOW), b - a))
+        gaps = _neighbours(starts, lambda a, b: F.least(F.lit(WINDOW), b - a))
         return F.aggregate(gaps, F.lit(WINDOW), lambda total, gap: total + gap)
 
     def starts_of(pairs: Column) -> Column:  # sorted by window: equal windows are neighbours
-        near = F.zip_with(F.slice(pairs, F.lit(1), F.size(pairs) - 1), F.slice(pairs, F.lit(2), F.size(pairs) - 1),
-                          lambda a, b: F.when(a.h == b.h, F.array(a.p, b.p)).otherwise(F.array().cast("array<int>")))
+        near = _neighbours(pairs, lambda a, b: F.when(a.h == b.h, F.array(a.p, b.p)).otherwise(F.array().cast("array<int>")))
         return F.sort_array(F.array_distinct(F.flatten(near)))
 
     def count(hashes: Column) -> Column:
@@ -67,6 +71,12 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW + 1, F.lit(0)).otherwise(bind(windows, count))
 
 
+def _neighbours(array: Column, test) -> Column:
+    """``test`` of every element and the next one."""
+    n = F.greatest(F.size(array) - 1, F.lit(0))
+    return F.zip_with(F.slice(array, F.lit(1), n), F.slice(array, F.lit(2), n), test)
+
+
 def measures(text: Column) -> Column:
     """A struct of counts of the whole text. Bound once, so that reading its fields does not repeat the work."""
 
@@ -78,6 +88,7 @@ def measures(text: Column) -> Column:
             F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             _repeat_words(words).cast("long").alias("n_repeat_words"),
+            F.size(F.filter(_neighbours(words, lambda a, b: a == b), lambda same: same)).cast("long").alias("n_stutter"),
         )
 
     def of_lines(lines: Column) -> Column:
@@ -86,14 +97,14 @@ def measures(text: Column) -> Column:
 
     return bind(F.coalesce(text, F.lit("")), lambda t: F.struct(
         bind(words_of(t), of_words).alias("w"), bind(lines_of(t), of_lines).alias("l"),
-        F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols")))
+        F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long").alias("n_upper")))
 
 
 def measured(rows: DataFrame, text: Column) -> DataFrame:
     """``rows`` with the counts and the base rule; ``rows`` must not have columns of these names."""
     own = list(rows.columns)
     wide = rows.select(*own, measures(text).alias("_m"))
-    counts = {"n_words": "w", "word_chars": "w", "n_symbols": "", "n_dup_lines": "l", "n_repeat_words": "w", "n_lines": "l"}
+    counts = {"n_words": "w", "word_chars": "w", "n_symbols": "", "n_dup_lines": "l", "n_repeat_words": "w", "n_lines": "l", "n_upper": "", "n_stutter": "w"}
     out = wide.select(*own, *[F.col(f"_m.{part + '.' if part else ''}{name}").alias(name) for name, part in counts.items()])
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", failed)
@@ -105,6 +116,8 @@ def _values() -> dict[str, Column]:
         "mean_word": per("word_chars", "n_words"),
         "symbol_share": per("n_symbols", "n_words"),
         "duplicate_lines": per("n_dup_lines", "n_lines"),
+        "upper_share": per("n_upper", "word_chars"),
+        "stutter_share": per("n_stutter", "n_words"),
     }
 
 
@@ -167,8 +180,9 @@ def judged(counts: DataFrame, limits: DataFrame) -> DataFrame:
     right = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[c for c in limits.columns if c[:4] in ("max_", "min_")])
     both = counts.join(right, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     values = _values()
-    good = [values[m.name] <= F.col(f"max_{m.name}") for m in MEASURES]
-    good += [values[m.name] >= F.col(f"min_{m.name}") for m in MEASURES if m.floor is not None]
+    loose = {m.name: F.lit(m.short) / F.greatest(F.col("n_words"), F.lit(1)) for m in MEASURES}
+    good = [values[m.name] <= F.col(f"max_{m.name}") + loose[m.name] for m in MEASURES]
+    good += [values[m.name] >= F.col(f"min_{m.name}") - loose[m.name] for m in MEASURES if m.floor is not None]
     kept = F.coalesce(~F.col("base_failed") & reduce(lambda a, b: a & b, good), F.lit(False))
     return both.select(*counts.columns, kept.alias("kept"))
 

@@ -112,18 +112,22 @@ WITH d AS (
   SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM (
     SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS k FROM d, LATERAL (SELECT unnest(range(1, len(ws) - 3)) AS i))
 ), covered AS (SELECT r, count(DISTINCT i + o) AS n FROM windows, (SELECT unnest(range(0, 5)) AS o) WHERE c > 1 GROUP BY r
+), stutter AS (SELECT r, count(*) AS n FROM (SELECT r, ws, unnest(range(2, len(ws) + 1)) AS i FROM d) WHERE ws[i] = ws[i - 1] GROUP BY r
 ), lines AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r
 ), m AS (
   SELECT d.r, doc_id, lang, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
-         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(l.dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_lines
-  FROM d LEFT JOIN covered c USING (r) LEFT JOIN lines l USING (r)
+         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(l.dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_lines,
+         len(regexp_extract_all(text, '\\p{Lu}')) AS n_upper, coalesce(s.n, 0) AS n_stutter
+  FROM d LEFT JOIN covered c USING (r) LEFT JOIN lines l USING (r) LEFT JOIN stutter s USING (r)
 ), f AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
          CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbol_share,
-         CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS duplicate_lines FROM m
+         CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS duplicate_lines,
+         CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0 END AS upper_share, CASE WHEN n_words > 0 THEN n_stutter / n_words ELSE 0 END AS stutter_share FROM m
 ), v AS (
-  SELECT lang, source, unnest(['mean_word', 'symbol_share', 'duplicate_lines']) AS measure, unnest([mean_word, symbol_share, duplicate_lines]) AS x FROM f WHERE NOT base_failed
+  SELECT lang, source, unnest(['mean_word', 'symbol_share', 'duplicate_lines', 'upper_share', 'stutter_share']) AS measure,
+         unnest([mean_word, symbol_share, duplicate_lines, upper_share, stutter_share]) AS x FROM f WHERE NOT base_failed
 ), b AS (SELECT lang, source, measure, CASE WHEN x > 0 THEN ceil(ln(x) / ln(1.01 / 0.99)) ELSE -1e9 END AS b, count(*) AS n FROM v GROUP BY ALL
 ), levels AS (
   SELECT 1 AS level, lang, source, measure, b, n FROM b
@@ -147,12 +151,15 @@ WITH d AS (
     max(greatest(6.0, least(12.0, greatest(q2 + 2.0, q3 + 6 * (q3 - q1))))) FILTER (measure = 'mean_word') AS top_word,
     max(least(3.0, least(q2 - 2.0, q1 - 6 * (q3 - q1)))) FILTER (measure = 'mean_word') AS low_word,
     max(greatest(0.1, least(0.3, greatest(q2 + 0.1, q3 + 3 * (q3 - q1))))) FILTER (measure = 'symbol_share') AS top_symbol,
-    max(greatest(0.4, least(0.6, greatest(q2 + 0.4, q3 + 3 * (q3 - q1))))) FILTER (measure = 'duplicate_lines') AS top_lines
+    max(greatest(0.4, least(0.6, greatest(q2 + 0.4, q3 + 3 * (q3 - q1))))) FILTER (measure = 'duplicate_lines') AS top_lines,
+    max(greatest(0.3, least(0.6, greatest(q2 + 0.2, q3 + 6 * (q3 - q1))))) FILTER (measure = 'upper_share') AS top_upper,
+    max(greatest(0.2, least(0.4, greatest(q2 + 0.15, q3 + 6 * (q3 - q1))))) FILTER (measure = 'stutter_share') AS top_stutter
   FROM chosen GROUP BY lang, source
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  coalesce(NOT base_failed AND mean_word <= top_word AND mean_word >= low_word AND symbol_share <= top_symbol AND duplicate_lines <= top_lines, false) AS kept
+  coalesce(NOT base_failed AND mean_word <= top_word + 40 / greatest(n_words, 1) AND mean_word >= low_word - 40 / greatest(n_words, 1) AND symbol_share <= top_symbol
+    AND duplicate_lines <= top_lines AND upper_share <= top_upper AND stutter_share <= top_stutter, false) AS kept
 FROM f LEFT JOIN cut ON f.lang IS NOT DISTINCT FROM cut.lang AND f.source IS NOT DISTINCT FROM cut.source
 """
 
