@@ -10,45 +10,30 @@ from pyspark.sql import functions as F
 from ..functions import as_datetime, as_number, ratio
 from ..settings import DEFAULTS, Settings
 from .columns import col, long_form
+from .correlation import pair_sums
 from .findings import emit, finding, percent
 
 
-def null_patterns(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``missing ARRAY<INT>, n``: which of the columns are missing together, and how often.
-
-    One map-side combined grouping; the number of patterns, not of rows, decides
-    the cost of everything that follows.
-    """
-    gaps = F.array_compact(F.array(*[F.when(col(c).isNull(), i) for i, c in enumerate(columns)]))
-    return df.select(gaps.alias("missing")).filter(F.size("missing") > 0).groupBy("missing").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-
-
 def mask_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     """Correlation of null masks for pairs of columns that are ever missing together.
 
     ``column, column2, place, place2, corr``; pairs that never coincide have no
-    positive correlation and are left out.
+    positive correlation and are left out. One scan with matrix products of the
+    masks per Arrow batch, whatever the number of patterns.
     """
     names = F.array(*[F.lit(c) for c in columns])
     # one row of counts
     totals = df.agg(F.count(F.lit(1)), *[F.count_if(col(c).isNull()) for c in columns]).first()
-    pairs = F.flatten(
-        F.transform(
-            "missing",
-            lambda a, i: F.transform(
-                F.slice("missing", i + 2, F.size("missing")), lambda b: F.struct(a.alias("a"), b.alias("b"))
-            ),
-        )
-    )
-    both = (
-        null_patterns(df, columns)
-        .filter(F.size("missing") > 1)
-        .select(F.explode(pairs).alias("p"), "n")
-        .groupBy("p.a", "p.b")
-        .agg(F.sum("n").cast("double").alias("nab"))
-    )
+    masks = df.select(*[col(c).isNull().cast("float").alias(f"m{i}") for i, c in enumerate(columns)])
+
+    def together(x):
+        import numpy as np
+
+        i, j = np.triu_indices(len(columns), 1)
+        return (x.T @ x)[i, j][None, :]
+
+    both = pair_sums(masks, together, len(columns), ("nab",)).filter("nab > 0").select(
+        F.col("place").alias("a"), F.col("place2").alias("b"), "nab")
     gaps = F.array(*[F.lit(float(m)) for m in totals[1:]])
     na, nb, n = F.get(gaps, F.col("a")), F.get(gaps, F.col("b")), F.lit(float(totals[0]))
     r = F.try_divide(n * F.col("nab") - na * nb, F.sqrt(na * (n - na)) * F.sqrt(nb * (n - nb)))

@@ -272,3 +272,37 @@ def test_first_seen_order(spark):
     df = spark.createDataFrame([(3, "a"), (1, "c"), (2, "b"), (4, "c")], "i int, v string")
     got = value_counts.sample_values(df.select("i", "v"), 2, F.col("i")).filter("column = 'v'").orderBy("position").collect()
     assert [r["value"] for r in got] == ["c", "b"]
+
+
+def test_mask_correlation_of_many_columns_missing_at_random(spark):
+    rng = np.random.default_rng(12)
+    gaps = rng.random((300, 60)) < 0.5
+    gaps[:, 7] = gaps[:, 3]
+    names = [f"c{i}" for i in range(60)]
+    df = spark.createDataFrame(pd.DataFrame(np.where(gaps, None, 1.0), columns=names).astype(object), ", ".join(f"{n} double" for n in names)).repartition(5)
+    found = {(r["place"], r["place2"]): r["corr"] for r in missingness.mask_correlation(df, names).collect()}
+    exact = np.corrcoef(gaps.T.astype(float))
+    assert len(found) == 60 * 59 // 2
+    assert max(abs(found[i, j] - exact[i, j]) for i, j in found) < 1e-6 and found[3, 7] == 1.0
+
+
+def test_median_by_group_of_many_groups(spark):
+    df = spark.range(30_000).select("id", (F.col("id") % 10_000).alias("g"), F.when(F.col("id") < 20_000, F.col("id")).alias("v"))
+    out = repair.fill_median_by(df, "v", F.col("g"), Settings(exact_in_one_pass=1000))
+    wrong = out.filter((F.col("id") >= 20_000) & (F.col("v") != F.col("g") + 5000))
+    assert out.count() == 30_000 and wrong.count() == 0 and out.filter("v IS NULL").count() == 0
+
+
+def test_spearman_with_a_hot_target_value(spark):
+    """A third of the rows share one target value, and no rank table is broadcast."""
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=900).round(2), skewed(900)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "gap": np.where(rng.random(900) < 0.2, np.nan, x + y)}))
+    features = [association.Feature("x", "number", True, False), association.Feature("gap", "number", True, True)]
+    tight = dataclasses.replace(DEFAULTS, broadcast_rows=0)
+    encoded = association.encode(missing_as_null(df), features, association.Target("y", "number", False, len(set(y))), tight)
+    found = {r["column"]: r["rho"] for r in association.spearman(encoded, features, tight).collect()}
+    frame = df.toPandas()
+    for c in ("x", "gap"):
+        both = frame[[c, "y"]].dropna().rank()
+        assert abs(found[c] - both[c].corr(both["y"])) < 1e-9
