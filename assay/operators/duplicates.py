@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import ratio
 from ..settings import DEFAULTS, Settings
-from .columns import col, missing_as_null, physical_kind, quoted
+from .columns import col, long_form, missing_as_null, physical_kind, quoted
 from .findings import emit, finding, percent
 
 
@@ -81,17 +79,16 @@ def conflicting_ids(df: DataFrame, id_column: str, target: str) -> DataFrame:
 
 
 def id_conflicts(df: DataFrame, id_columns: list[str], target: str) -> DataFrame:
-    """``column, conflicting_ids`` for every identifier column."""
+    """``column, conflicting_ids`` for every identifier column: one scan and one grouping for all of them."""
     df = missing_as_null(df)
-    parts = [
-        conflicting_ids(df, c, target).agg(F.count(F.lit(1)).alias("conflicting_ids")).select(
-            F.lit(c).alias("column"), "conflicting_ids"
-        )
-        for c in id_columns
-    ]
-    if not parts:
+    if not id_columns:
         return df.sparkSession.createDataFrame([], "column string, conflicting_ids bigint")
-    return reduce(DataFrame.unionByName, parts)
+    sums, differs = label_range(F.col("label"), df.schema[target].dataType)
+    labelled = df.filter(col(target).isNotNull())
+    long = long_form(labelled, {c: col(c).cast("string") for c in id_columns}, value="id", keep={"label": col(target)})
+    clashes = long.groupBy("column", "id").agg(*sums).filter(differs).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    asked = df.sparkSession.createDataFrame([(c,) for c in id_columns], "column string")
+    return asked.join(clashes, "column", "left").select("column", F.coalesce("n", F.lit(0)).alias("conflicting_ids"))
 
 
 # --- findings ---------------------------------------------------------------
