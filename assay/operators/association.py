@@ -76,27 +76,19 @@ def with_target(df: DataFrame, target: Target) -> DataFrame:
     return df.filter(present.isNotNull())
 
 
-def _label(name: str) -> Column:
-    return col(name)
-
-
 def level_codes(df: DataFrame, names: list[str], rows: int | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """``column, level, code``: position of each level among the sorted levels of its column.
 
-    Levels of numeric columns sort as numbers, others as text.
+    Levels of numeric columns sort as numbers, others as text. Columns of one type share a scan and a grouping.
     """
-    parts = []
+    by_type: dict[str, list[str]] = {}
     for name in names:
-        typed = df.select(_label(name).alias("value")).filter("value is not null").groupBy("value").agg(
-            F.count(F.lit(1)).alias("n")
-        ).select(F.lit(name).alias("column"), "value", "n")
-        parts.append(
-            cumulative(typed, rows, settings).select("column", F.col("value").cast("string").alias("level"), "code")
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        by_type.setdefault(df.schema[name].dataType.simpleString(), []).append(name)
+    parts = []
+    for members in by_type.values():
+        typed = long_form(df, {n: col(n) for n in members}).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(cumulative(typed, rows, settings).select("column", F.col("value").cast("string").alias("level"), "code"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def encode(df: DataFrame, features: list[Feature], target: Target, settings: Settings = DEFAULTS) -> Encoded:
