@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder
 
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACES = "[\\x20\\x09-\\x0D]+"  # ASCII white space; everything else belongs to a word
 
 
@@ -21,11 +23,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of the writes inside are removed when each ends: nothing reads them again."""
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here, and a lost executor loses nothing."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bind(value: Column, body) -> Column:

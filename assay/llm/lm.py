@@ -4,13 +4,14 @@ For a word with its context, S = c(context word) / c(context) if the n-gram was
 times the S of the context without its first word, down to c(word) / N. A document's score is the sum of log S over its words.
 Contexts at the start of a document are as long as there is text. All counts cover all documents.
 
-Relations: documents become batches of some hundred thousand words (written once: word numbers and a table of word hashes). Every
-batch yields its distinct n-grams of all orders with their counts, cut by hash into partitions; a partition adds up the counts of
-equal n-grams, which is the count table, and sends each batch the totals of what it asked for. Joined back to their batch, the totals
+Relations: documents become batches of some hundred thousand words (written once: word numbers and a table of word hashes). For
+each order, every batch yields its distinct n-grams with their counts, cut by hash into partitions; a partition adds up the counts
+of equal n-grams, which is the count table, and sends each batch the totals of what it asked for. Joined back to their batch, the totals
 give every word its S, and these are summed per document. An n-gram crosses the network once per batch whatever its number of
 copies, so a frequent one is no hot key; partitions grow in number with the corpus, not in size.
 
-N-grams are compared by 48 bits of a 64-bit hash besides those that pick the partition. Words are ASCII-lower-cased runs without
+Words are compared by 48 bits of a hash, n-grams by 40 bits of a hash besides those that pick the partition. As partitions grow in number with the corpus, the
+chance that an n-gram meets another one of the same bits stays below one in a million. Words are ASCII-lower-cased runs without
 ASCII white space. Defined results: a document without a word (null, empty) has n_words 0 and score 0.0 and a null mean; null or
 repeated ids keep their rows; an empty table gives an empty result; other columns are not read; texts are read whole.
 """
@@ -18,6 +19,7 @@ repeated ids keep their rows; an empty table gives an empty result; other column
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,8 +35,9 @@ ORDER = 3
 MIN_COUNT = 2
 BACKOFF = 0.4
 BATCH_WORDS = 500_000
-PARTITION_KEYS = 1 << 20  # n-grams asked for per partition of the count table, about
-KEPT = 6  # bytes of a hash that travel
+PARTITION_KEYS = 1 << 20  # words of the corpus per partition of a count table
+WORD_BYTES = 6  # of a word's hash
+KEPT = 5  # bytes of a hash that travel
 BATCH = "batch long, ids array<{kind}>, lengths binary, words binary, vocab binary"
 
 
@@ -55,7 +58,7 @@ def batches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
             vocab = np.fromiter((xxhash.xxh64_intdigest(w) for w in place), np.uint64, len(place))
             return pa.RecordBatch.from_arrays([
                 pa.array([number], pa.int64()), pa.array([ids], pa.list_(stream_type)), pa.array([np.array([len(ws) for ws in lists], "<i8").tobytes()], pa.binary()),
-                pa.array([np.array(flat, "<u4").tobytes()], pa.binary()), pa.array([vocab.tobytes()], pa.binary())],
+                pa.array([_planes(np.array(flat, np.int64), 4)], pa.binary()), pa.array([_planes(vocab, WORD_BYTES)], pa.binary())],
                 names=["batch", "ids", "lengths", "words", "vocab"])
 
         for part in stream:
@@ -87,7 +90,7 @@ def ngrams(words: bytes, vocab: bytes, lengths: bytes, order: int) -> tuple[list
     """Per order the hash of the n-gram that ends at each word (of order n only where ``index`` >= n - 1), the index of each word
     in its document, and the lengths."""
     lengths_ = np.frombuffer(lengths, "<i8")
-    one = np.frombuffer(vocab, np.uint64)[np.frombuffer(words, "<u4")] if len(words) else np.zeros(0, np.uint64)
+    one = _numbers(vocab, WORD_BYTES)[_numbers(words, 4).astype(np.int64)]
     index = np.arange(len(one)) - np.repeat(np.cumsum(lengths_) - lengths_, lengths_)
     hashes = [_mix(one, np.full_like(one, 1))]
     for n in range(2, order + 1):
@@ -96,11 +99,6 @@ def ngrams(words: bytes, vocab: bytes, lengths: bytes, order: int) -> tuple[list
     return hashes, index, lengths_
 
 
-def _distinct(hashes: list[np.ndarray], index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct n-grams of all orders, their place for every (order, word) that has one, and their counts."""
-    return np.unique(np.concatenate([h[index >= n] for n, h in enumerate(hashes)]), return_inverse=True, return_counts=True)
-
-
 def _planes(values: np.ndarray, size: int) -> bytes:
     """Bytes of the same weight side by side, which compresses sorted and small numbers well."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
@@ -113,20 +111,22 @@ def _numbers(planes: bytes, size: int) -> np.ndarray:
 
 
 def requests(tokens: DataFrame, bits: int, order: int) -> DataFrame:
-    """Distinct n-grams of every batch with their counts there, by partition of the hash."""
+    """Distinct n-grams of one order in every batch with their counts there, by partition of the hash."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in stream:
-            for batch, lengths, words, vocab in zip(*[part.column(k).to_pylist() for k in range(4)]):
+            for i in range(part.num_rows):  # one at a time, as a row holds a whole batch
+                batch, lengths, words, vocab = (part.column(k)[i].as_py() for k in range(4))
                 hashes, index, _ = ngrams(words, vocab, lengths, order)
-                keys, _, counts = _distinct(hashes, index)
+                keys, counts = np.unique(hashes[-1][index >= order - 1], return_counts=True)
                 home = (keys >> np.uint64(64 - bits)).astype(np.int64)
+                rest = (keys << np.uint64(bits)) >> np.uint64(64 - 8 * KEPT)  # the next bits, so still in order
                 used, starts = np.unique(home, return_index=True)
                 cuts = [*starts.tolist(), len(keys)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(used, pa.int64()), pa.array([batch] * len(used), pa.int64()),
-                    pa.array([_planes(keys[a:b], KEPT) for a, b in zip(cuts, cuts[1:])], pa.binary()),
-                    pa.array([_planes(counts[a:b], 8) for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["home", "batch", "keys", "counts"])
+                    pa.array([_planes(rest[a:b], KEPT) for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                    pa.array([_planes(counts[a:b], 4) for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["home", "batch", "keys", "counts"])
 
     return tokens.select("batch", "lengths", "words", "vocab").mapInArrow(run, "home long, batch long, keys binary, counts binary")
 
@@ -135,7 +135,7 @@ def _totals(group: pd.DataFrame) -> pd.DataFrame:
     """The count table of one partition, answered batch by batch."""
     keys = [_numbers(k, KEPT) for k in group["keys"]]
     _, place = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.concatenate([_numbers(c, 8) for c in group["counts"]]).astype(np.int64)
+    counts = np.concatenate([_numbers(c, 4) for c in group["counts"]]).astype(np.int64)
     total = np.zeros(place.max() + 1, np.int64)
     np.add.at(total, place, counts)
     cuts = np.cumsum([0, *map(len, keys)])
@@ -158,25 +158,26 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     tokens = saved(batches(docs, id_col, text_col), "lm-batches")
     n_bytes = tokens.agg(F.sum(F.octet_length("words").cast("long"))).first()[0] or 0
     n_all = max(1, n_bytes // 4)
-    bits = max(6, int(np.ceil(np.log2(max(1, order * n_all / PARTITION_KEYS)))))
-    asked = requests(tokens, bits, order)
-    totals = saved(asked.groupBy("home").applyInPandas(_totals, "batch long, home long, totals binary"), "lm-totals")
+    bits = max(8, int(np.ceil(np.log2(max(1, n_all / PARTITION_KEYS)))))
+    tables = []
+    for n in range(1, order + 1):  # one count table after the other, so that the exchange of one order is gone before the next
+        asked = requests(tokens, bits, n).groupBy("home").applyInPandas(_totals, "batch long, home long, totals binary")
+        tables.append(saved(asked.withColumn("n", F.lit(n)), "lm-totals"))
+    totals = reduce(DataFrame.unionByName, tables)
     kind = tokens.schema["ids"].dataType.elementType.simpleString()
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = left.iloc[0]
         hashes, index, lengths = ngrams(row["words"], row["vocab"], row["lengths"], order)
-        _, place, _ = _distinct(hashes, index)
-        answers = right.sort_values("home")["totals"]  # partitions are runs of the sorted n-grams
-        total = np.concatenate([_numbers(t, 8) for t in answers]).astype(np.float64) if len(answers) else np.zeros(0)
-        counts, at = [], 0
+        counts = []
         for n in range(order):
-            have = index >= n
-            column = np.zeros(len(index))
-            column[have] = total[place[at:at + int(have.sum())]]
-            at += int(have.sum())
+            have, column = index >= n, np.zeros(len(index))
+            if have.any():
+                _, place = np.unique(hashes[n][have], return_inverse=True)
+                answers = right[right["n"] == n + 1].sort_values("home")["totals"]  # partitions are runs of the sorted n-grams
+                column[have] = np.concatenate([_numbers(t, 8) for t in answers])[place]
             counts.append(column)
-        logs = np.r_[0.0, np.cumsum(_log_scores(counts, index, n_all, min_count, backoff))] if len(index) else np.zeros(1)
+        logs = np.r_[0.0, np.cumsum(_log_scores(counts, index, n_all, min_count, backoff))]
         ends = np.cumsum(lengths)
         score = logs[ends] - logs[ends - lengths]
         return pd.DataFrame({"id": pd.Series(list(row["ids"]), dtype=object), "n_words": lengths, "score": np.where(lengths > 0, score, 0.0)})
