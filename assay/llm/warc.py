@@ -2,13 +2,14 @@
 
 Writing: one record per page; of pages with equal payloads the smallest id is a ``response``, the others are ``revisit`` records that
 refer to it and carry no payload. Records are written as text with the record separator between them, so every part file is an
-archive.
+archive, gzipped unless asked otherwise.
 
-Reading: the files are split at every occurrence of the record magic, wherever it stands, by Spark's text source and thus in
-parallel within a file. Lengths of the fragments, summed up per block and file, give each occurrence its byte offset. Every one is
+Reading: the files are split at every occurrence of the record magic, wherever it stands, by Spark's text source (in parallel
+within a file that is not gzipped). Lengths of the fragments, summed up per block and file, give each occurrence its byte offset. Every one is
 a candidate; its header's length fields give the offset where its successor must start. Pointer jumping from offset 0 follows these
 links in doubling steps and keeps what it reaches; a magic inside a payload is never reached, and its fragment is put back into
-the record around it. Everything is DataFrame functions.
+the record around it. Only offsets take part; a record that is one fragment, as nearly all are, is taken apart where it is read, and
+payloads move only if they are asked for or lie in several fragments. Everything is DataFrame functions.
 
 Defined results: a null payload is empty; a null url is written empty; a page without an id refers to the response of its payload
 if there is one, and is a response else; several pages with the smallest id are all responses; an empty table gives empty archives;
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import saved, shared_path
+from ._shared import bind, saved, shared_path, tidy
 
 MAGIC = "WARC/1.1\r\n"
 BREAK = "\r\n\r\n"
@@ -29,14 +30,17 @@ DATE = "2000-01-01T00:00:00Z"
 
 def base32_sha1(text: Column) -> Column:
     """SHA-1 in upper-case base 32: five hexadecimal digits make four digits of the result."""
-    digits = F.sha1(text.cast("binary"))
-    groups = [F.lpad(F.conv(F.substring(digits, 1 + 5 * k, 5), 16, 32), 4, "0") for k in range(8)]
-    return F.translate(F.upper(F.concat(*groups)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+    def digits(sha: Column) -> Column:
+        groups = [F.lpad(F.conv(F.substring(sha, 1 + 5 * k, 5), 16, 32), 4, "0") for k in range(8)]
+        return F.translate(F.upper(F.concat(*groups)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+    return bind(F.sha1(text.cast("binary")), digits)
 
 
 def _urn(page: Column, digest: Column) -> Column:
-    h = F.md5(F.concat_ws("/", page.cast("string"), digest).cast("binary"))
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
+    dashed = lambda h: F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return F.concat(F.lit("<urn:uuid:"), bind(F.md5(F.concat_ws("/", page.cast("string"), digest).cast("binary")), dashed), F.lit(">"))
 
 
 def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
@@ -56,6 +60,7 @@ def record(date: str = DATE) -> Column:
     first = F.col("record_type") == "response"
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(BREAK))
     block = F.when(first, F.concat(http, F.col("payload"))).otherwise(http)
+    length = F.octet_length(http) + F.when(first, F.col("payload_bytes")).otherwise(F.lit(0))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     head = F.concat(
         F.lit(MAGIC), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", _urn(F.col("page_id"), F.col("payload_digest"))),
@@ -66,45 +71,75 @@ def record(date: str = DATE) -> Column:
             line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
             line("WARC-Refers-To", _urn(F.col("refers_to"), F.col("payload_digest"))), line("X-Refers-To-Page-Id", F.col("refers_to").cast("string")),
         )).otherwise(F.lit("")),
-        line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"))
+        line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", length.cast("string")), F.lit("\r\n"))
     return F.concat(head, block)
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = DATE) -> None:
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = DATE, compression: str = "gzip") -> None:
     """Archives under ``path``, one per task."""
-    plan(pages, id_col, url_col, payload_col, min_bytes).select(record(date).alias("value")).write.option("lineSep", BREAK).text(path)
+    records = plan(pages, id_col, url_col, payload_col, min_bytes).select(record(date).alias("value"))
+    with tidy(pages.sparkSession):
+        records.write.option("lineSep", BREAK).option("compression", compression).text(path)
 
 
 # --- reading --------------------------------------------------------------------
 
 
+def _field(header: Column, name: str) -> Column:
+    found = F.regexp_extract(header, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)
+    return F.when(found != "", found)
+
+
+def _payload(value: Column, header_chars: Column) -> Column:
+    """The payload of a whole record: behind its own header and that of the response in it."""
+    block = F.substring(value, header_chars + len(BREAK) + 1, F.length(value) - header_chars - 2 * len(BREAK))
+    return bind(block, lambda b: F.substring(b, F.instr(b, BREAK) + len(BREAK), F.length(b)))
+
+
+def _taken_apart(value: Column) -> Column:
+    """Header fields of what follows a magic, whether it is exactly one record, and size and digest of the payload if so."""
+
+    def fields(h: Column) -> Column:
+        length = F.try_to_number(_field(h, "Content-Length"), F.lit("9" * 18))
+        whole = F.coalesce(F.octet_length(value) == F.octet_length(h) + 2 * len(BREAK) + length, F.lit(False)) & F.endswith(value, F.lit(BREAK))
+        said = F.struct(
+            _field(h, "WARC-Type").alias("record_type"), _field(h, "WARC-Target-URI").alias("url"), _field(h, "X-Page-Id").try_cast("long").alias("page_id"),
+            _field(h, "X-Refers-To-Page-Id").try_cast("long").alias("refers_to"), F.substring(_field(h, "WARC-Payload-Digest"), 6, 32).alias("digest"),
+            _field(h, "X-Payload-Length").try_cast("long").alias("bytes"))
+        facts = lambda p: F.struct(F.octet_length(p).cast("long").alias("bytes"), base32_sha1(p).alias("digest"))
+        found = F.when(whole & (_field(h, "WARC-Type") == "response"), bind(_payload(value, F.length(h)), facts))
+        return F.struct(
+            F.contains(value, F.lit(BREAK)).alias("has_header"), F.octet_length(h).alias("header_bytes"), F.length(h).alias("header_chars"),
+            length.cast("long").alias("length"), whole.alias("whole"), said.alias("said"), found.alias("found"))
+
+    return bind(F.substring_index(value, BREAK, 1), fields)
+
+
 def fragments(spark: SparkSession, path: str) -> DataFrame:
-    """What follows each magic up to the next one: file, offset of the magic, value. Written once, so that offsets hold."""
+    """What follows each magic up to the next one, in the order of the files: file, block, seq, size, value and its parts ``r``.
+    Written once, so that offsets hold."""
     raw = spark.read.option("lineSep", MAGIC).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), "value")
-    raw = saved(raw.withColumn("size", F.octet_length("value") + len(MAGIC)), "warc-fragments")
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"),
+        (F.octet_length("value") + len(MAGIC)).alias("size"), "value", bind(F.col("value"), _taken_apart).alias("r"))
+    return saved(raw, "warc-fragments")
+
+
+def places(raw: DataFrame) -> DataFrame:
+    """Byte offset of the magic before every fragment: sizes summed up per block, and block totals per file."""
     blocks = raw.groupBy("file", "block").agg(F.sum("size").alias("size"))
     ahead = F.sum("size").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     bases = blocks.select("file", "block", F.coalesce(ahead, F.lit(0)).alias("base"))
     inner = F.sum("size").over(Window.partitionBy("file", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    places = raw.select("file", "block", "seq", F.coalesce(inner, F.lit(0)).alias("inner")).join(bases, ["file", "block"]) \
-        .select("seq", (F.col("base") + F.col("inner") - len(MAGIC)).alias("offset"))
-    return saved(raw.select("file", "seq", "value").join(saved(places, "warc-places"), "seq").select("file", "offset", "value"), "warc-placed")
-
-
-def _field(header: Column, name: str) -> Column:
-    found = F.regexp_extract(header, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)
-    return F.when(found != "", found)
+    small = raw.select("file", "block", "seq", F.coalesce(inner, F.lit(0)).alias("inner"), F.col("r.has_header").alias("has_header"),
+                       F.col("r.header_bytes").alias("header_bytes"), F.col("r.length").alias("length"), F.col("r.whole").alias("whole"))
+    placed = small.join(bases, ["file", "block"]).withColumn("offset", F.col("base") + F.col("inner") - len(MAGIC))
+    return saved(placed.where("offset >= 0").drop("block", "base", "inner"), "warc-places")
 
 
 def candidates(placed: DataFrame) -> DataFrame:
     """Offsets of candidates and of the successors that their headers announce."""
-    header = F.substring_index("value", BREAK, 1)
-    length = F.expr("try_cast(x AS bigint)".replace("x", "_length"))
-    heads = placed.where((F.col("offset") >= 0) & F.contains(F.col("value"), F.lit(BREAK))).select("file", "offset", header.alias("header"))
-    sized = heads.select("file", "offset", F.octet_length("header").alias("n"), _field(F.col("header"), "Content-Length").alias("_length"))
-    after = F.col("offset") + len(MAGIC) + F.col("n") + len(BREAK) + length + len(BREAK)
-    return sized.where(length >= 0).select("file", "offset", after.alias("next"))
+    after = F.col("offset") + len(MAGIC) + F.col("header_bytes") + len(BREAK) + F.col("length") + len(BREAK)
+    return placed.where("has_header AND length >= 0").select("file", "offset", after.alias("next"))
 
 
 def reachable(links: DataFrame) -> DataFrame:
@@ -128,26 +163,24 @@ def reachable(links: DataFrame) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Verified records: file, offset, record_type, url, page_id, refers_to, payload (null for revisits), payload_bytes, payload_digest
     (recomputed where the payload is there, else as written) and ``intact``, whether both agree with the header."""
-    placed = fragments(spark, path)
-    starts = reachable(candidates(placed)).withColumn("start", F.col("offset"))
-    keys = placed.where("offset >= 0").select("file", "offset").join(starts, ["file", "offset"], "left")
-    owner = F.last("start", ignorenulls=True).over(Window.partitionBy("file").orderBy("offset"))  # small rows of one file
-    owned = saved(keys.select("file", "offset", owner.alias("owner")).where("owner IS NOT NULL"), "warc-owned")
-    parts = placed.join(owned, ["file", "offset"]).groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("parts"))
-    whole = parts.select("file", F.col("owner").alias("offset"), F.array_join(F.col("parts.value"), MAGIC).alias("value"))
-    header = whole.select("file", "offset", F.substring_index("value", BREAK, 1).alias("header"), "value")
-    rest = header.withColumn("block", F.expr(f"substring(value, length(header) + {len(BREAK)} + 1, length(value) - length(header) - {2 * len(BREAK)})"))
-    h = F.col("header")
-    fields = rest.select(
-        "file", "offset", _field(h, "WARC-Type").alias("record_type"), _field(h, "WARC-Target-URI").alias("url"),
-        _field(h, "X-Page-Id").cast("long").alias("page_id"), _field(h, "X-Refers-To-Page-Id").cast("long").alias("refers_to"),
-        F.substring(_field(h, "WARC-Payload-Digest"), 6, 32).alias("said_digest"), _field(h, "X-Payload-Length").cast("long").alias("said_bytes"),
-        F.when(_field(h, "WARC-Type") == "response", F.expr(f"substring(block, instr(block, '{BREAK}') + {len(BREAK)})")).alias("payload"))
-    size, digest = F.octet_length("payload").cast("long"), base32_sha1(F.col("payload"))
-    return fields.select(
-        "file", "offset", "record_type", "url", "page_id", "refers_to", "payload", F.coalesce(size, "said_bytes").alias("payload_bytes"),
-        F.coalesce(digest, "said_digest").alias("payload_digest"),
-        F.coalesce((size == F.col("said_bytes")) & (digest == F.col("said_digest")), F.lit(True)).alias("intact"))
+    raw = fragments(spark, path)
+    placed = places(raw)
+    starts = reachable(candidates(placed)).select("file", "offset", F.lit(True).alias("start"))
+    begun = F.when(F.col("start"), F.struct(F.col("offset").alias("at"), "whole"))
+    owner = F.last(begun, ignorenulls=True).over(Window.partitionBy("file").orderBy("offset"))  # small rows of one file
+    owned = placed.join(starts, ["file", "offset"], "left").select("seq", "offset", owner.alias("owner")).where("owner IS NOT NULL")
+    owned = saved(owned.select("seq", "offset", F.col("owner.at").alias("at"), F.col("owner.whole").alias("alone")), "warc-owned")
+    one = raw.join(owned.where("alone AND offset = at"), "seq").select("file", "offset", "value", "r")
+    split = saved(owned.where("NOT alone"), "warc-split")  # mostly none: by the size of this table Spark decides whether payloads move
+    parts = raw.join(split, "seq").groupBy("file", "at").agg(F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("parts"))
+    joined = parts.select("file", F.col("at").alias("offset"), F.array_join(F.col("parts.value"), MAGIC).alias("value"))
+    several = joined.select("file", "offset", "value", bind(F.col("value"), _taken_apart).alias("r"))
+    r = lambda name: F.col(f"r.{name}")
+    return one.unionByName(several).select(
+        "file", "offset", r("said.record_type").alias("record_type"), r("said.url").alias("url"), r("said.page_id").alias("page_id"),
+        r("said.refers_to").alias("refers_to"), F.when(r("found").isNotNull(), _payload(F.col("value"), r("header_chars"))).alias("payload"),
+        F.coalesce(r("found.bytes"), r("said.bytes")).alias("payload_bytes"), F.coalesce(r("found.digest"), r("said.digest")).alias("payload_digest"),
+        F.coalesce((r("found.bytes") == r("said.bytes")) & (r("found.digest") == r("said.digest")), r("said.record_type") == "revisit", F.lit(False)).alias("intact"))
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
