@@ -213,4 +213,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = saved(fingerprints(flat, ["no", "id"], "text", shingle), "simhash-prints")
     found = _heads(prints, F.struct(F.col("id").isNull().alias("absent"), "id", "no"), bits)
     stays = found.select(F.col("head.no").alias("no")).distinct()
-    return rows.join(saved(stays, "simhash-stays"), "no", "left_semi").select("row.*")
+    stays = saved(stays, "simhash-stays").hint("merge")  # as many as documents: never broadcast, whatever the size today
+    return rows.join(stays, "no", "left_semi").select("row.*")
