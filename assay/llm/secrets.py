@@ -1,6 +1,7 @@
 """Secret scans: candidate strings, and a random forest that removes false positives.
 
-A candidate is a run of 16 or more letters, digits and ``_ + / = -`` with a digit in it. Texts are split at the candidates, which
+A candidate is a run of 16 or more letters, digits and ``_ + / = -`` with a digit in it, or whatever is assigned to a key name: all of
+a quoted value, or all up to the next space, of any length and any characters. Texts are split at the candidates, which
 gives each its place and its neighbours without any lookup. The forest sees its length, how its characters alternate (changes
 between lower case, upper case, digits and signs, share of digits, distinct characters, all hexadecimal), how much of its letters
 are words of the corpus, whether it lies in a path or address, and the words beside it (key names, assignments, quotes, words that
@@ -29,19 +30,25 @@ CANDIDATE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{16,}"
 KEYS = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
 BENIGN = r"(?i)(commit|sha-?[0-9]+|md5|checksum|digest|uuid|guid|etag|revision|version|isbn|order|invoice|phone|card)"
 NEAR = 40  # characters looked at on either side
+#: A key name with what may follow it up to the value. Look-behinds are bounded: 40 characters of name, 8 blanks.
+NAMED = KEYS + r"(s?([_-][A-Za-z0-9_-]{0,40}|[0-9]{0,4})|(?-i:[A-Z])[A-Za-z0-9]{0,20})[\"'`]?[ \t]{0,8}[:=][ \t]{0,8}"
+_QUOTED = "|".join(rf"(?<={NAMED}{q})[^{q}\n]+(?:(?<=\\){q}[^{q}\n]+){{0,20}}(?={q})" for q in "\"'`")
+ASSIGNED = rf"(?<=[:=][ \t]{{0,8}}[\"'`]?)(?:{_QUOTED}|(?<={NAMED}[\"'`]?)[^\s\"'`:=]([^\s\"'`]*[^\s\"'`.,;:!?)\]}}>])?)"
+_NAME = rf"(?![A-Za-z0-9_-]*{KEYS}[A-Za-z0-9_-]*=[^=\s])"
+FOUND = f"{ASSIGNED}|{_NAME}(?-i:{CANDIDATE})"
 MASK = "[SECRET]"
 FEATURES = ("length", "changes", "digit_share", "distinct_share", "hexadecimal", "word_share", "in_path", "key_before", "benign_before", "assigned", "quoted")
 
 
 def _pieces(text: Column) -> tuple[Column, Column]:
     """Texts between candidates (one more than candidates) and the candidates."""
-    return F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    return F.split(text, FOUND, -1), F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))
 
 
 def candidates(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` and per candidate: k (its number in the text), start (code points ahead), value, before, after."""
     text = F.col(text_col).cast("string")
-    rows = docs.where(text.rlike(CANDIDATE)).select(*[F.col(c).alias(c) for c in keep], text.alias("_text"))
+    rows = docs.where(text.rlike(FOUND)).select(*[F.col(c).alias(c) for c in keep], text.alias("_text"))
     between, found = _pieces(F.col("_text"))
     rows = rows.select(*keep, between.alias("_between"), F.posexplode(found).alias("k", "value"), found.alias("_found"))
     lengths = lambda array: F.aggregate(F.transform(array, lambda x: F.length(x)), F.lit(0), lambda total, n: total + n)
@@ -85,7 +92,8 @@ def measured(found: DataFrame, words: list[str]) -> DataFrame:
 
 def label() -> Column:
     """1 and 0 for clear cases, null for the rest."""
-    secret = F.col("before").rlike(KEYS + r"[\"'`]?\s*[:=]\s*[\"'`]?$") & (F.col("digit_share") < 1)
+    secret = F.col("before").rlike(f"{NAMED}[\"'`]?$") & (F.col("digit_share") < 1) & (F.col("word_share") < 0.6) \
+        & ((F.col("digit_share") > 0) | (F.col("quoted") == 1) | (F.col("length") >= 16))
     plain = (F.col("digit_share") == 1) | (F.col("in_path") == 1) | (F.col("benign_before") == 1) | (F.col("word_share") >= 0.6)
     return F.when(secret, 1).when(plain, 0)
 
