@@ -31,11 +31,21 @@ KEYS = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|private[_-
 BENIGN = r"(?i)(commit|sha-?[0-9]+|md5|checksum|digest|uuid|guid|etag|revision|version|isbn|order|invoice|phone|card)"
 NEAR = 40  # characters looked at on either side
 #: A key name with what may follow it up to the value. Look-behinds are bounded: 40 characters of name, 8 blanks.
-NAMED = KEYS + r"(s?([_-][A-Za-z0-9_-]{0,40}|[0-9]{0,4})|(?-i:[A-Z])[A-Za-z0-9]{0,20})[\"'`]?[ \t]{0,8}[:=][ \t]{0,8}"
+NAME = KEYS + r"(s?([_-][A-Za-z0-9_-]{0,40}|[0-9]{0,4})|(?-i:[A-Z])[A-Za-z0-9]{0,20})"
+NAMED = NAME + r"[\"'`]?[ \t]{0,8}[:=][ \t]{0,8}"
 _QUOTED = "|".join(rf"(?<={NAMED}{q})[^{q}\n]+(?:(?<=\\){q}[^{q}\n]+){{0,20}}(?={q})" for q in "\"'`")
 ASSIGNED = rf"(?<=[:=][ \t]{{0,8}}[\"'`]?)(?:{_QUOTED}|(?<={NAMED}[\"'`]?)[^\s\"'`:=]([^\s\"'`]*[^\s\"'`.,;:!?)\]}}>])?)"
-_NAME = rf"(?![A-Za-z0-9_-]*{KEYS}[A-Za-z0-9_-]*=[^=\s])"
-FOUND = f"{ASSIGNED}|{_NAME}(?-i:{CANDIDATE})"
+#: A name in front of = is not of the value, if that is a key's or the value is a candidate without it.
+_LONG = r"(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{16,}"
+_START = r"(?:(?<![A-Za-z0-9_+/=-])|(?<==)(?<=(?:^|[^A-Za-z0-9_+/=-])[A-Za-z_][A-Za-z0-9_-]{0,60}=(?:[A-Za-z_][A-Za-z0-9_-]{0,60}=)?))"
+_NAME = rf"{_START}(?![A-Za-z0-9_-]*{NAME}=[^=:\s])(?![A-Za-z_][A-Za-z0-9_-]{{0,60}}=(?!=){_LONG})"
+#: Long parts joined by dots are one token; the first has a digit or is the start of a JSON web token.
+_DOTTED = r"(?=[A-Za-z_-]*[0-9]|eyJ)[A-Za-z0-9_-]{16,}(?:\.[A-Za-z0-9_-]{6,}){1,100}"
+FOUND = f"{ASSIGNED}|{_NAME}(?:{_DOTTED}|{CANDIDATE}|(?<==)(?!=){_LONG})"
+#: Places of file paths, files and host names; user parts, queries and the path of an address are none of them.
+PATH = r"(^|[\s\"'`(=])([A-Za-z]:|~|\.{1,2})?[/\\]([^\s?@:=\"'`]*[/\\.])?$"
+HOST_BEFORE, HOST_AFTER = r"(://|www\.|^|[\s\"'`(])([A-Za-z0-9-]+\.)*(//)?$", r"^(\.[A-Za-z0-9-]+)*\.[a-z]{2,6}([/:?#\s\"'`,;)]|[.]?$)(?!\S*@)"
+JSON_TOKEN = r"^eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\."
 MASK = "[SECRET]"
 FEATURES = ("length", "changes", "digit_share", "distinct_share", "hexadecimal", "word_share", "in_path", "key_before", "benign_before", "assigned", "quoted")
 
@@ -82,7 +92,7 @@ def measured(found: DataFrame, words: list[str]) -> DataFrame:
         "distinct_share": F.size(F.array_distinct(F.split(value, ""))) / n,
         "hexadecimal": flag(value.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
         "word_share": covered / n,
-        "in_path": flag(before.rlike(r"(://|www\.|[/\\.@])\S*$") | after.rlike(r"^(\.[a-z]{2,4}\b|[@?&])") | value.rlike("^/|/.*/")),
+        "in_path": flag(before.rlike(PATH) | ((before.rlike(HOST_BEFORE) | value.startswith("//")) & after.rlike(HOST_AFTER)) | value.rlike("^/([a-z_-]+/)+")),
         "key_before": flag(before.rlike(KEYS)),
         "benign_before": flag(before.rlike(BENIGN + r"\W*$")),
         "assigned": flag(before.rlike(r"[:=]\s*[\"'`]?$")),
@@ -95,7 +105,7 @@ def label() -> Column:
     secret = F.col("before").rlike(f"{NAMED}[\"'`]?$") & (F.col("digit_share") < 1) & (F.col("word_share") < 0.6) \
         & ((F.col("digit_share") > 0) | (F.col("quoted") == 1) | (F.col("length") >= 16))
     plain = (F.col("digit_share") == 1) | (F.col("in_path") == 1) | (F.col("benign_before") == 1) | (F.col("word_share") >= 0.6)
-    return F.when(secret, 1).when(plain, 0)
+    return F.when(secret | F.col("value").rlike(JSON_TOKEN), 1).when(plain, 0)
 
 
 def train(findings: DataFrame, label_col: str = "label", per_class: int = 2000, trees: int = 30, depth: int = 5, seed: int = 11):

@@ -34,3 +34,22 @@ def test_values_behind_key_names(found, spark):
     docs = spark.createDataFrame([(t, "card 4111111111111111") for t in VALUES], "text string, other string")
     out = secrets.redact(docs.unionByName(docs.selectExpr("other AS text", "other")))
     assert {r.text for r in out.collect()} == {t.replace(v, secrets.MASK) for t, v in VALUES.items()} | {"card 4111111111111111"}
+
+
+JSON_TOKEN = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+V = "abcd1234efgh5678ijkl"
+
+
+@pytest.mark.parametrize("text, value, label", [
+    (f"AWS_SECRET_KEY={V} end", V, 1), (f"a {JSON_TOKEN} b", JSON_TOKEN, 1), (f"a {V}.{V}.{V[:6]} b", f"{V}.{V}.{V[:6]}", None),
+    (f"https://user:{V}@host.org/x", V, None), (f"https://h.org/p?key={V}&x=1", V, None), (f"x SESSION={V} y", V, None), (f"A=B={V}", V, None),
+    (f"see /usr/lib/{V}, and", f"/usr/lib/{V}", 0), (f"https://{V}.example.com/x", f"//{V}", 0), (f"commit={V}", V, 0),
+    ("sessionid1234567890=1", "sessionid1234567890=1", None), ("authority=short1234567", "authority=short1234567", None),
+])
+def test_labels_of_places(found, text, value, label):
+    assert [(r.value, r.label) for r in found([text])[text]] == [(value, label)]
+
+
+def test_long_runs_without_end(found):
+    for text in ("a=" * 100_000, "a" * 200_000, "abcdefgh." * 20_000, '"' + "x\\\"" * 50_000):
+        assert found([text])[text] == []
