@@ -34,11 +34,11 @@ NEAR = 40  # characters looked at on either side
 NAME = KEYS + r"(s?([_-][A-Za-z0-9_-]{0,40}|[0-9]{0,4})|(?-i:[A-Z])[A-Za-z0-9]{0,20})"
 NAMED = NAME + r"[\"'`]?[ \t]{0,8}[:=][ \t]{0,8}"
 _QUOTED = "|".join(rf"(?<={NAMED}{q})[^{q}\n]+(?:(?<=\\){q}[^{q}\n]+){{0,20}}(?={q})" for q in "\"'`")
-ASSIGNED = rf"(?<=[:=][ \t]{{0,8}}[\"'`]?)(?:{_QUOTED}|(?<={NAMED}[\"'`]?)[^\s\"'`:=]([^\s\"'`]*[^\s\"'`.,;:!?)\]}}>])?)"
+ASSIGNED = rf"(?<=[:= \t\"'`])(?<=[:=][ \t]{{0,8}}[\"'`]?)(?:{_QUOTED}|(?<={NAMED}[\"'`]?)[^\s\"'`:=]([^\s\"'`]*[^\s\"'`.,;:!?)\]}}>])?)"
 #: A name in front of = is not of the value, if that is a key's or the value is a candidate without it.
 _LONG = r"(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{16,}"
 _START = r"(?:(?<![A-Za-z0-9_+/=-])|(?<==)(?<=(?:^|[^A-Za-z0-9_+/=-])[A-Za-z_][A-Za-z0-9_-]{0,60}=(?:[A-Za-z_][A-Za-z0-9_-]{0,60}=)?))"
-_NAME = rf"{_START}(?![A-Za-z0-9_-]*{NAME}=[^=:\s])(?![A-Za-z_][A-Za-z0-9_-]{{0,60}}=(?!=){_LONG})"
+_NAME = rf"{_START}(?=[A-Za-z0-9_+/=-]{{16}})(?![A-Za-z0-9_-]*{NAME}=[^=:\s])(?![A-Za-z_][A-Za-z0-9_-]{{0,60}}=(?!=){_LONG})"
 #: Long parts joined by dots are one token; the first has a digit or is the start of a JSON web token.
 _DOTTED = r"(?=[A-Za-z_-]*[0-9]|eyJ)[A-Za-z0-9_-]{16,}(?:\.[A-Za-z0-9_-]{6,}){1,100}"
 FOUND = f"{ASSIGNED}|{_NAME}(?:{_DOTTED}|{CANDIDATE}|(?<==)(?!=){_LONG})"
