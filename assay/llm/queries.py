@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf, lm, merkle, packing, quality, secrets, simhash, toxicity, warc
+from . import alignment, bpe, crf, lloyd, lm, merkle, packing, pieces, quality, secrets, simhash, toxicity, warc
 from ._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,21 @@ def op10_warc_round_trip(spark, folder):
     return warc.round_trip(table(spark, folder, "pages"))
 
 
+@query
+def op11_token_links(spark, folder):
+    return alignment.token_links(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+@query
+def op12_sharded_lloyd(spark, folder):
+    return lloyd.cluster(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_piece_round_trip(spark, folder):
+    return pieces.round_trip(table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 SQL: dict[str, str] = {}
 
 SQL["op3_backoff_scores"] = """
@@ -171,3 +186,30 @@ d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x, min(page
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> head THEN head END AS refers_to, true AS intact FROM d
 """
+
+
+def _lloyd_sql(k: int = 16, rounds: int = 3) -> str:
+    """Whole vectors against whole centroids, round after round."""
+    far = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT"
+    steps = ["""v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+)""", f"""c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS j, x FROM v QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id), x) <= {k}
+)"""]
+    for t in range(rounds + 1):
+        steps.append(f"a{t} AS (SELECT r, j, d FROM (SELECT v.r, c.j, {far} AS d FROM v, c{t} c) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, j) = 1)")
+        if t < rounds:
+            steps.append(f"""c{t + 1} AS (
+  SELECT c.j, coalesce(m.x, c.x) AS x FROM c{t} c LEFT JOIN (
+    SELECT j, list(y ORDER BY i) AS x FROM (
+      SELECT a.j, i, floor(sum(v.x[i])::DOUBLE / count(*))::BIGINT AS y FROM a{t} a JOIN v USING (r), (SELECT unnest(range(1, 65)) AS i) GROUP BY a.j, i
+    ) GROUP BY j) m USING (j)
+)""")
+    return "WITH " + ", ".join(steps) + f"""
+SELECT vec_id, j::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c USING (j)"""
+
+
+SQL["op12_sharded_lloyd"] = _lloyd_sql()

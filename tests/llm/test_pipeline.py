@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import pytest
 from pyspark.sql import functions as F
-from test_operators import brute_groups, check_pieces, library_ids
+from test_text_operators import brute_groups, check_pieces, library_ids
 
 import corpus_pipeline
 from assay.llm import crf, secrets, simhash
