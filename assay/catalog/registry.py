@@ -81,7 +81,7 @@ def _(spark, folder):
     path = f"{checkpoint_folder(spark)}/csv-{uuid.uuid4().hex}"
     writer = table(spark, folder, "documents").write.option("header", True).option("escape", '"').option("quoteAll", True)
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    return csv.read_csv(spark, path)
+    return csv.read_csv(spark, path, tasks=16)
 
 
 @register(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import NUMBER
 from ..operators.columns import chunks, col
+from ..session import checkpoint_folder
 from ..settings import DEFAULTS, Settings
+from . import records
 from .limits import LimitError, check_limits
 
 UPLOAD_COLUMNS = 200  # fixed value: columns an uploaded file may have
@@ -33,6 +36,45 @@ def csv_encoding(spark: SparkSession, path: str | list[str]) -> str:
     return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
 
 
+def _reader(spark: SparkSession, encoding: str, multiline: bool):
+    options = {"header": True, "encoding": encoding, "quote": '"', "escape": '"', "multiLine": multiline, "nullValue": ""}
+    return spark.read.options(**options)
+
+
+def _text(record, encoding: str):
+    """A record as text, without the carriage return of its line end."""
+    text = record.cast("string") if encoding == "UTF-8" else F.decode(record, encoding)
+    return F.regexp_replace(text, r"\r\z", "")
+
+
+def _cut_records(spark: SparkSession, path: str | list[str], encoding: str | None, tasks: int | None) -> DataFrame:
+    """All values as text, records cut split by split, and written as columns: what follows reads only the columns it needs."""
+    folder = f"{checkpoint_folder(spark)}/csv-{uuid.uuid4().hex}"
+    with records.steady_splits(spark, tasks):
+        lines = records.physical_lines(spark, path)
+        records.split_effects(lines).write.parquet(f"{folder}/splits")
+        splits = spark.read.parquet(f"{folder}/splits")
+        looks = splits.agg(F.bool_and("valid").alias("valid"), F.bool_or("returns").alias("returns"), F.max("lines").alias("lines")).first()
+        encoding = encoding or ("UTF-8" if looks["valid"] is not False else "ISO-8859-1")
+        header = _reader(spark, encoding, True).csv(path)
+        if looks["returns"] and looks["lines"] == 1 or encoding.upper() not in ("UTF-8", "ISO-8859-1"):
+            return header  # lines end in bare carriage returns, or line feeds are more than one byte: one task a file
+        if not header.columns:
+            return header
+        names = [f"c{k}" for k in range(len(header.columns))]
+        options = {"quote": '"', "escape": '"', "multiLine": "true", "nullValue": "", "lineSep": "\n"}
+        values = lambda text: F.from_csv(text, ", ".join(f"{n} string" for n in names), options)
+        found = records.cut(lines, records.split_starts(splits)).withColumn("text", F.when(F.col("kind") == records.WHOLE, _text(F.col("record"), encoding)))
+        rows = found.where("text is null or (not first and text <> '')").select(
+            "file", "split", "kind", "first", F.when(F.col("kind") != records.WHOLE, F.col("record")).alias("record"), values(F.col("text")).alias("v"))
+        rows.select("file", "split", "kind", "first", "record", "v.*").write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    whole = rows.where(F.col("kind") == records.WHOLE).select(*names)
+    parts = records.crossing(rows.where(F.col("kind") != records.WHOLE)).where("not first").select(_text(F.col("record"), encoding).alias("text"))
+    crossed = parts.select(values(F.col("text")).alias("v")).select("v.*")
+    return whole.unionByName(crossed).toDF(*header.columns)
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -40,25 +82,24 @@ def read_csv(
     schema: str | None = None,
     multiline: bool = True,
     settings: Settings = DEFAULTS,
+    tasks: int | None = None,
 ) -> DataFrame:
     """A CSV table with header; NA words become null and types are inferred afterwards.
 
-    A quoted value may hold line breaks, so a file is read by one task. ``multiline=False`` splits files, and is
-    only right for files without such values.
-    Give a ``schema`` for big data: inference is one more pass.
+    A quoted value may hold line breaks; files are read by many tasks all the same (``records``), in two scans: one for quotes and
+    the encoding together, one that cuts the records and writes them as columns to the checkpoint folder. ``tasks`` asks for that many
+    splits at least. Only files whose lines end in bare carriage returns, or of an encoding given as neither UTF-8 nor ISO-8859-1, are
+    read by one task each. ``multiline=False`` skips the cut, and is only right for files without line breaks in values.
+    Blank lines are no rows. Give a ``schema`` for big data: inference is one more pass.
     """
-    reader = (
-        spark.read.option("header", True)
-        .option("encoding", encoding or csv_encoding(spark, path))
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .option("nullValue", "")
-    )
-    raw = reader.csv(path)
+    if multiline:
+        check_limits(_reader(spark, encoding or "UTF-8", True).csv(path), settings) if settings.max_file_bytes is not None else None
+        raw = _cut_records(spark, path, encoding, tasks)
+    else:
+        raw = _reader(spark, encoding or csv_encoding(spark, path), False).csv(path)
     if not raw.columns:
         raise LimitError("The file is empty.")
-    check_limits(raw, settings)
+    check_limits(raw, settings if not multiline else replace(settings, max_file_bytes=None))
     raw = raw.withColumns({c: F.when(~col(c).isin(*NA_WORDS), col(c)) for c in raw.columns})
     if schema is not None:
         wanted = spark.createDataFrame([], schema).schema
@@ -103,5 +144,5 @@ def analyze_csv(spark: SparkSession, path: str, name: str | None = None, target:
 
     guarded = settings if settings.max_columns is not None else replace(settings, max_columns=UPLOAD_COLUMNS)
     df = read_csv(spark, path, settings=guarded)
-    check_limits(df, guarded, need_rows=True)
+    check_limits(df, replace(guarded, max_file_bytes=None), need_rows=True)  # the file's size was looked at before reading
     return analyze(df, name or path.rstrip("/").rsplit("/", 1)[-1], target, settings=settings)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import assay
 from assay.plans import usage
-from assay.sources import csv, sinks, usage_log
+from assay.sources import csv, records, sinks, usage_log
 from assay.sources.limits import LimitError
 from assay.streaming import usage as live
 
@@ -33,6 +33,76 @@ def test_csv_encoding_fallback(spark, tmp_path):
         assert csv.read_csv(spark, str(path)).first()["name"] == "café"
 
 
+VALUES = ["a", "b,c", 'x "q" y', "line\nbreak", "two\r\nlines", '"', '""', "\n", "  lead", "", ",", "é", 'end"', '5" pipe', '"start', 'a"b"c', "\r"]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("encoding", ["utf-8", "latin-1"])
+def test_csv_records_over_many_splits(spark, tmp_path, end, encoding):
+    """Every value comes back however the file is split, also one that covers several splits."""
+    import csv as python_csv
+    import random
+
+    draw = random.Random(5)
+    rows = [[str(k), *draw.choices(VALUES, k=3)] for k in range(1500)]
+    rows[700][2] = "long\n" * 20000 + '"tail"'
+    path = tmp_path / "quoted.csv"
+    with open(path, "w", newline="", encoding=encoding) as file:
+        python_csv.writer(file, lineterminator=end).writerows([["id", "a", "b", "c"], *rows])
+    want = {int(r[0]): tuple(x or None for x in r[1:]) for r in rows}
+    for tasks in (1, 16):
+        got = csv.read_csv(spark, str(path), schema="id long, a string, b string, c string", tasks=tasks)
+        assert {r.id: (r.a, r.b, r.c) for r in got.collect()} == want
+    with records.steady_splits(spark, 16):
+        lines = records.physical_lines(spark, str(path))
+        assert lines.rdd.getNumPartitions() >= 8
+        starts = records.split_starts(records.split_effects(lines)).collect()
+        assert len(starts) >= 8 and any(r.inside for r in starts)
+
+
+def test_csv_quotes_inside_plain_values(spark, tmp_path):
+    """A quote that does not open a value is text, and what follows a closing quote leaves the value unquoted."""
+    import pandas
+
+    path = tmp_path / "stray.csv"
+    rows = [f'{k},5" pipe,"q""{k}",x' if k % 3 else f'{k},"two\nlines {k}",y"z",w"' for k in range(1000)]
+    path.write_text("id,a,b,c\n" + "\n".join(rows) + "\n\n")
+    got = csv.read_csv(spark, str(path), tasks=16)
+    want = pandas.read_csv(path)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.itertuples(index=False)))
+
+
+@pytest.mark.parametrize("text, rows", [("a,b\n", 0), ("a,b\n1,x", 1), ('a,b\n1,"open\nto the end', 1), ('a\n"x\ny"\n\nz\n', 2), ("a,b\r1,x\r2,y\r", 2), ("\ufeffa,b\n1,2\n", 1)])
+def test_csv_odd_files(spark, tmp_path, text, rows):
+    path = tmp_path / "odd.csv"
+    path.write_bytes(text.encode())
+    got = csv.read_csv(spark, str(path), tasks=4)
+    assert got.columns == text.lstrip("\ufeff").replace("\r", "\n").split("\n")[0].split(",") and got.count() == rows
+
+
+def test_line_effects(spark):
+    """Both starts at once, against a walk character by character."""
+    import random
+
+    def walk(line, inside):
+        state = "in" if inside else "start"
+        for c in line:
+            if state == "in":
+                state = "quote" if c == '"' else "in"
+            elif state == "quote":
+                state = "in" if c == '"' else "start" if c == "," else "plain"
+            elif state == "start" and c == '"':
+                state = "in"
+            else:
+                state = "start" if c == "," else "plain"
+        return state == "in"
+
+    draw = random.Random(2)
+    lines = ["".join(draw.choices('",a', k=draw.randrange(14))) for _ in range(3000)]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", records.effect(F.col("line")).alias("e")).collect()
+    assert all(r.e == walk(r.line, False) + 2 * walk(r.line, True) for r in rows)
+
+
 def test_csv_guards(spark, tmp_path):
     path = tmp_path / "empty.csv"
     path.write_text("a,b\n")
