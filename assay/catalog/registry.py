@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..operators import (
-    association, correlation, duplicates, features, findings, imbalance, leakage, missingness, outliers, profile as P,
+    association, column_state, correlation, duplicates, features, findings, imbalance, leakage, missingness, order_stats, outliers, profile as P,
     readiness, repair, value_counts,
 )
-from ..operators.columns import col
+from ..operators.columns import col, long_form
 from ..plans import classifier, context, narrative, scoring, usage, views
 from ..plans.analyze import analyze, settle
 from ..session import checkpoint_folder
@@ -292,6 +292,52 @@ def _(spark, folder):
         (F.coalesce("top_share", F.lit(0.0)) >= 0.99).alias("is_quasi_constant"), near.alias("near"))
 
 
+@register(
+    "grown_profile", "P3",
+    O.profile_ctes(["orders", "events", "lineitem"])
+    + """ SELECT run_id, column_name AS "column", n_rows, n_null, dtype AS dtype_inferred, id_like AS is_id_like, high_card AS is_high_cardinality,
+ constant AS is_constant, top_count::DOUBLE / n_rows >= 0.99 AS is_quasi_constant FROM p""",
+)
+def _(spark, folder):
+    """Tables that grew in three steps: a stored state per step, profiled from the states alone."""
+    grown = []
+    for name, key in (("orders", "o_orderkey"), ("events", "event_id"), ("lineitem", "l_orderkey")):
+        df, path = table(spark, folder, name), f"{checkpoint_folder(spark)}/state-{uuid.uuid4().hex}"
+        for step in range(3):
+            column_state.save_state(column_state.column_state(df.where(F.pmod(F.hash(key), F.lit(3)) == step)), path, str(step))
+        grown.append(settle(P.profile_of_state(column_state.read_state(spark, path), name)))
+    return reduce(DataFrame.unionByName, grown).select(
+        "run_id", "column", "n_rows", "n_null", "dtype_inferred", "is_id_like", "is_high_cardinality", "is_constant",
+        (F.coalesce("top_share", F.lit(0.0)) >= 0.99).alias("is_quasi_constant"))
+
+
+_STATE_COLUMNS = ("l_orderkey", "l_quantity", "l_extendedprice", "l_discount")
+_STATE_SHARES = (0.01, 0.25, 0.5, 0.75, 0.99)
+
+
+@register(
+    "state_quantiles", "E8",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", {q}::DOUBLE AS share, count({c}) AS n, min({c})::DOUBLE AS least, max({c})::DOUBLE AS greatest,
+ round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS deviation, true AS near FROM lineitem"""
+        for c in _STATE_COLUMNS for q in _STATE_SHARES),
+)
+def _(spark, folder):
+    """Moments and quantiles from the merged states of two halves; ``near``: within one percent of the exact order statistic."""
+    lines = table(spark, folder, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in _STATE_COLUMNS])
+    half = F.pmod(F.hash("l_orderkey"), F.lit(2))
+    state = column_state.merged_state(column_state.column_state(lines.where(half == 0)).unionByName(column_state.column_state(lines.where(half == 1))))
+    counts = order_stats.count_present(lines, {c: F.col(c) for c in _STATE_COLUMNS})
+    ranks = {(c, q): int(q * (counts[c] - 1)) for c in _STATE_COLUMNS for q in _STATE_SHARES}
+    long = long_form(lines, {c: F.col(c) for c in _STATE_COLUMNS})
+    exact = order_stats.order_statistics(long, {c: [(ranks[c, q],) * 2 for q in _STATE_SHARES] for c in _STATE_COLUMNS}, counts)
+    truth = spark.createDataFrame([(c, q, float(exact[c, r])) for (c, q), r in ranks.items()], "column string, share double, exact double")
+    found = column_state.quantiles(state, list(_STATE_SHARES)).join(column_state.moments(state), "column").join(F.broadcast(truth), ["column", "share"])
+    return found.select(
+        "column", "share", "n", "least", "greatest", F.round("mean", 4).alias("mean"), F.round("deviation", 4).alias("deviation"),
+        (F.abs(F.col("value") - F.col("exact")) <= column_state.ACCURACY * 1.0001 * F.abs("exact")).alias("near"))
+
+
 _LEDGER_RUNS = {"labelled": "quality", "part_text": None, "copies": "l_returnflag", "nation": None, "region": "r_name", "archive": None}
 _FINGERPRINT = """
 SELECT p.run_id, substr(sha256(concat_ws('|', string_agg(column_name || ':' || dtype, ',' ORDER BY column_name || ':' || dtype),

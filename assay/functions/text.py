@@ -32,7 +32,7 @@ def is_number(value: Column) -> Column:
 
 def clean_number(value: Column) -> Column:
     """Text as a double after units, commas and currency signs are taken out."""
-    return as_number(F.regexp_replace(value, NOT_NUMERIC_CHARS, ""))
+    return F.when(value.rlike("[0-9]"), as_number(F.regexp_replace(value, NOT_NUMERIC_CHARS, "")))
 
 
 def as_datetime(value: Column) -> Column:

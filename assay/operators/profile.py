@@ -13,51 +13,6 @@ from ..settings import DEFAULTS, Settings
 from .columns import chunks, col, kinds, missing_as_null, quoted
 from .value_counts import counted, distinct_summary, sample_values, smallest_values
 
-SKETCH_ERROR = 0.01  # relative standard deviation of a distinct count by sketch
-
-
-def scan_statistics(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """One row per column from plain aggregates and sketches: one row per task is shuffled."""
-    df = missing_as_null(df)
-    kind = kinds(df)
-    fields = list(enumerate(df.schema.fields))
-    parts = []
-    for chunk in chunks(fields, settings.columns_per_aggregate):
-        sums: list[Column] = [F.count(F.lit(1)).alias("n")]
-        for i, f in chunk:
-            c = col(f.name)
-            sums.append(F.count(c).alias(f"present_{i}"))
-            if kind[f.name] == "string":
-                sums.append(F.count_if(is_number(c)).alias(f"number_{i}"))
-                sums.append(F.count(clean_number(c)).alias(f"clean_{i}"))
-                sums.append(F.count(as_datetime(c)).alias(f"date_{i}"))
-                sums.append(F.sum(F.length(c).cast("bigint")).alias(f"length_{i}"))
-            if kind[f.name] != "nested":
-                sums.append(F.least(F.approx_count_distinct(c, SKETCH_ERROR), F.count(c)).alias(f"distinct_{i}"))
-        rows = []
-        for i, f in chunk:
-            text = kind[f.name] == "string"
-            none = F.lit(None).cast("bigint")
-            rough = kind[f.name] != "nested"
-            rows.append(
-                F.struct(
-                    F.lit(i).alias("ordinal"),
-                    F.lit(f.name).alias("column"),
-                    F.lit(f.dataType.simpleString()).alias("physical_type"),
-                    F.lit(kind[f.name]).alias("kind"),
-                    F.col("n").alias("n_rows"),
-                    F.col(f"present_{i}").alias("n_present"),
-                    (F.col(f"number_{i}") if text else none).alias("n_number"),
-                    (F.col(f"clean_{i}") if text else none).alias("n_clean"),
-                    (F.col(f"date_{i}") if text else none).alias("n_date"),
-                    (F.col(f"length_{i}") if text else none).alias("length"),
-                    (F.col(f"distinct_{i}") if rough else none).alias("n_rough"),
-                )
-            )
-        parts.append(df.agg(*sums).select(F.inline(F.array(*rows))))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def profile(
     df: DataFrame,
     run_id: str = "table",
@@ -68,9 +23,8 @@ def profile(
 
     The counts of (column, value) give presence, distinct values, the commonest
     value and the boolean test; text of up to 64 bytes is parsed once per distinct value, longer text once per row.
-    With ``exact_distinct=False`` one pass of plain aggregates and sketches comes first. Columns with few values, and
-    those whose sketch is too near a threshold to decide by, are then grouped exactly; the others keep the sketch, and
-    their commonest value comes from a frequent-items sketch and an exact count of its candidate.
+    With ``exact_distinct=False`` the profile comes from the mergeable state of the columns; those whose distinct count is too
+    near a threshold to decide by are then grouped exactly.
     """
     df = missing_as_null(df)
     spark = df.sparkSession
@@ -86,19 +40,9 @@ def profile(
             }
         )
     else:
-        rough = scan_statistics(df, settings)
-        rows = rough.collect()  # one row per column
-        small = [r["column"] for r in rows if (r["n_rough"] or 0) <= settings.broadcast_rows or undecided(r, settings)]
-        large = [r for r in rows if r["kind"] != "nested" and r["column"] not in small]
-        counts = counted(df, small)
-        summary = distinct_summary(counts, spark).select("ordinal", "n_unique", "top_count", "is_boolean")
-        tops = commonest(df, {r["ordinal"]: r["column"] for r in large})
-        joined = spark.createDataFrame(rows, rough.schema).join(F.broadcast(summary), "ordinal", "left") \
-            .join(F.broadcast(tops), "ordinal", "left")  # one row per column
-        joined = joined.withColumns({
-            "n_unique": F.coalesce("n_unique", "n_rough"), "top_count": F.coalesce("top_count", "top"),
-            "is_boolean": F.coalesce("is_boolean", F.lit(False)),
-        }).drop("top")
+        from .column_state import column_state
+
+        return profile_of_state(column_state(df, settings), run_id, settings, df)
     if settings.sample_values and counts:
         key = "ordinal" if order_by is None else "column"
         chosen = (
@@ -117,26 +61,30 @@ def profile(
     return describe(joined, settings).select(F.lit(run_id).alias("run_id"), "*")
 
 
-def undecided(row, settings: Settings) -> bool:
-    """Is the distinct count's sketch within four deviations of a threshold that a rule compares its ratio with?"""
-    n, rough = row["n_rows"], row["n_rough"] or 0
-    near = 4 * SKETCH_ERROR * rough
-    return any(abs(rough - share * n) <= near for share in (0.5, settings.high_cardinality_ratio, settings.id_ratio, 1.0))
+def profile_of_state(state: DataFrame, run_id: str = "table", settings: Settings = DEFAULTS, df: DataFrame | None = None) -> DataFrame:
+    """A profile from a stored state. With the table at hand, columns too near a threshold are counted exactly."""
+    from .column_state import summary
 
+    known = summary(state)
+    spark = state.sparkSession
+    rows = known.collect()  # one row per column
+    known = spark.createDataFrame(rows, known.schema).drop("slack")
+    open_columns = [r["column"] for r in rows if undecided(r, settings)]
+    if df is not None and open_columns:
+        exact = distinct_summary(counted(df, open_columns), spark).select("ordinal", F.col("n_unique").alias("u"), F.col("top_count").alias("t"), F.col("is_boolean").alias("b"))
+        known = known.join(F.broadcast(exact), "ordinal", "left").withColumns(  # one row per column
+            {"n_unique": F.coalesce("u", "n_unique"), "top_count": F.coalesce("t", "top_count"), "is_boolean": F.coalesce("b", "is_boolean")}).drop("u", "t", "b")
+    if not settings.sample_values:
+        known = known.withColumn("sample_values", F.lit(None).cast("array<string>"))
+    return describe(known, settings).select(F.lit(run_id).alias("run_id"), "*")
 
-def commonest(df: DataFrame, columns: dict[int, str]) -> DataFrame:
-    """``ordinal, top``: rows of the commonest value, exact whenever it fills half of a column.
 
-    A frequent-items sketch over 64-bit hashes names a candidate per column, one more pass counts it.
-    """
-    spark, top = df.sparkSession, {}
-    for part in chunks(list(columns.items()), 40):
-        found = df.agg(*[F.expr(f"approx_top_k(xxhash64({quoted(c)}), 1)").alias(f"k{i}") for i, c in part]).first()
-        named = [(i, c, found[f"k{i}"][0]["item"]) for i, c in part if found[f"k{i}"]]
-        if named:
-            counts = df.agg(*[F.count_if(col(c).isNotNull() & (F.xxhash64(col(c)) == F.lit(v))).alias(f"n{i}") for i, c, v in named]).first()
-            top.update({i: counts[f"n{i}"] for i, _, _ in named})
-    return spark.createDataFrame(list(top.items()), "ordinal int, top bigint")
+def undecided(row, settings: Settings) -> bool:
+    """Is the estimated distinct count within four deviations of a threshold that a rule compares its ratio with?"""
+    n, found = row["n_rows"], row["n_unique"] or 0
+    near = 4 * row["slack"]
+    shares = (0.5, settings.high_cardinality_ratio, settings.id_ratio, 1.0)
+    return near > 0 and any(abs(found - share * n) <= near for share in shares)
 
 
 def column_list(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
