@@ -18,7 +18,7 @@ from ..operators import (
 from ..operators.columns import col, long_form
 from ..plans import classifier, context, narrative, scoring, usage, views
 from ..plans.analyze import analyze, settle
-from ..session import checkpoint_folder
+from ..session import checkpoint_folder, held
 from ..sources import csv, limits, sampling, sinks, usage_log
 from ..streaming import usage as stream_usage
 from . import oracle as O
@@ -1099,6 +1099,14 @@ def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def _appended(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """All that a stream has put out once its input is read; the file sink takes each batch once."""
+    path = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
 def _usage_stream(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/usage-{uuid.uuid4().hex}"
     usage_log.write_usage(usage_events(spark, folder).repartition(3, "eventId"), path)
@@ -1139,6 +1147,47 @@ def _(spark, folder):
     return out.select("client", F.col("start").cast("timestamp").cast("bigint").alias("start"), "attempts")
 
 
+_TRAILING = """SELECT client, second, attempts, CAST("trailing" AS BIGINT) AS "trailing", "trailing" > 2 AS over_limit FROM (
+ SELECT client, second, attempts, sum(attempts) OVER (PARTITION BY client ORDER BY second RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS "trailing" FROM (
+ SELECT user_id AS client, CAST(floor(epoch(ts)) AS BIGINT) AS second, count(*) AS attempts FROM events GROUP BY 1, 2))"""
+
+
+def _keyed_state(spark: SparkSession):
+    """The state store that maps and timers need, for the streams run inside."""
+    return held(spark, *stream_usage.STATE_STORE)
+
+
+@register("usage_uniques_stream", "U1", _TOTALS)
+def _(spark, folder):
+    """Exact totals of a stream: what three micro-batches with returning visitors add, summed up."""
+    with _keyed_state(spark):
+        out = _appended(spark, stream_usage.streaming_uniques(_usage_stream(spark, folder)))
+    return out.agg(*[F.sum(c).alias(c) for c in ("uniqueVisitors", "uniqueUsers", "pageViews", "submissions")])
+
+
+def _disordered_stream(spark: SparkSession, folder: str, steps: int = 4, disorder: int = 7200) -> DataFrame:
+    """``events`` arriving in time slices, each event up to ``disorder`` seconds late, and last a far later one that lets every watermark pass."""
+    events = table(spark, folder, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    second = F.unix_seconds("ts")
+    arrives = second + F.pmod(F.xxhash64("user_id", "ts"), F.lit(disorder))
+    first, last = events.agg(F.min(second), F.max(second)).first()
+    path = f"{checkpoint_folder(spark)}/late-{uuid.uuid4().hex}"
+    span = ((last or 0) - (first or 0) + disorder) // steps + 1
+    slices = events.withColumn("step", F.floor((arrives - (first or 0)) / span))
+    for step in range(steps):
+        slices.where(F.col("step") == step).drop("step").write.mode("append").parquet(path)
+    spark.createDataFrame([((last or 0) + 10 ** 8,)], "s bigint").select(F.lit(None).cast("bigint").alias("user_id"), F.timestamp_seconds("s").alias("ts")).write.mode("append").parquet(path)
+    return spark.readStream.schema("user_id bigint, ts timestamp").option("maxFilesPerTrigger", 2).parquet(path)
+
+
+@register("over_limit_stream_exact", "U6", _TRAILING)
+def _(spark, folder):
+    """The trailing hour of every attempt on a stream out of order: row by row what the batch gives."""
+    with _keyed_state(spark):
+        events = stream_usage.with_event_time(_disordered_stream(spark, folder), F.col("ts"), "7200 seconds")
+        return _appended(spark, stream_usage.streaming_over_limit_exact(events, F.col("user_id"), limit=2))
+
+
 @register("usage_totals", "U1", _TOTALS)
 def _(spark, folder):
     return usage.usage_totals(usage_events(spark, folder))
@@ -1187,9 +1236,7 @@ def _(spark, folder):
 
 @register(
     "over_limit_attempts", "U6",
-    """SELECT client, second, attempts, CAST("trailing" AS BIGINT) AS "trailing", "trailing" > 2 AS over_limit FROM (
- SELECT client, second, attempts, sum(attempts) OVER (PARTITION BY client ORDER BY second RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS "trailing" FROM (
- SELECT user_id AS client, CAST(floor(epoch(ts)) AS BIGINT) AS second, count(*) AS attempts FROM events GROUP BY 1, 2))""",
+    _TRAILING,
 )
 def _(spark, folder):
     second = F.unix_seconds(F.col("ts").cast("timestamp"))

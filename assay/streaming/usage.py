@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..plans.usage import known_visitor
 
+#: What keyed state with timers and maps needs; set it on the session before a stream starts.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
 def with_event_time(events: DataFrame, time: Column | None = None, delay: str = "10 minutes") -> DataFrame:
     """Adds ``event_time`` and its watermark; late rows beyond ``delay`` are dropped."""
@@ -61,3 +70,92 @@ def streaming_over_limit(events: DataFrame, client: Column, limit: int = 20, win
         .filter(F.col("attempts") > limit)
         .select("client", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "attempts")
     )
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per visitor of a batch, so a busy visitor does not fill one task."""
+    for batch in batches:
+        sums = pa.Table.from_batches([batch]).group_by("visitor").aggregate([("views", "sum"), ("runs", "sum")])
+        yield from sums.rename_columns(["visitor", "views", "runs"]).combine_chunks().to_batches()
+
+
+class _Uniques(StatefulProcessor):
+    """Per bucket: every visitor ever seen, and whether there was an analysis."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.visitors = handle.getMapState("visitors", "visitor string", "ran boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        total = np.zeros(4, np.int64)
+        for frame in rows:
+            total[2:] += [frame["views"].sum(), frame["runs"].sum()]
+            runs = frame[frame["visitor"].notna()].groupby("visitor")["runs"].sum()
+            for visitor, ran in (runs > 0).items():
+                known = self.visitors.getValue((visitor,)) if self.visitors.containsKey((visitor,)) else None
+                if known is None or ran and not known[0]:
+                    total += [known is None, ran, 0, 0]
+                    self.visitors.updateValue((visitor,), (bool(ran),))
+        yield pd.DataFrame([total], columns=["uniqueVisitors", "uniqueUsers", "pageViews", "submissions"])
+
+    def close(self) -> None:
+        pass
+
+
+def streaming_uniques(events: DataFrame, buckets: int = 64) -> DataFrame:
+    """What every micro-batch adds to the totals of ``usage_totals``: their sums are exact at any time, for append mode.
+
+    Visitors are kept for good, in hashed buckets on disk; a batch puts out at most one row per bucket. The session needs ``STATE_STORE``.
+    """
+    rows = events.select(known_visitor().alias("visitor"), (F.col("event") == "page_view").cast("bigint").alias("views"),
+                         (F.col("event") == "analysis_completed").cast("bigint").alias("runs"))
+    rows = rows.select("visitor", F.coalesce("views", F.lit(0)).alias("views"), F.coalesce("runs", F.lit(0)).alias("runs"))
+    combined = rows.mapInArrow(_combined, "visitor string, views bigint, runs bigint").withColumn("bucket", F.pmod(F.xxhash64("visitor"), F.lit(buckets)))
+    return combined.groupBy("bucket").transformWithStateInPandas(
+        _Uniques(), "uniqueVisitors bigint, uniqueUsers bigint, pageViews bigint, submissions bigint", "Append", "None")
+
+
+class _Trailing(StatefulProcessor):
+    """Per client: attempts per second of the last window. A timer forgets the client when the window has passed."""
+
+    def __init__(self, limit: int, window_seconds: int):
+        self.limit, self.window = limit, window_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ring = handle.getValueState("ring", "seconds array<bigint>, attempts array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values("second")
+        held = self.ring.get() if self.ring.exists() else ([], [])
+        seconds, attempts = (np.concatenate([np.array(h, np.int64), new[c].to_numpy(np.int64)]) for h, c in zip(held, ("second", "attempts")))
+        sums = np.r_[0, np.cumsum(attempts)]
+        trailing = (sums[1:] - sums[np.searchsorted(seconds, seconds - self.window)])[len(held[0]):]
+        kept = seconds > seconds[-1] - self.window - 1
+        self.ring.update((seconds[kept].tolist(), attempts[kept].tolist()))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(seconds[-1] + self.window + 1) * 1000)
+        yield pd.DataFrame({"client": [key[0]] * len(new), "second": new["second"].to_numpy(), "attempts": new["attempts"].to_numpy(),
+                            "trailing": trailing, "over_limit": trailing > self.limit})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.ring.clear()
+        yield pd.DataFrame({"client": [], "second": [], "attempts": [], "trailing": [], "over_limit": []})
+
+    def close(self) -> None:
+        pass
+
+
+def streaming_over_limit_exact(events: DataFrame, client: Column, limit: int = 20, window_seconds: int = 3600) -> DataFrame:
+    """``client, second, attempts, trailing, over_limit`` as ``over_limit`` gives them on the whole log, for append mode.
+
+    ``events`` must come from ``with_event_time``. Attempts are counted per client and second first, so a busy client is one row a second;
+    a second is put out once the watermark has passed it, in order, with what the client's last window holds. State is one
+    window of seconds per client. Events later than the watermark's delay are dropped; any other disorder changes nothing. The session
+    needs ``STATE_STORE``.
+    """
+    second = events.groupBy(client.alias("client"), F.window("event_time", "1 second").alias("w")).agg(F.count(F.lit(1)).alias("attempts"))
+    rows = second.select("client", F.unix_seconds("w.start").alias("second"), "attempts", F.window_time("w").alias("event_time"))
+    kind = rows.schema["client"].dataType.simpleString()
+    return rows.groupBy("client").transformWithStateInPandas(
+        _Trailing(limit, window_seconds), f"client {kind}, second bigint, attempts bigint, trailing bigint, over_limit boolean", "Append", "EventTime")

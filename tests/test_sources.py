@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import assay
 from assay.plans import usage
+from assay.session import held
 from assay.sources import csv, records, sinks, usage_log
 from assay.sources.limits import LimitError
 from assay.streaming import usage as live
@@ -170,6 +171,51 @@ def test_streaming_windows_visitors_and_limits(spark, tmp_path):
     assert spark.table("live_limits").agg(F.max("attempts")).first()[0] == 60
 
 
+@pytest.fixture
+def keyed(spark):
+    with held(spark, *live.STATE_STORE):
+        yield spark
+
+
+def test_streaming_uniques_are_exact(keyed, tmp_path):
+    """After every micro-batch the sums are those of the log so far; visitors return, some run an analysis only later."""
+    path, out = str(tmp_path / "log"), str(tmp_path / "out")
+    log = events(keyed, 300).withColumn("event", F.when(F.col("eventId").cast("int") < 100, "page_view").otherwise(F.col("event")))
+    stream = live.streaming_uniques(usage_log.read_usage_stream(keyed, path), buckets=7)
+    for k in range(3):
+        usage_log.write_usage(log.where(F.floor(F.col("eventId").cast("int") / 100) == k), path)
+        run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state"))
+        run.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        want = usage.usage_totals(usage_log.read_usage(keyed, path)).first()
+        got = keyed.read.parquet(out).agg(*[F.sum(c).alias(c) for c in want.asDict()]).first()
+        assert got == want
+
+
+def test_streaming_trailing_hour_is_exact(keyed, tmp_path):
+    """Row by row the batch result: disorder within the delay, hour ends, ties, a busy client, and clients forgotten in between."""
+    import random
+
+    draw = random.Random(6)
+    base = 1_700_000_000
+    rows = [("busy", base + draw.randrange(30000)) for _ in range(1500)] + [(f"c{draw.randrange(9)}", base + draw.randrange(30000)) for _ in range(300)]
+    rows += [("edge", base + k) for k in (0, 0, 3600, 3601, 7201, 20000, 23600)]
+    rows.sort(key=lambda r: r[1] + draw.randrange(600))
+    path, out = str(tmp_path / "log"), str(tmp_path / "out")
+    schema = "client string, second bigint"
+    stream = keyed.readStream.schema("client string, at timestamp").parquet(path)
+    timed = live.with_event_time(stream, F.col("at"), "10 minutes")
+    exact = live.streaming_over_limit_exact(timed, F.col("client"), limit=20)
+    steps = [rows[k:k + 500] for k in range(0, len(rows), 500)] + [[("end", base + 10 ** 6)], [("end", base + 10 ** 6 + 10)]]
+    for step in steps:
+        keyed.createDataFrame(step, schema).select("client", F.timestamp_seconds("second").alias("at")).coalesce(1).write.mode("append").parquet(path)
+        run = exact.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state"))
+        run.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    want = usage.over_limit(keyed.createDataFrame(rows, schema), F.col("client"), F.col("second"), limit=20)
+    got = keyed.read.parquet(out)
+    assert sorted(map(tuple, got.where("client <> 'end'").collect())) == sorted(map(tuple, want.collect()))
+    assert got.where("client = 'busy' and over_limit").count() > 0
+
+
 def test_streaming_sink(spark, tmp_path):
     path, out = str(tmp_path / "log"), str(tmp_path / "out")
     usage_log.write_usage(events(spark), path)
