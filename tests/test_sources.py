@@ -181,6 +181,7 @@ def test_streaming_uniques_are_exact(keyed, tmp_path):
     """After every micro-batch the sums are those of the log so far; visitors return, some run an analysis only later."""
     path, out = str(tmp_path / "log"), str(tmp_path / "out")
     log = events(keyed, 300).withColumn("event", F.when(F.col("eventId").cast("int") < 100, "page_view").otherwise(F.col("event")))
+    (tmp_path / "log").mkdir()
     stream = live.streaming_uniques(usage_log.read_usage_stream(keyed, path), buckets=7)
     for k in range(3):
         usage_log.write_usage(log.where(F.floor(F.col("eventId").cast("int") / 100) == k), path)
@@ -202,6 +203,7 @@ def test_streaming_trailing_hour_is_exact(keyed, tmp_path):
     rows.sort(key=lambda r: r[1] + draw.randrange(600))
     path, out = str(tmp_path / "log"), str(tmp_path / "out")
     schema = "client string, second bigint"
+    (tmp_path / "log").mkdir()
     stream = keyed.readStream.schema("client string, at timestamp").parquet(path)
     timed = live.with_event_time(stream, F.col("at"), "10 minutes")
     exact = live.streaming_over_limit_exact(timed, F.col("client"), limit=20)
