@@ -140,7 +140,7 @@ class _Trailing(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.ring.clear()
-        yield pd.DataFrame({"client": [], "second": [], "attempts": [], "trailing": [], "over_limit": []})
+        return iter(())
 
     def close(self) -> None:
         pass
