@@ -8,10 +8,11 @@ from collections import Counter
 import duckdb
 import pytest
 from pyspark.sql import functions as F
-from test_text_operators import brute_groups, check_pieces, library_ids
+from test_jaccard import brute_kept
+from test_text_operators import check_pieces, library_ids
 
 import corpus_pipeline
-from assay.llm import crf, secrets, simhash
+from assay.llm import crf, secrets
 from assay.llm._shared import saved, table
 from assay.llm.queries import QUERIES, SQL
 from compare import connect
@@ -52,8 +53,8 @@ def test_language_stage(chain):
 
 def test_near_duplicate_stage(chain):
     before = rows_of(chain[2])
-    groups = brute_groups({d: simhash.fingerprint(r.text) for d, r in before.items()})
-    assert rows_of(chain[3]) == {d: r for d, r in before.items() if groups[d] == d}
+    kept = brute_kept({d: r.text for d, r in before.items()})
+    assert rows_of(chain[3]) == {d: r for d, r in before.items() if d in kept}
 
 
 def test_secret_stage(chain):
