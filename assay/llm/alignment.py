@@ -47,7 +47,11 @@ class Sides:
         self.lengths_a = np.array([len(self.bytes_a.get(k, b"")) for k in range(self.size_a)], np.int64)
         self.lengths_b = np.array([len(v or b"") for v in self.b.values], np.int64)
         #: an id and what stands behind it: within a group, after its first list, after the group
-        self.written = [f"{k}{end}".encode() for end in ",|" for k in range(self.size_a)] + [f"{k}{end}".encode() for end in ",;" for k in range(self.size_b)]
+        written = [f"{k}{end}".encode() for end in ",|" for k in range(self.size_a)] + [f"{k}{end}".encode() for end in ",;" for k in range(self.size_b)]
+        self.written = np.empty(len(written), object)
+        self.written[:] = written
+        self.known_a: dict[str, bytes] = {}
+        self.known_b: dict[str, bytes] = {}
 
     @staticmethod
     def _holds(coder, token: int) -> bool:
@@ -57,33 +61,36 @@ class Sides:
             return False
         return True
 
-    def ids_a(self, text: str) -> np.ndarray:
-        """Ids of the space and the text, which starts no special token. A piece begins at every single space, so each is encoded alone."""
-        coder, parts = self.a, text.split(" ")
-        if len(coder.known) > packing.KNOWN:
-            coder.known.clear()
-        known = coder.known
+    def _learn(self, parts: list[str]) -> bool:
+        """Ids of the words between single spaces, each with its space; words that may not be encoded alone are not learned."""
+        if len(self.known_a) > packing.KNOWN:
+            self.known_a.clear()
+            self.known_b.clear()
+        for part in parts:
+            if part not in self.known_a:
+                if not part or part != part.strip() or pieces.SPACE in part:
+                    return False
+                self.known_a[part] = self.a._ids(" " + part)
+                self.known_b[part] = self.b.encode_unit(pieces.SPACE + part)
+        return True
+
+    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of both sides; none unless both join to the space and the text. Both start a token at every space before a word, so words
+        between single spaces are encoded alone; a text with other white space goes as a whole."""
+        nothing = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        if not text or pieces.SPACE in text:  # the second side reads its own space sign as a space
+            return nothing
+        parts = text.split(" ")
         try:
-            found = b"".join(map(known.__getitem__, parts))
+            raw = [b"".join(map(known.__getitem__, parts)) for known in (self.known_a, self.known_b)]
         except KeyError:
-            found = None
-            for part in parts:
-                if part not in known:
-                    if not part or part != part.strip():
-                        break
-                    known[part] = coder._ids(" " + part)
+            if self._learn(parts):
+                raw = [b"".join(map(known.__getitem__, parts)) for known in (self.known_a, self.known_b)]
             else:
-                found = b"".join(map(known.__getitem__, parts))
-        return np.frombuffer(coder._ids(" " + text) if found is None else found, "<u4")
-
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of both sides; none unless both join to the space and the text."""
-        if text:
-            a, b = self.ids_a(text), np.frombuffer(self.b.encode([text])[0], "<u4")
-            whole = b" " + text.encode()
-            if b"".join(map(self.bytes_a.__getitem__, a.tolist())) == whole and b"".join(map(self.b.values.__getitem__, b.tolist())) == whole:
-                return a, b
-        return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+                raw = [self.a._ids(" " + text), self.b.encode([text])[0]]
+        a, b = (np.frombuffer(x, "<u4") for x in raw)
+        size = 1 + len(text.encode())
+        return (a, b) if self.lengths_a[a].sum() == size == self.lengths_b[b].sum() else nothing
 
 
 @lru_cache(maxsize=2)
@@ -155,30 +162,31 @@ def align(sides: Sides, texts: list[str | None]) -> dict[str, pa.Array]:
     nothing = [np.zeros(0, np.int64)]
     cuts_a, cuts_b, link_a, link_b = lockstep(ends_a, ends_b, *(np.concatenate(x or nothing) for x in (first_a, first_b, stop_a)))
 
-    def owner(index: np.ndarray) -> np.ndarray:
-        return np.searchsorted(base_a, index, "right") - 1
-
-    n_groups = np.bincount(owner(cuts_a), minlength=len(texts)) if len(cuts_a) else np.zeros(len(texts), np.int64)
+    every = np.arange(len(texts))
+    doc_of = np.repeat(every, n_a)  # of the first side's tokens
+    n_groups = np.bincount(doc_of[cuts_a], minlength=len(texts))
     # digest: the first list's tokens of a group stand before the second's
-    group_a, group_b = np.searchsorted(cuts_a, np.arange(len(flat_a))), np.searchsorted(cuts_b, np.arange(len(flat_b)))
+    last_a, last_b = np.zeros(len(flat_a), np.int64), np.zeros(len(flat_b), np.int64)
+    last_a[cuts_a], last_b[cuts_b] = 1, 1
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
     line = np.zeros(len(flat_a) + len(flat_b), np.int64)
-    line[np.arange(len(flat_a)) + np.r_[0, cuts_b + 1][group_a]] = flat_a + sides.size_a * np.isin(np.arange(len(flat_a)), cuts_a)
-    line[np.arange(len(flat_b)) + np.r_[cuts_a + 1, 0][group_b]] = 2 * sides.size_a + flat_b + sides.size_b * np.isin(np.arange(len(flat_b)), cuts_b)
-    written = [sides.written[k] for k in line.tolist()]
+    line[np.arange(len(flat_a)) + np.r_[0, cuts_b + 1][group_a]] = flat_a + sides.size_a * last_a
+    line[np.arange(len(flat_b)) + np.r_[cuts_a + 1, 0][group_b]] = 2 * sides.size_a + flat_b + sides.size_b * last_b
+    written = sides.written[line]
     places = (base_a + base_b).tolist()
-    digests = [sha256(b"".join(written[p:q])[:-1]).hexdigest() if q > p else "" for p, q in zip(places, places[1:])]
+    digests = [sha256(b"".join(written[p:q].tolist())[:-1]).hexdigest() if q > p else "" for p, q in zip(places, places[1:])]
     # different pairs of every text, and how often each is linked
-    pair = flat_a[link_a] * sides.size_b + flat_b[link_b]
-    doc = owner(link_a)
-    order = np.lexsort((pair, doc))
-    pair, doc = pair[order], doc[order]
-    starts = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])]) if len(pair) else np.zeros(0, np.int64)
-    times = np.diff(np.r_[starts, len(pair)])
-    cuts = pa.array(np.searchsorted(doc[starts], np.arange(len(texts) + 1)), pa.int32())
+    size = sides.size_a * sides.size_b
+    key = np.sort(doc_of[link_a] * size + flat_a[link_a] * sides.size_b + flat_b[link_b])
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    times = np.diff(np.r_[starts, len(key)])
+    doc, pair = np.divmod(key[starts], size)
+    n_links = np.bincount(doc, times, len(texts)).astype(np.int64)
+    cuts = pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)), pa.int32())
     return {
         "n_a": pa.array(n_a), "n_b": pa.array(n_b), "n_groups": pa.array(n_groups.astype(np.int64)),
-        "n_links": pa.array(np.bincount(doc, minlength=len(texts)).astype(np.int64)), "groups_sha256": pa.array(digests, pa.string()),
-        "pairs": pa.ListArray.from_arrays(cuts, pa.array(pair[starts])), "times": pa.ListArray.from_arrays(cuts, pa.array(times, pa.int32())),
+        "n_links": pa.array(n_links), "groups_sha256": pa.array(digests, pa.string()),
+        "pairs": pa.ListArray.from_arrays(cuts, pa.array(pair)), "times": pa.ListArray.from_arrays(cuts, pa.array(times, pa.int32())),
     }
 
 
