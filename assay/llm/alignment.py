@@ -31,8 +31,8 @@ from ._shared import saved
 from .bpe import grouped
 
 LANE = 256  # tokens of the first list after which a long text may be parted
-RUN = 1 << 21  # characters that walk together
-BATCH = 4  # runs whose pairs are asked for together
+RUN = 1 << 20  # characters that walk together
+BATCH = 8  # runs whose pairs are asked for together
 LEFT = "batch long, id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
 

@@ -6,8 +6,10 @@ exact likelihood (forward-backward). Training sequences are spliced from spans o
 chain sees switches. Prediction runs forward-backward over every word of every text; a document's language has the largest mean
 posterior of its words, and that mean is the score.
 
-Bounds: at most ``per_language`` labelled texts of at most ``max_chars`` characters are fitted on, the first in the order of a hash of
-their ids. Chains are cut every ``SPAN`` words; every word is in one.
+A word is a Unicode letter and the letters and marks behind it; a run of more than ``LONGEST`` is successive words.
+
+Bounds: of each of the commonest languages at most ``per_language`` labelled texts are fitted on, the first in the order of a hash of
+their ids, and of a text longer than ``max_chars`` a span of that length. Chains are cut every ``SPAN`` words; every word is in one.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0.0, and so is everything if no labelled text exists;
 null languages are not learned; rows are judged one by one, so repeated rows get equal results; other columns are not read.
@@ -16,29 +18,49 @@ null languages are not learned; rows are judged one by one, so repeated rows get
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import grouped
 
-WORD = re.compile(r"[^\W\d_]+")
+LONGEST = 40  # letters of a word; a longer run is successive words, so that every letter counts
 BUCKETS = 1 << 15
 SPAN = 128  # words of a chain
 KNOWN = 300_000  # words remembered per worker
 UNDETERMINED = "und"
+_ASCII = re.compile(f"[a-z]{{1,{LONGEST}}}")
+
+
+@lru_cache(maxsize=1)
+def _word() -> re.Pattern:
+    """A Unicode letter and the letters and marks behind it; digits, fractions and numerals are no letters."""
+    def ranges(*kinds: str) -> str:
+        inside = [unicodedata.category(chr(c))[0] in kinds for c in range(sys.maxunicode + 1)]
+        cuts = [c for c, (a, b) in enumerate(zip([False, *inside], [*inside, False])) if a != b]
+        return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(cuts[::2], cuts[1::2]))
+
+    return re.compile(f"[{ranges('L')}][{ranges('L', 'M')}]{{0,{LONGEST - 1}}}")
+
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased words of a text."""
+    text = (text or "").lower()
+    return (_ASCII if text.isascii() else _word()).findall(text)
 
-def _features(word: str) -> list[int]:
-    w = word[:40]  # a longer run of letters is no word; its start and end say enough
+
+def _features(w: str) -> list[int]:
     marked = f"^{w}$"
-    parts = [f"p{w[:k]}" for k in (1, 2, 3)] + [f"s{w[-k:]}" for k in (1, 2, 3)] + [f"w{w}", f"e{word[-40:]}"]
+    parts = [f"p{w[:k]}" for k in (1, 2, 3)] + [f"s{w[-k:]}" for k in (1, 2, 3)] + [f"w{w}"]
     parts += [marked[k:k + 2] for k in range(len(marked) - 1)] + [marked[k:k + 3] for k in range(len(marked) - 2)]
     return [crc32(p.encode()) % BUCKETS for p in parts]
 
@@ -160,21 +182,23 @@ def split_of(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 3
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, max_chars: int) -> dict[str, list[list[str]]]:
-    """Words of the bounded training sample, by language."""
-    usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")) \
-        .where(F.col("lang").isNotNull() & F.col("id").isNotNull() & (split_of(F.col("id")) != 1))
-    names = sorted(r[0] for r in usable.select("lang").distinct().collect())
-    texts: dict[str, list[list[str]]] = {}
-    for name in names:  # each a distributed top-k of ids, then only their texts are read
-        rows = usable.where((F.col("lang") == name) & (F.length("text") <= max_chars)).select("id", F.xxhash64("id").alias("h"))
-        ids = [r["id"] for r in rows.orderBy("h", "id").limit(per_language).collect()]
-        found = usable.where((F.col("lang") == name) & F.col("id").isin(ids) & (F.length("text") <= max_chars)) \
-            .orderBy("id", "text").limit(per_language).collect() if ids else []
-        lists = [WORD.findall(r["text"].lower()) for r in found]
-        if any(lists):
-            texts[str(name)] = lists
-    return texts
+def sample(
+    docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, max_chars: int, languages: int = 64,
+) -> dict[str, list[list[str]]]:
+    """Words of the bounded training sample, by language: of each of the commonest ``languages`` the first rows by hash, each task keeping
+    no more than it may need. Of a longer text a span of ``max_chars`` is taken, at a place given by its hash."""
+    usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")) \
+        .where(F.col("lang").isNotNull() & F.col("id").isNotNull() & (split_of(F.col("id")) != 1) & F.col("text").isNotNull())
+    names = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    order = Window.partitionBy("lang").orderBy("h", "id", "digest")
+    spare = F.greatest(F.length("text") - max_chars, F.lit(0))
+    span = F.substring("text", (1 + F.pmod(F.col("h"), spare + 1)).cast("int"), F.lit(max_chars))
+    rows = usable.where(F.col("lang").isin(names)).select("id", "lang", "text", F.xxhash64("id").alias("h"), F.xxhash64("text").alias("digest"))
+    rows = rows.select("id", "lang", "h", "digest", span.alias("text")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
+    lists: dict[str, list[list[str]]] = {}
+    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["place"])):
+        lists.setdefault(r["lang"], []).append(words_of(r["text"]))
+    return {name: found for name, found in lists.items() if any(found)}
 
 
 # --- prediction -----------------------------------------------------------------
@@ -201,7 +225,7 @@ class Labeller:
 
     def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Posterior of every word (in order) and the number of words of every text."""
-        lists = [WORD.findall((t or "").lower()) for t in texts]
+        lists = [words_of(t) for t in texts]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         n = int(counts.sum())
         if not n:
@@ -232,6 +256,16 @@ class Labeller:
         return names, best
 
 
+    def clarity(self, texts: list[str | None]) -> np.ndarray:
+        """How sure the language of a text's words is, in the mean; 0 without a letter, 1 without a learned language."""
+        if not self.model.languages:
+            return np.array([float(bool(words_of(t))) for t in texts])
+        posterior, counts = self.words(texts)
+        sure = np.r_[0, np.cumsum(posterior.max(axis=1, initial=0.0), dtype=np.float64)]
+        ends = np.cumsum(counts)
+        return (sure[ends] - sure[ends - counts]) / np.maximum(counts, 1)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 200, max_chars: int = 20_000) -> Model:
     """The model of a table's labelled texts; held-out ids are not learned."""
     return fit(sample(docs, id_col, text_col, lang_col, per_language, max_chars))
@@ -258,7 +292,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
 
 
 def keep_clear(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.4) -> DataFrame:
-    """The documents with a language that holds at least ``min_score`` of their words; all columns. ``und`` goes."""
+    """The documents with a letter whose words have a clear language each, ``min_score`` in the mean; all columns. A text may switch between
+    languages. Without a learned language every text with a letter stays."""
     at_text, names = docs.columns.index(text_col), docs.columns
     rows = docs.toDF(*[f"k{k}" for k in range(len(names))])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -268,8 +303,7 @@ def keep_clear(docs: DataFrame, model: Model, text_col: str = "text", min_score:
         for batch in batches:
             at = 0
             for texts in grouped(t.as_py() for t in batch.column(at_text)):
-                found, score = labeller.documents(texts) if labeller.model.languages else ([UNDETERMINED] * len(texts), np.zeros(len(texts)))
-                yield batch.slice(at, len(texts)).filter(pa.array([f != UNDETERMINED and s >= min_score for f, s in zip(found, score)], pa.bool_()))
+                yield batch.slice(at, len(texts)).filter(pa.array(labeller.clarity(texts) >= min_score, pa.bool_()))
                 at += len(texts)
 
     return rows.mapInArrow(run, rows.schema).toDF(*names)

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_jaccard import brute_kept
@@ -47,8 +48,25 @@ def test_quality_stage(chain, small):
 def test_language_stage(chain):
     labeller = crf.Labeller(crf.train(chain[1]))
     before = rows_of(chain[1])
-    names, scores = labeller.documents([r.text for r in before.values()])
-    assert rows_of(chain[2]) == {d: r for (d, r), n, s in zip(before.items(), names, scores) if n != "und" and s >= 0.4}
+    posterior, counts = labeller.words([r.text for r in before.values()])
+    sure = [part.max(axis=1).mean() if len(part) else 0.0 for part in np.split(posterior, np.cumsum(counts)[:-1])]
+    assert rows_of(chain[2]) == {d: r for (d, r), s in zip(before.items(), sure) if s >= 0.4}
+
+
+def test_unlabelled_input_keeps_its_texts(spark, chain):
+    docs = chain[1].withColumn("lang", F.lit(None).cast("string"))
+    letters = {d for d, r in rows_of(docs).items() if any(c.isalpha() for c in r.text)}
+    assert rows_of(corpus_pipeline.language(spark, docs, "")).keys() == letters
+
+
+def test_evenly_switching_texts_stay(spark, chain):
+    model = crf.train(chain[1])
+    by_lang = {}
+    for r in rows_of(chain[1]).values():
+        by_lang.setdefault(r.lang, r.text)
+    text = " ".join(w for ws in zip(*[t.split()[:40] for k, t in sorted(by_lang.items(), key=str) if k]) for w in ws)
+    docs = spark.createDataFrame([(1, text), (2, "² ½ Ⅷ 12"), (3, None)], "doc_id long, text string")
+    assert [r.doc_id for r in crf.keep_clear(docs, model).collect()] == [1]
 
 
 def test_near_duplicate_stage(chain):

@@ -129,6 +129,23 @@ def test_language_edges(edge, none):
     assert kept.columns == edge.columns and not {r.doc_id for r in kept.collect()} & {1, 2, 3}
 
 
+def test_words_are_letters_and_their_marks(spark):
+    assert crf.words_of("² ½ Ⅷ 12 ①") == [] == crf.words_of(None)
+    assert crf.words_of("हिन्दी में Ünïcode e\u0301tat 文字a1b") == ["हिन्दी", "में", "ünïcode", "e\u0301tat", "文字a", "b"]
+    long = "".join(chr(97 + k % 26) for k in range(200))
+    assert "".join(crf.words_of(long)) == long == "".join(crf.words_of(long + "é"))[:-1] and max(map(len, crf.words_of(long))) == crf.LONGEST
+    docs = spark.createDataFrame([(1, "hello there", "en"), (3, "² ½ Ⅷ", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in crf.predict(docs, crf.train(docs), ["doc_id"]).collect()} == {1: "en", 3: "und"}
+
+
+def test_a_language_with_long_texts_only_is_learned(spark):
+    rows = [(k, f"hello my good friend number {k} " * 5, "en") for k in range(0, 60)] + [(100 + k, "grüß dich mein guter freund " * 2000, "de") for k in range(30)]
+    model = crf.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_chars=5000)
+    assert model.languages == ["de", "en"]
+    docs = spark.createDataFrame([(1, "guter freund"), (2, "good friend")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in crf.predict(docs, model, ["doc_id"]).collect()} == {1: "de", 2: "en"}
+
+
 def test_language_switches_inside_a_text(spark):
     en, es = EDGE[4][1].split(), EDGE[6][1].split()
     train = spark.createDataFrame([(k, " ".join(np.random.default_rng(k).permutation(w)), n) for k, (w, n) in enumerate([(en, "en"), (es, "es")] * 30)], "doc_id long, text string, lang string")
