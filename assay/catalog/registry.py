@@ -607,6 +607,7 @@ _association_query(
     "association_regression", "E11a-E11c", "redundant", "net", False,
     {"l_quantity": True, "l_extendedprice": True, "l_discount": True, "l_tax": True, "double_quantity": True}, _ALL,
 )
+_association_query("association_gaps", "E11c", "hot_gaps", "paid", False, {"l_quantity": True, "l_discount": True, "l_tax": True}, _ALL)
 
 
 @register(

@@ -116,6 +116,12 @@ DERIVED = {
         "l_quantity * 2 + 1 AS double_quantity FROM lineitem",
         {c: "number" for c in ("l_quantity", "l_extendedprice", "net", "l_discount", "l_tax", "double_quantity")},
     ),
+    # quantities with gaps, and a target value that nearly half of the rows share
+    "hot_gaps": (
+        "SELECT CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_quantity END AS l_quantity, l_discount, "
+        "CASE WHEN l_suppkey % 2 = 0 THEN NULL ELSE l_tax END AS l_tax, CASE WHEN l_linenumber <= 2 THEN 1000 ELSE l_extendedprice END AS paid FROM lineitem",
+        {c: "number" for c in ("l_quantity", "l_discount", "l_tax", "paid")},
+    ),
     # a target with far too many classes
     "many_classes": (
         "SELECT c_custkey, c_nationkey, c_acctbal, c_name AS result FROM customer",

@@ -13,7 +13,7 @@ from ..session import checkpoint_folder
 from ..settings import DEFAULTS, Settings
 from .columns import chunks, col, long_form, missing_as_null, numeric
 from .order_stats import count_present, equal_count_edges, in_bins, quantiles
-from .ranks import average_rank, cumulative
+from .ranks import average_rank, cumulative, cumulative_counts
 from ..functions import safe_corr
 
 
@@ -176,52 +176,26 @@ def _kept(counts: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
 def spearman(encoded: Encoded, features: list[Feature], settings: Settings = DEFAULTS) -> DataFrame:
     """``column, rho``: Pearson correlation of average ranks, per feature over its present rows.
 
-    The target is ranked once for all complete features and once per feature
-    with gaps. The common rank is joined to the wide rows, before they are
-    multiplied by features; both sides are plain columns, so a target value
-    shared by a third of the rows is split. Rows are then grouped by (feature,
-    value) with the sum of the target's ranks, so a frequent value is one row
-    when the feature itself is ranked.
+    The target's distinct values carry one count of all rows and one of every feature with gaps, so all their ranks come from one
+    grouping and one pass in order. The ranks are joined by the target to the wide rows, before they are multiplied by features; both
+    sides are plain columns, so a target value shared by a third of the rows is split. Rows are then grouped by (feature, value) with
+    the sum of the target's ranks, so a frequent value is one row when the feature itself is ranked.
     """
     df = encoded.df
-    group = {f.name: (f.name if f.nullable and f.numeric else "") for f in features}
-    gappy = [f for f in features if group[f.name]]
     xs = {f.name: F.col(encoded.columns[f.name]) for f in features}
-    y_counts = df.groupBy(F.col("y").alias("value")).agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("").alias("column"), "value", "n"
-    )
-    if gappy:
-        by_feature = (
-            long_form(df, {f.name: xs[f.name] for f in gappy}, value="x", keep={"value": F.col("y")})
-            .groupBy("column", "value")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        y_counts = y_counts.unionByName(by_feature)
-    y_counts, size = _kept(y_counts, settings)  # distinct target values, times features with gaps
-    y_ranked = cumulative(y_counts, size, settings)
-    totals = y_counts.groupBy(F.col("column").alias("grp")).agg(F.sum("n").cast("double").alias("total"))
-    y_ranks = (
-        y_ranked.select(F.col("column").alias("grp"), F.col("value").alias("y"), average_rank().alias("ry"))
-        .join(F.broadcast(totals), "grp")  # one row per group of features
-        .select("grp", "y", ((F.col("ry") - (F.col("total") + 1) / 2) / F.col("total")).alias("ry"))
-    )
+    gappy = {f.name: f"n{i}" for i, f in enumerate(features) if f.nullable and f.numeric}
+    counts = df.groupBy("y").agg(F.count(F.lit(1)).alias("n"), *[F.count(xs[name]).alias(c) for name, c in gappy.items()])
+    y_counts, size = _kept(counts, settings)
+    kinds_of_rank = ["n", *gappy.values()]
+    totals = y_counts.agg(*[F.sum(c).cast("double").alias(c) for c in kinds_of_rank]).first()
+    placed = cumulative_counts(y_counts, "y", kinds_of_rank, size, settings)
+    ranks = placed.select("y", *[
+        F.try_divide(F.col(f"below_{c}") + (F.col(c) + 1) / 2 - F.lit(((totals[c] or 0.0) + 1) / 2), F.lit(totals[c] or 0.0)).alias(f"r_{c}") for c in kinds_of_rank])
     small = F.broadcast if size <= settings.broadcast_rows else lambda ranks: ranks
-
-    def summed(long: DataFrame) -> DataFrame:
-        return long.groupBy("column", F.col("x").alias("value")).agg(
-            F.count(F.lit(1)).alias("n"), F.sum("ry").alias("s"), F.sum(F.col("ry") * F.col("ry")).alias("q")
-        )
-
-    parts = []
-    if complete := {f.name: xs[f.name] for f in features if not group[f.name]}:
-        common = y_ranks.filter("grp = ''").select("y", "ry")
-        wide = df.join(small(common), "y")
-        parts.append(summed(long_form(wide, complete, value="x", keep={"ry": F.col("ry")})))
-    if gappy:
-        own = long_form(df, {f.name: xs[f.name] for f in gappy}, value="x", keep={"y": F.col("y")})
-        own_ranks = small(y_ranks.filter("grp <> ''").withColumnRenamed("grp", "column"))
-        parts.append(summed(own.join(own_ranks, ["column", "y"])))
-    grouped = reduce(DataFrame.unionByName, parts)
+    wide = df.join(small(ranks), "y")
+    pair = {name: F.when(x.isNotNull(), F.struct(x.alias("x"), F.col(f"r_{gappy.get(name, 'n')}").alias("ry"))) for name, x in xs.items()}
+    grouped = long_form(wide, pair).groupBy("column", F.col("value.x").alias("value")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value.ry").alias("s"), F.sum(F.col("value.ry") * F.col("value.ry")).alias("q"))
     # at most the distinct values of the features, and their codes for a missing label
     known = [f.n_unique for f in features]
     hint = None if None in known else sum(known) + len(features)

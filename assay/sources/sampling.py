@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.columns import col
 from ..operators.duplicates import row_digest
+from ..session import checkpoint_folder
 from ..settings import DEFAULTS
 
 
@@ -24,36 +29,60 @@ def _draw(df: DataFrame, seed: int, key: list[str] | None) -> Column:
     return unit_hash(row_digest(df), seed)
 
 
+def least_draws(df: DataFrame, n: int, draw: Column) -> DataFrame:
+    """``rows`` and ``draws`` of every task: its row count and its ``n`` smallest draws. They add up: the ``n`` smallest of all are among them.
+
+    Written to the checkpoint folder, so the table is read once, whatever is asked of the draws.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, least = 0, np.zeros(0)
+        for batch in batches:
+            rows += batch.num_rows
+            least = np.concatenate([least, batch.column(0).to_numpy()])
+            if len(least) > 2 * n:
+                least = np.partition(least, n - 1)[:n]
+        if len(least) > n:
+            least = np.partition(least, n - 1)[:n]
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), pa.array([least], pa.list_(pa.float64()))], names=["rows", "draws"])
+
+    path = f"{checkpoint_folder(df.sparkSession)}/draws-{uuid.uuid4().hex}"
+    df.select(draw.alias("draw")).mapInArrow(run, "rows bigint, draws array<double>").write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def cap_rows(
     df: DataFrame, n: int | None = None, seed: int = 42, key: list[str] | None = None
 ) -> tuple[DataFrame, bool, int]:
     """``(frame, sampled, rows before)``: at most ``n`` rows, the same ones for any partitioning.
 
-    Rows are drawn by a hash of their key (by default all columns). A hash
-    threshold lets about ``n`` rows through, the exact ``n``-th draw is found
-    among their numbers alone, and a filter keeps what lies before it: rows are
-    neither sorted nor shuffled. Rows that share the last draw are alike, and as
-    many of them as are wanted are taken.
+    Rows are drawn by a hash of their key (by default all columns). One read of the table leaves every task's row count and smallest
+    draws; the exact ``n``-th draw is found among those that can be it, and a filter keeps what lies before it: rows are neither
+    sorted nor shuffled. Rows that share the last draw are alike, and as many of them as are wanted are taken.
     """
     from ..operators.order_stats import order_statistics
 
     n = n if n is not None else DEFAULTS.row_cap
-    total = df.count()
+    draw = _draw(df, seed, key)
+    if n <= 0:
+        total = df.count()
+        return df.limit(0), total > 0, total
+    tasks = least_draws(df, n, draw)
+    total = tasks.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     if total <= n:
         return df, False, total
-    drawn = df.withColumn("__draw", _draw(df, seed, key))
-    share = (n + 8 * math.sqrt(n) + 100) / total
+    draws = tasks.select(F.lit("draw").alias("column"), F.explode("draws").alias("value"))
+    share = (n + 8 * math.sqrt(n) + 100) / total  # leaves about n of the tasks' draws
     while True:
-        near = drawn.filter(F.col("__draw") < share)
+        near = draws.where(F.col("value") < share)
         found = near.count()
         if share >= 1.0 or found >= n:
             break
         share = min(1.0, share * 2)
-    long = near.select(F.lit("draw").alias("column"), F.col("__draw").alias("value"))
-    last = order_statistics(long, {"draw": [(n - 1, n - 1)]}, {"draw": found})[("draw", n - 1)]
-    before = near.filter(F.col("__draw") < last)
-    rest = near.filter(F.col("__draw") == last).limit(n - before.count())
-    return before.unionByName(rest).drop("__draw"), True, total
+    last = order_statistics(near, {"draw": [(n - 1, n - 1)]}, {"draw": found})[("draw", n - 1)]
+    ahead = near.where(F.col("value") < last).count()
+    drawn = df.withColumn("__draw", draw)
+    rest = drawn.filter(F.col("__draw") == last).limit(n - ahead)
+    return drawn.filter(F.col("__draw") < last).unionByName(rest).drop("__draw"), True, total
 
 
 def sample_share(df: DataFrame, share: float, seed: int = 42, key: list[str] | None = None) -> DataFrame:

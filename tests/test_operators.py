@@ -306,3 +306,50 @@ def test_spearman_with_a_hot_target_value(spark):
     for c in ("x", "gap"):
         both = frame[[c, "y"]].dropna().rank()
         assert abs(found[c] - both[c].corr(both["y"])) < 1e-9
+
+
+def test_row_cap_reads_the_table_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(4000, numPartitions=7).mapInArrow(counted, "id long")
+    out, sampled, total = sampling.cap_rows(df, 300)
+    assert (sampled, total, seen.value) == (True, 4000, 4000)
+    ids = {r["id"] for r in out.collect()}
+    assert len(ids) == 300 and ids == {r["id"] for r in sampling.cap_rows(spark.range(4000, numPartitions=2), 300)[0].collect()}
+    assert sampling.cap_rows(df, 0)[0].count() == 0 and sampling.cap_rows(df.limit(0), 5)[1:] == (False, 0)
+
+
+def test_median_of_many_groups(spark):
+    """Groups that share a range and groups that span several; nothing is sent out by group."""
+    n = 40_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 4 == 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 9000).cast("string"))).alias("g"),
+        F.when(F.col("id") % 7 > 0, (F.xxhash64("id") % 10000).cast("double")).alias("v"))
+    own = df.groupBy("g").agg(F.median("v").alias("m"))
+    want = df.join(own, "g").select("g", F.coalesce("v", "m").alias("v"))
+    got = repair.fill_median_by(df, "v", F.col("g"), Settings(exact_in_one_pass=1000))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+@pytest.mark.parametrize("settings", [Settings(), Settings(exact_in_one_pass=50, broadcast_rows=20)])
+def test_spearman_with_gaps_and_a_hot_target(spark, settings):
+    import numpy as np
+    import pandas as pd
+
+    draw = np.random.default_rng(7)
+    n = 3000
+    y = np.where(draw.random(n) < 0.4, 5.0, draw.normal(size=n).round(2))
+    pdf = pd.DataFrame({"y": y, "a": np.where(draw.random(n) < 0.33, np.nan, y + draw.normal(size=n)), "b": np.where(draw.random(n) < 0.5, np.nan, draw.integers(0, 9, n)), "c": draw.normal(size=n)})
+    pdf["d"] = np.nan
+    df = spark.createDataFrame(pdf).select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in pdf.columns])
+    encoded = association.Encoded(df.select("y", *[F.col(c).alias(f"x_{c}") for c in "abcd"]), {c: f"x_{c}" for c in "abcd"})
+    features = [association.Feature(c, "number", True, c != "c") for c in "abcd"]
+    got = {r["column"]: r["rho"] for r in association.spearman(encoded, features, settings).collect()}
+    for c in "abc":
+        assert got[c] == pytest.approx(pdf[[c, "y"]].dropna().rank().corr().iloc[0, 1], abs=1e-9)
+    assert got.get("d") is None
