@@ -397,22 +397,52 @@ def _(spark, folder):
 
 @register(
     "table_classifier", "M4",
-    "SELECT count(*) AS n_rows, count(DISTINCT l_returnflag) AS n_classes, true AS learned FROM lineitem WHERE l_orderkey % 5 = 0",
-)
-def _(spark, folder):
-    """Every fifth order is held out; ``learned``: the forest beats the commonest class on them by ten points."""
-    rows = table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_quantity", "l_linestatus", "l_returnflag", F.datediff("l_shipdate", F.lit("1992-01-01")).alias("day"),
-        F.concat("l_returnflag", (F.col("l_orderkey") % 3).cast("string")).alias("mark"))
-    held = rows.filter("l_orderkey % 5 = 0")
-    model = classifier.train_classifier(rows.filter("l_orderkey % 5 <> 0").drop("l_orderkey"), "l_returnflag")
-    out = classifier.predict(model, held.drop("l_orderkey"), "l_returnflag")
-    right = F.avg((F.col("predicted") == F.col("l_returnflag")).cast("double"))
-    most = held.groupBy("l_returnflag").count().agg(F.max("count")).first()[0]
-    return out.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("l_returnflag").alias("n_classes"), right.alias("right")).select(
+    "SELECT count(*) AS n_rows, count(DISTINCT lang) AS n_classes, true AS learned FROM documents WHERE doc_id % 5 = 0 AND lang IS NOT NULL",
+)
+def _(spark, folder):
+    """Languages of texts by the shares of some letters. Every fifth is held out; ``learned``: the forest beats the commonest class on them by ten points."""
+    size = F.greatest(F.length("text"), F.lit(1))
+    share = lambda c: (size - F.length(F.replace(F.lower("text"), F.lit(c)))) / size
+    rows = table(spark, folder, "documents").where("lang is not null").select(
+        "doc_id", "lang", *[F.coalesce(share(c), F.lit(0.0)).alias(f"share_{k}") for k, c in enumerate("aeinoukwyüñéß")])
+    held = rows.filter("doc_id % 5 = 0")
+    model = classifier.train_classifier(rows.filter("doc_id % 5 <> 0").drop("doc_id"), "lang", trees=40)
+    out = classifier.predict(model, held.drop("doc_id"), "lang")
+    right = F.avg((F.col("predicted") == F.col("lang")).cast("double"))
+    most = held.groupBy("lang").count().agg(F.max("count")).first()[0]
+    return out.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("lang").alias("n_classes"), right.alias("right")).select(
         "n_rows", "n_classes", (F.col("right") > F.lit(most) / F.col("n_rows") + 0.1).alias("learned"))
 
 
+_ROLE_TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations", "benchmark", "nation")
+_ROLE_SLICES = 2
+
+
+@register(
+    "role_classifier", "M4",
+    f"""SELECT table_name AS run_id, count(*) * {_ROLE_SLICES + 1} AS n_columns, true AS judged, true AS learned FROM information_schema.columns
+ WHERE table_name IN {_ROLE_TABLES} GROUP BY table_name""",
+)
+def _(spark, folder):
+    """Column roles learned from descriptors of whole tables and slices of them; each table is judged by a forest that saw none of it.
+    ``learned``: over all tables more columns are right than the commonest role has."""
+    profiles = []
+    for name in _ROLE_TABLES:
+        df = table(spark, folder, name)
+        part = F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(_ROLE_SLICES))
+        slices = [df, *[df.where(part == k) for k in range(_ROLE_SLICES)]]
+        profiles += [P.profile(s, name, _NO_SAMPLES).withColumn("slice", F.lit(k)) for k, s in enumerate(slices)]
+    known = settle(reduce(DataFrame.unionByName, profiles))
+    roles = context.column_roles(known, F.lit(None).cast("string")).select("run_id", "column", "slice", "column_role")
+    described = settle(classifier.column_descriptors(known.withColumn("run_id", F.concat_ws("/", "run_id", "slice"))))
+    keyed = roles.select(F.concat_ws("/", "run_id", "slice").alias("run_id"), "column", "column_role", F.col("run_id").alias("table"))
+    examples = settle(described.join(keyed, ["run_id", "column"]).drop("run_id", "column"))
+    judged = settle(classifier.out_of_fold(examples, "column_role", "table", folds=4, trees=40).select("table", "column_role", "predicted"))
+    right = judged.where("predicted = column_role").count()
+    most = judged.groupBy("column_role").count().agg(F.max("count")).first()[0]
+    return judged.groupBy(F.col("table").alias("run_id")).agg(F.count(F.lit(1)).alias("n_columns"), F.bool_and(F.col("predicted").isNotNull()).alias("judged")).withColumn("learned", F.lit(right > most))
+
+
 # --- missing values -------------------------------------------------------------
 
 

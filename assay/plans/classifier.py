@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.columns import col, kinds, missing_as_null
@@ -55,6 +57,39 @@ def predict(model: PipelineModel, table: DataFrame, label: str) -> DataFrame:
     )
 
 
+def column_descriptors(profiles: DataFrame) -> DataFrame:
+    """What a column looks like, from profiles (one row per run and column): measures, type, shape of its name. No rule's verdict is among them."""
+    name = F.lower("column")
+    parts = F.split(name, "_")
+    return profiles.select(
+        "run_id", "column", "kind", "null_rate", "cardinality_ratio", F.log10(F.coalesce("n_unique", F.lit(0)) + 1.0).alias("distinct_digits"),
+        F.log10(F.col("n_rows") + 1.0).alias("row_digits"), "top_share", "avg_len", "numeric_parse_rate", "clean_numeric_parse_rate", "datetime_parse_rate",
+        F.length(name).cast("double").alias("name_length"), F.size(parts).cast("double").alias("name_parts"),
+        F.element_at(parts, -1).alias("last_part"), F.expr("right(lower(`column`), 3)").alias("ending"))
+
+
+def out_of_fold(examples: DataFrame, label: str, group: str, folds: int = 3, **forest) -> DataFrame:
+    """``examples`` with ``fold`` and ``predicted``: every row judged by a forest that saw no row of its group.
+
+    Groups are dealt to folds by rank of their hash; ``examples`` is a bounded table, as of one row per column.
+    """
+    order = Window.orderBy(F.xxhash64("__group"))
+    dealt = examples.select(col(group).alias("__group")).distinct().withColumn("fold", (F.row_number().over(order) - 1) % folds)
+    rows = examples.join(F.broadcast(dealt), col(group) == F.col("__group")).drop("__group")  # one row per group
+    inputs = [c for c in examples.columns if c not in (group, label)]
+    rows = rows.select(*[col(c) for c in [*inputs, label, group]], "fold")  # inputs first: they are numbered in order
+    parts = []
+    for k in range(folds):
+        seen, held = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
+        model = train_classifier(seen.drop("fold", group), label, **forest)
+        if model is None:
+            parts.append(held.withColumn("predicted", F.lit(None).cast("string")))
+            continue
+        judged = predict(model, held.drop("fold"), label)
+        parts.append(judged.withColumn("fold", F.lit(k)).select(*rows.columns, "predicted"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _prepare(df: DataFrame, label: str, with_label: bool = True) -> tuple[DataFrame, list[tuple[str, str]]]:
     kind = kinds(df)
     added, inputs = {}, []

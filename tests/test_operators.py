@@ -353,3 +353,19 @@ def test_spearman_with_gaps_and_a_hot_target(spark, settings):
     for c in "abc":
         assert got[c] == pytest.approx(pdf[[c, "y"]].dropna().rank().corr().iloc[0, 1], abs=1e-9)
     assert got.get("d") is None
+
+
+def test_out_of_fold_judges_unseen_groups(spark):
+    from assay.plans.classifier import column_descriptors, out_of_fold
+
+    rows = [(g, k, "big" if k >= 50 else "small") for g in "abcdef" for k in range(0, 100, 4)]
+    df = spark.createDataFrame(rows, "g string, k int, size string")
+    judged = out_of_fold(df, "size", "g", folds=3, trees=5)
+    assert judged.count() == len(rows) and judged.where("predicted <> size").count() <= 12
+    assert {r[0] for r in judged.groupBy("g").agg(F.count_distinct("fold")).select("count(DISTINCT fold)").collect()} == {1}
+    # the label of a held-out group is never looked at: with labels turned round there, predictions stay
+    turned = df.withColumn("size", F.when(F.col("g") == "a", F.when(F.col("size") == "big", "small").otherwise("big")).otherwise(F.col("size")))
+    of = lambda d: sorted(tuple(r) for r in out_of_fold(d, "size", "g", folds=6, trees=5).where("g = 'a'").select("k", "predicted").collect())
+    assert of(df) == of(turned)
+    names = column_descriptors(profile(df)).columns
+    assert not {"column_role", "is_id_like", "name_kind", "dtype_inferred"} & set(names)
