@@ -17,7 +17,7 @@ from ..operators import (
 )
 from ..operators.columns import col, long_form
 from ..plans import classifier, context, narrative, scoring, usage, views
-from ..plans.analyze import analyze, settle
+from ..plans.analyze import analyze, analyze_tables, settle
 from ..session import checkpoint_folder, held
 from ..sources import csv, limits, sampling, sinks, usage_log
 from ..streaming import usage as stream_usage
@@ -86,19 +86,44 @@ def _(spark, folder):
 
 @register(
     "input_limits", "S3",
-    "SELECT 2::BIGINT AS n_cols, count(*) AS n_rows, false AS no_columns, false AS too_many_columns, count(*) = 0 AS no_rows FROM region",
+    """SELECT (SELECT count(*) FROM information_schema.columns WHERE table_name = 'lineitem') AS n_cols, count(*) AS n_rows, false AS no_columns,
+ true AS too_many_columns, count(*) = 0 AS no_rows FROM lineitem""",
 )
 def _(spark, folder):
-    return limits.input_limits(table(spark, folder, "region"))
+    return limits.input_limits(table(spark, folder, "lineitem"), S.Settings(max_columns=5))
+
+
+@register(
+    "file_size_guard", "S3",
+    "SELECT * FROM (VALUES ('one byte', true), ('its size', false), ('no limit', false)) AS t(allowed, refused), (SELECT count(*) AS n_rows FROM documents) AS d",
+)
+def _(spark, folder):
+    """Files that are larger than allowed are refused before they are read."""
+    df = table(spark, folder, "documents")
+
+    def refused(size: int | None) -> bool:
+        try:
+            limits.check_limits(df, S.Settings(max_file_bytes=size))
+        except limits.LimitError:
+            return True
+        return False
+
+    sizes = {"one byte": 1, "its size": limits.file_bytes(df), "no limit": None}
+    rows = spark.createDataFrame([(k, refused(v)) for k, v in sizes.items()], "allowed string, refused boolean")
+    return rows.crossJoin(df.agg(F.count(F.lit(1)).alias("n_rows")))  # a single row
+
+
+_REPORTED = ("nation", "labels")
 
 
 @register(
     "report_as_json", "S4",
-    O.profile_ctes(["nation"]) + """ SELECT run_id, ordinal, column_name AS "column", dtype AS dtype_inferred, n_unique, n_rows, true AS scored FROM p""",
+    O.profile_ctes(list(_REPORTED)) + """ SELECT run_id, ordinal, column_name AS "column", dtype AS dtype_inferred, n_unique, n_rows, true AS scored FROM p""",
 )
 def _(spark, folder):
     """The JSON text read back: one row per column it describes, and whether its scores are there."""
-    text = sinks.report_json(analyze(frame(spark, folder, "nation"), "nation"))
+    reports = analyze_tables({name: frame(spark, folder, name) for name in _REPORTED})
+    text = reduce(DataFrame.unionByName, [sinks.report_json(r) for r in reports.values()])
     shape = "integrity_score double, overall_score double, verdict string, generated_at string, findings array<struct<code string>>, " \
             "columns array<struct<ordinal int, column string, dtype_inferred string, n_unique bigint, n_rows bigint>>"
     read = text.select("run_id", F.from_json("report", shape).alias("r"))
@@ -799,10 +824,14 @@ def _(spark, folder):
     ).select("column", "column2", "corr")
 
 
-_MATRIX_SQL = (
-    O.pair_sql("redundant", _REDUNDANT)
-    + ' SELECT column_name AS "column", column2, round(coalesce(r, 0), 3) AS r FROM pr UNION ALL SELECT column2, column_name, round(coalesce(r, 0), 3) FROM pr'
-)
+def _matrix_sql(shown: int) -> str:
+    own = " UNION ALL ".join(f"SELECT '{c}', '{c}', CASE WHEN min({c}) < max({c}) THEN 1.0 ELSE 0.0 END::DOUBLE FROM src" for c in _REDUNDANT[:shown])
+    cell = "round(coalesce(r, 0), 3)"
+    return (O.pair_sql("redundant", _REDUNDANT) + f''' SELECT column_name AS "column", column2, {cell} AS r FROM pr WHERE place2 < {shown}
+ UNION ALL SELECT column2, column_name, {cell} FROM pr WHERE place2 < {shown} UNION ALL {own}''')
+
+
+_MATRIX_SQL = _matrix_sql(len(_REDUNDANT))
 
 
 @register("correlation_matrix", "E25", _MATRIX_SQL)
@@ -1095,9 +1124,10 @@ def _(spark, folder):
     return views.class_view(imbalance.class_proportions(table(spark, folder, "lineitem"), "l_returnflag"))
 
 
-@register("heatmap_view", "R4", _MATRIX_SQL)
+@register("heatmap_view", "R4", _matrix_sql(4))
 def _(spark, folder):
-    return correlation.correlation_matrix(_pairs(spark, folder), _REDUNDANT)
+    """Only the first columns are shown, here four."""
+    return correlation.correlation_matrix(_pairs(spark, folder), _REDUNDANT, settings=S.Settings(heatmap_columns=4))
 
 
 # --- usage ----------------------------------------------------------------------

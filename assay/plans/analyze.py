@@ -7,11 +7,13 @@ because later passes choose their columns from them; no data row is.
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -234,7 +236,7 @@ def analyze(
         known = of_run(pairs)
         out.append(features.near_duplicate_findings(known, settings))
         shown = [r["column"] for r in numbers[: settings.heatmap_columns]]
-        out.append(correlation.matrix_findings(settle(_matrix(known, shown))))
+        out.append(correlation.matrix_findings(settle(_matrix(known, shown, {r["column"] for r in numbers if r["is_constant"]}))))
         out.append(correlation.strong_pair_findings(known, settings))
         return out
 
@@ -309,10 +311,30 @@ def analyze(
 
 
 def analyze_tables(tables: dict[str, DataFrame], targets: dict[str, str] | None = None,
-                   settings: Settings = DEFAULTS) -> dict[str, Report]:
-    """One report per table; the union of their frames is a fleet view keyed by ``run_id``."""
+                   settings: Settings = DEFAULTS, parallel: int = 4) -> dict[str, Report]:
+    """One report per table; the union of their frames is a fleet view keyed by ``run_id``.
+
+    ``parallel`` tables are analysed at a time, each in a scheduler pool of its own: an analysis is a chain of short jobs, which
+    leave executors idle between them. With ``spark.scheduler.mode=FAIR`` a large table does not hold up the small ones. A failing
+    table raises after the others have ended.
+    """
     targets = targets or {}
-    return {n: analyze(df, n, targets.get(n), settings=settings) for n, df in tables.items()}
+
+    def run(name: str) -> Report:
+        df = tables[name]
+        context = df.sparkSession.sparkContext
+        context.setLocalProperty("spark.scheduler.pool", f"assay-{name}")
+        try:
+            return analyze(df, name, targets.get(name), settings=settings)
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", None)
+
+    if not tables:
+        return {}
+    spark = next(iter(tables.values())).sparkSession
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        runs = {name: pool.submit(inheritable_thread_target(spark)(run), name) for name in tables}
+    return {name: done.result() for name, done in runs.items()}
 
 
 def fleet(reports: dict[str, Report]) -> tuple[DataFrame, DataFrame]:
@@ -324,8 +346,8 @@ def fleet(reports: dict[str, Report]) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def _matrix(pairs: DataFrame, labels: list[str]) -> DataFrame:
-    """``run_id, labels, matrix``: at most ``heatmap_columns`` squared numbers per run."""
+def _matrix(pairs: DataFrame, labels: list[str], constant: set[str]) -> DataFrame:
+    """``run_id, labels, matrix``: at most ``heatmap_columns`` squared numbers per run; constant columns go with nothing, not even themselves."""
     place = {c: i for i, c in enumerate(labels)}
     r = F.round(F.coalesce("r", F.lit(0.0)), 3).alias("r")
     both = pairs.filter(F.col("column").isin(labels) & F.col("column2").isin(labels))
@@ -334,7 +356,8 @@ def _matrix(pairs: DataFrame, labels: list[str]) -> DataFrame:
     )
     index = F.create_map(*[F.lit(v) for pair in place.items() for v in pair])
     numbered = cells.select("run_id", index[F.col("column")].alias("i"), index[F.col("column2")].alias("j"), "r")
-    own = numbered.select("run_id", "i", F.col("i").alias("j"), F.lit(1.0).alias("r")).distinct()
+    alone = F.col("i").isin([place[c] for c in labels if c in constant])
+    own = numbered.select("run_id", "i", F.col("i").alias("j"), F.when(alone, 0.0).otherwise(1.0).alias("r")).distinct()
     lines = (
         numbered.unionByName(own)
         .groupBy("run_id", "i")

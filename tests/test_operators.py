@@ -369,3 +369,28 @@ def test_out_of_fold_judges_unseen_groups(spark):
     assert of(df) == of(turned)
     names = column_descriptors(profile(df)).columns
     assert not {"column_role", "is_id_like", "name_kind", "dtype_inferred"} & set(names)
+
+
+def test_tables_at_a_time_give_the_same_reports(spark, small):
+    from assay import analyze, analyze_tables
+
+    tables = {n: spark.read.parquet(f"{small}/{n}.parquet") for n in ("nation", "customer", "part")}
+    targets = {"customer": "c_mktsegment"} if "c_mktsegment" in tables["customer"].columns else {}
+    shown = ("code", "severity", "column", "engine")
+    found = lambda report: sorted(tuple(str(r[c]) for c in shown if c in r) for r in map(lambda r: r.asDict(), report.findings.collect()))
+    together = analyze_tables(tables, targets, parallel=3)
+    assert list(together) == list(tables)
+    for name, df in tables.items():
+        alone = analyze(df, name, targets.get(name))
+        assert found(together[name]) == found(alone)
+        assert together[name].scores.first()["overall_score"] == alone.scores.first()["overall_score"]
+    assert analyze_tables({}) == {}
+    with pytest.raises(Exception):
+        analyze_tables({"none": spark.createDataFrame([], "a int").drop("a")})
+
+
+def test_matrix_has_its_diagonal(spark):
+    df = spark.createDataFrame([(float(k), -float(k), 1.0) for k in range(20)], "a double, b double, c double")
+    pairs = correlation.pair_correlations(df, {c: F.col(c) for c in "abc"}, set("abc"))
+    cells = {(r["column"], r["column2"]): r["r"] for r in correlation.correlation_matrix(pairs, list("abc"), {"c"}).collect()}
+    assert cells == {(x, y): {"aa": 1.0, "bb": 1.0, "ab": -1.0, "ba": -1.0}.get(x + y, 0.0) for x in "abc" for y in "abc"}
