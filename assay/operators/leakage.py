@@ -43,7 +43,7 @@ def association_findings(metrics: DataFrame, settings: Settings = DEFAULTS) -> D
     measured = {"mi": F.round("mi", 4), "corr": F.round("corr", 4)}
     drop = F.format_string('df = df.drop("%s")', c)
     check = F.format_string('# check when "%s" is known, then: df = df.drop("%s")', c, c)
-    review = "The association is target-like, but neither timing nor name proves a leak. Review it."
+    review = "Whether it is known before the outcome cannot be told from the data: ask who fills it in, and when."
     suspicious = code == "TARGET_LEAKAGE_SUSPICIOUS_NAME"
     return emit(
         rows,
@@ -54,13 +54,13 @@ def association_findings(metrics: DataFrame, settings: Settings = DEFAULTS) -> D
                 finding(
                     code,
                     F.when(evident, "critical").otherwise("medium"),
-                    F.when(evident & F.col("exact"), F.format_string("'%s' is a copy of the target", c))
-                    .when(evident, F.format_string("'%s' is a monotonic transform of the target", c))
-                    .otherwise(F.format_string("'%s' is a target proxy risk", c)),
+                    F.when(evident & F.col("exact"), F.format_string("'%s' equals the target in all %d rows that have both", c, F.col("n_pairs")))
+                    .when(evident, F.format_string("'%s' puts the rows in the order of the target", c))
+                    .otherwise(F.format_string("'%s' may stand in for the target", c)),
                     F.format_string(
-                        "'%s' reproduces '%s' (%s).", c, t, F.when(F.col("exact"), "exact match").otherwise("Spearman about 1")
+                        "'%s' can be read off '%s': %s over %d rows.", t, c, F.when(F.col("exact"), "value for value").otherwise("rank for rank"), F.col("n_pairs")
                     ),
-                    F.when(evident, "The column holds the answer and looks like it is recorded after the outcome.").otherwise(review),
+                    F.when(evident, "A name like this is given once the outcome is known; at prediction time the column would be empty.").otherwise(review),
                     drop,
                     column=c,
                     category=F.when(evident, "data_integrity").otherwise("modeling_warning"),
@@ -74,11 +74,11 @@ def association_findings(metrics: DataFrame, settings: Settings = DEFAULTS) -> D
                 finding(
                     code,
                     F.when(evident, "critical").otherwise("medium"),
-                    F.when(evident, F.format_string("'%s' predicts the target almost perfectly (leakage)", c)).otherwise(
-                        F.format_string("'%s' is very closely associated with the target", c)
+                    F.when(evident, F.format_string("'%s' alone all but gives the target away", c)).otherwise(
+                        F.format_string("'%s' follows the target closely", c)
                     ),
                     numbers,
-                    F.when(evident, "One feature this good, with a name that points past the outcome, is a leak.").otherwise(review),
+                    F.when(evident, "Its name points past the outcome and it needs no other column to predict it.").otherwise(review),
                     check,
                     column=c,
                     category=F.when(evident, "data_integrity").otherwise("modeling_warning"),
@@ -92,9 +92,9 @@ def association_findings(metrics: DataFrame, settings: Settings = DEFAULTS) -> D
                 finding(
                     code,
                     "high",
-                    F.format_string("'%s' has an outcome-like name and goes with the target", c),
+                    F.format_string("'%s' is named like a result and moves with the target", c),
                     numbers,
-                    "Outcomes and scores are often computed from the label; using them leaks it.",
+                    "Columns with such names tend to be worked out from the label.",
                     check,
                     column=c,
                     metrics=measured,

@@ -178,7 +178,7 @@ def cluster_findings(clusters: DataFrame) -> DataFrame:
                     F.lit("Columns that go missing as a block"),
                     F.format_string("These columns are missing in the same rows: %s.", names),
                     "Gaps that come together have one cause: look for what these rows have not reached or were never asked.",
-                    F.lit("df = df.fillna('TBD', subset=unresolved_columns)  # or keep the nulls and add a flag"),
+                    F.lit("df = add_missing_flags(df, cluster)  # one flag would do: they go together"),
                     metrics={"columns": F.col("columns"), "structural": F.lit(True)},
                     block=0,
                 ),

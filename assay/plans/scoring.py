@@ -123,6 +123,7 @@ def _capped(level: Column, cap: Column) -> Column:
 
 
 def _purpose(worst: Column, readiness: Column) -> Column:
+    # The purposes of tables without a target, and the steps of readiness.
     out = F.when(readiness >= 85, STRONG).when(readiness >= 70, CAUTION).when(readiness >= 50, TOY).otherwise(EDA_ONLY)
     for i, label in enumerate(PURPOSES):
         out = F.when(worst == i, label).otherwise(out)

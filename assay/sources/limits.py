@@ -38,10 +38,10 @@ def check_limits(df: DataFrame, settings: Settings = DEFAULTS, need_rows: bool =
     if n_cols == 0:
         raise LimitError("The table has no columns.")
     if settings.max_columns is not None and n_cols > settings.max_columns:
-        raise LimitError(f"Too many columns ({n_cols}); the limit is {settings.max_columns}.")
+        raise LimitError(f"{n_cols} columns, {n_cols - settings.max_columns} more than max_columns allows.")
     if settings.max_file_bytes is not None:
         size = file_bytes(df)
         if size > settings.max_file_bytes:
-            raise LimitError(f"Too large ({size} bytes); the limit is {settings.max_file_bytes}.")
+            raise LimitError(f"{size} bytes of files, max_file_bytes is {settings.max_file_bytes}.")
     if need_rows and df.isEmpty():
         raise LimitError("The table has no rows.")
