@@ -2,7 +2,9 @@
 
 The symbols of many words lie in one flat array. A round forms every neighbouring pair, looks its rank up by binary search in
 the sorted pair keys of the merge table, finds the lowest rank of each word, and merges that pair, left to right, in all words at
-once. Rounds go on until no word has a mergeable pair, so a batch takes as many rounds as its longest word has merges.
+once. Rounds go on until no word has a mergeable pair. Words over ``LONG`` letters have many different ranks, so they keep their pairs in
+lists by rank: a round takes the lowest rank, merges its pairs at all places of the word, and files the new pairs, so its work follows
+the merges and not the length of the word.
 
 A text is split at single spaces first. That is safe here as the tokenizer's pattern never joins characters over white space and
 its normal forms do not compose with a space. Pieces seen before come from a table of bounded size per Python worker, so merging
@@ -18,6 +20,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KNOWN = 400_000  # pieces remembered per worker, and dropped together when there are more
+HELD = 64 << 20  # the same for their letters
+LONG = 256  # letters; longer words are merged by rank lists
 PLAIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 \\t\\n\\x0b\\x0c\\r]+")  # the pattern of the file, on lower-case ASCII
 
 PRINTED = re.compile("[\\t-\\r -~]*")
@@ -58,6 +63,7 @@ class Bpe:
         self.special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0  # letters of the pieces remembered
 
     def pieces(self, chunk: str) -> list[str]:
         """Words of a piece of text without plain spaces, in the alphabet of the vocabulary."""
@@ -66,7 +72,11 @@ class Bpe:
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
 
     def merge(self, words: list[str]) -> list[bytes]:
-        """Ids of every word, as little-endian unsigned 32-bit integers; all words at once."""
+        """Ids of every word, as little-endian unsigned 32-bit integers; all short words at once."""
+        long = {i for i, w in enumerate(words) if len(w) > LONG}
+        if long:
+            short = iter(self.merge([w for i, w in enumerate(words) if i not in long]))
+            return [self.merge_long(w) if i in long else next(short) for i, w in enumerate(words)]
         if not words:
             return []
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -109,22 +119,80 @@ class Bpe:
         cuts = [0, *(4 * np.cumsum(np.bincount(owner, minlength=len(words)))).tolist()]
         return [blob[a:b] for a, b in zip(cuts, cuts[1:])]
 
+    def merge_long(self, word: str) -> bytes:
+        """Ids of one long word. Symbols are linked to their neighbours; ``todo`` holds the places of pairs by rank.
+
+        A place is looked at again when its rank comes up, so pairs that have changed since are passed over.
+        """
+        flat = np.array([self.vocab[c] for c in word], np.int64)
+        if self.suffix:
+            flat[-1] = self.vocab[word[-1] + self.suffix]
+        n = len(flat)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # n and -1: none
+        alive = np.ones(n, bool)
+        todo: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def look(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Places that begin a mergeable pair, and its rank."""
+            places = places[after[places] < n]
+            key = flat[places] * self.size + flat[after[places]]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            good = self.keys[at] == key
+            return places[good], self.ranks[at[good]]
+
+        def file(places: np.ndarray) -> None:
+            places, rank = look(places)
+            order = np.argsort(rank, kind="stable")
+            places, rank = places[order], rank[order]
+            cuts = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else []
+            for r, some in zip(rank[cuts].tolist() if len(rank) else [], np.split(places, cuts[1:]) if len(rank) else []):
+                if r not in todo:
+                    todo[r] = []
+                    heappush(ranks, r)
+                todo[r].append(some)
+
+        file(np.arange(n))
+        while ranks:
+            r = heappop(ranks)
+            places = np.unique(np.concatenate(todo.pop(r)))
+            places, found = look(places[alive[places]])
+            places = places[found == r]
+            if not len(places):
+                continue
+            # of overlapping equal pairs only every second merges, counted from the left of its run
+            follows = np.r_[False, after[places[:-1]] == places[1:]]
+            if follows.any():
+                index = np.arange(len(places))
+                places = places[(index - np.maximum.accumulate(np.where(follows, 0, index))) % 2 == 0]
+            gone = after[places]
+            flat[places], alive[gone] = self.merged[r], False
+            after[places] = after[gone]
+            right = after[places]
+            inside = right < n
+            before[right[inside]] = places[inside]
+            left = before[places]
+            file(np.unique(np.r_[left[left >= 0], places]))
+        return flat[alive].astype("<u4").tobytes()
+
     def learn(self, chunks: list[str]) -> None:
         """Encodes pieces that the table does not hold yet."""
         lists = [self.pieces(c) for c in chunks]
-        if len(self.words) > KNOWN:
-            self.words.clear()
         ids = self.words
         words = list({w for ws in lists for w in ws if w not in ids})
         ids.update(zip(words, self.merge(words)))
+        self.held += sum(map(len, chunks))
         for chunk, ws in zip(chunks, lists):
             self.known[chunk] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts, each as little-endian unsigned 32-bit integers."""
-        if len(self.known) > KNOWN:
+        if len(self.known) > KNOWN or len(self.words) > KNOWN or self.held > HELD:
             self.known.clear()
-        split = [self.special.split(t or "") if self.special and t and "<|" in t else [t or ""] for t in texts]
+            self.words.clear()
+            self.held = 0
+        marks = list(self.specials)
+        split = [self.special.split(t) if t and any(m in t for m in marks) else [t or ""] for t in texts]
         chunks = [[part.split(" ") if k % 2 == 0 else part for k, part in enumerate(parts)] for parts in split]
         known = self.known
         new = {c for parts in chunks for part in parts if isinstance(part, list) for c in part if c not in known}
