@@ -20,7 +20,7 @@ from hashlib import blake2b, sha256
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SENTENCE = re.compile(r"[^.!?]+[.!?]*|[.!?]+")
@@ -126,30 +126,59 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
+def _hash(text: str) -> Column:
+    """52 bits, as quantile sketches hold numbers as doubles and a cut must be the value of a row."""
+    return F.shiftright(F.xxhash64(text), 12)
+
+
+def _cuts(rows: DataFrame, parts: int) -> list[tuple]:
+    """(id, hash) of the very first row and of the rows that begin the further ranges, descending; at most about two per range.
+
+    Ids at equal shares of the rows begin ranges; one that several shares fall on is cut at as many shares of its texts' hashes.
+    """
+    shares = [k / parts for k in range(1, parts)] or [0.5]
+    head = rows.agg(F.percentile_approx("id", shares, 100 * parts).alias("cuts"), F.max("id").alias("top"), F.count("id").alias("known"), F.count(F.lit(1)).alias("n")).first()
+    if not head["n"]:
+        return []
+    wanted = Counter(head["cuts"] or []) if parts > 1 else Counter()
+    wanted[None] = round(parts * (head["n"] - head["known"]) / head["n"])
+    some = list({*wanted, head["top"]} - {None})
+    h = _hash("text")
+    found = rows.where(F.col("id").isNull() | F.col("id").isin(some)).groupBy("id").agg(F.max(h).alias("first"), F.percentile_approx(h, shares, 100 * parts).alias("cuts")).collect()
+    begins = set()
+    for r in found:  # a row per wanted id
+        begins.add((r["id"], r["first"]))
+        times = wanted[r["id"]]
+        begins |= {(r["id"], r["cuts"][(k * len(r["cuts"])) // times]) for k in range(1, times)}
+    return sorted(begins, key=lambda c: (c[0] is not None, c[0] if c[0] is not None else 0, c[1]), reverse=True)
+
+
 def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Every document's fingerprint against that of its edited text and of the next document by descending ``id_col`` (a number).
 
-    Texts move once: ids are cut into ranges at some of their own values, so the first document of a range is known beforehand and a
-    copy of it goes to the range before, where it closes the sequence; the very first closes the last. Null ids come last; equal ids
-    are ordered by text.
+    Texts move once: rows are cut into ranges at some of their own (id, hash of the text), so the first document of a range is known
+    beforehand and a copy of it goes to the range before, where it closes the sequence; the very first closes the last. An id, or null
+    ids, with more than a range's share of the rows is cut by its texts' hashes; only equal texts of one id stay together. Null ids
+    come last; equal ids are ordered by the hash of the text, descending.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    shares = [k / parts for k in range(1, parts)] or [0.5]
-    head = rows.agg(F.percentile_approx("id", shares, 100 * parts).alias("cuts"), F.max("id").alias("last")).first()
-    cuts = sorted(set(head["cuts"] or []), reverse=True) if parts > 1 else []
     kind = rows.schema["id"].dataType
-    bounds = F.array(*[F.lit(c).cast(kind) for c in cuts]) if cuts else F.array().cast(f"array<{kind.simpleString()}>")
-    part = F.when(F.col("id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(bounds, lambda c: F.col("id") <= c)))
-    first = F.array_contains(bounds, F.col("id"))
+    cuts = _cuts(rows, parts)
+    key = F.struct("id", _hash("text").alias("h"))
+    literal = lambda c: F.struct(F.lit(c[0]).cast(kind).alias("id"), F.lit(c[1]).cast("long").alias("h"))
+    bounds = F.array(*[literal(c) for c in cuts[1:]]) if len(cuts) > 1 else F.array().cast(f"array<struct<id:{kind.simpleString()},h:bigint>>")
+    keyed = rows.select("id", "text", key.alias("key"))
+    last = max(len(cuts) - 1, 0)
+    part = F.size(F.filter(bounds, lambda c: F.col("key") <= c))
     copies = F.array_compact(F.array(
         F.struct(part.alias("part"), F.lit(False).alias("copy")),
-        F.when(first & (part > 0), F.struct((part - 1).alias("part"), F.lit(True).alias("copy"))),
-        F.when(F.col("id").eqNullSafe(F.lit(head["last"]).cast(kind)), F.struct(F.lit(len(cuts)).alias("part"), F.lit(True).alias("copy"))),
+        F.when(F.array_contains(bounds, F.col("key")), F.struct((part - 1).alias("part"), F.lit(True).alias("copy"))),
+        F.when(F.col("key") == (literal(cuts[0]) if cuts else F.lit(None)), F.struct(F.lit(last).alias("part"), F.lit(True).alias("copy"))),
     ))
-    dealt = rows.select("id", "text", F.inline(copies)).repartitionById(len(cuts) + 1, F.col("part"))
-    ordered = dealt.sortWithinPartitions("copy", F.col("id").desc_nulls_last(), "text").select("id", "text", "copy")
+    dealt = keyed.select("key", "text", F.inline(copies)).repartitionById(last + 1, F.col("part"))
+    ordered = dealt.sortWithinPartitions("copy", F.col("key").desc(), "text").select("key.id", "text", "copy")
 
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
