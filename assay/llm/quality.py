@@ -2,9 +2,11 @@
 
 Every text is measured once. Each measure is summarised per (language, source) by a log-bucketed quantile sketch: counts per
 bucket, with a relative error of ``accuracy``. Such sketches merge by adding counts, so the sketch of a language is the sum of
-its sources, a small source takes the cutoffs of its language, and a hot source costs one row per bucket and task. The cutoffs
-come from the quartiles and stay within fixed bounds, so a source that is mostly junk cannot raise them at will. The last step
-joins the cutoffs back and filters. Everything is DataFrame functions.
+its sources, and a hot source costs one row per bucket and task. A source's quartiles are averaged with its language's, weighted by
+its number of texts, so a small source nearly takes those of its language and nothing jumps as it grows. Cutoffs lie a reach
+outside the quartiles, held within a multiple of the language's own, so a source that is mostly junk cannot raise them at
+will and no number for one family of languages enters. The last step joins the cutoffs back and filters. Everything is DataFrame
+functions.
 
 Defined results: a null text counts as empty and fails the base rule (fewer than ten words); null language or source form
 their own group; repeated rows are judged one by one, alike; an empty table gives an empty result; other columns, whatever
@@ -27,7 +29,8 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Measure:
-    """One adaptive rule: quartile plus ``reach`` times the quartile distance, at least ``slack`` from the median, in bounds.
+    """One adaptive rule: the upper cutoff is the third quartile plus ``reach`` times the quartile distance, and at least ``slack``
+    (of the median, if ``relative``) above the median. Where there is a lower cutoff (``both``), it lies as far below.
 
     ``short`` loosens a cutoff by itself over the number of words, as means of few words scatter.
     """
@@ -35,21 +38,21 @@ class Measure:
     name: str
     reach: float
     slack: float
-    low: float  # the upper cutoff is never below
-    high: float  # nor above
-    floor: float | None = None  # the lower cutoff, where there is one, is never above this
+    relative: bool = False
+    both: bool = False
     short: float = 0.0
 
 
 MEASURES = (
-    Measure("mean_word", 6.0, 2.0, 6.0, 12.0, floor=3.0, short=40.0),
-    Measure("symbol_share", 3.0, 0.1, 0.1, 0.3),
-    Measure("duplicate_lines", 3.0, 0.4, 0.4, 0.6),
-    Measure("upper_share", 6.0, 0.2, 0.3, 0.6),
-    Measure("stutter_share", 6.0, 0.15, 0.2, 0.4),
+    Measure("mean_word", 6.0, 0.4, relative=True, both=True, short=40.0),
+    Measure("symbol_share", 3.0, 0.1),
+    Measure("duplicate_lines", 3.0, 0.4),
+    Measure("upper_share", 6.0, 0.2),
+    Measure("stutter_share", 6.0, 0.15),
 )
 ACCURACY = 0.01
-SMALL_GROUP = 200
+WEIGHT = 200  # texts that the quartiles of the wider group count for
+WIDER = 2.0  # a source may be this many times as far from its language's quartiles as the language's own cutoffs are
 
 
 def _repeat_words(words: Column) -> Column:
@@ -148,26 +151,42 @@ def _quartiles(sketch: DataFrame, keys: list[str], accuracy: float) -> DataFrame
         F.max("total").alias("total"), at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
 
 
-def cutoffs(sketch: DataFrame, accuracy: float = ACCURACY, small: int = SMALL_GROUP) -> DataFrame:
-    """One row per (lang, source) with its cutoffs. A group under ``small`` texts takes those of its language, else of all."""
-    own = _quartiles(sketch, ["lang", "source"], accuracy)
-    lang = _quartiles(sketch, ["lang"], accuracy).select(
-        F.col("lang").alias("of_lang"), F.col("measure").alias("of_measure"), F.struct("total", "q1", "q2", "q3").alias("l"))
-    every = _quartiles(sketch, [], accuracy).select(F.col("measure").alias("all_measure"), F.struct("total", "q1", "q2", "q3").alias("a"))
+def _blended(own: Column, wide: Column, weight: float) -> Column:
+    """Quartiles of a group and ``weight`` texts of the wider one: nearly the wider ones for few texts, nearly its own for many."""
+    mix = lambda q: ((own["total"] * own[q] + F.lit(float(weight)) * wide[q]) / (own["total"] + F.lit(float(weight)))).alias(q)
+    return F.struct(mix("q1"), mix("q2"), mix("q3"))
+
+
+def _upper(m: Measure, q: Column, times: float = 1.0) -> Column:
+    slack = F.lit(times * m.slack) * (q["q2"] if m.relative else F.lit(1.0))
+    return F.greatest(q["q2"] + slack, q["q3"] + F.lit(times * m.reach) * (q["q3"] - q["q1"]))
+
+
+def _lower(m: Measure, q: Column, times: float = 1.0) -> Column:
+    slack = F.lit(times * m.slack) * (q["q2"] if m.relative else F.lit(1.0))
+    return F.least(q["q2"] - slack, q["q1"] - F.lit(times * m.reach) * (q["q3"] - q["q1"]))
+
+
+def cutoffs(sketch: DataFrame, accuracy: float = ACCURACY, weight: float = WEIGHT) -> DataFrame:
+    """One row per (lang, source) with its cutoffs, from quartiles blended with those of the language, and these with all texts'.
+
+    The blend moves with the number of texts, so a text more never makes a cutoff jump. A source's cutoffs are held within
+    ``WIDER`` times the reach and slack around its language's quartiles.
+    """
+    parts = lambda: F.struct("total", "q1", "q2", "q3")
+    own = _quartiles(sketch, ["lang", "source"], accuracy).select("lang", "source", "measure", parts().alias("o"))
+    lang = _quartiles(sketch, ["lang"], accuracy).select(F.col("lang").alias("of_lang"), F.col("measure").alias("of_measure"), parts().alias("l"))
+    every = _quartiles(sketch, [], accuracy).select(F.col("measure").alias("all_measure"), parts().alias("a"))
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("measure") == F.col("of_measure"))) \
         .join(F.broadcast(every), F.col("measure") == F.col("all_measure"))  # one row per measure
-    chosen = F.when(F.col("total") >= small, F.struct("total", "q1", "q2", "q3")) \
-        .when(F.col("l.total") >= small, F.col("l")).otherwise(F.col("a"))
-    q = joined.select("lang", "source", "measure", chosen.alias("q"))
+    wide = joined.withColumn("w", _blended(F.col("l"), F.col("a"), weight))
+    q = wide.select("lang", "source", "measure", "w", _blended(F.col("o"), F.col("w"), weight).alias("q"))
     exprs = []
     for m in MEASURES:
         mine = F.col("measure") == m.name
-        spread = F.col("q.q3") - F.col("q.q1")
-        upper = F.greatest(F.lit(m.low), F.least(F.lit(m.high), F.greatest(F.col("q.q2") + m.slack, F.col("q.q3") + m.reach * spread)))
-        exprs.append(F.max(F.when(mine, upper)).alias(f"max_{m.name}"))
-        if m.floor is not None:
-            lower = F.least(F.lit(m.floor), F.least(F.col("q.q2") - m.slack, F.col("q.q1") - m.reach * spread))
-            exprs.append(F.max(F.when(mine, lower)).alias(f"min_{m.name}"))
+        exprs.append(F.max(F.when(mine, F.least(_upper(m, F.col("q")), _upper(m, F.col("w"), WIDER)))).alias(f"max_{m.name}"))
+        if m.both:
+            exprs.append(F.max(F.when(mine, F.greatest(_lower(m, F.col("q")), _lower(m, F.col("w"), WIDER)))).alias(f"min_{m.name}"))
     return q.groupBy("lang", "source").agg(*exprs)
 
 
@@ -182,7 +201,7 @@ def judged(counts: DataFrame, limits: DataFrame) -> DataFrame:
     values = _values()
     loose = {m.name: F.lit(m.short) / F.greatest(F.col("n_words"), F.lit(1)) for m in MEASURES}
     good = [values[m.name] <= F.col(f"max_{m.name}") + loose[m.name] for m in MEASURES]
-    good += [values[m.name] >= F.col(f"min_{m.name}") - loose[m.name] for m in MEASURES if m.floor is not None]
+    good += [values[m.name] >= F.col(f"min_{m.name}") - loose[m.name] for m in MEASURES if m.both]
     kept = F.coalesce(~F.col("base_failed") & reduce(lambda a, b: a & b, good), F.lit(False))
     return both.select(*counts.columns, kept.alias("kept"))
 

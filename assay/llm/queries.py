@@ -155,21 +155,23 @@ WITH d AS (
   SELECT level, lang, source, measure, max(total) AS total, min(x) FILTER (upto > floor(0.25 * (total - 1))) AS q1,
          min(x) FILTER (upto > floor(0.5 * (total - 1))) AS q2, min(x) FILTER (upto > floor(0.75 * (total - 1))) AS q3
   FROM cum GROUP BY level, lang, source, measure
-), chosen AS (
-  SELECT a.lang, a.source, a.measure,
-         CASE WHEN a.total >= 200 THEN a.q1 WHEN l.total >= 200 THEN l.q1 ELSE e.q1 END AS q1,
-         CASE WHEN a.total >= 200 THEN a.q2 WHEN l.total >= 200 THEN l.q2 ELSE e.q2 END AS q2,
-         CASE WHEN a.total >= 200 THEN a.q3 WHEN l.total >= 200 THEN l.q3 ELSE e.q3 END AS q3
-  FROM q a JOIN q l ON l.level = 2 AND a.lang IS NOT DISTINCT FROM l.lang AND a.measure = l.measure JOIN q e ON e.level = 3 AND a.measure = e.measure WHERE a.level = 1
+), w AS (
+  SELECT l.lang, l.measure, (l.total * l.q1 + 200.0::DOUBLE * e.q1) / (l.total + 200.0::DOUBLE) AS q1, (l.total * l.q2 + 200.0::DOUBLE * e.q2) / (l.total + 200.0::DOUBLE) AS q2,
+         (l.total * l.q3 + 200.0::DOUBLE * e.q3) / (l.total + 200.0::DOUBLE) AS q3
+  FROM q l JOIN q e ON e.level = 3 AND l.measure = e.measure WHERE l.level = 2
+), p AS (
+  SELECT a.lang, a.source, a.measure, w.q1 AS w1, w.q2 AS w2, w.q3 AS w3, (a.total * a.q1 + 200.0::DOUBLE * w.q1) / (a.total + 200.0::DOUBLE) AS q1,
+         (a.total * a.q2 + 200.0::DOUBLE * w.q2) / (a.total + 200.0::DOUBLE) AS q2, (a.total * a.q3 + 200.0::DOUBLE * w.q3) / (a.total + 200.0::DOUBLE) AS q3
+  FROM q a JOIN w ON a.lang IS NOT DISTINCT FROM w.lang AND a.measure = w.measure WHERE a.level = 1
 ), cut AS (
   SELECT lang, source,
-    max(greatest(6.0, least(12.0, greatest(q2 + 2.0, q3 + 6 * (q3 - q1))))) FILTER (measure = 'mean_word') AS top_word,
-    max(least(3.0, least(q2 - 2.0, q1 - 6 * (q3 - q1)))) FILTER (measure = 'mean_word') AS low_word,
-    max(greatest(0.1, least(0.3, greatest(q2 + 0.1, q3 + 3 * (q3 - q1))))) FILTER (measure = 'symbol_share') AS top_symbol,
-    max(greatest(0.4, least(0.6, greatest(q2 + 0.4, q3 + 3 * (q3 - q1))))) FILTER (measure = 'duplicate_lines') AS top_lines,
-    max(greatest(0.3, least(0.6, greatest(q2 + 0.2, q3 + 6 * (q3 - q1))))) FILTER (measure = 'upper_share') AS top_upper,
-    max(greatest(0.2, least(0.4, greatest(q2 + 0.15, q3 + 6 * (q3 - q1))))) FILTER (measure = 'stutter_share') AS top_stutter
-  FROM chosen GROUP BY lang, source
+    max(least(greatest(q2 + 0.4::DOUBLE * q2, q3 + 6 * (q3 - q1)), greatest(w2 + 0.8::DOUBLE * w2, w3 + 12 * (w3 - w1)))) FILTER (measure = 'mean_word') AS top_word,
+    max(greatest(least(q2 - 0.4::DOUBLE * q2, q1 - 6 * (q3 - q1)), least(w2 - 0.8::DOUBLE * w2, w1 - 12 * (w3 - w1)))) FILTER (measure = 'mean_word') AS low_word,
+    max(least(greatest(q2 + 0.1::DOUBLE, q3 + 3 * (q3 - q1)), greatest(w2 + 0.2::DOUBLE, w3 + 6 * (w3 - w1)))) FILTER (measure = 'symbol_share') AS top_symbol,
+    max(least(greatest(q2 + 0.4::DOUBLE, q3 + 3 * (q3 - q1)), greatest(w2 + 0.8::DOUBLE, w3 + 6 * (w3 - w1)))) FILTER (measure = 'duplicate_lines') AS top_lines,
+    max(least(greatest(q2 + 0.2::DOUBLE, q3 + 6 * (q3 - q1)), greatest(w2 + 0.4::DOUBLE, w3 + 12 * (w3 - w1)))) FILTER (measure = 'upper_share') AS top_upper,
+    max(least(greatest(q2 + 0.15::DOUBLE, q3 + 6 * (q3 - q1)), greatest(w2 + 0.3::DOUBLE, w3 + 12 * (w3 - w1)))) FILTER (measure = 'stutter_share') AS top_stutter
+  FROM p GROUP BY lang, source
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed,
