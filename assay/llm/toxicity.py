@@ -6,12 +6,13 @@ it), as the chain will meet predictions, not truths, later. The last link is tox
 
 Terms are words and word beginnings of four and six letters, for languages that inflect and compound. The most telling ones by
 chi-square on the labelled sample are used, each with its count and its share of the words, so that a long text is not taken for
-toxic because some beginning occurs in it now and then. Labels: ``toxic`` is given; a category holds for a toxic text with one of
-its seed words, ``unlisted`` for a toxic text with none. Bounds: at most ``max_rows`` labelled texts, the first in the order of a
-hash of their ids, and ``n_terms`` terms.
+toxic because some beginning occurs in it now and then. Labels: ``toxic`` is given. Categories are learned: the terms that toxic
+texts of the sample have clearly more often than others are grouped by the texts they occur in together, and a category holds for
+a toxic text with a term of its group, ``unlisted`` for a toxic text with none. Bounds: at most ``max_rows`` labelled texts, the
+first in the order of a hash of their ids, and ``n_terms`` terms.
 
 Defined results: null and empty texts have no words; rows are judged one by one, alike if repeated; labels that are null are not
-learned; ids labelled twice take the larger label; without labels of both kinds every probability is null and nothing is toxic;
+learned; ids labelled twice take the larger label; of the texts of one id the one with the smallest hash is learned from; without labels of both kinds every probability is null and nothing is toxic;
 other columns are not read; texts of any length are read whole.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,9 @@ from pyspark.sql import functions as F
 from ._shared import saved
 
 WORD = re.compile(r"[^\W\d_]+")
-CATEGORIES = {
-    "dehumanising": ("scum", "trash", "vermin", "filth"),
-    "contempt": ("pathetic", "worthless", "disgusting", "useless"),
-    "insult": ("idiot", "moron", "stupid", "loser", "clown"),
-}
-NAMES = [*CATEGORIES, "unlisted", "toxicity"]
+GROUPS = 3
+NAMES = [*[f"category_{k + 1}" for k in range(GROUPS)], "unlisted", "toxicity"]
+LIFT = 3.0  # a telling term is this many times as frequent in toxic texts as in others
 FOLDS = 3
 
 
@@ -43,6 +41,7 @@ FOLDS = 3
 class Chain:
     terms: list[str]
     links: list[tuple[str, np.ndarray]]  # category and weights: features, earlier categories, bias
+    groups: list[list[str]] = field(default_factory=list)  # terms of the learned categories
 
 
 def terms(text: str | None) -> tuple[Counter, int]:
@@ -93,6 +92,34 @@ def fit(terms: list[str], x: np.ndarray, labels: list[tuple[str, np.ndarray]], f
     return Chain(terms, links)
 
 
+def grouped_terms(has: np.ndarray, toxic: np.ndarray, groups: int = GROUPS, turns: int = 20) -> np.ndarray:
+    """Group number of every term (column of ``has``), -1 for one that is not telling; by spherical k-means over the toxic texts.
+
+    Centres start at the term of most toxic texts and then at terms least alike to those taken, so the result has no chance in it.
+    """
+    out = np.full(has.shape[1], -1)
+    inside, outside = has[toxic > 0], has[toxic == 0]
+    rate, other = inside.mean(axis=0), outside.mean(axis=0)
+    telling = np.flatnonzero((rate > 0) & (rate >= LIFT * other))
+    if not len(telling):
+        return out
+    x = inside[:, telling].T.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    taken = [int(np.argmax(rate[telling]))]
+    while len(taken) < min(groups, len(telling)):
+        taken.append(int(np.argmin((x @ x[taken].T).max(axis=1))))
+    centres = x[taken]
+    for _ in range(turns):
+        near = (x @ centres.T).argmax(axis=1)
+        sums = np.array([x[near == k].sum(axis=0) if (near == k).any() else centres[k] for k in range(len(centres))])
+        fresh = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+        if np.allclose(fresh, centres):
+            break
+        centres = fresh
+    out[telling] = (x @ centres.T).argmax(axis=1)
+    return out
+
+
 def apply(chain: Chain, x: np.ndarray) -> np.ndarray:
     """Probabilities (rows, links): every link reads those before it."""
     seen = x.astype(np.float64)
@@ -108,6 +135,7 @@ def _bags(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for h, toxic, text in zip(*[c.to_pylist() for c in batch.columns]):
                 counts, n = terms(text)
+                counts = counts or {None: 0}  # a text without words is learned from as well
                 k = len(counts)
                 yield pa.RecordBatch.from_pydict({
                     "h": pa.array([h] * k, pa.int64()), "toxic": pa.array([toxic] * k, pa.int32()), "n_words": pa.array([n] * k, pa.int64()),
@@ -121,31 +149,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(toxic_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(toxic_col).cast("int").alias("toxic"))
     chosen = saved(known.select("id", "toxic", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(max_rows), "toxicity-rows")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    bags = saved(_bags(texts.join(F.broadcast(chosen), "id").select("h", "toxic", "text")), "toxicity-sample")  # at most max_rows rows
+    copies = texts.join(F.broadcast(chosen), "id")  # a row per label and copy of its id
+    one = copies.groupBy("h", "toxic", "id").agg(F.min(F.struct(F.xxhash64("text").alias("of"), "text")).alias("first"))
+    bags = saved(_bags(one.select("h", "toxic", "first.text")), "toxicity-sample")  # at most max_rows texts
     rows = bags.select("h", "toxic", "n_words").distinct()
     n, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < bad < n:
         return None
-    counts = bags.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("a"))
+    counts = bags.where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("a"))
     off = (F.col("a") * n - F.col("n") * bad).cast("double")
     chi = off * off / (F.col("n") * F.greatest(n - F.col("n"), F.lit(1)))
     picked = counts.where("n >= 5").select("term", chi.alias("chi")).orderBy(F.desc("chi"), "term").limit(n_terms)
     names = sorted(r["term"] for r in picked.collect())
-    seeds = {w for ws in CATEGORIES.values() for w in ws}
     rows = rows.orderBy("h", "n_words").collect()
     place, index = {t: k for k, t in enumerate(names)}, {r["h"]: i for i, r in enumerate(rows)}
-    table, seen = np.zeros((len(rows), len(names))), [set() for _ in rows]
-    for r in bags.where(F.col("term").isin(sorted(seeds | set(names)))).collect():  # rows x terms at most
-        if r["term"] in place:
-            table[index[r["h"]], place[r["term"]]] = r["n"]
-        if r["term"] in seeds:
-            seen[index[r["h"]]].add(r["term"])
+    table = np.zeros((len(rows), len(names)))
+    for r in bags.where(F.col("term").isin(names)).collect():  # rows x terms at most
+        table[index[r["h"]], place[r["term"]]] = r["n"]
     toxic = np.array([r["toxic"] for r in rows], np.float64)
-    labels_of = [(name, np.array([float(t and bool(has & set(ws))) for t, has in zip(toxic, seen)])) for name, ws in CATEGORIES.items()]
-    labels_of.append(("unlisted", np.array([float(t and not has) for t, has in zip(toxic, seen)])))
+    group = grouped_terms(table > 0, toxic)
+    holds = np.array([(table[:, group == k] > 0).any(axis=1) for k in range(GROUPS)])
+    labels_of = [(NAMES[k], toxic * holds[k]) for k in range(GROUPS)]
+    labels_of.append(("unlisted", toxic * ~holds.any(axis=0)))
     folds = np.array([r["h"] % FOLDS for r in rows])
     x = features(table, np.array([r["n_words"] for r in rows], np.float64))
-    return fit(names, x, [*labels_of, ("toxicity", toxic)], folds)
+    chain = fit(names, x, [*labels_of, ("toxicity", toxic)], folds)
+    chain.groups = [[t for t, g in zip(names, group) if g == k] for k in range(GROUPS)]
+    return chain
 
 
 def predict(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text", cutoff: float = 0.5) -> DataFrame:
