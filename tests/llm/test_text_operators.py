@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import math
 import re
+import time
 from collections import Counter
 from functools import lru_cache
 from hashlib import sha1, sha256
@@ -283,6 +284,23 @@ def test_word_bpe_like_the_library(texts):
 # --- 6: Merkle ------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("alphabet", ["ab", "aab", "the end of", "thequickbrownfoxjumps", "éèabß日本語のにほん", "a"])
+def test_word_bpe_long_words_like_the_library(alphabet):
+    coder, rng = bpe.load(tokenizer("word_bpe_49k.json")), np.random.default_rng(5)
+    coder.library.no_truncation()
+    coder.library.no_padding()
+    for n in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 3 * bpe.LONG, 20_000):
+        word = "".join(rng.choice(list(alphabet), n))
+        assert np.frombuffer(coder.encode([word])[0], "<u4").tolist() == coder.library.encode(word, add_special_tokens=False).ids
+
+
+def test_word_bpe_takes_a_million_letters():
+    coder, rng = bpe.load(tokenizer("word_bpe_49k.json")), np.random.default_rng(6)
+    word, begun = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 10**6)), time.perf_counter()
+    ids = np.frombuffer(coder.encode([word])[0], "<u4").tolist()
+    assert time.perf_counter() - begun < 15 and ids == coder.library.encode(word, add_special_tokens=False).ids
+
+
 def check_next(rows, texts: dict):
     ids = sorted(texts, reverse=True)
     follows = dict(zip(ids, ids[1:] + ids[:1]))
@@ -311,6 +329,21 @@ def test_merkle_edges(edge, none, spark):
     assert one.near_next == 1.0
 
 
+@pytest.mark.parametrize("hot", [7, 40, None])
+def test_merkle_spreads_a_hot_id(spark, hot):
+    rows = [(k, f"Text {k} of its own. Ends.") for k in range(60)] + [(hot, f"Copy {k} has the hot id. Ends.") for k in range(300)] + [(hot, "Equal.")] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = merkle.against_next(frame, parts=12).collect()
+    h = {r.text: r.h for r in frame.select("text", merkle._hash("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h[r[1]]), reverse=True)
+    want = Counter()
+    for (d, text), (_, follows) in zip(order, order[1:] + order[:1]):
+        want[d, merkle.fingerprint(text), sha256(merkle.edited(text, follows).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.fingerprint, r.edited_sha256) for r in found) == want
+    cuts = merkle._cuts(frame.select(F.col("doc_id").alias("id"), "text"), 12)
+    assert sum(d == hot for d, _ in cuts) >= 8 and len(cuts) <= 24
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["One.", "Two is longer!", "", "three " * 60, "q"]), max_size=8).map("\n".join), st.text(max_size=20))
 def test_merkle_tree(text, other):
@@ -369,6 +402,33 @@ def test_quality_sketches_merge_and_keep_their_error(spark):
             assert abs(got - exact) <= 0.0101 * exact
 
 
+def quality_rows(spark, n: int, letters: int, source: str, first: int = 0):
+    words = lambda k: " ".join("".join(chr(97 + (k * 7 + 31 * w + 5 * c + c * c * (k % 11 + w)) % 26) for c in range(letters)) for w in range(14))
+    return spark.createDataFrame([(first + k, words(k), "xx", source) for k in range(n)], "doc_id long, text string, lang string, source string")
+
+
+def test_quality_follows_a_language_of_long_words(spark):
+    rows = quality.quality_verdicts(quality_rows(spark, 400, 17, "a")).collect()
+    assert sum(not r.base_failed for r in rows) > 350 and all(r.kept for r in rows if not r.base_failed)
+
+
+def test_quality_cutoffs_do_not_jump(spark):
+    """A text more moves a source's cutoff by less than the weight of a text, at 199 and 200 as anywhere."""
+    main, tops = quality_rows(spark, 2000, 5, "main"), {}
+    for n in (198, 199, 200, 201):
+        counts = quality.measured(main.union(quality_rows(spark, n, 9, "own", 10000)), F.col("text"))
+        tops[n] = {r.source: r.max_mean_word for r in quality.cutoffs(quality.sketches(counts)).collect()}["own"]
+    steps = np.diff([tops[n] for n in sorted(tops)])
+    assert (np.abs(steps) < 0.02).all() and 5 < tops[200] < 14
+
+
+def test_quality_holds_a_junk_source_to_its_language(spark):
+    junk = spark.createDataFrame([(50000 + k, " ".join(f"{'#' * 4}{k}x{w}" for w in range(12)), "xx", "junk") for k in range(500)],
+                                 "doc_id long, text string, lang string, source string")
+    rows = quality.quality_verdicts(quality_rows(spark, 4000, 6, "main").union(junk)).collect()
+    assert not any(r.kept for r in rows if r.doc_id >= 50000) and np.mean([r.kept for r in rows if r.doc_id < 50000 and not r.base_failed]) > 0.99
+
+
 def test_quality_keeps_clean_texts(spark, small):
     labels = spark.read.parquet(f"{small}/labels.parquet")
     rows = QUERIES["op7_adaptive_quality"](spark, small).join(labels, "doc_id").collect()
@@ -405,6 +465,54 @@ def test_toxicity_edges(spark, edge, none):
     assert toxicity.predict(none, chain).count() == 0
 
 
+def test_toxicity_learns_one_text_of_a_hot_id(spark, monkeypatch):
+    """The labelled id 1 has a third of the rows, with different texts; the fit sees every labelled id once."""
+    rows = [(k, f"word{k % 7} stays here " + ("vile grim" if k % 2 else "calm kind")) for k in range(40)] + [(1, f"another text {k} vile") for k in range(20)] + [(41, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(42)], "doc_id long, toxic int")
+    seen, real = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda names, x, given, folds: seen.append(x.shape[0]) or real(names, x, given, folds))
+    first, again = toxicity.train(docs, labels), toxicity.train(docs.orderBy(F.desc("text")), labels)
+    assert seen == [41, 41] and first.terms == again.terms
+    assert all(np.allclose(a[1], b[1]) for a, b in zip(first.links, again.links))
+    assert {"vile", "grim"} <= {t for g in first.groups for t in g} and not {"calm", "kind"} & {t for g in first.groups for t in g}
+
+
+def test_toxic_terms_are_grouped_by_the_texts_they_share():
+    toxic = np.repeat([1.0, 1.0, 1.0, 0.0], 30)
+    has = np.zeros((120, 8), bool)
+    for g in range(3):
+        has[30 * g:30 * g + 30, [2 * g, 2 * g + 1]] = True
+    has[:, 6], has[90:, 7] = True, True
+    groups = toxicity.grouped_terms(has, toxic)
+    assert groups[0] == groups[1] and groups[2] == groups[3] and groups[4] == groups[5] and len(set(groups[:6])) == 3 and groups[6] == groups[7] == -1
+
+
+def test_chain_against_plain_gradient_descent():
+    """The links' numbers by another way: folds and earlier links written out, models found by following the slope."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 2))
+    first = (x[:, 0] + rng.normal(size=90) > 0).astype(float)
+    second = (x[:, 1] + first + rng.normal(size=90) > 0.5).astype(float)
+    folds = np.arange(90) % 3
+
+    def slope(x, y):
+        w = np.zeros(x.shape[1] + 1)
+        for _ in range(20000):
+            p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+            w -= 0.02 * np.r_[x.T @ (p - y) + w[:-1], (p - y).sum()]
+        return w
+
+    own = slope(x, first)
+    out = np.zeros(90)
+    for f in range(3):
+        w = slope(x[folds != f], first[folds != f])
+        out[folds == f] = 1 / (1 + np.exp(-(x[folds == f] @ w[:-1] + w[-1])))
+    later = slope(np.c_[x, out], second)
+    chain = toxicity.fit(["a", "b"], x, [("first", first), ("second", second)], folds)
+    assert np.allclose(chain.links[0][1], own, atol=1e-3) and np.allclose(chain.links[1][1], later, atol=1e-3)
+
+
 def test_chain_reads_earlier_links():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 2, (400, 3)).astype(float)
