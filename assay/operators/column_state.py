@@ -10,17 +10,22 @@ merged state is the one of the whole: a table that grows is profiled from its ne
 - ``cell``: rows per cell of the hashed values. A value that fills much of a column stands out of its cell.
 - ``bucket``: rows per logarithmic bucket of a number, so quantiles have a relative error of ``ACCURACY`` at most.
 
-A state takes two scans: plain aggregates, then one grouping in which a task sends a bounded number of rows per column.
+A state takes two scans: plain aggregates, then tallies that every task adds up in Arrow and writes once, a bounded number of rows per column.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import as_datetime, clean_number, is_number, shorten
+from ..session import checkpoint_folder
 from ..settings import DEFAULTS, Settings
 from .columns import chunks, col, kinds, missing_as_null
 from .value_counts import boolean_words
@@ -42,9 +47,71 @@ def _hash(value: Column, floating: bool) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.when(value == 0, F.lit(0.0)).otherwise(value.cast("double")) if floating else value), 1)
 
 
-def _bucket(x: Column) -> Column:
-    level = F.ceil(F.log(F.abs(x)) / _BASE) + _SHIFT
-    return F.when(x == 0, 0).when(x > 0, level).otherwise(-level).cast("bigint")
+def _bucket(x: np.ndarray) -> np.ndarray:
+    """Bucket numbers of finite numbers."""
+    size = np.abs(x)
+    level = np.ceil(np.log(np.where(size > 0, size, 1.0)) / _BASE).astype(np.int64) + _SHIFT
+    return np.where(size > 0, np.where(x > 0, level, -level), 0)
+
+
+def _bound(rough: int, k: int) -> int:
+    """Greatest hash of a value that is tallied by itself: about 2 k values, all of a column that has fewer."""
+    return min(HASHES - 1, int(HASHES * 2 * k / max(rough, 1)))
+
+
+def _parsed(text: Column, n: Column | None = None) -> dict[str, Column]:
+    """Aggregates by name of COUNTS: texts that parse as numbers, as numbers after cleaning and as dates; ``n`` rows each."""
+    rules = {"n_number": is_number(text), "n_clean": clean_number(text).isNotNull(), "n_date": as_datetime(text).isNotNull()}
+    return {name: F.count_if(rule) if n is None else F.coalesce(F.sum(F.when(rule, n)), F.lit(0)) for name, rule in rules.items()}
+
+
+def _added(tallies: list[pa.Table]) -> pa.Table:
+    found = pa.concat_tables(tallies).group_by("key").aggregate([("n", "sum"), ("value", "min")])
+    return found.select(["key", "n_sum", "value_min"]).rename_columns(["key", "n", "value"])
+
+
+def _tallies(slots: list[tuple[str, bool]], place: dict[str, int]):
+    """Rows per cell, bucket and small-hash value of every column, added up within a task: its output is bounded per column.
+
+    ``slots`` tells which columns are numbers, ``place`` which value column of the output they fill.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = {s: np.zeros(CELLS, np.int64) for s, _ in slots}
+        held: dict[tuple[str, str], list[pa.Table]] = {}
+        for batch in batches:
+            columns = iter(batch.columns)
+            for s, number in slots:
+                h, value = next(columns), next(columns)
+                cells[s] += np.bincount(h.drop_null().to_numpy() & (CELLS - 1), minlength=CELLS)
+                near = value.is_valid()
+                new = {"value": (h.filter(near), value.filter(near))}
+                if number:
+                    x = next(columns).drop_null().to_numpy()
+                    key = _bucket(x[np.isfinite(x)])
+                    new["bucket"] = (key, pa.nulls(len(key), pa.null()))
+                for part, (key, shown) in new.items():
+                    if len(key):
+                        parts = held.setdefault((s, part), [])
+                        parts.append(_added([pa.table({"key": key, "n": np.ones(len(key), np.int64), "value": shown})]))
+                        if len(parts) > 32:
+                            held[s, part] = [_added(parts)]
+        kinds_of = [None] * (1 + max(place.values()))
+        for (s, part), parts in held.items():
+            if part == "value":
+                kinds_of[place[s]] = parts[0].column("value").type
+        kinds_of = [t or pa.null() for t in kinds_of]
+        for s, _ in slots:
+            seen = np.flatnonzero(cells[s])
+            done = {"cell": pa.table({"key": seen, "n": cells[s][seen], "value": pa.nulls(len(seen))})}
+            done |= {part: _added(held[s, part]) for part in ("bucket", "value") if (s, part) in held}
+            for part, t in done.items():
+                shown = [t.column("value") if part == "value" and j == place[s] else pa.nulls(len(t), kind) for j, kind in enumerate(kinds_of)]
+                own = [pa.array([x] * len(t), pa.string()) for x in (s, part)]
+                rows = pa.table([*own, t.column("key"), t.column("n"), *shown], names=["slot", "part", "key", "n", *[f"v{j}" for j in range(len(shown))]])
+                yield from rows.combine_chunks().to_batches()
+
+    return run
 
 
 def column_state(df: DataFrame, settings: Settings = DEFAULTS, k: int = SAMPLE) -> DataFrame:
@@ -59,14 +126,17 @@ def column_state(df: DataFrame, settings: Settings = DEFAULTS, k: int = SAMPLE)
             c = col(f.name)
             sums.append(F.count(c).alias(f"n_present{i}"))
             if kind[f.name] == "string":
-                sums += [F.count_if(is_number(c)).alias(f"n_number{i}"), F.count(clean_number(c)).alias(f"n_clean{i}"),
-                         F.count(as_datetime(c)).alias(f"n_date{i}"), F.sum(F.length(c).cast("bigint")).alias(f"length{i}")]
+                sums.append(F.sum(F.length(c).cast("bigint")).alias(f"length{i}"))
             if kind[f.name] == "number":
                 x = c.cast("double")
                 sums += [F.min(x).alias(f"x{LEAST}_{i}"), F.max(x).alias(f"x{GREATEST}_{i}"), F.sum(x).alias(f"x{TOTAL}_{i}"), F.sum(x * x).alias(f"x{SQUARES}_{i}")]
             if kind[f.name] != "nested":
                 sums.append(F.approx_count_distinct(c, ROUGH).alias(f"rough{i}"))
         found = df.agg(*sums).first().asDict()
+        # texts of a column with many values are parsed where they stand, others once per value, from the tallies
+        many = [(i, f) for i, f in part if kind[f.name] == "string" and _bound(found[f"rough{i}"], k) < HASHES - 1]
+        if many:
+            found |= df.agg(*[p.alias(f"{name}{i}") for i, f in many for name, p in _parsed(col(f.name)).items()]).first().asDict()
         for i, f in part:
             of = (i, f.name, f.dataType.simpleString(), kind[f.name])
             rough[i] = found.get(f"rough{i}")
@@ -76,25 +146,35 @@ def column_state(df: DataFrame, settings: Settings = DEFAULTS, k: int = SAMPLE)
                     rows.append((*of, "count", key, None, value or 0, None))
             rows += [(*of, "moment", key, None, None, found[f"x{key}_{i}"]) for key in range(4) if found.get(f"x{key}_{i}") is not None]
     counts = spark.createDataFrame(rows, SCHEMA)
-    wide = []
+    wide, slots, types = [], [], {}
     for i, f in fields:
         if rough[i] is None:
             continue
         c, floating = col(f.name), f.dataType.typeName() in ("float", "double")
         h = _hash(c, floating)
-        bound = min(HASHES - 1, int(HASHES * 2 * k / max(rough[i], 1)))
-        x = c.cast("double")
-        bucket = F.when(F.abs(x) < float("inf"), _bucket(x)) if kind[f.name] == "number" else F.lit(None).cast("bigint")
-        wide.append(F.when(c.isNotNull(), F.struct(h.alias("h"), F.when(h <= bound, shorten(c.cast("string"))).alias("t"), (h <= bound).alias("small"), bucket.alias("b"))).alias(str(i)))
+        bound = _bound(rough[i], k)
+        types[str(i)] = "string" if kind[f.name] == "string" else f.dataType.simpleString()
+        slots.append((str(i), kind[f.name] == "number"))
+        # few and short expressions: texts and buckets are made of what is left, as one long generated method is not compiled
+        wide += [F.when(c.isNotNull(), h).alias(f"h{i}"), F.when(h <= bound, c + F.lit(0.0).cast(f.dataType) if floating else c).alias(f"v{i}")]
+        wide += [c.cast("double").alias(f"x{i}")] if kind[f.name] == "number" else []
     if not wide:
         return counts
-    long = df.select(*wide).unpivot([], [str(i) for i, _ in fields if rough[i] is not None], "slot", "v").where("v is not null")
-    entry = lambda part, key, text: F.struct(F.lit(part).alias("part"), key.alias("key"), text.alias("text"))
-    none = F.lit(None).cast("string")
-    spread = long.select("slot", F.explode(F.array(
-        entry("cell", F.pmod("v.h", F.lit(CELLS)), none), entry("bucket", F.col("v.b"), none),
-        entry("value", F.when(F.col("v.small"), F.col("v.h")), F.col("v.t")))).alias("e")).where("e.key is not null")
-    tallied = spread.groupBy("slot", "e.part", "e.key").agg(F.min("e.text").alias("text"), F.count(F.lit(1)).alias("n"))
+    path = f"{checkpoint_folder(spark)}/tallies-{uuid.uuid4().hex}"
+    place = {t: j for j, t in enumerate(sorted(set(types.values())))}
+    values = "".join(f", v{j} {t}" for t, j in place.items())
+    # the table is read once, whatever is asked of the tallies
+    df.select(*wide).mapInArrow(_tallies(slots, {s: place[t] for s, t in types.items()}), f"slot string, part string, key bigint, n bigint{values}").write.parquet(path)
+    text = F.coalesce(*[shorten(F.col(f"v{j}").cast("string")) for j in place.values()])
+    written = spark.read.parquet(path)
+    tallied = written.groupBy("slot", "part", "key").agg(F.min(text).alias("text"), F.sum("n").alias("n"))
+    few = [str(i) for i, f in fields if kind[f.name] == "string" and _bound(rough[i], k) == HASHES - 1]
+    if few:
+        by_value = written.where((F.col("part") == "value") & F.col("slot").isin(few)).groupBy("slot", F.col(f"v{place['string']}").alias("text")).agg(F.sum("n").alias("n"))
+        parsed = {r["slot"]: r for r in by_value.groupBy("slot").agg(*[p.alias(name) for name, p in _parsed(F.col("text"), F.col("n")).items()]).collect()}
+        rows = [(i, f.name, f.dataType.simpleString(), kind[f.name], "count", key, None, parsed[str(i)][name] if str(i) in parsed else 0, None)
+                for i, f in fields if str(i) in few for key, name in enumerate(COUNTS) if name in ("n_number", "n_clean", "n_date")]
+        counts = counts.unionByName(spark.createDataFrame(rows, SCHEMA))
     names = spark.createDataFrame([(str(i), i, f.name, f.dataType.simpleString(), kind[f.name]) for i, f in fields], "slot string, ordinal int, column string, physical_type string, kind string")
     found = tallied.join(F.broadcast(names), "slot").select("ordinal", "column", "physical_type", "kind", "part", "key", "text", "n", F.lit(None).cast("double").alias("x"))
     return counts.unionByName(_smallest(found, k))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from assay.operators import column_state
+
 from __spark_entry__ import oracle_sql, queries
 
 
@@ -10,3 +14,15 @@ def test_heatmap_shows_every_column(spark, small):
     names = {a for a, _ in shown}
     assert len(names) == 6 and shown == {(a, b) for a in names for b in names}
     assert oracle_sql()["heatmap_view"] == oracle_sql()["correlation_matrix"]
+
+
+def test_state_is_made_of_tallies_instead_of_exploded_rows(spark):
+    df = spark.range(5000).select("id", (F.col("id") % 7).cast("string").alias("word"), F.concat(F.lit("1,"), "id").alias("price"))
+    state = column_state.column_state(df, k=1024)
+    plan = state._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Expand" not in plan
+    found = {(r["column"], r["part"], r["key"]): r["n"] for r in state.where("part = 'count'").collect()}
+    key = {name: i for i, name in enumerate(column_state.COUNTS)}
+    assert found["word", "count", key["n_number"]] == 5000 and found["price", "count", key["n_number"]] == 0
+    assert found["price", "count", key["n_clean"]] == 5000
+    assert {r["text"]: r["n"] for r in state.where("column = 'word' and part = 'value'").collect()} == {str(w): 5000 // 7 + (w < 5000 % 7) for w in range(7)}
