@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assay.catalog import registry
 from assay.operators import column_state
 
 from __spark_entry__ import oracle_sql, queries
@@ -26,3 +27,10 @@ def test_state_is_made_of_tallies_instead_of_exploded_rows(spark):
     assert found["word", "count", key["n_number"]] == 5000 and found["price", "count", key["n_number"]] == 0
     assert found["price", "count", key["n_clean"]] == 5000
     assert {r["text"]: r["n"] for r in state.where("column = 'word' and part = 'value'").collect()} == {str(w): 5000 // 7 + (w < 5000 % 7) for w in range(7)}
+
+
+def test_a_step_of_the_disordered_stream_is_one_batch(spark, small):
+    stream, later = registry._disordered_stream(spark, small)
+    assert stream.isStreaming and len(later) == 4  # three more steps and the end, each read by a run of its own
+    options = stream._jdf.queryExecution().analyzed().toString()
+    assert "maxFilesPerTrigger" not in options
