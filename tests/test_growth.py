@@ -29,6 +29,15 @@ def test_state_is_made_of_tallies_instead_of_exploded_rows(spark):
     assert {r["text"]: r["n"] for r in state.where("column = 'word' and part = 'value'").collect()} == {str(w): 5000 // 7 + (w < 5000 % 7) for w in range(7)}
 
 
+def test_dealt_anew_into_tasks_of_bounded_size(spark, small, monkeypatch):
+    seen, cap_rows = [], registry.sampling.cap_rows
+    monkeypatch.setattr(registry.sampling, "cap_rows", lambda df, n: seen.append(df) or cap_rows(df, n))
+    queries()["capped_rows"](spark, small)
+    plan = seen[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions" in plan and "Repartition " not in plan  # no fixed number of tasks
+    assert seen[1].count() == seen[0].count()
+
+
 def test_a_step_of_the_disordered_stream_is_one_batch(spark, small):
     stream, later = registry._disordered_stream(spark, small)
     assert stream.isStreaming and len(later) == 4  # three more steps and the end, each read by a run of its own
