@@ -40,6 +40,15 @@ CHUNK = 2048
 HASHES = 1 << 16  # hashes turned into bits at a time
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, unsigned."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), HASHES):
+        bits = np.unpackbits(hashes[k:k + HASHES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """SimHash of the ASCII-lower-cased words, unsigned."""
     words = (text or "").encode().lower().split()
@@ -49,12 +58,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         shingles, n = iter([b" ".join(words)]), 1
     else:
         shingles, n = map(b" ".join, zip(*[words[k:] for k in range(shingle)])), len(words) - shingle + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, n, HASHES):
-        bits = np.unpackbits(hashes[k:k + HASHES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n))
 
 
 def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shingle: int = 3) -> DataFrame:
