@@ -17,6 +17,9 @@ from .ranks import average_rank, cumulative, cumulative_counts
 from ..functions import safe_corr
 
 
+HOT_VALUES = 1000  # a target value of more than this share of the rows is joined by broadcast
+
+
 @dataclass(frozen=True)
 class Feature:
     """A column and how it enters the measures."""
@@ -173,12 +176,21 @@ def _kept(counts: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
     return written, written.count()
 
 
+def _join_by_value(df: DataFrame, ranks: DataFrame, hot: DataFrame) -> DataFrame:
+    """``df`` with the ranks of its ``y``. The values in ``hot``, fewer than ``HOT_VALUES``, are broadcast; only the rows of others are exchanged."""
+    checkpoint_folder(df.sparkSession)
+    hot = df.sparkSession.createDataFrame(hot.toArrow(), hot.schema)
+    known = ranks.join(F.broadcast(hot), "y")
+    cold = df.join(F.broadcast(hot), "y", "left_anti").join(ranks, "y")
+    return df.join(F.broadcast(known.checkpoint()), "y").unionByName(cold)
+
+
 def spearman(encoded: Encoded, features: list[Feature], settings: Settings = DEFAULTS) -> DataFrame:
     """``column, rho``: Pearson correlation of average ranks, per feature over its present rows.
 
     The target's distinct values carry one count of all rows and one of every feature with gaps, so all their ranks come from one
-    grouping and one pass in order. The ranks are joined by the target to the wide rows, before they are multiplied by features; both
-    sides are plain columns, so a target value shared by a third of the rows is split. Rows are then grouped by (feature, value) with
+    grouping and one pass in order. The ranks are joined by the target to the wide rows, before they are multiplied by features; those of
+    target values that many rows share are sent to the rows, so no task holds all rows of such a value. Rows are then grouped by (feature, value) with
     the sum of the target's ranks, so a frequent value is one row when the feature itself is ranked.
     """
     df = encoded.df
@@ -191,8 +203,10 @@ def spearman(encoded: Encoded, features: list[Feature], settings: Settings = DEF
     placed = cumulative_counts(y_counts, "y", kinds_of_rank, size, settings)
     ranks = placed.select("y", *[
         F.try_divide(F.col(f"below_{c}") + (F.col(c) + 1) / 2 - F.lit(((totals[c] or 0.0) + 1) / 2), F.lit(totals[c] or 0.0)).alias(f"r_{c}") for c in kinds_of_rank])
-    small = F.broadcast if size <= settings.broadcast_rows else lambda ranks: ranks
-    wide = df.join(small(ranks), "y")
+    if size <= settings.broadcast_rows:
+        wide = df.join(F.broadcast(ranks), "y")
+    else:
+        wide = _join_by_value(df, ranks, y_counts.where(F.col("n") * HOT_VALUES > F.lit(totals["n"])).select("y"))
     pair = {name: F.when(x.isNotNull(), F.struct(x.alias("x"), F.col(f"r_{gappy.get(name, 'n')}").alias("ry"))) for name, x in xs.items()}
     grouped = long_form(wide, pair).groupBy("column", F.col("value.x").alias("value")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("value.ry").alias("s"), F.sum(F.col("value.ry") * F.col("value.ry")).alias("q"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assay.catalog import registry
-from assay.operators import column_state
+from assay.operators import association, column_state
 
 from __spark_entry__ import oracle_sql, queries
 
@@ -43,3 +43,13 @@ def test_a_step_of_the_disordered_stream_is_one_batch(spark, small):
     assert stream.isStreaming and len(later) == 4  # three more steps and the end, each read by a run of its own
     options = stream._jdf.queryExecution().analyzed().toString()
     assert "maxFilesPerTrigger" not in options
+
+
+def test_rows_of_a_hot_target_value_are_not_exchanged(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id").cast("double") + 0.5).alias("y"), "id")
+    ranks = df.groupBy("y").agg((F.count(F.lit(1)) * 2.0).alias("r_n"))
+    wide = association._join_by_value(df, ranks, spark.createDataFrame([(7.0,)], "y double"))
+    assert sorted(wide.collect()) == sorted(df.join(ranks, "y").select("y", "id", "r_n").collect())
+    hot, cold = wide._jdf.queryExecution().optimizedPlan().toString().split("LeftAnti")
+    assert "broadcast" in hot and "LeftAnti" not in hot
+    assert association._join_by_value(df, ranks, spark.createDataFrame([], "y double")).count() == 4000
