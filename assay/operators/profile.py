@@ -29,16 +29,8 @@ def profile(
     df = missing_as_null(df)
     spark = df.sparkSession
     if settings.exact_distinct:
-        counts = counted(df)
-        summary = distinct_summary(counts, spark)
-        joined = column_list(df, settings).join(F.broadcast(summary), "ordinal", "left")
-        nested = F.col("kind") == "nested"
-        joined = joined.withColumns(
-            {
-                "n_present": F.when(nested, F.col("n_nested")).otherwise(F.coalesce("n_present", F.lit(0))),
-                "n_unique": F.when(~nested, F.coalesce("n_unique", F.lit(0))),
-            }
-        )
+        counts = counted(df, settings=settings)
+        joined = _summed(column_list(df, settings), distinct_summary(counts, spark))
     else:
         from .column_state import column_state
 
@@ -61,6 +53,26 @@ def profile(
     return describe(joined, settings).select(F.lit(run_id).alias("run_id"), "*")
 
 
+def _summed(columns: DataFrame, summary: DataFrame) -> DataFrame:
+    nested = F.col("kind") == "nested"
+    return columns.join(F.broadcast(summary), "ordinal", "left").withColumns(  # one row per column
+        {
+            "n_present": F.when(nested, F.col("n_nested")).otherwise(F.coalesce("n_present", F.lit(0))),
+            "n_unique": F.when(~nested, F.coalesce("n_unique", F.lit(0))),
+        }
+    )
+
+
+def profile_parts(df: DataFrame, part: Column, parts: int, run_id: str = "table", settings: Settings = DEFAULTS) -> DataFrame:
+    """Profiles of a table (``slice`` 0) and of its parts (``slice`` k: rows with ``part`` = k - 1), from one grouping; no sample values."""
+    df, width = missing_as_null(df), len(df.columns)
+    summary = distinct_summary(counted(df, settings=settings, part=part, parts=parts), df.sparkSession)
+    joined = _summed(column_list(df, settings, part, parts), summary).withColumn("sample_values", F.lit(None).cast("array<string>"))
+    return describe(joined, settings).select(
+        F.lit(run_id).alias("run_id"), "*", F.floor(F.col("ordinal") / width).cast("int").alias("slice")
+    ).withColumn("ordinal", F.col("ordinal") % width)
+
+
 def profile_of_state(state: DataFrame, run_id: str = "table", settings: Settings = DEFAULTS, df: DataFrame | None = None) -> DataFrame:
     """A profile from a stored state. With the table at hand, columns too near a threshold are counted exactly."""
     from .column_state import summary
@@ -87,24 +99,27 @@ def undecided(row, settings: Settings) -> bool:
     return near > 0 and any(abs(found - share * n) <= near for share in shares)
 
 
-def column_list(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """One row per column: position, name, type, row count; presence of nested columns."""
+def column_list(df: DataFrame, settings: Settings = DEFAULTS, part: Column | None = None, parts: int = 0) -> DataFrame:
+    """One row per column: position, name, type, row count; presence of nested columns. Those of the table's parts, if any, follow."""
     kind = kinds(df)
     nested = [f.name for f in df.schema.fields if kind[f.name] == "nested"]
     place = {name: i for i, name in enumerate(nested)}
+    slices = [None, *range(parts)]
     rows = [
         F.struct(
-            F.lit(i).alias("ordinal"),
+            F.lit(k * len(df.columns) + i).alias("ordinal"),
             F.lit(f.name).alias("column"),
             F.lit(f.dataType.simpleString()).alias("physical_type"),
             F.lit(kind[f.name]).alias("kind"),
-            F.col("n").alias("n_rows"),
-            (F.col(f"p{place[f.name]}") if f.name in place else F.lit(None).cast("bigint")).alias("n_nested"),
+            F.col(f"n{k}").alias("n_rows"),
+            (F.col(f"p{place[f.name]}_{k}") if f.name in place else F.lit(None).cast("bigint")).alias("n_nested"),
         )
-        for i, f in enumerate(df.schema.fields)
+        for k in range(len(slices)) for i, f in enumerate(df.schema.fields)
     ]
-    counts = [F.count(col(name)).alias(f"p{i}") for name, i in place.items()]
-    return df.agg(F.count(F.lit(1)).alias("n"), *counts).select(F.inline(F.array(*rows)))
+    held = lambda c, s: c if s is None else F.when(part == s, c)
+    counts = [F.count(held(F.lit(1), s)).alias(f"n{k}") for k, s in enumerate(slices)]
+    counts += [F.count(held(col(name), s)).alias(f"p{i}_{k}") for name, i in place.items() for k, s in enumerate(slices)]
+    return df.agg(*counts).select(F.inline(F.array(*rows)))
 
 
 def describe(joined: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

@@ -1,6 +1,6 @@
 """How often every distinct value of every column occurs.
 
-All columns of one type share one scan and one grouping by (column, value). The
+Every column is scanned and grouped by itself, as values of one type. The
 shuffle carries one row per distinct value and task, so a value that fills a
 third of the table costs nothing. Texts longer than ``KEY_LENGTH`` bytes travel
 as a digest of the whole text, with what the profile needs to know about them.
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import KEY_LENGTH, as_datetime, clean_number, is_number
-from .columns import col, physical_kind
+from ..settings import DEFAULTS, Settings
+from .columns import chunks, col, physical_kind
 
 
 # The yes/no vocabularies.
@@ -64,29 +65,43 @@ def boolean_words(word: Column) -> Column:
     return reduce(Column.__or__, strays)
 
 
-def counted(df: DataFrame, columns: list[str] | None = None) -> dict[str, DataFrame]:
-    """Per value class a frame ``slot, value, n``; ``slot`` is the column position as text."""
+def counted(
+    df: DataFrame, columns: list[str] | None = None, settings: Settings = DEFAULTS, part: Column | None = None, parts: int = 0,
+) -> dict[str, DataFrame]:
+    """Per value class a frame ``slot, value, n``; ``slot`` is the column position as text.
+
+    A column is scanned and grouped by itself, so its values have a map of their own and a column of many values does not push the
+    others' out; ``columns_per_grouping`` lets several share a scan, for frames that are dear to make. With ``part`` (0 to ``parts`` - 1
+    per row) the same grouping also counts every part of the table: part k has the slots ``(k + 1) * width`` and up.
+    """
+    width = len(df.columns)
     classes: dict[str, list[tuple[int, str]]] = {}
     for i, field in enumerate(df.schema.fields):
         found = _value_class(field.dataType)
         if found and (columns is None or field.name in columns):
             classes.setdefault(found, []).append((i, field.name))
+    total = sum(map(len, classes.values()))
+    size = max(settings.columns_per_grouping, -(-total // settings.columns_per_aggregate))
+    keep = [] if part is None else [part.alias("part")]
+    sums = [F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("part") == k).alias(f"n{k}") for k in range(parts)]]
     out = {}
     for found, members in classes.items():
-        wide = df.select(
-            *[
-                (text_key(col(name)) if found == "string" else col(name).cast(found)).alias(str(i))
-                for i, name in members
-            ]
-        )
-        out[found] = (
-            wide.unpivot([], [str(i) for i, _ in members], "slot", "value")
-            # the test on slot is what later joins infer; stating it keeps the plans of all
-            # users of these counts equal, so the shuffle is made once and reused
-            .filter(F.col("value").isNotNull() & F.col("slot").cast("int").isNotNull())
-            .groupBy("slot", "value")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
+        frames = []
+        for group in chunks(members, size):
+            values = [(text_key(col(name)) if found == "string" else col(name).cast(found)).alias(str(i)) for i, name in group]
+            if len(group) == 1:
+                slot = F.lit(str(group[0][0]))
+                counts = df.select(values[0].alias("value"), *keep).filter("value is not null").groupBy("value").agg(*sums).withColumn("slot", slot)
+            else:
+                long = df.select(*keep, *values).unpivot(["part"] if keep else [], [str(i) for i, _ in group], "slot", "value")
+                # the test on slot is what later joins infer; stating it keeps the plans of all
+                # users of these counts equal, so the shuffle is made once and reused
+                counts = long.filter(F.col("value").isNotNull() & F.col("slot").cast("int").isNotNull()).groupBy("slot", "value").agg(*sums)
+            if parts:
+                at = [F.struct((F.col("slot").cast("int") + (k + 1) * width).cast("string").alias("slot"), F.col(f"n{k}").alias("n")) for k in range(parts)]
+                counts = counts.select("value", F.inline(F.array(F.struct("slot", "n"), *at))).filter("n > 0")
+            frames.append(counts.select("slot", "value", "n"))
+        out[found] = reduce(DataFrame.unionByName, frames)
     return out
 
 

@@ -128,6 +128,7 @@ class Settings:
     pairs_per_aggregate: int = 200
     pairs_by_aggregate: int = 45
     columns_per_aggregate: int = 40
+    columns_per_grouping: int = 1
     broadcast_rows: int = 100_000
 
 

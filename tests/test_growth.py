@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assay.catalog import registry
-from assay.operators import association, column_state
+from assay.operators import association, column_state, profile as P, value_counts
+from assay.settings import Settings
 
 from __spark_entry__ import oracle_sql, queries
 
@@ -53,3 +54,12 @@ def test_rows_of_a_hot_target_value_are_not_exchanged(spark):
     hot, cold = wide._jdf.queryExecution().optimizedPlan().toString().split("LeftAnti")
     assert "broadcast" in hot and "LeftAnti" not in hot
     assert association._join_by_value(df, ranks, spark.createDataFrame([], "y double")).count() == 4000
+
+
+def test_every_column_has_a_grouping_of_its_own(spark, small):
+    df = registry.frame(spark, small, "lineitem")
+    counts = value_counts.counted(df)
+    assert all("Expand" not in c._jdf.queryExecution().optimizedPlan().toString() for c in counts.values())
+    shared = value_counts.counted(df, settings=Settings(columns_per_grouping=3))
+    assert any("Expand" in c._jdf.queryExecution().optimizedPlan().toString() for c in shared.values())
+    assert all(sorted(map(str, c.collect())) == sorted(map(str, shared[k].collect())) for k, c in counts.items())
