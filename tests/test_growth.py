@@ -63,3 +63,14 @@ def test_every_column_has_a_grouping_of_its_own(spark, small):
     shared = value_counts.counted(df, settings=Settings(columns_per_grouping=3))
     assert any("Expand" in c._jdf.queryExecution().optimizedPlan().toString() for c in shared.values())
     assert all(sorted(map(str, c.collect())) == sorted(map(str, shared[k].collect())) for k, c in counts.items())
+
+
+def test_parts_of_a_table_from_one_grouping(spark, small):
+    plain = Settings(sample_values=0)
+    for name in ("customer", "embeddings", "labelled"):
+        df = registry.frame(spark, small, name)
+        part = F.pmod(F.xxhash64(F.col(df.columns[0])), F.lit(2))
+        found = P.profile_parts(df, part, 2, name, plain)
+        for k, rows in enumerate([df, df.where(part == 0), df.where(part == 1)]):
+            expected = sorted(map(str, P.profile(rows, name, plain).collect()))
+            assert sorted(map(str, found.where(F.col("slice") == k).drop("slice").collect())) == expected
