@@ -74,3 +74,9 @@ def test_parts_of_a_table_from_one_grouping(spark, small):
         for k, rows in enumerate([df, df.where(part == 0), df.where(part == 1)]):
             expected = sorted(map(str, P.profile(rows, name, plain).collect()))
             assert sorted(map(str, found.where(F.col("slice") == k).drop("slice").collect())) == expected
+
+
+def test_fingerprints_profile_the_tables_once(spark, small, monkeypatch):
+    calls, profiles_of = [], registry.profiles_of
+    monkeypatch.setattr(registry, "profiles_of", lambda *given: calls.append(given) or profiles_of(*given))
+    assert queries()["fingerprints"](spark, small).count() == len(registry._LEDGER_RUNS) and len(calls) == 1
