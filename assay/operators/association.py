@@ -176,12 +176,20 @@ def _kept(counts: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
     return written, written.count()
 
 
-def _join_by_value(df: DataFrame, ranks: DataFrame, hot: DataFrame) -> DataFrame:
-    """``df`` with the ranks of its ``y``. The values in ``hot``, fewer than ``HOT_VALUES``, are broadcast; only the rows of others are exchanged."""
+def _join_by_value(df: DataFrame, ranks: DataFrame, hot: DataFrame, tasks: int) -> DataFrame:
+    """``df`` with the ranks of its ``y``. The values in ``hot``, fewer than ``HOT_VALUES``, are broadcast; only the rows of others are exchanged.
+
+    ``tasks`` follows the rows: in bytes these columns pack so well that a task of the usual size would sort tens of millions of rows.
+    """
     checkpoint_folder(df.sparkSession)
     hot = df.sparkSession.createDataFrame(hot.toArrow(), hot.schema)
     known = ranks.join(F.broadcast(hot), "y")
-    cold = df.join(F.broadcast(hot), "y", "left_anti").join(ranks, "y")
+    # Spark rewrites a key of floating numbers and would deal both sides anew: the key is a hash, the value a condition
+    key, other = F.xxhash64("y").alias("__key"), [c for c in ranks.columns if c != "y"]
+    left = df.join(F.broadcast(hot), "y", "left_anti").select("*", key).repartition(tasks, "__key")
+    right = ranks.select(F.xxhash64("y").alias("__of"), F.col("y").alias("__y"), *other).repartition(tasks, "__of")
+    same = (F.col("__key") == F.col("__of")) & (F.col("y") >= F.col("__y")) & (F.col("y") <= F.col("__y"))
+    cold = left.join(right.hint("merge"), same).select("y", *[c for c in df.columns if c != "y"], *other)
     return df.join(F.broadcast(known.checkpoint()), "y").unionByName(cold)
 
 
@@ -206,7 +214,8 @@ def spearman(encoded: Encoded, features: list[Feature], settings: Settings = DEF
     if size <= settings.broadcast_rows:
         wide = df.join(F.broadcast(ranks), "y")
     else:
-        wide = _join_by_value(df, ranks, y_counts.where(F.col("n") * HOT_VALUES > F.lit(totals["n"])).select("y"))
+        tasks = math.ceil(4 * totals["n"] / settings.exact_in_one_pass)
+        wide = _join_by_value(df, ranks, y_counts.where(F.col("n") * HOT_VALUES > F.lit(totals["n"])).select("y"), tasks)
     pair = {name: F.when(x.isNotNull(), F.struct(x.alias("x"), F.col(f"r_{gappy.get(name, 'n')}").alias("ry"))) for name, x in xs.items()}
     grouped = long_form(wide, pair).groupBy("column", F.col("value.x").alias("value")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("value.ry").alias("s"), F.sum(F.col("value.ry") * F.col("value.ry")).alias("q"))

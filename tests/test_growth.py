@@ -49,11 +49,13 @@ def test_a_step_of_the_disordered_stream_is_one_batch(spark, small):
 def test_rows_of_a_hot_target_value_are_not_exchanged(spark):
     df = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id").cast("double") + 0.5).alias("y"), "id")
     ranks = df.groupBy("y").agg((F.count(F.lit(1)) * 2.0).alias("r_n"))
-    wide = association._join_by_value(df, ranks, spark.createDataFrame([(7.0,)], "y double"))
+    wide = association._join_by_value(df, ranks, spark.createDataFrame([(7.0,)], "y double"), 5)
     assert sorted(wide.collect()) == sorted(df.join(ranks, "y").select("y", "id", "r_n").collect())
     hot, cold = wide._jdf.queryExecution().optimizedPlan().toString().split("LeftAnti")
     assert "broadcast" in hot and "LeftAnti" not in hot
-    assert association._join_by_value(df, ranks, spark.createDataFrame([], "y double")).count() == 4000
+    cold = association._join_by_value(df, ranks, spark.createDataFrame([], "y double"), 5)
+    assert cold.count() == 4000 and cold._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+    assert "ENSURE_REQUIREMENTS" not in cold._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[1].split("HashAggregate")[0]
 
 
 def test_every_column_has_a_grouping_of_its_own(spark, small):
