@@ -12,7 +12,8 @@ blocks that are left, and what is still larger is compared chunk against chunk,
 that returns a spanning forest, not its pairs. No candidate is capped.
 
 Groups are connected components, found by contracting edges: every vertex joins the neighbour of the highest random priority,
-which at least halves long chains, and edges are rewritten between the joined vertices until none is left.
+which at least halves long chains, and edges are rewritten between the joined vertices until no more than ``LAST`` are left, a bound whatever
+the graph; these are joined at once, as every further turn would be as many tasks for a few rows.
 
 Defined results: null text counts as empty; texts without a word have fingerprint zero, linked like any other; null or repeated
 ids keep their rows, and the component is the smallest non-null id of the group (null if there is none); an empty table
@@ -38,6 +39,7 @@ LOW_BITS = 0x5555555555555555
 CELL_ROWS = 64
 CHUNK = 2048
 HASHES = 1 << 16  # hashes turned into bits at a time
+LAST = 4096  # edges; what contraction leaves of a graph of any size is joined at once when it has no more
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -175,12 +177,27 @@ def links(distinct: DataFrame, bits: int = 3, cell_rows: int = CELL_ROWS, chunk:
 # --- components -----------------------------------------------------------------
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def _roots(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Every vertex of a few edges, with one of its component."""
+    head: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := head.setdefault(x, x)) != x:
+            head[x] = x = head[up]
+        return x
+
+    for a, b in edges:
+        ra, rb = root(a), root(b)
+        head[max(ra, rb)] = min(ra, rb)
+    return [(x, root(x)) for x in head]
+
+
+def components(edges: DataFrame, name: str = "components", last: int = LAST) -> DataFrame:
     """``node`` and ``rep`` (any one vertex of its component) of every vertex of ``edges`` (``src``, ``dst``)."""
     edges = saved(edges.where("src <> dst"), f"{name}-edges")
     labels = saved(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().select("node", F.col("node").alias("rep")), f"{name}-labels")
     turn = 0
-    while not edges.isEmpty():
+    while len(rest := edges.take(last + 1)) > last:
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("priority"), F.col(c).alias("id"))  # noqa: B023, E731
         best = both.groupBy("src").agg(F.min(rank("dst")).alias("best"))
@@ -191,7 +208,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             .join(at(2), F.col("dst") == F.col("v2")).select("src", F.col("to2").alias("dst")).where("src <> dst")
         edges = saved(moved.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), f"{name}-edges")
         turn += 1
-    return labels
+    if not rest:
+        return labels
+    roots = edges.sparkSession.createDataFrame(_roots([(e["src"], e["dst"]) for e in rest]), labels.schema).toDF("v", "to")
+    return saved(labels.join(F.broadcast(roots), F.col("rep") == F.col("v"), "left").select("node", F.coalesce("to", "rep").alias("rep")), f"{name}-labels")
 
 
 def _heads(prints: DataFrame, first: Column, bits: int) -> DataFrame:

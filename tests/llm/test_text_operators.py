@@ -107,6 +107,25 @@ def test_components_of_a_chain_and_a_star(spark):
     assert len({found[k] for k in range(41)}) == 1 and len({found[k] for k in range(100, 140)}) == 1 and found[0] != found[100]
 
 
+def test_a_small_rest_of_a_graph_is_joined_at_once(spark, monkeypatch):
+    """Contraction ends as soon as few edges are left, and gives the same groups wherever it ends."""
+    names, write = [], simhash.saved
+    monkeypatch.setattr(simhash, "saved", lambda df, name: names.append(name) or write(df, name))
+    edges = spark.createDataFrame([(k, k + 1) for k in range(-30, 30)] + [(100, k) for k in range(101, 140)], "src long, dst long")
+    groups = {}
+    for last in (simhash.LAST, 20, 0):
+        names.clear()
+        heads = {}
+        for r in simhash.components(edges, last=last).collect():
+            heads.setdefault(r.rep, set()).add(r.node)
+        assert all(head in group for head, group in heads.items())
+        groups[last] = sorted(map(sorted, heads.values()))
+        assert ("components-joins" in names) == (last < 99)
+        if last == simhash.LAST:
+            assert names == ["components-edges", "components-labels", "components-labels"]
+    assert set(map(str, groups.values())) == {str([list(range(-30, 31)), list(range(100, 140))])}
+
+
 # --- 2: language ----------------------------------------------------------------
 
 
