@@ -31,6 +31,7 @@ class _Want:
     high: float
     below: int = 0
     inside: int = 0
+    distinct: float = math.inf  # values in the bracket, where they were counted
 
 
 def counts_by_key(long: DataFrame) -> dict[str, int]:
@@ -69,13 +70,14 @@ def order_statistics(
         return {}
     limit, known = settings.exact_in_one_pass, distinct or {}
     step = 2.0 / ACCURACY
-    while wide := [w for w in wants if min(w.inside, known.get(w.key, w.inside)) > limit and w.low < w.high]:
+    while wide := [w for w in wants if min(w.inside, w.distinct, known.get(w.key, w.inside)) > limit and w.low < w.high]:
         before = [w.inside for w in wide]
         _narrow(long, wide, step)
-        if any(w.inside == n for w, n in zip(wide, before)):
-            if step >= 0.5:  # nothing left to cut: the bracket is its few distinct values
+        if stuck := [w for w, n in zip(wide, before) if w.inside == n and w.low < w.high]:
+            if step >= 0.5:
                 break
-            step *= 4  # a sketch missed a rank: ask for a wider bracket
+            _count_distinct(long, stuck)  # few values that many rows share are ranked as they are, instead of asked for again
+            step *= 4  # else a sketch missed a rank: ask for a wider bracket
     return _pick(long, wants)
 
 
@@ -122,6 +124,17 @@ def _narrow(long: DataFrame, wants: list[_Want], step: float) -> None:
         # else: the sketch missed; the old, wider bracket stays
 
 
+def _count_distinct(long: DataFrame, wants: list[_Want]) -> None:
+    """About how many values the brackets hold."""
+    brackets = sorted({(w.key, w.low, w.high) for w in wants})
+    table = long.sparkSession.createDataFrame(
+        [(k, i, lo, hi) for i, (k, lo, hi) in enumerate(brackets)], "column string, bracket int, low double, high double")
+    inside = long.join(F.broadcast(table), "column").filter("value >= low and value <= high")
+    found = {brackets[r["bracket"]]: r["n"] for r in inside.groupBy("bracket").agg(F.approx_count_distinct("value").alias("n")).collect()}
+    for w in wants:
+        w.distinct = found[(w.key, w.low, w.high)]
+
+
 def _pick(long: DataFrame, wants: list[_Want]) -> dict[tuple[str, int], float]:
     """Rank the values inside the brackets; equal brackets of a key are ranked once."""
     out = {(w.key, r): w.low for w in wants if w.low == w.high for r in (w.first, w.last)}

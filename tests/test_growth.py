@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assay.catalog import registry
-from assay.operators import association, column_state, profile as P, value_counts
+from assay.operators import association, column_state, order_stats, profile as P, value_counts
 from assay.settings import Settings
 
 from __spark_entry__ import oracle_sql, queries
@@ -30,6 +30,16 @@ def test_state_is_made_of_tallies_instead_of_exploded_rows(spark):
     assert {r["text"]: r["n"] for r in state.where("column = 'word' and part = 'value'").collect()} == {str(w): 5000 // 7 + (w < 5000 % 7) for w in range(7)}
 
 
+def test_few_values_that_many_rows_share_are_not_narrowed_again(spark, monkeypatch):
+    """A bracket of two neighbouring values holds more rows than are ranked at once, however often it is narrowed."""
+    steps, narrow = [], order_stats._narrow
+    monkeypatch.setattr(order_stats, "_narrow", lambda *a: steps.append(a[2]) or narrow(*a))
+    long = spark.range(20000).select(F.lit("q").alias("column"), (F.col("id") % 50).cast("double").alias("value"))
+    at = order_stats.order_statistics(long, {"q": [(9999, 10000)]}, {"q": 20000}, Settings(exact_in_one_pass=500))
+    assert at == {("q", 9999): 24.0, ("q", 10000): 25.0}
+    assert len(steps) == 2, len(steps)
+
+
 def test_dealt_anew_into_tasks_of_bounded_size(spark, small, monkeypatch):
     seen, cap_rows = [], registry.sampling.cap_rows
     monkeypatch.setattr(registry.sampling, "cap_rows", lambda df, n: seen.append(df) or cap_rows(df, n))
