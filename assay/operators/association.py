@@ -193,19 +193,162 @@ def _join_by_value(df: DataFrame, ranks: DataFrame, hot: DataFrame, tasks: int)
     return df.join(F.broadcast(known.checkpoint()), "y").unionByName(cold)
 
 
+@dataclass
+class ClassTable:
+    """What one feature's values tell about the classes: sums of its centred ranks, and rows per bin (or level) and class."""
+
+    cells: dict[float, list[int]]
+    present: int  # rows with a value
+    xy: float
+    xx: float
+    yy: float
+
+
+def value_classes(encoded: Encoded, features: list[Feature], classes: list[float], settings: Settings = DEFAULTS) -> DataFrame:
+    """``column, value, n, class0, class1, ...``: rows of every value of every column of ``encoded``, in all and by class. A missing value is a row too.
+
+    As in ``value_counts.counted``, every feature is scanned and grouped by itself. The counts are written to the checkpoint folder:
+    the table is grouped once, whatever is asked of them.
+    """
+    of_class = [F.count_if(F.col("y") == y).alias(f"class{i}") for i, y in enumerate(classes)]
+    sums = [F.count(F.lit(1)).alias("n"), *of_class]
+    parts = []
+    for group in chunks([encoded.columns[f.name] for f in features], max(settings.columns_per_grouping, -(-len(features) // settings.columns_per_aggregate))):
+        if len(group) == 1:
+            counts = encoded.df.select("y", F.col(group[0]).alias("value")).groupBy("value").agg(*sums).withColumn("column", F.lit(group[0]))
+        else:
+            counts = encoded.df.select("y", *group).unpivot(["y"], group, "column", "value").groupBy("column", "value").agg(*sums)
+        parts.append(counts)
+    checkpoint_folder(encoded.df.sparkSession)
+    return reduce(DataFrame.unionByName, parts).checkpoint()
+
+
+def class_tables(
+    encoded: Encoded, features: list[Feature], classes: list[float], bins: int, settings: Settings = DEFAULTS
+) -> dict[str, ClassTable]:
+    """Per feature its ``ClassTable`` for a target of the values ``classes``, in their order; quantities fall into ``bins`` bins of equal counts.
+
+    An edge is the value at place ``ceil(n*i/bins)``, so the edges below a value follow from the rows below it: ``below * bins div n``.
+    A missing quantity falls where the median does. At most one row per feature and bin, or level, reaches the driver.
+    """
+    if not features:
+        return {}
+    spark = encoded.df.sparkSession
+    values = value_classes(encoded, features, classes, settings)
+    labels = [encoded.columns[f.name] for f in features if not f.numeric]
+    each = [f"class{i}" for i in range(len(classes))]
+    given = F.col("value").isNotNull()
+    totals = values.groupBy("column").agg(
+        F.count("value").alias("distinct"), F.coalesce(F.sum(F.when(given, F.col("n"))), F.lit(0)).alias("n"),
+        *[F.coalesce(F.sum(F.when(given, F.col(c))), F.lit(0)).alias(c) for c in each],
+        *[F.coalesce(F.sum(F.when(~given, F.col(c))), F.lit(0)).alias(f"{c}_missing") for c in each],
+    ).collect()  # one row per feature
+    found, facts = {}, []
+    for r in totals:
+        n, below, ranks = r["n"], 0, []
+        for c in each:
+            ranks.append((below + (r[c] + 1) / 2 - (n + 1) / 2) / n if n else 0.0)
+            below += r[c]
+        found[r["column"]] = ClassTable({}, n, 0.0, 0.0, sum(r[c] * x * x for c, x in zip(each, ranks)))
+        facts.append((r["column"], n, r["column"] in labels, (n - 1) // 2, n // 2, ranks))
+    table = spark.createDataFrame(facts, "column string, total bigint, label boolean, low bigint, high bigint, ranks array<double>")
+    ranked = cumulative(values.where(given), sum(r["distinct"] for r in totals), settings).join(F.broadcast(table), "column")  # one row per feature
+    at = lambda place: F.max(F.when((F.col("below") <= F.col(place)) & (F.col(place) < F.col("below") + F.col("n")), F.col("value")))
+    rx = (average_rank() - (F.col("total") + 1) / 2) / F.col("total")
+    ry = reduce(Column.__add__, [F.col(c) * F.get("ranks", F.lit(i)) for i, c in enumerate(each)])
+    x = F.when(F.col("label"), F.col("value")).otherwise(F.expr(f"(below * {bins}) div total").cast("double"))
+    cells = ranked.withColumns({"x": x, "rx": rx, "s": ry}).groupBy("column", "x").agg(
+        *[F.sum(c).alias(c) for c in each], F.sum(F.col("rx") * F.col("s")).alias("xy"), F.sum(F.col("rx") * F.col("rx") * F.col("n")).alias("xx"),
+        at("low").alias("low"), at("high").alias("high"),
+    ).orderBy("column", "x").collect()
+    middle: dict[str, dict[str, tuple[float, float]]] = {}
+    for r in cells:
+        own = found[r["column"]]
+        own.cells[r["x"]] = [r[c] for c in each]
+        own.xy, own.xx = own.xy + r["xy"], own.xx + r["xx"]
+        middle.setdefault(r["column"], {}).update({k: (r["x"], r[k]) for k in ("low", "high") if r[k] is not None})
+    for r in totals:
+        missing = [r[f"{c}_missing"] for c in each]
+        if any(missing):
+            cell = _median_cell(**middle[r["column"]]) if r["n"] else 0.0
+            own = found[r["column"]].cells
+            own[cell] = [a + b for a, b in zip(own.get(cell, [0] * len(each)), missing)]
+    return {f.name: found[encoded.columns[f.name]] for f in features if encoded.columns[f.name] in found}
+
+
+def _median_cell(low: tuple[float, float], high: tuple[float, float]) -> float:
+    """The bin of the median, given bin and value of the one or two middle rows: a median between two values lies above every edge that is the lower."""
+    return low[0] if low[1] == high[1] or low[1] + (high[1] - low[1]) * 0.5 == low[1] else high[0]
+
+
+def _few_classes(encoded: Encoded, target: Target, settings: Settings) -> tuple[Encoded, dict[float, int]] | None:
+    """The rows with few classes as ``y``, a quantity's being its bins of equal counts, and the rows of each; None if they are many."""
+    rows = encoded.df
+    if target.classes:
+        if target.n_unique > settings.class_values:
+            return None
+    else:
+        n = count_present(rows, {"\0y": F.col("y")}, settings)
+        bins = bin_count(n["\0y"], target, settings)
+        if bins > settings.class_values:
+            return None
+        known = {"\0y": target.n_unique} if target.n_unique else None
+        edges = equal_count_edges(long_form(rows, {"\0y": F.col("y")}), bins, n, settings, known)
+        rows = in_bins(rows, {"y": edges.get("\0y", [])})
+    found = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).limit(settings.class_values + 1).collect()
+    if not 0 < len(found) <= settings.class_values:
+        return None
+    return Encoded(rows, encoded.columns), {r["y"]: r["n"] for r in found}
+
+
+def _monotonic(tables: dict[str, ClassTable], spark) -> DataFrame:
+    """``column, rho`` of ``class_tables``."""
+    found = [(c, t.xy / size if (size := math.sqrt(t.xx) * math.sqrt(t.yy)) else None) for c, t in tables.items() if t.present]
+    return spark.createDataFrame(found, "column string, rho double")
+
+
+def _information(tables: dict[str, ClassTable], features: list[Feature], target: Target, spark, settings: Settings) -> DataFrame:
+    """``column, n, mi, h_target, mi_norm, one_to_one`` of ``class_tables``; the terms are those of ``mutual_information``."""
+    xlogx = lambda counts: math.fsum(c * math.log(c) for c in counts if c)
+    labels = {f.name for f in features if not f.numeric}
+    rows = []
+    for name, t in tables.items():
+        joint = [c for cell in t.cells.values() for c in cell if c]
+        by_value, by_class = [sum(cell) for cell in t.cells.values()], [c for c in map(sum, zip(*t.cells.values())) if c]
+        n = sum(joint)
+        h_y = math.log(n) - xlogx(by_class) / n if n else 0.0
+        mi = max(0.0, math.log(n) + (xlogx(joint) - xlogx(by_value) - xlogx(by_class)) / n) if n else 0.0
+        enough = n >= 20 and (len(by_class) >= 2 or not target.classes)
+        same = target.classes and name in labels and len(by_value) == len(by_class) == len(joint)
+        rows.append((name, n, mi, enough, h_y, same))
+    if not target.classes and settings.mi_norm == "max":
+        norm = max([r[2] for r in rows] + [1e-9])
+    else:
+        norm = None
+    scale = lambda h: norm or (h if h > 1e-9 else 1.0)
+    return spark.createDataFrame(
+        [(name, n, mi if enough else None, h, mi / scale(h) if enough else None, same) for name, n, mi, enough, h, same in rows],
+        "column string, n bigint, mi double, h_target double, mi_norm double, one_to_one boolean",
+    )
+
+
 def spearman(encoded: Encoded, features: list[Feature], settings: Settings = DEFAULTS) -> DataFrame:
     """``column, rho``: Pearson correlation of average ranks, per feature over its present rows.
 
     The target's distinct values carry one count of all rows and one of every feature with gaps, so all their ranks come from one
     grouping and one pass in order. The ranks are joined by the target to the wide rows, before they are multiplied by features; those of
     target values that many rows share are sent to the rows, so no task holds all rows of such a value. Rows are then grouped by (feature, value) with
-    the sum of the target's ranks, so a frequent value is one row when the feature itself is ranked.
+    the sum of the target's ranks, so a frequent value is one row when the feature itself is ranked. A target of up to ``class_values`` values
+    needs no join: the counts of ``class_tables`` hold all that is asked.
     """
     df = encoded.df
     xs = {f.name: F.col(encoded.columns[f.name]) for f in features}
     gappy = {f.name: f"n{i}" for i, f in enumerate(features) if f.nullable and f.numeric}
     counts = df.groupBy("y").agg(F.count(F.lit(1)).alias("n"), *[F.count(xs[name]).alias(c) for name, c in gappy.items()])
     y_counts, size = _kept(counts, settings)
+    if 0 < size <= settings.class_values:
+        classes = sorted(r["y"] for r in y_counts.select("y").collect())
+        return _monotonic(class_tables(encoded, features, classes, 1, settings), df.sparkSession)
     kinds_of_rank = ["n", *gappy.values()]
     totals = y_counts.agg(*[F.sum(c).cast("double").alias(c) for c in kinds_of_rank]).first()
     placed = cumulative_counts(y_counts, "y", kinds_of_rank, size, settings)
@@ -219,12 +362,7 @@ def spearman(encoded: Encoded, features: list[Feature], settings: Settings = DEF
     pair = {name: F.when(x.isNotNull(), F.struct(x.alias("x"), F.col(f"r_{gappy.get(name, 'n')}").alias("ry"))) for name, x in xs.items()}
     grouped = long_form(wide, pair).groupBy("column", F.col("value.x").alias("value")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("value.ry").alias("s"), F.sum(F.col("value.ry") * F.col("value.ry")).alias("q"))
-    # at most the distinct values of the features, and their codes for a missing label
-    known = [f.n_unique for f in features]
-    hint = None if None in known else sum(known) + len(features)
-    if hint is not None and hint > settings.exact_in_one_pass:
-        hint = None
-    both = cumulative(grouped, hint, settings)
+    both = cumulative(grouped, None, settings)  # written once: ranks and totals are both taken from it
     per_feature = both.groupBy("column").agg(F.sum("n").cast("double").alias("total"))
     centred = (average_rank() - (F.col("total") + 1) / 2) / F.col("total")
     sums = (
@@ -259,6 +397,10 @@ def mutual_information(
     partition of the rows.
     """
     rows = encoded.df
+    if few := _few_classes(encoded, target, settings):
+        classed, counts = few
+        bins = bin_count(sum(counts.values()), target, settings)
+        return _information(class_tables(classed, features, sorted(counts), bins, settings), features, target, rows.sparkSession, settings)
     quantities = {f.name: F.col(encoded.columns[f.name]) for f in features if f.numeric}
     if not target.classes:
         quantities["\0y"] = F.col("y")
@@ -337,8 +479,12 @@ def target_association(
     """``column, n_pairs, exact, mi, corr, spearman`` for every feature."""
     encoded = encode(df, features, target, settings)
     linear = pearson(encoded, features, settings)
-    monotonic = spearman(encoded, features, settings)
-    information = mutual_information(encoded, features, target, settings)
+    if target.classes and (few := _few_classes(encoded, target, settings)):
+        bins, spark = bin_count(sum(few[1].values()), target, settings), df.sparkSession
+        tables = class_tables(encoded, features, sorted(few[1]), bins, settings)  # both measures from one grouping
+        monotonic, information = _monotonic(tables, spark), _information(tables, features, target, spark, settings)
+    else:
+        monotonic, information = spearman(encoded, features, settings), mutual_information(encoded, features, target, settings)
     enough = F.col("n_pairs") >= 10
     labels = [f.name for f in features if not f.numeric]
     exact = F.when(

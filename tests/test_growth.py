@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from assay.catalog import registry
 from assay.operators import association, column_state, order_stats, profile as P, value_counts
+from assay.operators.columns import missing_as_null
 from assay.settings import Settings
 
 from __spark_entry__ import oracle_sql, queries
@@ -92,3 +96,72 @@ def test_fingerprints_profile_the_tables_once(spark, small, monkeypatch):
     calls, profiles_of = [], registry.profiles_of
     monkeypatch.setattr(registry, "profiles_of", lambda *given: calls.append(given) or profiles_of(*given))
     assert queries()["fingerprints"](spark, small).count() == len(registry._LEDGER_RUNS) and len(calls) == 1
+
+
+def _edges_below(x, at, bins):
+    """The distinct values at places ``ceil(n*i/bins)`` of ``x`` that are below each of ``at``."""
+    ordered = np.sort(x[~np.isnan(x)])
+    edges = {ordered[-(-len(ordered) * i // bins) - 1] for i in range(1, bins)}
+    return np.array([sum(e < v for e in edges) for v in at])
+
+
+@pytest.mark.parametrize("classes, settings", [
+    (True, Settings()), (True, Settings(exact_in_one_pass=50, columns_per_aggregate=2)), (False, Settings())], ids=["one pass", "ranges", "quantity"])
+def test_association_with_few_classes_groups_the_table_once(spark, monkeypatch, classes, settings):
+    """No row is multiplied by features or bracketed by bins: ranks, bins and medians follow from the counts of each value by class."""
+    g, n = np.random.default_rng(6), 1999
+    y = g.integers(0, 3, n)
+    x = pd.DataFrame({
+        "spread": y + g.normal(size=n), "tied": np.where(g.random(n) < 0.4, 5.0, g.integers(-4, 5, n)), "flat": np.full(n, 2.0),
+        "gap": np.where(g.random(n) < 0.3, np.nan, g.normal(size=n).round(1) * y), "halves": np.where(g.random(n) < 0.5, np.nan, g.integers(0, 2, n)), "void": np.full(n, np.nan)})
+    word = np.where(g.random(n) < 0.2, None, np.array(["b", "a", "c"])[(y + (g.random(n) < 0.1)) % 3])
+    goal = np.array(["lo", "mid", "no"])[y] if classes else y + g.normal(size=n).round(2)
+    df = missing_as_null(spark.createDataFrame(x.assign(word=word, goal=goal))).repartition(4)
+    features = [association.Feature(c, "number", True, bool(x[c].isna().any()), n) for c in x] + [association.Feature("word", "string", False, True, 3)]
+    target = association.Target("goal", "string" if classes else "number", classes, 3 if classes else n)
+    if classes:
+        monkeypatch.setattr(order_stats, "_narrow", lambda *a: pytest.fail("values were bracketed"))
+        monkeypatch.setattr(association, "long_form", lambda *a, **k: pytest.fail("rows were multiplied by features"))
+        monkeypatch.setattr(association, "level_codes", lambda df, names, *a: spark.createDataFrame(
+            [(c, v, i) for c in names for i, v in enumerate({"word": "abc", "goal": ["lo", "mid", "no"]}[c])], "column string, level string, code long"))
+    groupings, value_classes = [], association.value_classes
+    monkeypatch.setattr(association, "value_classes", lambda *a: groupings.append(a) or value_classes(*a))
+    encoded = association.encode(df, features, target, settings)
+    found = {r["column"]: r for r in association.target_association(df, features, target, settings).collect()}
+    assert len(groupings) == 1
+    bins = association.bin_count(n, target)
+    ranked = pd.Series(y if classes else goal)
+    cell = y if classes else _edges_below(goal, goal, bins)
+    code = np.array([-1 if w is None else "abc".index(w) for w in word])
+    information = {r["column"]: r["mi_norm"] for r in association.mutual_information(encoded, features, target, settings).collect()}
+    entropy = lambda *keys: -sum(p * np.log(p) for p in pd.DataFrame(dict(enumerate(keys))).value_counts(normalize=True))
+    for c in [*x, "word"]:
+        v = code if c == "word" else x[c].to_numpy()
+        if c == "word":
+            own = code
+        elif c == "void":
+            own = np.zeros(n)
+        else:
+            own = _edges_below(v, np.where(np.isnan(v), np.nanmedian(v), v), bins)
+        mi = max(0.0, entropy(own) + entropy(cell) - entropy(own, cell)) / entropy(cell)
+        assert found[c]["mi"] == pytest.approx(mi, abs=1e-9) and information[c] == pytest.approx(mi, abs=1e-9), c
+        rho = pd.Series(v).rank().corr(ranked.where(~pd.isna(pd.Series(v))).rank())
+        assert found[c]["spearman"] == pytest.approx(0.0 if np.isnan(rho) else abs(rho), abs=1e-9), c
+        assert found[c]["n_pairs"] == int((~pd.isna(pd.Series(v))).sum())
+
+
+def test_ranks_of_features_are_taken_from_one_grouping(spark):
+    """A target of many values: the counts by value are written once, not made again for the totals."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(3000, numPartitions=3).mapInArrow(counted, "id long").select((F.col("id") % 701).cast("double").alias("y"), (F.col("id") % 13).cast("double").alias("x0"))
+    features = [association.Feature("a", "number", True, False, 13)]
+    rho = association.spearman(association.Encoded(df, {"a": "x0"}), features).first()["rho"]
+    i = pd.Series(range(3000))
+    assert rho == pytest.approx((i % 701).rank().corr((i % 13).rank()), abs=1e-9)
+    assert seen.value == 6000  # once for the target's counts, once for the features'
