@@ -260,9 +260,9 @@ def class_tables(
     cells = ranked.withColumns({"x": x, "rx": rx, "s": ry}).groupBy("column", "x").agg(
         *[F.sum(c).alias(c) for c in each], F.sum(F.col("rx") * F.col("s")).alias("xy"), F.sum(F.col("rx") * F.col("rx") * F.col("n")).alias("xx"),
         at("low").alias("low"), at("high").alias("high"),
-    ).orderBy("column", "x").collect()
+    ).collect()
     middle: dict[str, dict[str, tuple[float, float]]] = {}
-    for r in cells:
+    for r in sorted(cells, key=lambda r: (r["column"], r["x"])):
         own = found[r["column"]]
         own.cells[r["x"]] = [r[c] for c in each]
         own.xy, own.xx = own.xy + r["xy"], own.xx + r["xx"]
