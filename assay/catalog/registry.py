@@ -162,8 +162,11 @@ def _(spark, folder):
     df = frame(spark, folder, "copies")
     rows, sampled, total = sampling.cap_rows(df, 5_000)
     again, _, _ = sampling.cap_rows(df.hint("rebalance"), 5_000)
+    checkpoint_folder(spark)
+    rows = rows.checkpoint()  # at most 5 000 rows, used three times: drawn from the table once
     out = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(sampled).alias("sampled"), F.lit(total).cast("bigint").alias("total"))
-    return out.crossJoin(rows.exceptAll(df).agg(F.count(F.lit(1)).alias("strangers"))).crossJoin(  # three single rows
+    strangers = rows.exceptAll(duplicates.rows_like(df, rows))
+    return out.crossJoin(strangers.agg(F.count(F.lit(1)).alias("strangers"))).crossJoin(  # three single rows
         rows.exceptAll(again).agg(F.count(F.lit(1)).alias("moved")))
 
 

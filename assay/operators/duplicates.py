@@ -35,6 +35,15 @@ def row_digest(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
     return [F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *reversed(parts))]
 
 
+def rows_like(df: DataFrame, few: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose digest a row of ``few`` has: all that comparing the two needs. ``few`` is bounded, as a sample is; its digests are broadcast."""
+    def digest(rows: DataFrame) -> dict[str, Column]:
+        return dict(zip(("__h1", "__h2"), row_digest(rows)))
+
+    wanted = few.select(*[h.alias(name) for name, h in digest(few).items()]).distinct()
+    return df.withColumns(digest(df)).join(F.broadcast(wanted), ["__h1", "__h2"], "left_semi").drop("__h1", "__h2")
+
+
 def duplicate_counts(df: DataFrame) -> DataFrame:
     """``n_rows, dup_count``: rows that repeat an earlier row in every column.
 

@@ -56,8 +56,9 @@ def cap_rows(
     """``(frame, sampled, rows before)``: at most ``n`` rows, the same ones for any partitioning.
 
     Rows are drawn by a hash of their key (by default all columns). One read of the table leaves every task's row count and smallest
-    draws; the exact ``n``-th draw is found among those that can be it, and a filter keeps what lies before it: rows are neither
-    sorted nor shuffled. Rows that share the last draw are alike, and as many of them as are wanted are taken.
+    draws; the exact ``n``-th draw is found among those that can be it, and a filter keeps what lies up to it: rows are neither
+    sorted nor shuffled. Rows that share the last draw are alike; only where some of them are left out, as many as are wanted are
+    taken by a filter of their own. The frame reads the table anew at every use: checkpoint it to use it more than once.
     """
     from ..operators.order_stats import order_statistics
 
@@ -66,7 +67,7 @@ def cap_rows(
     if n <= 0:
         total = df.count()
         return df.limit(0), total > 0, total
-    tasks = least_draws(df, n, draw)
+    tasks = least_draws(df, n + 1, draw)  # one more than is wanted: it tells whether rows that share the last draw are left out
     total = tasks.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     if total <= n:
         return df, False, total
@@ -79,10 +80,14 @@ def cap_rows(
             break
         share = min(1.0, share * 2)
     last = order_statistics(near, {"draw": [(n - 1, n - 1)]}, {"draw": found})[("draw", n - 1)]
-    ahead = near.where(F.col("value") < last).count()
+    ahead, upto = near.agg(F.count_if(F.col("value") < last), F.count_if(F.col("value") <= last)).first()
     drawn = df.withColumn("__draw", draw)
-    rest = drawn.filter(F.col("__draw") == last).limit(n - ahead)
-    return drawn.filter(F.col("__draw") < last).unionByName(rest).drop("__draw"), True, total
+    if upto == n:
+        kept = drawn.filter(F.col("__draw") <= last)
+    else:
+        rest = drawn.filter(F.col("__draw") == last).limit(n - ahead)
+        kept = drawn.filter(F.col("__draw") < last).unionByName(rest)
+    return kept.drop("__draw"), True, total
 
 
 def sample_share(df: DataFrame, share: float, seed: int = 42, key: list[str] | None = None) -> DataFrame:

@@ -394,3 +394,37 @@ def test_matrix_has_its_diagonal(spark):
     pairs = correlation.pair_correlations(df, {c: F.col(c) for c in "abc"}, set("abc"))
     cells = {(r["column"], r["column2"]): r["r"] for r in correlation.correlation_matrix(pairs, list("abc"), {"c"}).collect()}
     assert cells == {(x, y): {"aa": 1.0, "bb": 1.0, "ab": -1.0, "ba": -1.0}.get(x + y, 0.0) for x in "abc" for y in "abc"}
+
+
+def test_row_cap_takes_a_filter_of_its_own_only_for_rows_left_out(spark):
+    """One filter where every row that shares the last draw is wanted; two where some are left out."""
+    scans = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString().count("Range (")
+    single = spark.range(4000, numPartitions=5)
+    rows, sampled, total = sampling.cap_rows(single, 300)
+    assert (sampled, total, rows.count(), scans(rows)) == (True, 4000, 300, 1)
+    twice = single.select((F.col("id") % 2000).alias("id"))  # every row has a copy
+    even, odd = sampling.cap_rows(twice, 300)[0], sampling.cap_rows(twice, 301)[0]
+    assert (even.count(), scans(even)) == (300, 1) and (odd.count(), scans(odd)) == (301, 2)
+    assert even.exceptAll(odd).count() == 0 and even.groupBy("id").count().where("count <> 2").count() == 0
+    one = single.select(F.lit(None).cast("int").alias("nothing"))  # all alike and null, in a task or in several
+    assert [sampling.cap_rows(one.coalesce(k), 300)[0].count() for k in (1, 5)] == [300, 300]
+
+
+def test_rows_like_keeps_what_a_comparison_needs(spark):
+    """Copies, nulls, NaN and both zeros are told as ``exceptAll`` tells them; rows that only one side has make no difference."""
+    df = spark.sql("SELECT * FROM VALUES (1, 'a', 0.0D), (1, 'a', -0.0D), (2, null, double('NaN')), (2, null, null), (null, null, null), (3, 'b', 1.0D) AS t(a, b, c)")
+    few = spark.sql("SELECT * FROM VALUES (1, 'a', -0.0D), (1, 'a', 0.0D), (1, 'a', 0.0D), (2, null, double('NaN')), (null, null, null), (4, 'b', 1.0D) AS t(a, b, c)")
+    near = duplicates.rows_like(df, few)
+    assert near.columns == df.columns and near.count() == 4
+    left = lambda a, b: sorted(str(tuple(r)) for r in a.exceptAll(b).collect())
+    assert left(few, near) == left(few, df) and len(left(few, df)) == 2
+    assert near.exceptAll(df).count() == 0 and duplicates.rows_like(df, few.limit(0)).count() == 0
+
+
+def test_capped_rows_are_drawn_from_the_table_once(spark, small):
+    """Scans of the result's plan: the table for the comparison, the rows dealt anew; the kept rows come from the checkpoint."""
+    from __spark_entry__ import queries
+
+    plan = queries()["capped_rows"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") >= 3 and "LeftSemi" in plan
+    assert plan.count("Relation [") in (4, 6), plan.count("Relation [")  # 14 when every use drew them again
