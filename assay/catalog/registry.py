@@ -458,7 +458,7 @@ def _(spark, folder):
     for name in _ROLE_TABLES:
         df = table(spark, folder, name)
         part = F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(_ROLE_SLICES))
-        profiles.append(P.profile_parts(df, part, _ROLE_SLICES, name))
+        profiles.append(settle(P.profile_parts(df, part, _ROLE_SLICES, name)))  # a plan for each table: one for all is replanned at every stage
     known = settle(reduce(DataFrame.unionByName, profiles))
     roles = context.column_roles(known, F.lit(None).cast("string")).select("run_id", "column", "slice", "column_role")
     described = settle(classifier.column_descriptors(known.withColumn("run_id", F.concat_ws("/", "run_id", "slice"))))

@@ -64,10 +64,17 @@ def _summed(columns: DataFrame, summary: DataFrame) -> DataFrame:
 
 
 def profile_parts(df: DataFrame, part: Column, parts: int, run_id: str = "table", settings: Settings = DEFAULTS) -> DataFrame:
-    """Profiles of a table (``slice`` 0) and of its parts (``slice`` k: rows with ``part`` = k - 1), from one grouping; no sample values."""
-    df, width = missing_as_null(df), len(df.columns)
-    summary = distinct_summary(counted(df, settings=settings, part=part, parts=parts), df.sparkSession)
-    joined = _summed(column_list(df, settings, part, parts), summary).withColumn("sample_values", F.lit(None).cast("array<string>"))
+    """Profiles of a table (``slice`` 0) and of its parts (``slice`` k: rows with ``part`` = k - 1), from one grouping; no sample values.
+
+    ``part`` may need the whole row, so every scan reads it whole: a first one counts rows and estimates distinct values, and by that
+    columns of few values share the scan of their grouping. The estimate decides on scans only.
+    """
+    df, width, spark = missing_as_null(df), len(df.columns), df.sparkSession
+    columns = column_list(df, settings, part, parts, estimate=True)
+    rows = columns.collect()  # one row per column and part
+    about = {r["column"]: r["n_about"] for r in rows[:width] if r["n_about"] is not None}
+    summary = distinct_summary(counted(df, settings=settings, part=part, parts=parts, about=about), spark)
+    joined = _summed(spark.createDataFrame(rows, columns.schema).drop("n_about"), summary).withColumn("sample_values", F.lit(None).cast("array<string>"))
     return describe(joined, settings).select(
         F.lit(run_id).alias("run_id"), "*", F.floor(F.col("ordinal") / width).cast("int").alias("slice")
     ).withColumn("ordinal", F.col("ordinal") % width)
@@ -99,8 +106,11 @@ def undecided(row, settings: Settings) -> bool:
     return near > 0 and any(abs(found - share * n) <= near for share in shares)
 
 
-def column_list(df: DataFrame, settings: Settings = DEFAULTS, part: Column | None = None, parts: int = 0) -> DataFrame:
-    """One row per column: position, name, type, row count; presence of nested columns. Those of the table's parts, if any, follow."""
+def column_list(df: DataFrame, settings: Settings = DEFAULTS, part: Column | None = None, parts: int = 0, estimate: bool = False) -> DataFrame:
+    """One row per column: position, name, type, row count; presence of nested columns. Those of the table's parts, if any, follow.
+
+    With ``estimate`` also ``n_about``: about how many distinct values the column has in the whole table, null if it is nested.
+    """
     kind = kinds(df)
     nested = [f.name for f in df.schema.fields if kind[f.name] == "nested"]
     place = {name: i for i, name in enumerate(nested)}
@@ -113,12 +123,15 @@ def column_list(df: DataFrame, settings: Settings = DEFAULTS, part: Column | Non
             F.lit(kind[f.name]).alias("kind"),
             F.col(f"n{k}").alias("n_rows"),
             (F.col(f"p{place[f.name]}_{k}") if f.name in place else F.lit(None).cast("bigint")).alias("n_nested"),
+            *([(F.lit(None).cast("bigint") if f.name in place else F.col(f"u{i}")).alias("n_about")] if estimate else []),
         )
         for k in range(len(slices)) for i, f in enumerate(df.schema.fields)
     ]
     held = lambda c, s: c if s is None else F.when(part == s, c)
     counts = [F.count(held(F.lit(1), s)).alias(f"n{k}") for k, s in enumerate(slices)]
     counts += [F.count(held(col(name), s)).alias(f"p{i}_{k}") for name, i in place.items() for k, s in enumerate(slices)]
+    if estimate:
+        counts += [F.approx_count_distinct(col(f.name)).alias(f"u{i}") for i, f in enumerate(df.schema.fields) if f.name not in place]
     return df.agg(*counts).select(F.inline(F.array(*rows)))
 
 

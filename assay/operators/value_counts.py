@@ -67,12 +67,16 @@ def boolean_words(word: Column) -> Column:
 
 def counted(
     df: DataFrame, columns: list[str] | None = None, settings: Settings = DEFAULTS, part: Column | None = None, parts: int = 0,
+    about: dict[str, int] | None = None,
 ) -> dict[str, DataFrame]:
     """Per value class a frame ``slot, value, n``; ``slot`` is the column position as text.
 
     A column is scanned and grouped by itself, so its values have a map of their own and a column of many values does not push the
     others' out; ``columns_per_grouping`` lets several share a scan, for frames that are dear to make. With ``part`` (0 to ``parts`` - 1
     per row) the same grouping also counts every part of the table: part k has the slots ``(k + 1) * width`` and up.
+
+    ``about`` tells roughly how many distinct values a column has. Columns that have at most ``values_per_grouping`` together then share
+    a scan whatever their class, under the class ``several``: their values are structs with a field for every class, of which one is set.
     """
     width = len(df.columns)
     classes: dict[str, list[tuple[int, str]]] = {}
@@ -84,11 +88,18 @@ def counted(
     size = max(settings.columns_per_grouping, -(-total // settings.columns_per_aggregate))
     keep = [] if part is None else [part.alias("part")]
     sums = [F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("part") == k).alias(f"n{k}") for k in range(parts)]]
+    typed = {name: text_key(col(name)) if found == "string" else col(name).cast(found) for found, members in classes.items() for _, name in members}
+    shared = _sharing(classes, about, settings) if about else []
+    together = {member for group in shared for member in group}
+    scans = {found: chunks([m for m in members if m not in together], size) for found, members in classes.items()}
+    if shared:
+        scans["several"] = shared
+        typed |= _in_own_field(classes, typed, together)
     out = {}
-    for found, members in classes.items():
+    for found, groups in scans.items():
         frames = []
-        for group in chunks(members, size):
-            values = [(text_key(col(name)) if found == "string" else col(name).cast(found)).alias(str(i)) for i, name in group]
+        for group in groups:
+            values = [typed[name].alias(str(i)) for i, name in group]
             if len(group) == 1:
                 slot = F.lit(str(group[0][0]))
                 counts = df.select(values[0].alias("value"), *keep).filter("value is not null").groupBy("value").agg(*sums).withColumn("slot", slot)
@@ -101,21 +112,52 @@ def counted(
                 at = [F.struct((F.col("slot").cast("int") + (k + 1) * width).cast("string").alias("slot"), F.col(f"n{k}").alias("n")) for k in range(parts)]
                 counts = counts.select("value", F.inline(F.array(F.struct("slot", "n"), *at))).filter("n > 0")
             frames.append(counts.select("slot", "value", "n"))
-        out[found] = reduce(DataFrame.unionByName, frames)
+        if frames:
+            out[found] = reduce(DataFrame.unionByName, frames)
     return out
 
 
+def _sharing(classes: dict[str, list[tuple[int, str]]], about: dict[str, int], settings: Settings) -> list[list[tuple[int, str]]]:
+    """Groups of columns, those of the fewest values first, that have few enough distinct values for one map."""
+    groups: list[list[tuple[int, str]]] = []
+    room = 0
+    for member in sorted((m for members in classes.values() for m in members), key=lambda m: (about[m[1]], m[0])):
+        values = about[member[1]]
+        if groups and values <= room and len(groups[-1]) < settings.columns_per_aggregate:
+            groups[-1].append(member)
+        else:
+            groups.append([member])
+            room = settings.values_per_grouping
+        room -= values
+    return [group for group in groups if len(group) > 1]
+
+
+def _in_own_field(classes: dict[str, list[tuple[int, str]]], typed: dict[str, Column], together: set[tuple[int, str]]) -> dict[str, Column]:
+    """Values of several classes as one type: a struct with a field for each class, ``text`` for texts; null for a null."""
+    class_of = {name: found for found, members in classes.items() for i, name in members if (i, name) in together}
+    fields = {found: "text" if found == "string" else f"v{k}" for k, found in enumerate(sorted(set(class_of.values())))}
+    none = {found: F.lit(None).cast("struct<head: string, tail: string>" if found == "string" else found) for found in fields}
+    return {
+        name: F.when(col(name).isNotNull(), F.struct(*[(typed[name] if found == own else none[found]).alias(field) for found, field in fields.items()]))
+        for name, own in class_of.items()
+    }
+
+
 def distinct_summary(counts: dict[str, DataFrame], spark) -> DataFrame:
     """One row per column with values: counts, commonest count, boolean test, parse counts."""
     parts = []
     for found, values in counts.items():
         value, n = F.col("value"), F.col("n")
         none = F.lit(None).cast("bigint")
-        if found == "string":
-            head, tail = F.col("value.head"), F.col("value.tail")
+        fields = [f.name for f in values.schema["value"].dataType.fields] if found == "several" else []
+        if found == "string" or "text" in fields:
+            text = "value.text" if fields else "value"
+            head, tail = F.col(f"{text}.head"), F.col(f"{text}.tail")
 
-            def parsed(place: int, rule: Column, tail: Column = tail) -> Column:
+            def parsed(place: int, rule: Column, head: Column = head, tail: Column = tail) -> Column:
                 flag = F.when(tail.isNotNull(), F.substring(tail, place, 1) == "1").otherwise(rule)
+                if fields:  # null for a column without texts
+                    return F.sum(F.when(head.isNotNull(), F.when(flag, F.col("n")).otherwise(0)))
                 return F.coalesce(F.sum(F.when(flag, F.col("n"))), F.lit(0))
 
             length = F.when(
@@ -131,6 +173,9 @@ def distinct_summary(counts: dict[str, DataFrame], spark) -> DataFrame:
         else:
             extra = [F.max(none).alias(c) for c in ("n_number", "n_clean", "n_date", "length")]
             word = value.cast("string")
+        if fields:
+            others = [F.col(f"value.{f}").cast("string") for f in fields if f != "text"]
+            word = F.coalesce(*([word] if "text" in fields else []), *others)
         parts.append(
             values.groupBy("slot").agg(
                 F.sum("n").alias("n_present"),

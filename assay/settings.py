@@ -129,6 +129,7 @@ class Settings:
     pairs_by_aggregate: int = 45
     columns_per_aggregate: int = 40
     columns_per_grouping: int = 1
+    values_per_grouping: int = 50_000
     broadcast_rows: int = 100_000
 
 
